@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import urls
+from . import bpe, sketches, urls
 
 QUERIES = {
+    "op5_fingerprints": sketches.op5_fingerprints,
+    "op8_bpe": bpe.op8_bpe,
     "op9_url_filter": urls.op9_url_filter,
 }
 SQL = {
