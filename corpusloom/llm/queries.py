@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, sketches, urls
+from . import bpe, lines, secrets, sketches, urls
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_line_dedup": lines.op2_line_dedup,
     "op5_fingerprints": sketches.op5_fingerprints,
     "op8_bpe": bpe.op8_bpe,
     "op9_url_filter": urls.op9_url_filter,
 }
 SQL = {
+    "op2_line_dedup": lines.OP2_SQL,
     "op9_url_filter": urls.OP9_SQL,
 }
