@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, secrets, sketches, urls
+from . import bpe, lines, pii, quality, secrets, sketches, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_line_dedup": lines.op2_line_dedup,
+    "op3_quality": quality.op3_quality,
+    "op4_personal_data": pii.op4_personal_data,
     "op5_fingerprints": sketches.op5_fingerprints,
     "op8_bpe": bpe.op8_bpe,
     "op9_url_filter": urls.op9_url_filter,
