@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token's bytes start as a linked list of parts. Every adjacent pair that is a known token waits in the bucket of
-its rank; a bitmap of three levels, each bit standing for 64 of the level below, finds the least rank in use by
+its rank; a bitmap of two levels, each bit of the upper one standing for 256 ranks, finds the least rank in use by
 find-first-set. A bucket is a heap of list positions, so equal ranks merge from left to right. A merge leaves the neighbours'
 old pairs behind: they are recognised as stale when popped, because the pair at that position no longer has that rank.
 Every part costs a fixed number of queue steps, so pre-tokens of megabytes stay near-linear. Pre-tokens repeat, so a
-worker keeps the ids of those it has met, in a table that is emptied when full.
+worker keeps the ids of those it has met lately, in two tables of bounded size.
 
 Defined cases: a null text is an empty one and has no ids (empty strings are hashed); repeated rows stay repeated; lone
 surrogates cannot occur in a Spark string. Extra columns are not read. Special tokens' strings are ordinary text.
@@ -26,52 +26,28 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, table, text_or_empty
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Entries and bytes after which a worker empties its table of pre-tokens; longer pre-tokens aren't kept.
-CACHE_ENTRIES = 400_000
+#: Pre-tokens in each of a worker's two tables, and the characters of the longest that is kept.
+CACHE_ENTRIES = 500_000
 CACHE_LONGEST = 64
 
 
-class RankQueue:
-    """Positions by rank: buckets under a three-level bitmap."""
+class Pretokens(dict):
+    """Ids of the pre-tokens met lately, joined by commas. Two generations: a full one replaces the older one."""
 
-    __slots__ = ("buckets", "low", "mid", "top")
+    def __init__(self, merge):
+        self.merge, self.older = merge, {}
 
-    def __init__(self, ranks: int):
-        words = (ranks >> 6) + 1
-        self.low, self.mid, self.top = [0] * words, [0] * ((words >> 6) + 1), 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            i = rank >> 6
-            j = i >> 6
-            self.low[i] |= 1 << (rank & 63)
-            self.mid[j] |= 1 << (i & 63)
-            self.top |= 1 << j
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """The leftmost position of the least rank; (-1, -1) when empty."""
-        if not self.top:
-            return -1, -1
-        j = (self.top & -self.top).bit_length() - 1
-        m = self.mid[j]
-        i = (j << 6) | ((m & -m).bit_length() - 1)
-        w = self.low[i]
-        rank = (i << 6) | ((w & -w).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[i] = w = w & (w - 1)
-            if not w:
-                self.mid[j] = m = m & (m - 1)
-                if not m:
-                    self.top &= self.top - 1
-        return rank, position
+    def __missing__(self, piece: str) -> str:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = ",".join(map(str, self.merge(piece.encode())))
+            if len(piece) > CACHE_LONGEST:
+                return ids
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 class Codec:
@@ -81,8 +57,10 @@ class Codec:
         self.ranks = ranks
         self.bytes_of = {str(v): k for k, v in ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values()) + 1)
-        self.known: dict[str, str] = {}
+        # the rank queue: buckets of positions; a bit of ``words`` for each bucket in use, a bit of the top for each word in use
+        self.buckets: dict[int, list[int]] = {}
+        self.words = [0] * ((max(ranks.values()) >> 8) + 1)
+        self.known = Pretokens(self.merge)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -90,47 +68,66 @@ class Codec:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        """Ids of one pre-token. The queue is empty before and after."""
+        get = self.ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
+        buckets, words, top = self.buckets, self.words, 0
         n = len(piece)
         end = list(range(1, n + 1))  # where the part that starts here ends
         before = list(range(-1, n - 1))  # where the part before it starts
-        waiting = [-1] * n  # rank of the pair that starts here
-        queue = self.queue
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
-                waiting[i] = r
-                queue.push(r, i)
-        while True:
-            r, i = queue.pop()
-            if r < 0:
-                break
+        waiting = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that starts here
+        waiting.append(-1)
+        for i, r in enumerate(waiting):
+            if r >= 0:
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    words[r >> 8] |= 1 << (r & 255)
+                    top |= 1 << (r >> 8)
+        while top:
+            w = (top & -top).bit_length() - 1  # find-first-set in the top, then in its word
+            word = words[w]
+            r = (w << 8) | ((word & -word).bit_length() - 1)
+            bucket = buckets[r]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[r]
+                words[w] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
             if waiting[i] != r:
                 continue  # stale
             mid = end[i]
-            stop = end[mid]
-            end[i] = stop
+            end[i] = stop = end[mid]
             waiting[mid] = -1
-            waiting[i] = -1
+            again = ()
             if stop < n:
                 before[stop] = i
-                r = ranks.get(piece[i : end[stop]])
-                if r is not None:
-                    waiting[i] = r
-                    queue.push(r, i)
+                waiting[i] = r = get(piece[i : end[stop]], -1)
+                if r >= 0:
+                    again = ((r, i),)
+            else:
+                waiting[i] = -1
             j = before[i]
             if j >= 0:
-                r = ranks.get(piece[j:stop])
-                if r is None:
-                    waiting[j] = -1
-                elif r != waiting[j]:
+                r = get(piece[j:stop], -1)
+                if r != waiting[j]:
                     waiting[j] = r
-                    queue.push(r, j)
-        out, i = [], 0
+                    if r >= 0:
+                        again = (*again, (r, j))
+            for r, k in again:
+                if r in buckets:
+                    heappush(buckets[r], k)
+                else:
+                    buckets[r] = [k]
+                    words[r >> 8] |= 1 << (r & 255)
+                    top |= 1 << (r >> 8)
+        out, i, ranks = [], 0, self.ranks
         while i < n:
             out.append(ranks[piece[i : end[i]]])
             i = end[i]
@@ -138,25 +135,10 @@ class Codec:
 
     def encode(self, text: str) -> str:
         """The ids in decimal, joined by commas."""
-        known, pieces = self.known, self.split(text)
-        try:
-            return ",".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        out = []
-        for p in pieces:
-            ids = known.get(p)
-            if ids is None:
-                ids = ",".join(map(str, self.merge(p.encode())))
-                if len(p) <= CACHE_LONGEST:
-                    known[p] = ids
-            out.append(ids)
-        return ",".join(out)
+        return ",".join(map(self.known.__getitem__, self.split(text)))
 
     def decode(self, ids: str) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids.split(",")]) if ids else b""
+        return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

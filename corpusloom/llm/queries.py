@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, pii, quality, secrets, sketches, urls
+from . import bpe, decontam, lines, pii, quality, secrets, sketches, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_fingerprints": sketches.op5_fingerprints,
     "op8_bpe": bpe.op8_bpe,
     "op9_url_filter": urls.op9_url_filter,
+    "op10_decontamination": decontam.op10_decontamination,
 }
 SQL = {
     "op2_line_dedup": lines.OP2_SQL,
