@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, lines, pages, pii, quality, secrets, sketches, urls
+from . import bpe, decontam, lines, pages, pii, quality, secrets, similar, sketches, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_personal_data": pii.op4_personal_data,
     "op5_fingerprints": sketches.op5_fingerprints,
+    "op6_jaccard_join": similar.op6_jaccard_join,
     "op7_main_text": pages.op7_main_text,
     "op8_bpe": bpe.op8_bpe,
     "op9_url_filter": urls.op9_url_filter,
