@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch sent to a Python worker. Bounds a worker's memory when texts are long.
+#: Rows and bytes in one Arrow batch sent to a Python worker. Bounds a worker's memory when texts are long.
 BATCH_ROWS = "500"
+BATCH_BYTES = str(32 << 20)
 
 #: Words in a shingle and the least similarity of near duplicates, where a contract says nothing else.
 SHINGLE_WORDS = 5
@@ -22,8 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a batch of very long texts fits a worker."""
+    """Keep Arrow batches small, so that a batch of very long texts fits a worker, and let local workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,16 +1,17 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Documents are sets of five-word shingles (lower case, white space between words; fewer words make one shingle). Equal sets
-are copies and go on as one node. Nodes get HASHES MinHash values. BANDS groups of ROWS values are buckets; a pair of similarity 0.8 shares
-none with a chance of 1.4e-7. Candidates of a bucket are compared by their MinHash values, STEP at a time, and dropped
-as soon as the posterior probability (uniform prior) that they reach the threshold falls below TOLERANCE. What stays is
-verified exactly on the shingle sets.
-
-A bucket of more than SMALL nodes isn't expanded into pairs. Its least node is the pivot, and all others are compared with it. As 1 - Jaccard is a
-metric, a node linked to the pivot at distance d can only reach an unlinked one at distance e if e - d is within 1 - threshold;
-linked nodes closer than that to the pivot are settled, the rest forms the bucket again for another pivot. What is left
-after ROUNDS pivots is compared pair by pair. So no link between classes is lost, and a group of near copies costs a few
-comparisons for each member. Classes are the connected components of the links.
+are copies and go on as one node. Nodes get MinHash values. BANDS groups of ROWS values are buckets; a pair of similarity 0.8 shares
+none with a chance below 1e-6. Candidates are compared by COMPARED MinHash values, STEP at a time, and dropped as soon as the
+posterior probability (uniform prior) that they reach the threshold falls below TOLERANCE. What stays is verified exactly
+on the shingle sets.
+
+Buckets aren't expanded into pairs. First they are cut into neighbourhoods that no link crosses: in each bucket all nodes are compared with
+a pivot. With 1 - Jaccard as the distance d and links at d <= r, a node linked to one within r of the pivot is within 2 r of it.
+So nodes that may be within 2 r join the pivot's neighbourhood, nodes that are surely within r are settled, and the others
+try the bucket's next pivot; after ROUNDS pivots what is left joins one neighbourhood. Each neighbourhood is dealt out in blocks, and
+a task compares two blocks at a time in numpy. It returns the number of links of every node and links that connect the same nodes,
+never the pairs themselves. Classes are the connected components.
 
 Defined cases: null text is empty; a document without words is a class of its own without links; rows that repeat id and text are the same
 document; one id with several texts is several documents with that id; null ids are kept; texts are read whole; an empty table gives
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import NEAR, SHINGLE_WORDS, bounded_batches, broadcast_if_small, staged, table, text_or_empty, unstage
 
-HASHES, BANDS, ROWS = 128, 30, 4
-STEP = 16
+HASHES, BANDS, ROWS = 180, 36, 5
+COMPARED, STEP = 128, 16
 TOLERANCE = 1e-6
-SMALL = 8
-ROUNDS = 4
+ROUNDS = 3
+BLOCK_NODES, BLOCK_BYTES = 256, 1 << 21
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -96,17 +97,27 @@ def _agreement(similarity: float) -> float:
 def least_matches(threshold: float) -> tuple[int, ...]:
     """For each number of compared values STEP, 2 STEP, ...: with fewer matches a pair is dropped."""
     p = _agreement(threshold)
-    return tuple(next(m for m in range(n + 1) if _posterior(m, n, p) >= TOLERANCE) for n in range(STEP, HASHES + 1, STEP))
+    return tuple(next(m for m in range(n + 1) if _posterior(m, n, p) >= TOLERANCE) for n in range(STEP, COMPARED + 1, STEP))
 
 
 @lru_cache(None)
-def greatest_similarity(matches: int) -> float:
-    """Similarity that a pair with so many matches of HASHES exceeds with probability TOLERANCE only."""
-    lo, hi = 0.0, 1.0
-    for _ in range(30):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _posterior(matches, HASHES, _agreement(mid)) >= TOLERANCE else (lo, mid)
-    return hi
+def sure_matches(threshold: float) -> int:
+    """With so many matches of COMPARED a pair falls short of the threshold with probability TOLERANCE at most."""
+    return next((m for m in range(COMPARED + 1) if 1 - _posterior(m, COMPARED, _agreement(threshold)) <= TOLERANCE), COMPARED + 1)
+
+
+def survivors(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows of a and b (bytes of MinHash values) stay, and how many of the compared values matched."""
+    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
+    for i, m in enumerate(least_matches(threshold)):
+        part = slice(i * STEP, (i + 1) * STEP)
+        matches[alive] += (a[alive, part] == b[alive, part]).sum(1)
+        alive = alive[matches[alive] >= m]
+        if not len(alive):
+            break
+    stays = np.zeros(len(a), bool)
+    stays[alive] = True
+    return stays, matches
 
 
 PRINT = "n int, key binary, sig binary, bands array<long>"
@@ -119,7 +130,7 @@ def _prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             s = shingle_set(t)
             if len(s):
                 v = minhashes(s)
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), (v & np.uint32(255)).astype(np.uint8).tobytes(), bands(v).tolist()))
+                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), (v[:COMPARED] & np.uint32(255)).astype(np.uint8).tobytes(), bands(v).tolist()))
             else:
                 rows.append((0, None, None, None))
         yield pd.DataFrame(rows, columns=["n", "key", "sig", "bands"])
@@ -130,107 +141,162 @@ def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
 
 
-def _prune(threshold: float):
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        least = least_matches(threshold)
-        for xs, ys, wide in batches:
-            n = len(xs)
-            a = np.frombuffer(b"".join(xs), np.uint8).reshape(n, HASHES)
-            b = np.frombuffer(b"".join(ys), np.uint8).reshape(n, HASHES)
-            alive, matches = np.arange(n), np.zeros(n, np.int64)
-            for i, m in enumerate(least):
-                part = slice(i * STEP, (i + 1) * STEP)
-                matches[alive] += (a[alive, part] == b[alive, part]).sum(1)
-                alive = alive[matches[alive] >= m]
-                if not len(alive):
-                    break
-            stays = np.zeros(n, bool)
-            stays[alive] = True
-            least_distance = np.zeros(n)
-            # pairs with a pivot need a bound on the distance; the other values serve that only
-            for k in np.flatnonzero(~stays & wide.to_numpy(bool)):
-                least_distance[k] = 1 - greatest_similarity(int((a[k] == b[k]).sum()))
-            yield pd.DataFrame({"stays": stays, "lo": least_distance})
-
-    return run
-
-
-def _exact(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for xs, ys in batches:
-        out = []
-        for x, y in zip(xs, ys):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(both / (len(a) + len(b) - both))
-        yield pd.Series(out, dtype=float)
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """x, y, linked, lo, hi of pairs (x < y, wide): bounds of the distance, equal where it was computed exactly."""
-    side = lambda df, n, c: df.select(F.col("node").alias(n), F.col(c).alias(f"_{n}"))
-    sig = pairs.join(side(nodes, "x", "sig"), "x").join(side(nodes, "y", "sig"), "y")
-    judged = staged(sig.select("x", "y", F.pandas_udf(_prune(threshold), "stays boolean, lo double")("_x", "_y", "wide").alias("p")).select("x", "y", "p.*"), "pruned")
-    full = judged.filter("stays").select("x", "y").join(side(sets, "x", "hashes"), "x").join(side(sets, "y", "hashes"), "y")
-    similar = full.select("x", "y", F.pandas_udf(_exact, "double")("_x", "_y").alias("j"))
-    exact = similar.select("x", "y", (F.col("j") >= threshold).alias("linked"), (1 - F.col("j")).alias("lo"), (1 - F.col("j")).alias("hi"))
-    out = staged(exact.unionByName(judged.filter("not stays").select("x", "y", F.lit(False).alias("linked"), "lo", F.lit(1.0).alias("hi"))), "verified")
-    unstage(judged)
-    return out
-
-
-def _pairs(a: Column, b: Column, wide: bool) -> list[Column]:
-    return [F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), F.lit(wide).alias("wide")]
+def _beside_pivot(threshold: float):
+    wide = 2 * threshold - 1  # twice the distance
 
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for xs, ys in batches:
+            a, b = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), COMPARED) for v in (xs, ys))
+            near, matches = survivors(a, b, wide)
+            yield pd.DataFrame({"near": near, "settled": near & (matches >= sure_matches(threshold))})
 
-def _within(df: DataFrame) -> DataFrame:
-    """All pairs of the nodes of small buckets."""
-    lists = df.groupBy("bucket").agg(F.sort_array(F.collect_set("node")).alias("all"))
-    firsts = lists.select("all", F.posexplode("all").alias("i", "a"))
-    return firsts.select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b")).select(*_pairs(F.col("a"), F.col("b"), False))
+    return run
 
 
-def links(nodes: DataFrame, members: DataFrame, sets: DataFrame, threshold: float = NEAR) -> DataFrame:
-    """Verified links (x, y) of members (bucket, node): enough to connect all that the buckets' similar pairs connect."""
+def neighbourhoods(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Edges (x, y): every two linked nodes that share a bucket are connected by them."""
     found, alive = [], members
+    sig = nodes.select("node", "sig")
     for round_ in range(ROUNDS + 1):
-        sizes = alive.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1")
-        sized = staged(alive.join(sizes, "bucket"), "sized")
-        large = sized.filter((F.col("n") > SMALL) & (F.col("node") != F.col("pivot")))
-        if round_ < ROUNDS:
-            far = large.select(*_pairs(F.col("pivot"), F.col("node"), True))
-        else:
-            other = sized.filter(F.col("n") > SMALL).select("bucket", F.col("node").alias("other"))
-            far = sized.filter(F.col("n") > SMALL).join(other, "bucket").filter("node < other").select(*_pairs(F.col("node"), F.col("other"), False))
-        pairs = _within(sized.filter(F.col("n") <= SMALL)).unionByName(far).groupBy("x", "y").agg(F.max("wide").alias("wide"))
-        checked = verified(pairs, nodes, sets, threshold)
-        found.append(checked.filter("linked").select("x", "y"))
-        if round_ == ROUNDS or large.isEmpty():
+        # the node with most company in its buckets leads, so that many buckets have the same pivot and few pairs differ
+        sizes = alive.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("company", "node")).alias("lead")).filter("n > 1")
+        rows = alive.join(sizes.select("bucket", F.col("lead.node").alias("pivot")), "bucket").filter("node != pivot")
+        if round_ == ROUNDS:
+            found.append(rows.select(F.col("pivot").alias("x"), F.col("node").alias("y")))
             break
-        seen = large.select("bucket", "node", F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y")).join(checked, ["x", "y"])
-        reach = seen.filter("not linked").groupBy("bucket").agg((F.min("lo") - (1 - threshold)).alias("reach"))
-        alive = staged(seen.join(reach, "bucket").filter((~F.col("linked")) | (F.col("hi") >= F.col("reach") - 1e-9)).select("bucket", "node"), "alive")
+        rows = staged(rows, "beside")
+        pairs = rows.select("pivot", "node").distinct()
+        both = pairs.join(sig.toDF("pivot", "_p"), "pivot").join(sig.toDF("node", "_n"), "node")
+        judged = staged(both.select("pivot", "node", F.pandas_udf(_beside_pivot(threshold), "near boolean, settled boolean")("_p", "_n").alias("j")).select("pivot", "node", "j.*"), "judged")
+        found.append(judged.filter("near").select(F.col("pivot").alias("x"), F.col("node").alias("y")))
+        alive = staged(rows.join(judged.filter("not settled"), ["pivot", "node"]).select("bucket", "node", "company"), "alive")
+        unstage(rows)
         if alive.isEmpty():
             break
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return staged(out.distinct(), "links")
+    # a node and its pivots as a path: most nodes share their pivots, so few edges are left
+    paths = out.groupBy("y").agg(F.sort_array(F.collect_set("x")).alias("p")).withColumn("p", F.concat(F.array("y"), "p"))
+    steps = F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("x"), F.slice("p", F.lit(2), F.size("p") - 1).alias("y"))
+    return staged(paths.select(F.explode(steps).alias("e")).select("e.x", "e.y").distinct(), "near")
+
+
+def _intersections(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of a[i] and b[j]."""
+    if len(i) < 64:
+        return np.array([len(np.intersect1d(a[x], b[y], assume_unique=True)) for x, y in zip(i, j)], np.int64)
+    owner = np.concatenate([np.full(len(s), k) for k, s in enumerate([*a, *b])])
+    _, code = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    total = np.zeros((len(a), len(b)), np.float32)
+    step = 4096
+    for lo in range(0, int(code[-1]) + 1, step):
+        s, e = np.searchsorted(code, (lo, lo + step))
+        has = np.zeros((len(a) + len(b), step), np.float32)
+        has[owner[s:e], code[s:e] - lo] = 1
+        total += has[: len(a)] @ has[len(a) :].T
+    return total[i, j].astype(np.int64)
+
+
+def compare_blocks(a: list[dict], b: list[dict] | None, threshold: float) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Links that connect what the linked pairs of two blocks (of one block if b is None) connect, and each node's linked documents."""
+    own, b = b is None, a if b is None else b
+    sig = [np.frombuffer(b"".join(x["sig"] for x in v), np.uint8).reshape(len(v), COMPARED) for v in (a, b)]
+    sets = [[np.frombuffer(x["hashes"], np.uint64) for x in v] for v in (a, b)]
+    n, counts, links, parent = (len(a), len(b)), {}, [], {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for lo in range(0, n[0], 32):  # 32 rows of pairs at once
+        i, j = np.divmod(np.arange(lo * n[1], min(n[0], lo + 32) * n[1]), n[1])
+        if own:
+            i, j = i[i < j], j[i < j]
+        stays, _ = survivors(sig[0][i], sig[1][j], threshold)
+        i, j = i[stays], j[stays]
+        if not len(i):
+            continue
+        rows = sets[0][lo : lo + 32]
+        both = _intersections(rows, sets[1], i - lo, j)
+        size = [np.array([len(s) for s in v]) for v in sets]
+        linked = both >= threshold * (size[0][i] + size[1][j] - both) - 1e-9
+        for x, y in zip(i[linked].tolist(), j[linked].tolist()):
+            p, q = a[x], b[y]
+            counts[p["node"]] = counts.get(p["node"], 0) + q["copies"]
+            counts[q["node"]] = counts.get(q["node"], 0) + p["copies"]
+            r, s = root(p["node"]), root(q["node"])
+            if r != s:
+                parent[r] = s
+                links.append((p["node"], q["node"]))
+    return links, counts
+
+
+FOUND = "links array<struct<x: long, y: long>>, counts array<struct<node: long, n: long>>"
+
+
+def _compared(threshold: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for a, b in zip(rows["a"], rows["b"]):
+                links, counts = compare_blocks(list(a), None if b is None else list(b), threshold)
+                out.append(([{"x": x, "y": y} for x, y in links], [{"node": k, "n": v} for k, v in counts.items()]))
+            yield pd.DataFrame(out, columns=["links", "counts"])
+
+    return run
+
+
+def links(hoods: DataFrame, sets: DataFrame, threshold: float = NEAR) -> tuple[DataFrame, DataFrame]:
+    """(x, y) links that connect each class, and (node, linked) counts. hoods: node, root. sets: node, copies, sig, hashes."""
+    rows = sets.join(hoods, "node")
+    size = hoods.join(sets.select("node", F.length("hashes").alias("b")), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
+    blocks = size.select("root", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("b") / BLOCK_BYTES)).alias("blocks"))
+    dealt = rows.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")))
+    packed = staged(dealt.groupBy("root", "block", "blocks").agg(F.collect_list(F.struct("node", "copies", "sig", "hashes")).alias("a")), "blocks")
+    own = packed.select("a", F.lit(None).cast(packed.schema["a"].dataType).alias("b"))
+    many = packed.filter("blocks > 1")
+    left = many.filter("block < blocks - 1").select("root", "a", F.col("block").alias("lo"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("hi"))
+    right = many.filter("block > 0").select("root", F.col("a").alias("b"), F.col("block").alias("hi"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1)).alias("lo"))
+    cross = left.join(right, ["root", "lo", "hi"]).select("a", "b")
+    found = staged(own.unionByName(cross).mapInPandas(_compared(threshold), FOUND), "compared")
+    edges = staged(found.select(F.explode("links").alias("l")).select("l.x", "l.y").distinct(), "links")
+    return edges, found.select(F.explode("counts").alias("c")).groupBy(F.col("c.node").alias("node")).agg(F.sum("c.n").alias("linked"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (x, y): root is the least node that it is connected to."""
-    both = staged(edges.select("x", "y").union(edges.select("y", "x")).toDF("a", "b").distinct(), "edges")
-    roots = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"), "roots")
-    while True:
-        offered = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("offer"))
-        jumped = roots.join(roots.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
-        new = jumped.join(offered, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "next", "offer").alias("root"))
-        new = staged(new, "roots")
-        changed = not new.filter("root < old").isEmpty()
-        unstage(roots)
-        roots = new
-        if not changed:
-            return roots.select("node", "root")
+    """(node, root) for every node of edges (x, y): nodes have the same root if and only if they are connected.
+
+    Every node points to its least neighbour, pointers are followed to their ends, and each tree becomes one node of a smaller
+    graph, until no edge is left.
+    """
+    edges = staged(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct(), "edges")
+    whole = None
+    while whole is None or not edges.isEmpty():
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
+        points = staged(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("root")), "points")
+        while True:
+            after = points.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            jumped = staged(points.join(after, "root").select("node", F.col("root").alias("old"), F.col("next").alias("root")), "points")
+            unstage(points)
+            points, moved = jumped.select("node", "root"), not jumped.filter("old <> root").isEmpty()
+            points._staged_path = jumped._staged_path
+            if not moved:
+                break
+        at = lambda end: points.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+        left = edges.join(at("a"), "a").join(at("b"), "b").filter("ra <> rb")
+        smaller = staged(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        unstage(edges)
+        edges = smaller
+        if whole is None:
+            whole = points
+        else:
+            onward = points.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            whole = staged(whole.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+    return whole
 
 
 def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = NEAR) -> DataFrame:
@@ -244,20 +310,22 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(key).alias("id"), body.alias("text"))
     prints = staged(rows.select("id", F.xxhash64("text").alias("tie"), F.pandas_udf(_prints, PRINT)("text").alias("p")).select("id", "tie", "p.*"), "prints")
     rank = F.struct(F.col("id").isNotNull(), "id", "tie")
-    own = prints.filter("n > 0").groupBy("key").agg(F.min(rank).alias("least"), F.count_distinct("id", "tie").alias("copies"))
+    own = prints.filter("n > 0").groupBy("key").agg(F.min(rank).alias("least"), F.count_distinct(F.struct("id", "tie")).alias("copies"))
     own = staged(own.select(F.xxhash64(F.lit(3), "key").alias("node"), "key", F.col("least.id").alias("id"), F.col("least.tie").alias("tie"), "copies"), "own")
     # equal keys are equal sets, so any row of a key stands for the node
     nodes = staged(prints.join(own.select("node", "key", F.col("id").alias("i"), F.col("tie").alias("t")), "key").filter(F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t"))).select("node", "id", "tie", "sig", "bands").dropDuplicates(["node"]), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = staged(banded.join(shared, "bucket"), "members")
-    needed = staged(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "id", "tie"), "needed")
+    members = staged(members.join(members.groupBy("node").agg(F.sum("n").alias("company")), "node").select("bucket", "node", "company"), "company")
+    hoods = components(neighbourhoods(nodes, members, threshold))
+    needed = staged(nodes.join(hoods.select("node"), "node", "left_semi").select("node", "id", "tie"), "needed")
     wanted = broadcast_if_small(needed.select("node", F.col("id").alias("i"), F.col("tie").alias("t")), needed.count(), 48)
     texts = rows.withColumn("tie", F.xxhash64("text")).join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t"))).select("node", "text")
-    sets = staged(texts.select("node", F.pandas_udf(_sets, "binary")("text").alias("hashes")).dropDuplicates(["node"]), "sets")
-    edges = links(nodes, members, sets, threshold)
+    sets = texts.select("node", F.pandas_udf(_sets, "binary")("text").alias("hashes")).dropDuplicates(["node"])
+    sets = staged(sets.join(nodes.select("node", "sig"), "node").join(own.select("node", "copies"), "node"), "sets")
+    edges, degree = links(hoods, sets, threshold)
     roots = components(edges)
-    degree = edges.select("x", "y").union(edges.select("y", "x")).toDF("node", "other").join(own.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("linked"))
     known = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(degree, "node", "left")
     known = staged(known.select("key", "root", "id", "tie", "copies", F.coalesce("linked", F.lit(0)).alias("linked")), "known")
     classes = known.groupBy("root").agg(F.min(rank).alias("least"), F.sum("copies").alias("class_size"))
