@@ -173,7 +173,7 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     labels = near.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     for i in range(rounds):
         seen = near.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.count("*").alias("n"))
-        labels = seen.groupBy("node").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("m")).select("node", (-F.col("m.l")).alias("label"))
+        labels = seen.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select("node", "m.label")
         if i % 7 == 6:
             labels = staged(labels, "labels")
     return by_size(labels.withColumnRenamed("label", "community"))

@@ -104,3 +104,91 @@ def ancestors(nodes: DataFrame, key: str = "doc", depth: int = 6) -> DataFrame:
     for _ in range(depth - 1):
         out = out.join(look, [key, "_p"], "left").select(key, "ord", F.col("_n").alias("_p"), F.when(F.col("_t").isNotNull(), F.concat(F.array("_t"), "path")).otherwise(F.col("path")).alias("path"))
     return out.drop("_p")
+
+
+# ---- parts of trees that are packed in order -------------------------------------------------------------------------
+
+
+def paginate(rows: DataFrame, text: str, size: int, key: str = "doc", overlap: int = 0) -> DataFrame:
+    """key, page, first, last: rows (key, ord) packed in order into pages of at most ``size`` characters; a page repeats the last ``overlap`` rows of the one before.
+
+    The packing of one document is a fold over its rows; only lengths go in.
+    """
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for doc, own in part.sort_values([key, "ord"]).groupby(key, sort=False):
+            ords, lengths, start, held = own["ord"].tolist(), own["n"].tolist(), 0, 0
+            pages = []
+            for i, n in enumerate(lengths):
+                if i > start and held + n > size:
+                    pages.append((start, i - 1))
+                    start = max(start + 1, i - overlap)
+                    held = sum(lengths[start:i])
+                held += n
+            pages.append((start, len(ords) - 1))
+            out += [(doc, p, ords[a], ords[b]) for p, (a, b) in enumerate(pages)]
+        return pd.DataFrame(out, columns=[key, "page", "first", "last"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    dealt = rows.select(key, "ord", F.length(text).alias("n")).withColumn("_g", F.pmod(F.xxhash64(key), F.lit(64)))
+    return dealt.groupBy("_g").applyInPandas(lambda p: fold(p.drop(columns="_g")), f"{key} {kind}, page int, first int, last int")
+
+
+def from_codes(rows: DataFrame, key: str = "doc") -> DataFrame:
+    """Adds parent_code to rows with dotted codes ('1.2.3'): the code without its last part where that exists, else null."""
+    up = F.when(F.col("code").contains("."), F.regexp_replace("code", r"\.[^.]*$", ""))
+    codes = rows.select(key, F.col("code").alias("_c")).distinct()
+    out = rows.withColumn("_u", up).join(codes.withColumnRenamed("_c", "_u").withColumn("_has", F.lit(True)), [key, "_u"], "left")
+    return out.withColumn("parent_code", F.when(F.col("_has"), F.col("_u"))).drop("_u", "_has")
+
+
+def with_preface(nodes: DataFrame, key: str = "doc") -> DataFrame:
+    """A node titled Preface (ord -1) for the pages before a document's first heading."""
+    first = nodes.groupBy(key).agg(F.min("start").alias("s")).filter("s > 1")
+    return nodes.select(key, "ord", "title", "start", "end").unionByName(first.select(key, F.lit(-1).alias("ord"), F.lit("Preface").alias("title"), F.lit(1).alias("start"), (F.col("s") - 1).alias("end")))
+
+
+def covering_ranges(nodes: DataFrame, key: str = "doc", depth: int = 6) -> DataFrame:
+    """key, ord, start, end widened to all descendants: six levels are the most, so six steps upward are enough."""
+    spans = nodes.select(key, "ord", "parent", "start", "end")
+    up, out = spans, spans.select(key, "ord", "start", "end")
+    for _ in range(depth - 1):
+        up = up.filter("parent is not null").select(key, F.col("parent").alias("ord"), "start", "end").join(nodes.select(key, "ord", "parent"), [key, "ord"])
+        out = out.unionByName(up.select(key, "ord", "start", "end"))
+    return out.groupBy(key, "ord").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+def own_pages(nodes: DataFrame, key: str = "doc") -> DataFrame:
+    """key, ord, first, last: a node's pages up to its first child's start; last < first where a child opens it."""
+    child = nodes.filter("parent is not null").groupBy(key, F.col("parent").alias("ord")).agg(F.min("start").alias("c"))
+    return nodes.join(child, [key, "ord"], "left").select(key, "ord", F.col("start").alias("first"), F.coalesce(F.col("c") - 1, F.col("end")).alias("last"))
+
+
+def frontier_cost(frontier: DataFrame, key: str = "doc") -> DataFrame:
+    """key, worst, expected of frontier nodes (depth, pages): routing to the depth, then reading; weighted by pages for the mean."""
+    worst = F.max(ROUTING * F.col("depth") + F.col("pages"))
+    mean = F.sum(F.col("pages") * (ROUTING * F.col("depth") + (F.col("pages") + 1) / 2)) / F.sum("pages")
+    return frontier.groupBy(key).agg(worst.alias("worst"), mean.alias("expected"))
+
+
+def thin(nodes: DataFrame, least: int, key: str = "doc") -> DataFrame:
+    """key, ord, into: nodes whose subtree holds fewer than ``least`` words go into their nearest ancestor that stays. nodes: key, ord, parent, words."""
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([key, "ord"])
+        total: dict = {}
+        rows = list(zip(part[key], part["ord"], part["parent"], part["words"]))
+        for doc, o, p, w in reversed(rows):
+            total[doc, o] = total.get((doc, o), 0) + w
+            if p == p:
+                total[doc, int(p)] = total.get((doc, int(p)), 0) + total[doc, o]
+        into: dict = {}
+        for doc, o, p, _ in rows:
+            root = not p == p
+            into[doc, o] = o if root or (into[doc, int(p)] == int(p) and total[doc, int(p)] >= least and total[doc, o] >= least) else into[doc, int(p)]
+        return pd.DataFrame({key: [r[0] for r in rows], "ord": [r[1] for r in rows], "into": [into[r[0], r[1]] for r in rows]})
+
+    kind = nodes.schema[key].dataType.simpleString()
+    dealt = nodes.select(key, "ord", "parent", "words").withColumn("_g", F.pmod(F.xxhash64(key), F.lit(64)))
+    return dealt.groupBy("_g").applyInPandas(lambda p: fold(p.drop(columns="_g")), f"{key} {kind}, ord int, into int")
