@@ -18,5 +18,6 @@ QUERIES = {
 }
 SQL = {
     "op2_line_dedup": lines.OP2_SQL,
+    "op6_jaccard_join": similar.OP6_SQL,
     "op9_url_filter": urls.OP9_SQL,
 }

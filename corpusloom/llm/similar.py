@@ -350,3 +350,20 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents")).drop("first", "_tie")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+k AS MATERIALIZED (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS key FROM s),
+u AS MATERIALIZED (SELECT min(doc_id) AS node, count(*) AS copies, key, min(n) AS n FROM k WHERE n > 0 GROUP BY key),
+x AS MATERIALIZED (SELECT node, n, unnest(s) AS g FROM u JOIN s ON node = doc_id),
+e AS MATERIALIZED (SELECT a, b FROM (SELECT a.node AS a, b.node AS b, count(*) AS c, min(a.n) AS na, min(b.n) AS nb FROM x a JOIN x b ON a.g = b.g AND a.node < b.node GROUP BY a.node, b.node) WHERE c >= 0.8 * (na + nb - c)),
+d AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT node, node AS other FROM u UNION SELECT r.node, d.b FROM r JOIN d ON r.other = d.a),
+c AS (SELECT node, min(other) AS root FROM r GROUP BY node),
+l AS (SELECT d.a AS node, sum(copies) AS linked FROM d JOIN u ON d.b = u.node GROUP BY d.a),
+z AS (SELECT root, sum(copies) AS size FROM c JOIN u USING (node) GROUP BY root)
+SELECT k.doc_id AS doc_id, coalesce(root, k.doc_id) AS class_id, CAST(coalesce(size, 1) AS BIGINT) AS class_size, CAST(coalesce(copies - 1 + coalesce(linked, 0), 0) AS BIGINT) AS n_links
+FROM k LEFT JOIN u ON k.key = u.key AND k.n > 0 LEFT JOIN c ON u.node = c.node LEFT JOIN z USING (root) LEFT JOIN l ON u.node = l.node
+"""
