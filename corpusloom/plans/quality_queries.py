@@ -168,7 +168,7 @@ def tier_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT l_orderkey AS id, ['' || l_suppkey, 's' || (l_suppkey % 7)] AS cited, ['' || l_suppkey] AS expected, l_linenumber AS n_claims, l_linenumber % 3 AS n_unresolved, l_quantity < 10 AS refusal_expected,
   CASE WHEN l_quantity < 8 THEN 'There is No literature supporting this' ELSE 'Yes' END AS answer, l_partkey, l_extendedprice FROM lineitem)
-SELECT id, l_partkey, l_extendedprice, round(CASE WHEN n_claims > 0 THEN n_unresolved / n_claims END, 6) AS hallucination, CASE WHEN NOT refusal_expected THEN 0.5 END AS citation_accuracy, regexp_matches(lower(answer), 'no literature supporting') = refusal_expected AS refusal_ok FROM a""")
+SELECT id, l_partkey, l_extendedprice, round(CASE WHEN n_claims > 0 THEN n_unresolved / n_claims END, 6) AS hallucination, CASE WHEN NOT refusal_expected THEN CAST(0.5 AS DOUBLE) END AS citation_accuracy, regexp_matches(lower(answer), 'no literature supporting') = refusal_expected AS refusal_ok FROM a""")
 def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faithfulness of a made-up answer for every order line."""
     line = read(spark, sf_dir, "lineitem")
