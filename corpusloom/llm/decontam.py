@@ -25,7 +25,7 @@ from .sketches import bound
 BLOCKS, BLOCK_BITS = 8, 8
 RADIUS = 23  # at most 2 differing bits in some block
 SLACK = (-2, -1, 0, 1, 2)  # words beside the aligned window
-LANE = 0x0001000100010001  # four 16-bit counters in a long
+LANES = 0x0000000100000001  # two 32-bit counters in a long
 
 
 def words_of(text: Column) -> Column:
@@ -41,23 +41,19 @@ def shingles(text: Column) -> Column:
     return bound(hashes, runs)
 
 
-def simhash(hashes: Column) -> Column:
-    """64 bits: each is set if most of the hashes, repeats counted, have it. Counters are 16 bits wide."""
-    zero = F.lit(0).cast("long")
-    add = lambda j: lambda a, x: a + F.shiftrightunsigned(x, j).bitwiseAND(F.lit(LANE))
-    lanes = [F.aggregate(hashes, zero, add(j)) for j in range(16)]
-    size = F.size(hashes)
+def with_simhash(rows: DataFrame, by: list[str], hashes: str = "sh") -> DataFrame:
+    """by and fp, 64 bits: each is set if most of the row's hashes, repeats counted, have it.
 
-    def bits(s: Column) -> Column:
-        out = zero
-        for j in range(16):
-            lane = F.element_at(s, j + 1)
-            for k in range(4):
-                count = F.shiftrightunsigned(lane, 16 * k).bitwiseAND(F.lit(0xFFFF))
-                out = out.bitwiseOR(F.when(count * 2 > size, F.shiftleft(F.lit(1).cast("long"), 16 * k + j)).otherwise(zero))
-        return out
-
-    return bound(F.array(*lanes), bits)
+    A long holds two counters of 32 bits, so 32 sums count all bits. Twice a count plus 2^30 - 1 - n reaches 2^30 just where the
+    count is over n / 2, which sets bit 30 of its counter.
+    """
+    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(LANES))).alias(f"s{j}") for j in range(32)]
+    counted = rows.select(*by, F.explode(hashes).alias("h")).groupBy(*by).agg(F.count("*").alias("_n"), *sums)
+    fp = F.lit(0).cast("long")
+    for j in range(32):
+        most = F.shiftrightunsigned(F.col(f"s{j}") * 2 + (F.lit((1 << 30) - 1) - F.col("_n")) * LANES, 30).bitwiseAND(F.lit(LANES))
+        fp = fp.bitwiseOR(F.shiftleft(most, j))
+    return counted.select(*by, fp.alias("fp"))
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
@@ -91,20 +87,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str
     laid = hits.select("_id", "_tie", "m", "n", "pos", "at").withColumn("slack", F.explode(F.array(*[F.lit(s) for s in SLACK])))
     laid = laid.select("_id", "_tie", start.alias("start"), "n").distinct()
     wanted = laid.groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "n")).alias("at")).withColumnRenamed("_id", "_i").withColumnRenamed("_tie", "_t")
-    marked = rows.distinct().join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t")))
-    cut = marked.select("_id", "_tie", shingles(F.col("_text")).alias("sh"), "at").select("_id", "_tie", F.explode("at").alias("w"), "sh")
-    cut = cut.select("_id", "_tie", "w.start", "w.n", F.slice("sh", F.col("w.start") + 1, F.col("w.n")).alias("sh"))
-    windows = staged(cut.withColumn("fp", simhash(F.col("sh"))), "windows")
-    known = staged(bench.withColumn("fp", simhash(F.col("sh"))), "items")
-    index = known.select("item_id", "n", F.col("fp").alias("item_fp"), F.explode(block_values(F.col("fp"))).alias("b"))
+    marked = rows.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t")))
+    # a window takes its own shingles along, never the document's
+    window = lambda sh: lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), F.slice(sh, w["start"] + 1, w["n"]).alias("sh"))
+    cut = marked.select("_id", "_tie", F.explode(bound(shingles(F.col("_text")), lambda sh: F.transform("at", window(sh)))).alias("w")).select("_id", "_tie", "w.*")
+    at = ["_id", "_tie", "start", "n"]
+    windows = staged(cut.groupBy(*at).agg(F.first("sh").alias("sh")), "windows")  # repeated documents have the same windows
+    prints = with_simhash(windows, at)
+    known = staged(bench.withColumn("_k", F.monotonically_increasing_id()), "items")
+    index = with_simhash(known, ["_k", "item_id", "n"]).select("_k", "item_id", "n", F.col("fp").alias("item_fp"), F.explode(block_values(F.col("fp"))).alias("b"))
     index = index.withColumn("mask", F.explode(F.array(*[F.lit(p).cast("long") for p in probes()])))
-    index = index.select("item_id", "n", "item_fp", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"))
-    index = broadcast_if_small(index, (size["c"] or 0) * BLOCKS * len(probes()), 56)
-    looked = windows.select("_id", "_tie", "start", "n", "fp", F.explode(block_values(F.col("fp"))).alias("b")).select("*", F.col("b.block").alias("block"), F.col("b.value").alias("value")).drop("b")
+    index = index.select("_k", "item_id", "n", "item_fp", F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"))
+    index = broadcast_if_small(index, (size["c"] or 0) * BLOCKS * len(probes()), 64)
+    looked = prints.select(*at, "fp", F.explode(block_values(F.col("fp"))).alias("b")).select("*", F.col("b.block").alias("block"), F.col("b.value").alias("value")).drop("b")
     found = looked.join(index, ["n", "block", "value"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).filter(F.col("distance") <= RADIUS)
-    found = found.select("_id", "_tie", "start", "n", "item_id", "distance").distinct()
+    found = found.select(*at, "_k", "item_id", "distance").distinct()
     exact = found.join(windows.select(F.col("_id").alias("_i"), F.col("_tie").alias("_t"), F.col("start").alias("_s"), F.col("n").alias("_n"), "sh"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t")) & (F.col("start") == F.col("_s")) & (F.col("n") == F.col("_n")))
-    exact = exact.join(broadcast_if_small(known.select("item_id", F.col("sh").alias("item_sh")), size["s"] or 0, 16), "item_id")
+    exact = exact.join(broadcast_if_small(known.select("_k", F.col("sh").alias("item_sh")), size["s"] or 0, 16), "_k")
     exact = exact.withColumn("similarity", weighted_jaccard(F.col("item_sh"), F.col("sh"))).filter(F.col("similarity") >= least)
     best = exact.groupBy("_id", "_tie", "item_id").agg(F.count("*").alias("n_windows"), F.max(F.struct("similarity", -F.col("start"), "n", "distance")).alias("b"))
     return best.select(
