@@ -255,7 +255,10 @@ def links(hoods: DataFrame, sets: DataFrame, threshold: float = NEAR) -> tuple[D
     rows = sets.join(hoods, "node")
     size = hoods.join(sets.select("node", F.length("hashes").alias("b")), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
     blocks = size.select("root", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("b") / BLOCK_BYTES)).alias("blocks"))
-    dealt = rows.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")))
+    # only large neighbourhoods need more than one block; there are at most a node for each BLOCK_NODES or BLOCK_BYTES of them
+    large = staged(blocks.filter("blocks > 1"), "large")
+    dealt = rows.join(broadcast_if_small(large, large.count(), 24), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")))
     packed = staged(dealt.groupBy("root", "block", "blocks").agg(F.collect_list(F.struct("node", "copies", "sig", "hashes")).alias("a")), "blocks")
     own = packed.select("a", F.lit(None).cast(packed.schema["a"].dataType).alias("b"))
     many = packed.filter("blocks > 1")
