@@ -57,9 +57,13 @@ class Codec:
         self.ranks = ranks
         self.bytes_of = {str(v): k for k, v in ranks.items()}
         self.split = regex.compile(pattern).findall
-        # the rank queue: buckets of positions; a bit of ``words`` for each bucket in use, a bit of the top for each word in use
+        # the rank queue: buckets of positions; a bit of ``words`` for each bucket in use, a bit of the top for each word in use.
+        # Ranks count down from ``self.last`` there, so that the least rank is the first bit set from the top of a number
+        self.last = max(ranks.values())
+        self.order = {k: self.last - v for k, v in ranks.items()}
         self.buckets: dict[int, list[int]] = {}
-        self.words = [0] * ((max(ranks.values()) >> 8) + 1)
+        self.words = [0] * ((self.last >> 8) + 1)
+        self.bits = tuple(1 << i for i in range(max(256, len(self.words))))
         self.known = Pretokens(self.merge)
 
     @classmethod
@@ -69,15 +73,15 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. The queue is empty before and after."""
-        get = self.ranks.get
-        whole = get(piece)
+        whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        get, bit = self.order.get, self.bits
         buckets, words, top = self.buckets, self.words, 0
         n = len(piece)
         end = list(range(1, n + 1))  # where the part that starts here ends
         before = list(range(-1, n - 1))  # where the part before it starts
-        waiting = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that starts here
+        waiting = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # the pair that starts here
         waiting.append(-1)
         for i, r in enumerate(waiting):
             if r >= 0:
@@ -85,32 +89,37 @@ class Codec:
                     buckets[r].append(i)
                 else:
                     buckets[r] = [i]
-                    words[r >> 8] |= 1 << (r & 255)
-                    top |= 1 << (r >> 8)
+                    words[r >> 8] |= bit[r & 255]
+                    top |= bit[r >> 8]
         while top:
-            w = (top & -top).bit_length() - 1  # find-first-set in the top, then in its word
+            w = top.bit_length() - 1  # find-first-set in the top, then in its word
             word = words[w]
-            r = (w << 8) | ((word & -word).bit_length() - 1)
+            b = word.bit_length() - 1
+            r = (w << 8) | b
             bucket = buckets[r]
             if len(bucket) > 1:
                 i = heappop(bucket)
             else:
                 i = bucket[0]
                 del buckets[r]
-                words[w] = word = word & (word - 1)
+                words[w] = word = word ^ bit[b]
                 if not word:
-                    top &= top - 1
+                    top ^= bit[w]
             if waiting[i] != r:
                 continue  # stale
             mid = end[i]
             end[i] = stop = end[mid]
             waiting[mid] = -1
-            again = ()
             if stop < n:
                 before[stop] = i
                 waiting[i] = r = get(piece[i : end[stop]], -1)
                 if r >= 0:
-                    again = ((r, i),)
+                    if r in buckets:
+                        heappush(buckets[r], i)
+                    else:
+                        buckets[r] = [i]
+                        words[r >> 8] |= bit[r & 255]
+                        top |= bit[r >> 8]
             else:
                 waiting[i] = -1
             j = before[i]
@@ -119,14 +128,12 @@ class Codec:
                 if r != waiting[j]:
                     waiting[j] = r
                     if r >= 0:
-                        again = (*again, (r, j))
-            for r, k in again:
-                if r in buckets:
-                    heappush(buckets[r], k)
-                else:
-                    buckets[r] = [k]
-                    words[r >> 8] |= 1 << (r & 255)
-                    top |= 1 << (r >> 8)
+                        if r in buckets:
+                            heappush(buckets[r], j)
+                        else:
+                            buckets[r] = [j]
+                            words[r >> 8] |= bit[r & 255]
+                            top |= bit[r >> 8]
         out, i, ranks = [], 0, self.ranks
         while i < n:
             out.append(ranks[piece[i : end[i]]])
