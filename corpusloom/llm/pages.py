@@ -130,7 +130,7 @@ def fold(stream: list) -> list:
                 unit = stream[i : i + p]
                 j = i + p
                 first, last = unit[0], unit[-1]
-                whole = p == 1 and first == "#" or isinstance(first, str) and isinstance(last, str) and first[0] == "<" and first[1] != "/" and last == f"</{first[1:]}" and unit.count(first) == 1
+                whole = p == 1 and first == "#" or isinstance(first, str) and isinstance(last, str) and first[0] == "<" and first[1] != "/" and last == f"</{first[1:]}" and unit.count(first) == unit.count(last) == 1
                 while whole and stream[j : j + p] == unit:
                     j += p
                 if j > i + p:
@@ -144,14 +144,25 @@ def fold(stream: list) -> list:
     return stream
 
 
+def _placed(wrapper: list) -> list:
+    """((path, node), optional) for each (node, optional), path being what is open before the node."""
+    path, out = "", []
+    for node, optional in wrapper:
+        out.append(((path, node), optional))
+        if isinstance(node, str) and node[0] == "<":
+            path = path.rpartition(">")[0] if node[1] == "/" else f"{path}>{node[1:-1]}"
+    return out
+
+
 def _repeats_of(nodes: list) -> set:
-    return {n for n, _ in nodes if isinstance(n, tuple)}
+    return {n for n, _ in nodes if isinstance(n[1], tuple)}
 
 
 def _as_repeats(nodes: list, groups: set) -> list:
-    """Single stretches that equal one of the repeated groups, and groups next to themselves, become that group."""
-    for group in sorted(groups, key=lambda g: len(g[1])):
-        unit, out, i = list(group[1]), [], 0
+    """Single stretches that equal one of the repeated groups of their place, and groups next to themselves, become that group."""
+    for group in sorted(groups, key=lambda g: (len(g[1][1]), repr(g))):
+        unit, out, i = [n for n, _ in _placed([(n, False) for n in group[1][1]])], [], 0
+        unit = [(group[0] + path, node) for path, node in unit]
         while i < len(nodes):
             if [n for n, _ in nodes[i : i + len(unit)]] == unit:
                 step, optional = len(unit), any(o for _, o in nodes[i : i + len(unit)])
@@ -168,9 +179,14 @@ def _as_repeats(nodes: list, groups: set) -> list:
 
 
 def align(a: list, b: list) -> list:
-    """The wrapper that matches what either of two wrappers matches. A wrapper is a list of (node, optional)."""
+    """The wrapper that matches what either of two wrappers matches. A wrapper is a list of (node, optional).
+
+    Nodes are equal only under the same open elements. A stretch between equal nodes therefore closes all it opens (else both
+    sides would have the opening or closing tag in it, which would be equal), and optional stretches can follow one another.
+    """
     if a == b:
         return a
+    a, b = _placed(a), _placed(b)
     groups = _repeats_of(a) | _repeats_of(b)
     a, b = _as_repeats(a, groups), _as_repeats(b, groups)
     out = []
@@ -179,7 +195,7 @@ def align(a: list, b: list) -> list:
             out += [(n, o or q) for (n, o), (_, q) in zip(a[a0:a1], b[b0:b1])]
         else:
             out += [(n, True) for n, _ in a[a0:a1]] + [(n, True) for n, _ in b[b0:b1]]
-    return out
+    return [(node, o) for (_, node), o in out]
 
 
 def dumps(wrapper: list) -> str:

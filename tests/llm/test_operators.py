@@ -284,6 +284,29 @@ def test_wrappers_align():
     assert pages.loads(pages.dumps(w)) == w
 
 
+def test_every_path_of_a_host_has_a_slot():
+    rng = random.Random(5)
+    tags = ["div", "div", "section", "p", "h1 class=news", "h1 id=sport", "blockquote", "article class='post news'", "article class='post sport'"]
+
+    def page(depth):
+        return "".join("text" if rng.random() < 0.3 else f"<{t}>{page(depth - 1) if depth else 'end'}</{t.split()[0]}>" for t in rng.choices(tags, k=rng.randrange(1, 4)))
+
+    htmls = ["<div><div><div>a</div>b</div><div>a</div>b</div>", "<h2>a</h2>", "<blockquote>a</blockquote>"] + [page(3) for _ in range(60)]
+    for group in [htmls[i : i + n] for n in (1, 2, 3, 21, 63) for i in range(0, 63, n)]:
+        wrapper = []
+        for i, h in enumerate(group):
+            stream = [(n, False) for n in pages.fold(pages.blocks(h)[0])]
+            wrapper = pages.align(wrapper, stream) if i else stream
+        assert set(pages.slots(wrapper)) == {path for h in group for path, _ in pages.blocks(h)[1]}
+
+
+def test_text_of_pages_whose_tags_differ(spark):
+    rows = [(1, "http://a.org/1", "<article class='post news'><h1>A</h1><p>one</p></article>"), (2, "http://a.org/2", "<article class='post sport'><h1>B</h1><p>two</p></article>")]
+    rows += [(3, "http://b.org/1", "<article><h2>C</h2><p>x</p></article>"), (4, "http://b.org/2", "<article><blockquote>D</blockquote><p>y</p></article>")]
+    got = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "A\n\none", 2: "B\n\ntwo", 3: "C\n\nx", 4: "D\n\ny"}
+
+
 def test_large_hosts_merge_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(pages, "MERGED_AT_ONCE", 2)
     rows = [(i, "http://h.org/", "<body><article>" + f"<h2>t</h2><ul><li>{i}</li></ul>" * (i % 5) + f"<p>text {i}</p></article><footer>f</footer></body>") for i in range(20)]
