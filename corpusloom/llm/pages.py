@@ -5,7 +5,8 @@ leaves few distinct streams for a host. These are aligned one after another: equ
 side turns optional, a single stretch meets an equal repeated group as its one repeat, and texts are slots. The result, a sequence of
 tokens, optional tokens and repeated groups without unions, is the host's wrapper. Wrappers merge like streams, so that a large host is
 inferred in parts of bounded size, merged in rounds. The slots of a wrapper are then judged once for each host, by the elements around
-them, the text they hold over all its pages, and whether that text never changes; a page's blocks in content slots are its text.
+them, the text they hold over all its pages, and whether that text never changes; a page's blocks in content slots are its text. A page that has none there, as its template is another
+one, is judged by its own slots in the same way.
 
 Defined cases: null html has no text (empty string); a null url or one without :// belongs to the host with the empty name; unclosed
 tags, cut-off pages and stray angle brackets are read as browsers do; repeated rows stay repeated; an empty table gives no rows.
@@ -17,7 +18,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -251,7 +252,7 @@ def content_paths(paths: list[str], facts: dict[str, tuple[int, int, bool]]) ->
     """The slots of a wrapper that hold the article. facts: path -> (characters, pages, always the same text)."""
     left = [p for p in paths if not is_aside(p.split(">"))]
     for names in ({"article"}, {"main"}):
-        inside = [p for p in left if any(s.split(".")[0] in names or names <= set(s.split(".")[1:]) for s in p.split(">"))]
+        inside = within(left, names)
         if inside:
             return inside
     # nothing says article: drop what never changes, then keep the innermost element with most of the text
@@ -271,7 +272,25 @@ def content_paths(paths: list[str], facts: dict[str, tuple[int, int, bool]]) ->
     return [p for p in moving if p.split(">")[: len(best)] == best]
 
 
-READ = "stream string, slots array<struct<path: string, chars: long, digest: long>>"
+def within(paths: Iterable[str], names: set[str]) -> list[str]:
+    """The paths inside an element with one of these names or all of these words."""
+    return [p for p in paths if any(s.split(".")[0] in names or names <= set(s.split(".")[1:]) for s in p.split(">"))]
+
+
+def own_paths(texts: list[tuple[str, str]], content: set[str], still: set[str], beside: set[str]) -> set[str]:
+    """The slots that hold the article of one page. A page with no text in its host's is judged by its own slots.
+
+    still: slots whose text never changes on the host. beside: those of them on pages that have an article, which no page's article is.
+    """
+    facts: dict[str, tuple[int, int, bool]] = {}
+    for path, text in texts:
+        if path in content:
+            return content
+        facts[path] = (facts.get(path, (0,))[0] + len(text), 3 if path in still else 1, path in still)
+    return set(content_paths([p for p in facts if p not in beside], facts))
+
+
+READ = "stream string, slots array<struct<path: string, chars: long, digest: long, beside: boolean>>"
 
 
 def read_pages(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -283,7 +302,8 @@ def read_pages(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             by: dict[str, list[str]] = {}
             for path, text in texts:
                 by.setdefault(path, []).append(text)
-            rows.append((dumps([(n, False) for n in fold(stream)]), [{"path": p, "chars": sum(map(len, t)), "digest": xxhash.xxh64_intdigest("\n".join(t)) - (1 << 63)} for p, t in by.items()]))
+            named = [p for names in ({"article"}, {"main"}) for p in within(by, names) if not is_aside(p.split(">"))]
+            rows.append((dumps([(n, False) for n in fold(stream)]), [{"path": p, "chars": sum(map(len, t)), "digest": xxhash.xxh64_intdigest("\n".join(t)) - (1 << 63), "beside": bool(named)} for p, t in by.items()]))
         yield pd.DataFrame(rows, columns=["stream", "slots"])
 
 
@@ -310,37 +330,41 @@ def infer_wrappers(streams: DataFrame) -> DataFrame:
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        out = [content_paths(slots(loads(w)), {f["path"]: (f["chars"], f["pages"], f["same"]) for f in (facts if facts is not None else [])}) for w, facts in zip(rows["wrapper"], rows["facts"])]
-        yield pd.DataFrame({"host": rows["host"], "wrapper": [pattern(loads(w)) for w in rows["wrapper"]], "content": out})
+        all_facts = [list(facts) if facts is not None else [] for facts in rows["facts"]]
+        out = [content_paths(slots(loads(w)), {f["path"]: (f["chars"], f["pages"], f["same"]) for f in facts}) for w, facts in zip(rows["wrapper"], all_facts)]
+        still = [[f["path"] for f in facts if f["same"] and f["pages"] > 2] for facts in all_facts]
+        beside = [[f["path"] for f in facts if f["same"] and f["pages"] > 2 and f["beside"]] for facts in all_facts]
+        yield pd.DataFrame({"host": rows["host"], "wrapper": [pattern(loads(w)) for w in rows["wrapper"]], "content": out, "still": still, "beside": beside})
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as an expression, content: paths of the article's slots) of pages (host, html)."""
+    """(host, wrapper as an expression, content: paths of the article's slots, still and beside: see own_paths) of pages (host, html)."""
     seen = staged(pages.select("host", F.pandas_udf(read_pages, READ)("html").alias("p")).select("host", "p.*"), "streams")
     wrappers = infer_wrappers(seen.select("host", F.col("stream").alias("wrapper")))
     each = seen.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path")
-    facts = each.agg(F.sum("s.chars").alias("chars"), F.count("*").alias("pages"), (F.min("s.digest") == F.max("s.digest")).alias("same"))
-    facts = facts.groupBy("host").agg(F.collect_list(F.struct("path", "chars", "pages", "same")).alias("facts"))
-    return staged(wrappers.join(facts, "host", "left").mapInPandas(_judge, "host string, wrapper string, content array<string>"), "judged")
+    facts = each.agg(F.sum("s.chars").alias("chars"), F.count("*").alias("pages"), (F.min("s.digest") == F.max("s.digest")).alias("same"), F.max("s.beside").alias("beside"))
+    facts = facts.groupBy("host").agg(F.collect_list(F.struct("path", "chars", "pages", "same", "beside")).alias("facts"))
+    return staged(wrappers.join(facts, "host", "left").mapInPandas(_judge, "host string, wrapper string, content array<string>, still array<string>, beside array<string>"), "judged")
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, url, text and n_chars for every row of pages."""
     bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(key), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    wrappers = host_wrappers(rows.select("host", "html")).select("host", "content")
-    size = wrappers.agg(F.sum(F.length("host") + 64 + F.length(F.array_join("content", "")) * 2).alias("b")).first()["b"] or 0
+    wrappers = host_wrappers(rows.select("host", "html")).select("host", "content", "still", "beside")
+    size = wrappers.agg(F.sum(F.length("host") + 64 + F.length(F.array_join(F.concat("content", "still", "beside"), "")) * 2).alias("b")).first()["b"] or 0
     joined = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
 
-    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for pages, contents in batches:
+    def read(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for pages, *judged in batches:
             out = []
-            for page, content in zip(pages, contents):
-                wanted = set(content) if content is not None else set()
-                out.append("\n\n".join(text for path, text in blocks(page)[1] if path in wanted))
+            for page, *of_host in zip(pages, *judged):
+                texts = blocks(page)[1]
+                wanted = own_paths(texts, *(set(paths) if paths is not None else set() for paths in of_host))
+                out.append("\n\n".join(text for path, text in texts if path in wanted))
             yield pd.Series(out, dtype=object)
 
-    text = F.pandas_udf(read, "string")("html", "content")
+    text = F.pandas_udf(read, "string")("html", "content", "still", "beside")
     return joined.select(key, "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

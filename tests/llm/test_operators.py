@@ -307,6 +307,19 @@ def test_text_of_pages_whose_tags_differ(spark):
     assert got == {1: "A\n\none", 2: "B\n\ntwo", 3: "C\n\nx", 4: "D\n\ny"}
 
 
+def test_pages_without_the_element_of_their_host(spark):
+    menu = "<div class=brand>Brand</div>"
+    rows = [(i, "http://a.org/", f"{menu}<article><p>one {i}</p></article>") for i in range(3)]
+    rows += [(3, "http://a.org/", f"{menu}<main><p>two</p></main>"), (4, "http://a.org/", f"{menu}<div><p>three</p><p>four</p></div><div id=menu>Menu</div>"), (5, "http://a.org/", f"{menu}<article></article>")]
+    rows += [(6, None, "<article><p>five</p></article>"), (7, "odd", "<nav>Menu</nav><p>six</p>"), (8, None, "<nav>Menu</nav>")]
+    rows += [(9 + i, "http://b.org/", "<article><p>seven</p></article>" if i == 0 else "<div><p>the same</p></div>") for i in range(5)]
+    rows += [(14 + i, "http://c.org/", f"<div id=x><p>{'long ' * 40}{i}</p></div>" if i < 3 else "<div id=y><p>short</p></div>") for i in range(4)]
+    got = {r.page_id: r.text for r in pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(9)] == ["one 0", "one 1", "one 2", "two", "three\n\nfour", "", "five", "six", ""]
+    assert [got[i] for i in range(9, 14)] == ["seven"] + ["the same"] * 4
+    assert [got[i] for i in range(14, 18)] == [f"{'long ' * 40}{i}" for i in range(3)] + ["short"]
+
+
 def test_large_hosts_merge_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(pages, "MERGED_AT_ONCE", 2)
     rows = [(i, "http://h.org/", "<body><article>" + f"<h2>t</h2><ul><li>{i}</li></ul>" * (i % 5) + f"<p>text {i}</p></article><footer>f</footer></body>") for i in range(20)]
