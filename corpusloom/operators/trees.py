@@ -53,9 +53,9 @@ def residual_pages(nodes: DataFrame, key: str = "doc") -> DataFrame:
 
 
 def offset_mode(pairs: DataFrame) -> DataFrame:
-    """doc, offset, n: the commonest difference of physical and printed page, the one seen first of equals. pairs: doc, pos, printed, physical."""
+    """doc, offset, n: the commonest difference of physical and printed page, the one seen first of equals, then the least. pairs: doc, pos, printed, physical."""
     c = pairs.groupBy("doc", (F.col("physical") - F.col("printed")).alias("offset")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    w = Window.partitionBy("doc").orderBy(F.col("n").desc(), "first")
+    w = Window.partitionBy("doc").orderBy(F.col("n").desc(), "first", "offset")
     return c.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("doc", "offset", "n")
 
 

@@ -121,3 +121,9 @@ def test_tree_folds(spark):
     assert {r.ord: (r.first, r.last) for r in trees.own_pages(spans).collect()} == {0: (2, 2), 1: (3, 3), 2: (4, 9)}
     assert trees.with_preface(spans).filter("ord = -1").first()["end"] == 1
     assert [(r.ord, r.path) for r in trees.ancestors(spans).orderBy("ord").collect()][2] == (2, ["t", "t", "t"])
+
+
+def test_offset_mode_breaks_full_ties(spark):
+    rows = [(d, 1, 10, 10 + o) for d in range(40) for o in ((2, 0, 1) if d % 2 else (0, 2, 1))]
+    got = trees.offset_mode(spark.createDataFrame(rows, "doc int, pos int, printed long, physical long").repartition(4))
+    assert {r.doc: (r.offset, r.n) for r in got.collect()} == {d: (0, 1) for d in range(40)}
