@@ -252,9 +252,11 @@ def orphans(metrics: DataFrame) -> DataFrame:
     return metrics.join(F.broadcast(most)).select("node", score.alias("score"))
 
 
-def uncited_pairs(seeds: DataFrame, papers: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
-    """seed, other, shared: papers of a seed's community that share ``least`` words with it and aren't beside it. papers: node, community, tokens."""
+def uncited_pairs(seeds: DataFrame | None, papers: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
+    """seed, other, shared: papers of a seed's community that share ``least`` words with it and aren't beside it; without seeds
+    all such pairs, each once with the lesser node first. papers: node, community, tokens."""
     toks = papers.select("node", "community", F.explode("tokens").alias("t"))
-    own = toks.join(seeds.select(F.col("seed").alias("node")), "node", "left_semi").select(F.col("node").alias("seed"), "community", "t")
-    pairs = own.join(toks, ["community", "t"]).filter("node <> seed").groupBy("seed", F.col("node").alias("other")).agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    own = toks if seeds is None else toks.join(seeds.select(F.col("seed").alias("node")), "node", "left_semi")
+    own = own.select(F.col("node").alias("seed"), "community", "t")
+    pairs = own.join(toks, ["community", "t"]).filter("node > seed" if seeds is None else "node <> seed").groupBy("seed", F.col("node").alias("other")).agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
     return pairs.join(both_ways(edges).toDF("seed", "other"), ["seed", "other"], "left_anti")

@@ -127,3 +127,11 @@ def test_offset_mode_breaks_full_ties(spark):
     rows = [(d, 1, 10, 10 + o) for d in range(40) for o in ((2, 0, 1) if d % 2 else (0, 2, 1))]
     got = trees.offset_mode(spark.createDataFrame(rows, "doc int, pos int, printed long, physical long").repartition(4))
     assert {r.doc: (r.offset, r.n) for r in got.collect()} == {d: (0, 1) for d in range(40)}
+
+
+def test_uncited_pairs_of_all_papers(spark):
+    papers = [(i, i % 2, [w for w, d in (("a", 1), ("b", 2), ("c", 3), ("d", 5)) if i % d == 0]) for i in range(1, 25)]
+    cites = {(1, 3), (6, 2), (12, 24), (5, 15)}
+    got = graph.uncited_pairs(None, spark.createDataFrame(papers, "node long, community long, tokens array<string>"), spark.createDataFrame(sorted(cites), "src long, dst long"))
+    shared = {(i, j): len(set(s) & set(t)) for i, c, s in papers for j, d, t in papers if i < j and c == d and (i, j) not in cites and (j, i) not in cites}
+    assert sorted(map(tuple, got.collect())) == sorted((i, j, n) for (i, j), n in shared.items() if n >= 2)
