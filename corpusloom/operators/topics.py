@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.retrieve import top_k
+from corpusloom.operators.retrieve import _blocks, top_k
 from corpusloom.sources.staging import staged
 
 TOPIC, VECTOR, CITATION, COUPLED, LEAST = 0.40, 0.35, 0.25, 0.6, 0.05
@@ -57,19 +59,75 @@ def complete_link(pairs: list[tuple[int, int, float]], least: float) -> dict[int
     return of
 
 
-def clusters(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", by: str = "label") -> DataFrame:
-    """key, cluster: complete linkage within each partition ``by`` of bounded vocabularies; the merge is sequential by nature."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(key)
-        ids, m = rows[key].tolist(), np.array(rows[vector].tolist(), float)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        s = np.round(m @ m.T, 9)
-        i, j = np.nonzero(np.triu(s >= least, 1))
-        of = complete_link([(ids[a], ids[b], s[a, b]) for a, b in zip(i, j)], least)
-        return pd.DataFrame({key: ids, "cluster": [of.get(x, x) for x in ids]})
-
-    return vectors.select(key, vector, by).groupBy(by).applyInPandas(run, f"{key} long, cluster long")
+def _unit(vectors) -> np.ndarray:
+    m = np.array([list(v) for v in vectors], float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _similar_rows(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each row of a: its number, the rows of b that are similar enough, and how similar they are."""
+    for start in range(0, len(a), 256):
+        s = np.round(a[start : start + 256] @ b.T, 9)
+        for n, row in enumerate(s, start):
+            near = np.flatnonzero(row >= least)
+            yield n, near, row[near]
+
+
+def similar_links(vectors: DataFrame, least: float, key: str, vector: str, block: int) -> DataFrame:
+    """x, y: links between vectors that are similar enough, at most one for each row of two blocks; they connect what all such pairs connect."""
+    left, n = _blocks(vectors, key, vector, block, "l")
+    right = left.select(F.col("l").alias("r"), F.col("ids").alias("i"), F.col("vs").alias("iv"))
+    grid = left.select("l", "ids", "vs", F.explode(F.sequence(F.col("l").cast("long"), F.lit(n - 1).cast("long"))).alias("r")).join(right, "r")
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for ids, vs, i, iv in zip(rows["ids"], rows["vs"], rows["i"], rows["iv"]):
+                root, found = np.arange(len(i)), []
+                for n, near, _ in _similar_rows(_unit(vs), _unit(iv), least):
+                    roots, one = np.unique(root[near], return_index=True)
+                    found += [(ids[n], i[k]) for k in near[one] if i[k] != ids[n]]
+                    if len(roots) > 1:
+                        root[np.isin(root, roots)] = roots[0]
+                yield pd.DataFrame(found, columns=["x", "y"], dtype="int64")
+
+    return grid.select("ids", "vs", "i", "iv").mapInPandas(link, "x long, y long")
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """node, root for every node of links (x, y): every node points to its least neighbour, pointers are followed, and trees become nodes."""
+    edges, whole = staged(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct(), "links"), None
+    while whole is None or not edges.isEmpty():
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
+        points = staged(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("root")), "points")
+        moved = True
+        while moved:
+            jumped = staged(points.join(points.toDF("root", "next"), "root").select("node", F.col("root").alias("old"), F.col("next").alias("root")), "points")
+            points, moved = jumped.select("node", "root"), not jumped.filter("old <> root").isEmpty()
+        left = edges.join(points.toDF("a", "ra"), "a").join(points.toDF("b", "rb"), "b").filter("ra <> rb")
+        edges = staged(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        whole = points if whole is None else staged(whole.join(points.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+    return whole
+
+
+def clusters(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """key, cluster: complete linkage of all vectors. Equal vectors count as one; what no chain of similar pairs connects is merged apart,
+    as it can't meet in a cluster. The merge within one component is sequential by nature."""
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    rows = staged(rows.withColumn("own", F.when(~F.exists("v", lambda x: x != 0), F.col("id"))), "vectors")  # a zero vector is similar to none
+    groups = staged(rows.groupBy("v", "own").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "groups")
+    parts = connected(similar_links(groups.select("rep", "v"), least, "rep", "v", block))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rep")
+        ids, m = part["rep"].tolist(), _unit(part["v"])
+        pairs = [(ids[a], ids[b], s) for a, near, sims in _similar_rows(m, m, least) for b, s in zip(near.tolist(), sims.tolist()) if a < b]
+        of = complete_link(pairs, least)
+        return pd.DataFrame({"rep": ids, "cluster": [of.get(x, x) for x in ids]})
+
+    merged = groups.select("rep", "v").join(parts.withColumnRenamed("node", "rep"), "rep").groupBy("root").applyInPandas(run, "rep long, cluster long")
+    of_copies = groups.filter("copies > 1").select(F.col("v").alias("_v"), "rep")
+    named = rows.join(of_copies, F.col("own").isNull() & (F.col("v") == F.col("_v")), "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    return named.join(merged, "rep", "left").select(F.col("id").alias(key), F.coalesce("cluster", "rep").cast("long").alias("cluster"))
 
 
 def related(seeds: DataFrame, papers: DataFrame, edges: DataFrame, k: int = 10, vectors: DataFrame | None = None) -> DataFrame:

@@ -191,7 +191,7 @@ def topic_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete-linkage clusters of the vectors of each label."""
+    """Complete-linkage clusters of all vectors."""
     return topics.clusters(read(spark, sf_dir, "embeddings"), 0.5)
 
 

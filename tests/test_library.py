@@ -1,10 +1,11 @@
 """The library from ingest to answers, SQL functions, sinks and the tree folds."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import sql
-from corpusloom.operators import directions, graph, trees
+from corpusloom.operators import directions, graph, topics, trees
 from corpusloom.plans.library import Library, setting
 from corpusloom.sources import sinks
 
@@ -135,3 +136,19 @@ def test_uncited_pairs_of_all_papers(spark):
     got = graph.uncited_pairs(None, spark.createDataFrame(papers, "node long, community long, tokens array<string>"), spark.createDataFrame(sorted(cites), "src long, dst long"))
     shared = {(i, j): len(set(s) & set(t)) for i, c, s in papers for j, d, t in papers if i < j and c == d and (i, j) not in cites and (j, i) not in cites}
     assert sorted(map(tuple, got.collect())) == sorted((i, j, n) for (i, j), n in shared.items() if n >= 2)
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_clusters_equal_complete_linkage_of_the_whole_table(spark, block):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 4))
+    vs = [(centres[i % 12] + rng.normal(scale=0.4, size=4)).tolist() for i in range(90)]
+    vs[70:80], vs[80:82] = [vs[0]] * 10, [[0.0] * 4] * 2
+    m = np.array(vs)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    s = np.round(m @ m.T, 9)
+    of = topics.complete_link([(i, j, s[i, j]) for i in range(90) for j in range(i + 1, 90) if s[i, j] >= 0.9], 0.9)
+    rows = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(vs)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.cluster for r in topics.clusters(rows, 0.9, block=block).collect()}
+    assert got == {i: of.get(i, i) for i in range(90)} and len(set(got.values())) < 60
+    assert topics.clusters(rows.filter("false"), 0.9, block=block).count() == 0
