@@ -2,8 +2,8 @@
 
 Each benchmark item of w words is compared with document windows of w words. Words are runs of letters and digits in lower
 case; shingles are five words. A window can only be similar to an item if it shares a shingle with it, so windows are laid where a
-shingle of some item occurs, in line with the place the shingle has in the item, and one and two words to either side. Windows and
-items get a 64-bit SimHash of their shingles, each weighted by how often it occurs. Fingerprints are cut into BLOCKS blocks; every item is indexed under
+shingle of some item occurs, in line with the place the shingle has in the item, and one and two words to either side, and where a run
+of an item's shingles starts, which holds the best window (see places_of). Windows and items get a 64-bit SimHash of their shingles, each weighted by how often it occurs. Fingerprints are cut into BLOCKS blocks; every item is indexed under
 all values within RADIUS // BLOCKS bits of each of its blocks, which by the pigeonhole principle finds every window of
 its length within RADIUS bits. Candidates within the radius are verified by exact weighted Jaccard similarity.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NEAR, SHINGLE_WORDS, broadcast_if_small, staged, table, text_or_empty
@@ -73,20 +73,36 @@ def probes() -> list[int]:
     return [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(BLOCK_BITS), n)]
 
 
+def places_of(hits: DataFrame) -> DataFrame:
+    """_id, _tie, start, n: the windows to compare. hits: _id, _tie, m, n, item, pos, at, h, shingles of a text (m in all) that an item (n) has.
+
+    Some best window starts with a shingle of the item, or ends with the text: moving it on past other shingles loses nothing. Moving it
+    back by one shingle of the item gains one and loses at most one, unless that shingle comes again inside the window. So the starts
+    of runs, and the places after a shingle that comes again within n, hold a best window.
+    """
+    at = ["_id", "_tie", "item"]
+    each = hits.groupBy(*at, "m", "n", "pos", "h").agg(F.collect_set("at").alias("ats"))
+    again = each.withColumn("again", F.lead("pos").over(Window.partitionBy(*at, "h").orderBy("pos")))
+    before = Window.partitionBy(*at).orderBy("pos")
+    runs = again.withColumn("_p", F.lag("pos").over(before)).withColumn("_again", F.lag("again").over(before))
+    inside = F.coalesce((F.col("_p") == F.col("pos") - 1) & ~F.coalesce(F.col("_again") <= F.col("_p") + F.col("n"), F.lit(False)), F.lit(False))
+    starts = F.flatten(F.transform("ats", lambda a: F.array(*[F.col("pos") - a + s for s in SLACK])))
+    starts = F.concat(starts, F.when(inside & (F.col("pos") <= F.col("m") - F.col("n")), F.array().cast("array<int>")).otherwise(F.array("pos")))
+    clamped = F.array_distinct(F.transform(starts, lambda s: F.greatest(F.lit(0), F.least(F.col("m") - F.col("n"), s))))
+    return runs.select("_id", "_tie", F.explode(clamped).alias("start"), "n").distinct()
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", least: float = NEAR) -> DataFrame:
     """One row for each document row and item that it holds: key, item, start (word of the best window, from 0), words,
     distance (of the fingerprints), similarity, n_windows (verified), and _row, which tells repeated document rows apart."""
     bench = staged(items.select(F.col(item).alias("item_id"), shingles(text_or_empty(text)).alias("sh")).filter(F.size("sh") > 0).withColumn("n", F.size("sh")), "bench")
     size = bench.agg(F.sum("n").alias("s"), F.count("*").alias("c")).first()
-    places = bench.select(F.col("n"), F.posexplode("sh").alias("at", "h")).distinct()
+    places = bench.select(F.col("n"), F.xxhash64("sh").alias("item"), F.posexplode("sh").alias("at", "h")).distinct()
     places = broadcast_if_small(places, size["s"] or 0, 48)
     rows = docs.select(F.xxhash64(text_or_empty(text)).alias("_tie"), F.col(key).alias("_id"), text_or_empty(text).alias("_text"))
     each = rows.select("_id", "_tie", shingles(F.col("_text")).alias("sh")).filter(F.size("sh") > 0)
     hits = each.select("_id", "_tie", F.size("sh").alias("m"), F.posexplode("sh").alias("pos", "h")).join(places, "h")
-    start = F.greatest(F.lit(0), F.least(F.col("m") - F.col("n"), F.col("pos") - F.col("at") + F.col("slack")))
-    laid = hits.select("_id", "_tie", "m", "n", "pos", "at").withColumn("slack", F.explode(F.array(*[F.lit(s) for s in SLACK])))
-    laid = laid.select("_id", "_tie", start.alias("start"), "n").distinct()
-    wanted = laid.groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "n")).alias("at")).withColumnRenamed("_id", "_i").withColumnRenamed("_tie", "_t")
+    wanted = places_of(hits).groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "n")).alias("at")).withColumnRenamed("_id", "_i").withColumnRenamed("_tie", "_t")
     marked = rows.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t")))
     # a window takes its own shingles along, never the document's
     window = lambda sh: lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), F.slice(sh, w["start"] + 1, w["n"]).alias("sh"))

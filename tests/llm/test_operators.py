@@ -395,6 +395,31 @@ def test_leaks(spark):
     assert {r.doc_id for r in decontam.without_leaks(df, items).collect()} == {3, 4, 5, 9, 10}
 
 
+def test_leaks_of_long_items_with_insertions(spark):
+    item = [f"w{i}" for i in range(204)]
+    text = [f"x{i}" if i in (1, 5, 198, 202) else w for i, w in enumerate(item)]
+    text = text[:100] + [f"new{i}" for i in range(15)] + text[100:]
+    df = spark.createDataFrame([(1, " ".join([f"a{i}" for i in range(60)] + text + [f"b{i}" for i in range(60)]))], "doc_id long, text string")
+    got = decontam.find_leaks(df, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
+    shin = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    s, own = shin(df.first()["text"].split()), set(shin(item))
+    best = max(len(own & set(s[i : i + 200])) for i in range(len(s) - 199))
+    assert [round(r.similarity, 6) for r in got] == [round(best / (400 - best), 6)] and best / (400 - best) >= 0.8
+
+
+def test_windows_laid_hold_the_best_one(spark):
+    rng = random.Random(4)
+    items = {i: [rng.randrange(12) for _ in range(rng.randrange(1, 14))] for i in range(8)}
+    docs = {d: [rng.randrange(16) for _ in range(rng.randrange(1, 40))] for d in range(60)}
+    hits = [(d, 0, len(t), len(s), i, pos, at, h) for d, t in docs.items() for i, s in items.items() for pos, h in enumerate(t) for at, x in enumerate(s) if x == h]
+    laid = {(r["_id"], r.start, r.n) for r in decontam.places_of(spark.createDataFrame(hits, "_id long, _tie long, m int, n int, item long, pos int, at int, h long")).collect()}
+    for d, t in docs.items():
+        for s in items.values():
+            n = len(s)
+            score = {a: sum((Counter(t[a : a + n]) & Counter(s)).values()) for a in range(max(1, len(t) - n + 1))}
+            assert max(score.values()) == 0 or max(score.values()) == max((v for a, v in score.items() if (d, a, n) in laid), default=0)
+
+
 def test_leaks_equal_brute_force(spark, sf, texts):
     shin = lambda t: [tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)]
     items = {r.item_id: shin(r.text) for r in common.table(spark, sf, "benchmark").collect()}
