@@ -7,6 +7,9 @@ of an item's shingles starts, which holds the best window (see places_of). Windo
 all values within RADIUS // BLOCKS bits of each of its blocks, which by the pigeonhole principle finds every window of
 its length within RADIUS bits. Candidates within the radius are verified by exact weighted Jaccard similarity.
 
+A text with candidates is cut into segments of neighbouring shingles, and a window is a row of its own from there on, so that no row grows with a
+repetitive text beyond the text itself.
+
 Everything is built-in functions. Defined cases: null texts are empty; an item or a text of fewer than five words has no
 shingle and matches nothing; a document shorter than an item is compared as one window; repeated item ids are each
 compared; repeated documents are each reported; empty tables give no rows. Extra columns are not read.
@@ -25,6 +28,7 @@ from .sketches import bound
 BLOCKS, BLOCK_BITS = 8, 8
 RADIUS = 23  # at most 2 differing bits in some block
 SLACK = (-2, -1, 0, 1, 2)  # words beside the aligned window
+SEGMENT = 256  # window starts in a segment of a text, at least
 LANES = 0x0000000100000001  # two 32-bit counters in a long
 
 
@@ -57,9 +61,22 @@ def with_simhash(rows: DataFrame, by: list[str], hashes: str = "sh") -> DataFram
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
-    """Sum of the lesser over sum of the greater weights, a shingle's weight being how often it occurs."""
-    count = lambda xs, u: F.size(F.filter(xs, lambda x: x == u))
-    least = F.aggregate(F.array_distinct(a), F.lit(0), lambda t, u: t + F.least(count(a, u), count(b, u)))
+    """Sum of the lesser over sum of the greater weights, a shingle's weight being how often it occurs.
+
+    Both sides are sorted together, and one pass adds up, for each shingle, the lesser number of its occurrences.
+    """
+    side = lambda xs, i: F.transform(xs, lambda x: F.struct(x.alias("v"), F.lit(i).alias("s")))
+    both = F.sort_array(F.concat(side(a, 0), side(b, 1)))
+    # of a run of one value the first side comes first: its left is what the second side can still match
+    zero = F.struct(F.lit(None).cast("bigint").alias("v"), F.lit(0).alias("left"), F.lit(0).alias("least"))
+
+    def step(t: Column, x: Column) -> Column:
+        same = F.coalesce(t["v"] == x["v"], F.lit(False))
+        first, met = x["s"] == 0, same & (x["s"] == 1) & (t["left"] > 0)
+        left = F.when(first, F.when(same, t["left"] + 1).otherwise(1)).when(met, t["left"] - 1).otherwise(F.when(same, t["left"]).otherwise(0))
+        return F.struct(x["v"].alias("v"), left.alias("left"), (t["least"] + F.when(met, 1).otherwise(0)).alias("least"))
+
+    least = F.aggregate(both, zero, step, lambda t: t["least"])
     return bound(least, lambda m: m / (F.size(a) + F.size(b) - m))
 
 
@@ -96,19 +113,26 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str
     """One row for each document row and item that it holds: key, item, start (word of the best window, from 0), words,
     distance (of the fingerprints), similarity, n_windows (verified), and _row, which tells repeated document rows apart."""
     bench = staged(items.select(F.col(item).alias("item_id"), shingles(text_or_empty(text)).alias("sh")).filter(F.size("sh") > 0).withColumn("n", F.size("sh")), "bench")
-    size = bench.agg(F.sum("n").alias("s"), F.count("*").alias("c")).first()
+    size = bench.agg(F.sum("n").alias("s"), F.count("*").alias("c"), F.max("n").alias("longest")).first()
+    step, longest = max(SEGMENT, size["longest"] or 0), size["longest"] or 0
     places = bench.select(F.col("n"), F.xxhash64("sh").alias("item"), F.posexplode("sh").alias("at", "h")).distinct()
     places = broadcast_if_small(places, size["s"] or 0, 48)
     rows = docs.select(F.xxhash64(text_or_empty(text)).alias("_tie"), F.col(key).alias("_id"), text_or_empty(text).alias("_text"))
     each = rows.select("_id", "_tie", shingles(F.col("_text")).alias("sh")).filter(F.size("sh") > 0)
     hits = each.select("_id", "_tie", F.size("sh").alias("m"), F.posexplode("sh").alias("pos", "h")).join(places, "h")
-    wanted = places_of(hits).groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "n")).alias("at")).withColumnRenamed("_id", "_i").withColumnRenamed("_tie", "_t")
+    # the starts of a segment are at most step times the number of different item lengths
+    in_segment = staged(places_of(hits).groupBy("_id", "_tie", F.floor(F.col("start") / step).cast("int").alias("seg")).agg(F.collect_set(F.struct("start", "n")).alias("at")), "places")
+    wanted = in_segment.groupBy("_id", "_tie").agg(F.collect_list("seg").alias("segs")).toDF("_i", "_t", "segs")
     marked = rows.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t")))
-    # a window takes its own shingles along, never the document's
-    window = lambda sh: lambda w: F.struct(w["start"].alias("start"), w["n"].alias("n"), F.slice(sh, w["start"] + 1, w["n"]).alias("sh"))
-    cut = marked.select("_id", "_tie", F.explode(bound(shingles(F.col("_text")), lambda sh: F.transform("at", window(sh)))).alias("w")).select("_id", "_tie", "w.*")
+    # a segment takes its own shingles along and the longest item's beyond them, a window just its own
+    part = lambda sh: lambda s: F.struct(s.alias("seg"), F.slice(sh, s * step + 1, F.lit(step + longest)).alias("sh"))
+    parts = marked.select("_id", "_tie", F.explode(bound(shingles(F.col("_text")), lambda sh: F.transform("segs", part(sh)))).alias("p")).select("_id", "_tie", "p.seg", "p.sh")
+    parts = parts.groupBy("_id", "_tie", "seg").agg(F.first("sh").alias("sh"))  # repeated documents have the same segments
+    placed = in_segment.toDF("_i", "_t", "_s", "at")
+    cut = parts.join(placed, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t")) & (F.col("seg") == F.col("_s"))).select("_id", "_tie", "seg", "sh", F.explode("at").alias("w"))
+    cut = cut.select("_id", "_tie", "w.start", "w.n", F.slice("sh", F.col("w.start") - F.col("seg") * step + 1, F.col("w.n")).alias("sh"))
     at = ["_id", "_tie", "start", "n"]
-    windows = staged(cut.groupBy(*at).agg(F.first("sh").alias("sh")), "windows")  # repeated documents have the same windows
+    windows = staged(cut, "windows")
     prints = with_simhash(windows, at)
     known = staged(bench.withColumn("_k", F.monotonically_increasing_id()), "items")
     index = with_simhash(known, ["_k", "item_id", "n"]).select("_k", "item_id", "n", F.col("fp").alias("item_fp"), F.explode(block_values(F.col("fp"))).alias("b"))

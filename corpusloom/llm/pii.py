@@ -2,13 +2,14 @@
 
 Base spans are fixed patterns. The model then reads every region of a text that can hold an entity (neighbouring words with a
 digit or an at sign; elsewhere every segment is outside, so regions decode alone without changing the result). A region
-is cut into runs of digits, runs of letters and single symbols. Candidate segments of up to MAX_TOKENS tokens get a type and
+is cut into runs of digits, runs of letters and single symbols. Candidate segments are bounded entities: at most MAX_TOKENS tokens and
+MAX_CHARS characters, either one word around an at sign or 7 to 24 digits in at most 7 groups without letters. They get a type and
 a score from features of the whole span, outside tokens score zero, and dynamic programming over segment ends picks
 boundaries and types together. Weights are fitted by maximum likelihood (forward-backward over segments) on generated
-examples, on the driver, the same every time. Segments clear of base spans are added to them.
+examples and look-alikes (dates, times, versions, amounts), on the driver, the same every time. Segments clear of base spans are added to them.
 
-Defined cases: null text is empty; repeated rows stay repeated; regions of any length are read whole, as the work is linear in
-tokens; an empty table gives no rows. Extra columns are not read.
+Defined cases: null text is empty; repeated rows stay repeated; texts are read whole, and the work is linear in their length: every pattern scans
+a run of digits or letters once, and spans are compared in order of their starts; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,15 +26,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, table, text_or_empty
+from .spans import clear_of
 
-#: The kinds in their listed order and their patterns.
+#: The kinds in their listed order and their patterns. An address is found from its at sign (see emails), and possessive runs of an
+#: IP start where a run of digits does: both match what the plain patterns match, leftmost and without overlap, but read a run once.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-MAX_TOKENS = 24  # the longest entity
+MAX_TOKENS, MAX_CHARS = 24, 254  # the longest entity
+LEAST_DIGITS, MOST_DIGITS, MOST_GROUPS = 7, 24, 7  # of an entity without an at sign
 TOKENS = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 TRIGGER = re.compile(r"[0-9@]\S*")
 
@@ -54,19 +59,39 @@ def _octets(s: str) -> bool:
     return all(len(x.lstrip("0")) <= 3 and int(x[-4:]) <= 255 for x in s.split("."))
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The plain pattern's matches: before each at sign the run of local characters that no earlier match has, after it a domain."""
+    at, free = text.find("@"), 0
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(LOCAL))
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        free = domain.end() if domain else at + 1
+        if domain:
+            yield start, free
+        at = text.find("@", free)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base kinds; kind as its place in KINDS."""
     found = []
     if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
-    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if _octets(m[0])]
+        found += [(a, 0, b) for a, b in emails(text)]
+    if text.count(".") >= 3:
+        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if _octets(m[0])]
     for m in CARD.finditer(text):
-        if m.end() - m.start() >= 14:
+        if 14 <= m.end() - m.start() <= 37:  # 19 digits with separators at most
             d = digits_of(m[0])
             if 14 <= len(d) <= 19 and luhn(d):
                 found.append((m.start(), 2, m.end()))
     if "+" in text:
-        found += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= len(digits_of(m[0])) <= 15]
+        for m in PHONE.finditer(text):
+            n = 0
+            for c in m[0]:
+                n += "0" <= c <= "9"
+                if n > 15:
+                    break
+            if 10 <= n <= 15:
+                found.append((m.start(), 3, m.end()))
     return sorted(found)
 
 
@@ -88,6 +113,7 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
 
 
 _GROUPS = re.compile(r"[0-9]+")
+_DATED = re.compile(r"(?<![0-9])(?:(?:19|20)[0-9]{2}([-./])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([-./])[01]?[0-9]\2(?:19|20)[0-9]{2})(?![0-9])")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _PHONE_CHARS = re.compile(r"\+?[0-9().\x20-]+")
@@ -100,6 +126,8 @@ def span_features(span: str, before: str, after: str) -> list[str]:
     groups = "-".join(str(len(g)) for g in _GROUPS.findall(span)) if n < 24 else "long"
     at = span.count("@")
     out = ["bias", f"digits:{min(n, 20)}", f"letters:{any(c.isalpha() for c in span)}", f"at:{min(at, 2)}"]
+    if n < MOST_DIGITS and not at and (m := _DATED.search(span)):
+        out.append(f"dated:{m.start() > 0}:{span[0] == '+'}")
     if at == 1:
         local, _, domain = span.partition("@")
         out.append(f"mail:{bool(_LOCAL.fullmatch(local))}:{bool(_DOMAIN.fullmatch(domain))}:{domain.rsplit('.', 1)[-1].isalpha()}")
@@ -121,13 +149,32 @@ def span_features(span: str, before: str, after: str) -> list[str]:
 def segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
     """A region's tokens, and its candidate segments (first token, token after the last, features)."""
     tokens = [(m.start(), m.end()) for m in TOKENS.finditer(text, start, end)]
+    digit = [text[a] in "0123456789" for a, _ in tokens]
     found = []
-    for i, (a, _) in enumerate(tokens):
-        hot = False
+    for i, (a, e) in enumerate(tokens):
+        first = text[a]
+        if not (first.isalnum() or first in "+(_"):
+            continue
+        digits, groups, at, letters, odd, last = 0, 0, 0, False, False, e
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-            b = tokens[j][1]
-            hot = hot or text[tokens[j][0]] in "0123456789@"
-            if hot and b - a >= 7:
+            c, b = tokens[j]
+            if b - a > MAX_CHARS or (at or letters) and c > last:
+                break  # an address is one word
+            sign = text[c]
+            if digit[j]:
+                digits += b - c
+                groups += 1
+            elif sign == "@":
+                at += 1
+            elif sign.isalpha():
+                letters = True
+            else:
+                odd = odd or sign not in "().-/" and j > i  # only an address can have other symbols
+            if at > 1 or c > last and odd:
+                break
+            last = b
+            number = not letters and not odd and digit[j] and LEAST_DIGITS <= digits <= MOST_DIGITS and groups <= MOST_GROUPS
+            if b - a >= 7 and (at and text[b - 1].isalnum() or not at and number):
                 found.append((i, j + 1, span_features(text[a:b], text[a - 1] if a else " ", text[b : b + 2])))
     return tokens, found
 
@@ -204,7 +251,7 @@ def _with_check_digit(rng: random.Random, n: int, valid: bool) -> str:
     return body + (good if valid else rng.choice([d for d in "0123456789" if d != good]))
 
 
-def examples(seed: int = 7, n: int = 420) -> list[tuple[str, int, int, int]]:
+def examples(seed: int = 7, n: int = 600) -> list[tuple[str, int, int, int]]:
     """(text, kind or -1, start, end): one generated entity, or a look-alike, in a little context."""
     rng, out = random.Random(seed), []
     num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
@@ -227,6 +274,10 @@ def examples(seed: int = 7, n: int = 420) -> list[tuple[str, int, int, int]]:
             if rng.random() < 0.25:
                 s = "".join(rng.choice("0123456789abcdef") for _ in range(40))
                 s = s[:9] + num(11) + s[9:]
+            elif rng.random() < 0.4:
+                y, mo, d, h = f"{rng.choice(['19', '20'])}{num(2)}", f"{rng.randint(1, 12):02}", f"{rng.randint(1, 28):02}", f"{rng.randint(0, 23):02}"
+                c = rng.choice("-./")
+                s = [f"{y}{c}{mo}{c}{d} {h}:{num(2)}", f"{y}{c}{mo}{c}{d} {h}", f"{y}.{mo}.{d}.{h}", f"{d}{c}{mo}{c}{y} {h}.{num(2)}", f"{y}{c}{mo}{c}{d} {y}{c}{mo}{c}{d}", f"{y}{mo}{d} {h}{num(2)}"][form]
             elif rng.random() < 0.5:
                 s = [f"{num(1)},{num(3)},{num(3)}", f"{num(2)}:{num(2)}:{num(2)}", f"{num(8)}{word()}{num(6)}", f"{num(5)}-{num(3)}", f"#{num(6)}/{num(4)}", f"{num(3)} {num(4)} {num(2)}"][form]
             kind = -1
@@ -261,8 +312,9 @@ def all_spans(text: str, weights) -> tuple[list[tuple[int, int, int]], list[tupl
     added = []
     for start, end in regions(text):
         if end - start >= 7:
-            added += [s for s in decode(text, start, end, weights) if not any(a < s[2] and s[0] < b for a, _, b in base)]
-    return base, sorted(base + added)
+            added += decode(text, start, end, weights)
+    added = clear_of(base, added)
+    return base, sorted(base + added) if added else base
 
 
 FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"

@@ -6,7 +6,8 @@ the whole document is read. Each filter is max-pooled in each chunk. Over the do
 give their maximum, mean and minimum, and one hidden layer turns these into a single probability.
 
 Training runs on the driver on at most TRAIN_ROWS labelled rows (those with the least hash of their id) and TRAIN_BYTES of
-text, from each at most TRAIN_CHUNKS chunks an epoch; a share SNIPPETS of the rows is cut to a few words, so that short texts are
+text, from each at most TRAIN_CHUNKS chunks an epoch. Executors cut a longer training text to TRAIN_PIECES evenly spaced pieces, TRAIN_TEXT characters in all, and the
+bytes are counted before anything is sent. A share SNIPPETS of the rows is cut to a few words, so that short texts are
 known too. Scoring reads everything. Nothing but the text's bytes enters a score.
 
 Defined cases: null text is empty; an empty text is one blank chunk and gets a score like any other; repeated rows get equal
@@ -22,13 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, text_or_empty
+from .common import bounded_batches, scratch, staged, table, text_or_empty
 
 FILTERS, WIDTH, EMBED, HIDDEN = 32, 6, 4, 24
 CHUNK = 256
 PAD = 256  # the byte after the end of a text
 TRAIN_ROWS = 4000
 TRAIN_BYTES = 64 << 20
+TRAIN_TEXT, TRAIN_PIECES = 1 << 16, 8  # characters of a training text
 TRAIN_CHUNKS = 6
 SNIPPETS = 0.15
 EPOCHS = 24
@@ -87,10 +89,10 @@ def score_texts(texts: list[str], net: dict | None) -> np.ndarray:
     return _head(out, net)[1].astype(np.float64)
 
 
-def _snippet(raw: bytes, label: float, rng: np.random.Generator) -> bytes:
-    """A few neighbouring words of a text; more of them where the label is 0, as one word shows no fault."""
+def _snippet(raw: bytes, rng: np.random.Generator) -> bytes:
+    """A few neighbouring words of a text."""
     words = raw.split(b" ")
-    n = int(rng.integers(1, 13)) if label else int(rng.integers(12, 30))
+    n = int(rng.integers(1, 30))
     at = int(rng.integers(0, max(1, len(words) - n)))
     return b" ".join(words[at : at + n])
 
@@ -120,7 +122,7 @@ def train(rows: list[tuple[str, int]], seed: int = 5) -> dict | None:
             parts = []
             for i in some:
                 if rng.random() < SNIPPETS:
-                    parts.append(chunks_of(_snippet(raws[i], labels[i], rng)[:CHUNK]))
+                    parts.append(chunks_of(_snippet(raws[i], rng)[:CHUNK]))
                     continue
                 starts = starts_of(len(raws[i]))
                 if len(starts) > TRAIN_CHUNKS:
@@ -168,19 +170,41 @@ def fold(key: str = "doc_id"):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None:
-    """The network for docs, fitted to the labelled rows outside the held-out fold."""
+def _pieces(text):
+    """The whole text, or TRAIN_PIECES evenly spaced pieces of one longer than TRAIN_TEXT."""
+    size = TRAIN_TEXT // TRAIN_PIECES
+    n = F.length(text)
+    cut = [F.substring(text, (F.lit(1) + F.floor((n - size) * F.lit(i) / F.lit(TRAIN_PIECES - 1))).cast("int"), F.lit(size)) for i in range(TRAIN_PIECES)]
+    return F.when(n <= TRAIN_TEXT, text).otherwise(F.concat(*cut))
+
+
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> list[tuple[str, int]]:
+    """(text, label) of the training rows, in the order of their ids' hashes. A row that the bytes left don't hold is passed over."""
     known = labels.select("doc_id", F.col("quality").alias("_label")).filter("doc_id is not null and _label is not null").filter(fold() != HELD_OUT)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(TRAIN_ROWS)
     rows = docs.select("doc_id", text_or_empty(text).alias("_text")).join(F.broadcast(known), "doc_id")
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "_text").limit(TRAIN_ROWS).toLocalIterator()
-    sample, size = [], 0
-    for r in found:
-        size += len(r["_text"])
-        if size > TRAIN_BYTES:
-            break
-        sample.append((r["_text"], int(r["_label"] > 0)))
-    return train(sample)
+    rows = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("_text").alias("tie"), F.col("_label").cast("int").alias("_label"), _pieces(F.col("_text")).alias("_text"))
+    with scratch():
+        rows = staged(rows.withColumn("bytes", F.octet_length("_text")), "labelled")
+        order = ["h", "doc_id", "tie", "_label"]
+        sizes = rows.select(*order, "bytes").distinct().orderBy(*order).limit(TRAIN_ROWS).collect()
+        chosen, size = set(), 0
+        for r in sizes:
+            if size + r["bytes"] <= TRAIN_BYTES:
+                size += r["bytes"]
+                chosen.add((r["doc_id"], r["tie"], r["_label"]))
+        if not chosen:
+            return []
+        wanted = docs.sparkSession.createDataFrame(sorted(chosen), rows.select("doc_id", "tie", "_label").schema)
+        found = {}
+        for r in rows.join(F.broadcast(wanted), ["doc_id", "tie", "_label"], "left_semi").toLocalIterator():
+            found[r["h"], r["doc_id"], r["tie"], r["_label"]] = r["_text"]
+    return [(found[k], int(k[3] > 0)) for k in sorted(found)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> dict | None:
+    """The network for docs, fitted to the labelled rows outside the held-out fold."""
+    return train(sample(docs, labels, text))
 
 
 def score(docs: DataFrame, net: dict | None, text: str = "text") -> DataFrame:

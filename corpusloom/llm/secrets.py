@@ -6,8 +6,8 @@ candidate's hash is counted by distinct repositories and owners over the whole c
 or that many repositories copy are examples, values of one owner in few repositories look live. A token span is reported only when
 it looks live; base spans are always reported, and n_live and n_example tell how they are judged.
 
-Defined cases: null text is empty; a null repository or owner counts as one of its own; repeated rows stay repeated and count
-as one repository; an empty table gives no rows. Clashing extra columns are not read.
+Defined cases: null text is empty; rows without an owner share one owner, the one with the empty name, and rows without a repository one repository, so
+that missing names never make a value look widely copied; repeated rows stay repeated and count as one repository; an empty table gives no rows. Clashing extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged, table, text_or_empty
+from .spans import clear_of
 
 #: The base kinds in their listed order.
 KINDS = ("assign", "access", "hex", "token")
@@ -59,9 +60,9 @@ def token_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple
     found = []
     for m in TOKEN.finditer(text):
         v = m[0]
-        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and entropy(v) >= LEAST_ENTROPY and not any(a < m.end() and m.start() < b for a, _, b, _ in taken):
+        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and entropy(v) >= LEAST_ENTROPY:
             found.append((m.start(), 3, m.end(), v))
-    return found
+    return clear_of(taken, found)
 
 
 def joined(spans) -> str:
@@ -94,7 +95,8 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
-    """One row for each row of docs: key, counts, base_sha256, spans, n_live, n_example and found, the spans with their statistics."""
+    """One row for each row of docs: key, counts, base_sha256, spans, n_live, n_example, judged (spans with live or example) and found, the spans with
+    their statistics."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("_repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("_owner"), F.pandas_udf(scan, SCANNED)(text_or_empty(text)).alias("s"))
     rows = staged(rows.select(F.monotonically_increasing_id().alias("_row"), key, "_repository", "_owner", "s.*"), "secrets")
@@ -103,13 +105,16 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", repos
     place = F.struct("start", "kind", "stop", "live", "n_repositories", "n_owners")
     by_row = judged.groupBy("_row").agg(F.sort_array(F.collect_list(place)).alias("found"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    text_of = F.array_join(F.transform("found", lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    shown = lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["stop"].cast("string"))
+    text_of = F.array_join(F.transform("found", shown), ",")
+    judged_of = F.array_join(F.transform("found", lambda x: F.concat_ws(":", shown(x), F.when(x["live"], "live").otherwise("example"))), ",")
     out = rows.drop("found").join(by_row, "_row", "left")
     return out.select(
         key, "n_assign", "n_access", "n_hex", "base_sha256",
         F.coalesce(text_of, F.lit("")).alias("spans"),
         F.coalesce(F.size(F.filter("found", lambda x: x["live"])), F.lit(0)).cast("long").alias("n_live"),
         F.coalesce(F.size(F.filter("found", lambda x: ~x["live"])), F.lit(0)).cast("long").alias("n_example"),
+        F.coalesce(judged_of, F.lit("")).alias("judged"),
         "found",
     )
 
