@@ -1,29 +1,42 @@
 """Line dedup by overlapping three-line windows.
 
-Every three consecutive lines of a document are one window, known by two 64-bit hashes. A window that occurs more than
-once keeps its first occurrence (least doc_id, then position); the lines that any later occurrence covers are removed, so
+Lines are what newlines separate; a line of over LONG_WORDS words is wrapped at the ends of its sentences, so that a long passage
+on one or two lines is made of several lines too. Every three consecutive lines of a document are one window, known by two 64-bit hashes. A window
+that occurs more than once keeps its first occurrence (least doc_id, then position); the lines that any later occurrence covers are removed, so
 overlapping later windows merge into one removed stretch. Of equal lines the earliest always stays.
 
-Lines are what newlines separate, compared without white space at their ends. Defined cases: null text is empty; a document of
-fewer than three lines has no window and stays; windows of blank lines only don't count; rows that repeat a doc_id
-count as separate documents in the order of their text hash; equal rows share what is removed. Long documents are split whole.
-Counts are pre-aggregated before they are shuffled, and hot windows are joined as pairs of window and document, one row each,
-which the adaptive skew join can split.
+Lines are compared without spaces at their ends (tabs and carriage returns count) and keep what separates them. Defined cases: null text is empty; a document of
+fewer than three lines has no window and stays; windows of blank lines only don't count; rows that share a doc_id
+count as separate documents in the order of their text hash; of equal rows one is the first, the others lose every line that a window
+covers. Long documents are split whole. Counts are pre-aggregated before they are shuffled, and hot windows are joined as pairs of window and document,
+one row each, which the adaptive skew join can split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import broadcast_if_small, scratch, staged, table, text_or_empty
 
 WINDOW_LINES = 3
+LONG_WORDS = 30  # a line of more words is wrapped
+SENTENCE_END = r"(?<=[.!?] )"
+
+
+def lines_of(text: Column) -> Column:
+    """The lines of a text with the newline or space that ends them: joined they are the text."""
+    long = lambda x: F.size(F.split(x, " ")) > LONG_WORDS
+    return F.flatten(F.transform(F.split(text, r"(?<=\n)", -1), lambda x: F.when(long(x), F.split(x, SENTENCE_END, -1)).otherwise(F.array(x))))
+
+
+def _bare(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"\n$", ""))
 
 
 def windows(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, _tie, pos (from 0), h1, h2: every window that isn't blank."""
-    trimmed = F.transform(F.split(text_or_empty(text), "\n", -1), lambda x: F.xxhash64(F.trim(x)))
+    trimmed = F.transform(lines_of(text_or_empty(text)), lambda x: F.xxhash64(_bare(x)))
     blank = F.xxhash64(F.lit(""))
     hashed = docs.select("doc_id", F.xxhash64(text_or_empty(text)).alias("_tie"), trimmed.alias("_h")).filter(F.size("_h") >= WINDOW_LINES)
     each = hashed.select("doc_id", "_tie", F.posexplode(F.arrays_zip(F.slice("_h", 1, F.size("_h") - 2).alias("a"), F.slice("_h", 2, F.size("_h") - 2).alias("b"), F.slice("_h", 3, F.size("_h") - 2).alias("c"))).alias("pos", "w"))
@@ -46,16 +59,35 @@ def _kept(lines: Column, starts: Column) -> Column:
     return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), flags), lambda i: F.element_at(lines, i + 1))
 
 
+def _later_copies(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, _tie of rows that come more than once."""
+    each = docs.select("doc_id", F.xxhash64(text_or_empty(text)).alias("_tie"))
+    return each.groupBy("doc_id", "_tie").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id", "_tie")
+
+
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the text rewritten, and n_lines and n_removed (long); every row stays."""
-    removed = later_windows(docs, text).groupBy("doc_id", "_tie").agg(F.collect_set("pos").alias("_starts"))
-    removed = removed.withColumnRenamed("doc_id", "_id").withColumnRenamed("_tie", "_key")
+    same = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("_tie") == F.col(b))
+    removed = later_windows(docs, text).groupBy("doc_id", "_tie").agg(F.collect_set("pos").alias("_starts")).toDF("_id", "_key", "_starts")
     rows = docs.drop("n_lines", "n_removed").withColumn("_tie", F.xxhash64(text_or_empty(text)))
-    joined = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_key")), "left")
-    cut = joined.withColumn("_lines", F.split(text_or_empty(text), "\n", -1))
+    joined = rows.join(removed, same("_id", "_key"), "left").drop("_id", "_key")
+    with scratch() as keep:
+        copies = keep(staged(_later_copies(docs, text), "copies")).toDF("_id", "_key")
+    n_copies = copies.count()
+    if n_copies:
+        # one row of each such document is the first; the others repeat all of its windows
+        copies = broadcast_if_small(copies, n_copies, 32)
+        every = windows(docs, text).join(copies, same("_id", "_key"), "left_semi").groupBy("doc_id", "_tie").agg(F.collect_set("pos").alias("_all")).toDF("_id", "_key", "_all")
+        again = joined.join(copies, same("_id", "_key"), "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_tie").orderBy(F.lit(1))))
+        again = again.join(every, same("_id", "_key"), "left").withColumn("_starts", F.when(F.col("_nth") > 1, F.col("_all")).otherwise(F.col("_starts"))).drop("_nth", "_all", "_id", "_key")
+        joined = joined.join(copies, same("_id", "_key"), "left_anti").unionByName(again)
+    cut = joined.withColumn("_lines", lines_of(text_or_empty(text)))
     cut = cut.withColumn("_left", F.when(F.col("_starts").isNull(), F.col("_lines")).otherwise(_kept(F.col("_lines"), F.col("_starts"))))
     n = F.when(F.col("_lines") == F.array(F.lit("")), 0).otherwise(F.size("_lines"))
-    out = cut.withColumn(text, F.when(F.col("_starts").isNull(), text_or_empty(text)).otherwise(F.array_join("_left", "\n")))
+    # what ends the last line that stays is its own, but a newline or space before a removed end goes with it
+    ended = F.array_join("_left", "")
+    gone_end = (F.size("_left") > 0) & (F.array_max("_starts") + WINDOW_LINES >= F.size("_lines"))
+    out = cut.withColumn(text, F.when(F.col("_starts").isNull(), text_or_empty(text)).when(gone_end, F.regexp_replace(ended, r"[\n ]\z", "")).otherwise(ended))
     out = out.withColumn("n_lines", n.cast("long")).withColumn("n_removed", (F.size("_lines") - F.size("_left")).cast("long"))
     return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
 
@@ -65,15 +97,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
-OP2_SQL = """
-WITH l AS (SELECT doc_id, i - 1 AS pos, trim(s[i], ' ') AS line, s[i] AS raw, len(s) AS n
-           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS u(i)),
+# chr(1) marks the ends of lines, as this dialect has no look-behind
+OP2_SQL = r"""
+WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '\n', E'\n\x01', 'g'), chr(1))) AS line, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '\n', E'\n\x01', 'g'), chr(1)), 1) AS i FROM documents),
+q AS (SELECT doc_id, i, string_split(CASE WHEN len(string_split(line, ' ')) > 30 THEN regexp_replace(line, '([.!?] )', E'\\1\x01', 'g') ELSE line END, chr(1)) AS s FROM p),
+u AS (SELECT doc_id, i, unnest(s) AS raw, generate_subscripts(s, 1) AS j FROM q),
+l AS (SELECT doc_id, raw, trim(regexp_replace(raw, '\n$', ''), ' ') AS line, row_number() OVER d - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i, j)),
 w AS (SELECT * FROM (SELECT doc_id, pos, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY pos))
       WHERE c IS NOT NULL AND NOT (a = '' AND b = '' AND c = '')),
 r AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS k FROM w) WHERE k > 1),
 x AS (SELECT DISTINCT doc_id, pos + o AS pos FROM r, (VALUES (0), (1), (2)) AS t(o)),
-k AS (SELECT l.*, x.pos IS NOT NULL AS gone FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.pos = x.pos)
-SELECT doc_id, CAST(CASE WHEN max(n) = 1 AND max(raw) = '' THEN 0 ELSE max(n) END AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
-  coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
-FROM k GROUP BY doc_id
+k AS (SELECT l.*, x.pos IS NOT NULL AS gone FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.pos = x.pos),
+g AS (SELECT doc_id, max(n) AS n, max(raw) AS raw, count(*) FILTER (WHERE gone) AS removed, bool_or(gone AND pos = n - 1) AS ended, coalesce(string_agg(raw, '' ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM k GROUP BY doc_id)
+SELECT doc_id, CAST(CASE WHEN n = 1 AND raw = '' THEN 0 ELSE n END AS BIGINT) AS n_lines, CAST(removed AS BIGINT) AS n_removed, CASE WHEN ended THEN regexp_replace(text, '[\n ]$', '') ELSE text END AS text
+FROM g
 """
