@@ -9,8 +9,9 @@ on the shingle sets.
 Buckets aren't expanded into pairs. First they are cut into neighbourhoods that no link crosses: in each bucket all nodes are compared with
 a pivot. With 1 - Jaccard as the distance d and links at d <= r, a node linked to one within r of the pivot is within 2 r of it.
 So nodes that may be within 2 r join the pivot's neighbourhood, nodes that are surely within r are settled, and the others
-try the bucket's next pivot; after ROUNDS pivots what is left joins one neighbourhood. Each neighbourhood is dealt out in blocks, and
-a task compares two blocks at a time in numpy. It returns the number of links of every node and links that connect the same nodes,
+try the bucket's next pivot; after ROUNDS pivots what is left joins one neighbourhood. Each neighbourhood is dealt out in blocks of at most
+BLOCK_NODES nodes and about BLOCK_BYTES, and a task compares two blocks at a time in numpy: a neighbourhood of m nodes sends each node to m / BLOCK_NODES
+tasks. It returns the number of links of every node and links that connect the same nodes,
 never the pairs themselves. Classes are the connected components.
 
 Defined cases: null text is empty; a document without words is a class of its own without links; rows that repeat id and text are the same
@@ -27,16 +28,17 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NEAR, SHINGLE_WORDS, bounded_batches, broadcast_if_small, staged, table, text_or_empty, unstage
+from .common import NEAR, SHINGLE_WORDS, bounded_batches, broadcast_if_small, scratch, staged, table, text_or_empty, unstage
 
 HASHES, BANDS, ROWS = 180, 36, 5
 COMPARED, STEP = 128, 16
 TOLERANCE = 1e-6
 ROUNDS = 3
-BLOCK_NODES, BLOCK_BYTES = 256, 1 << 21
+BLOCK_NODES, BLOCK_BYTES = 1024, 1 << 23  # of a block that a task holds
+TILE = 256  # nodes of a block that are compared at once
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -160,7 +162,9 @@ def neighbourhoods(nodes: DataFrame, members: DataFrame, threshold: float) -> Da
     for round_ in range(ROUNDS + 1):
         # the node with most company in its buckets leads, so that many buckets have the same pivot and few pairs differ
         sizes = alive.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("company", "node")).alias("lead")).filter("n > 1")
-        rows = alive.join(sizes.select("bucket", F.col("lead.node").alias("pivot")), "bucket").filter("node != pivot")
+        # staged, so that the join reads plain shuffles and a hot bucket can be split
+        leads = staged(sizes.select("bucket", F.col("lead.node").alias("pivot")), "leads")
+        rows = alive.join(leads, "bucket").filter("node != pivot")
         if round_ == ROUNDS:
             found.append(rows.select(F.col("pivot").alias("x"), F.col("node").alias("y")))
             break
@@ -212,26 +216,30 @@ def compare_blocks(a: list[dict], b: list[dict] | None, threshold: float) -> tup
             parent[x] = x = parent[parent[x]]
         return x
 
-    for lo in range(0, n[0], 32):  # 32 rows of pairs at once
-        i, j = np.divmod(np.arange(lo * n[1], min(n[0], lo + 32) * n[1]), n[1])
-        if own:
-            i, j = i[i < j], j[i < j]
-        stays, _ = survivors(sig[0][i], sig[1][j], threshold)
-        i, j = i[stays], j[stays]
-        if not len(i):
-            continue
-        rows = sets[0][lo : lo + 32]
-        both = _intersections(rows, sets[1], i - lo, j)
-        size = [np.array([len(s) for s in v]) for v in sets]
-        linked = both >= threshold * (size[0][i] + size[1][j] - both) - 1e-9
-        for x, y in zip(i[linked].tolist(), j[linked].tolist()):
-            p, q = a[x], b[y]
-            counts[p["node"]] = counts.get(p["node"], 0) + q["copies"]
-            counts[q["node"]] = counts.get(q["node"], 0) + p["copies"]
-            r, s = root(p["node"]), root(q["node"])
-            if r != s:
-                parent[r] = s
-                links.append((p["node"], q["node"]))
+    size = [np.array([len(s) for s in v]) for v in sets]
+    for lo in range(0, n[0], 32):  # 32 rows of pairs at once, with TILE others
+        for first in range(0, n[1], TILE):
+            last = min(n[1], first + TILE)
+            if own and last <= lo + 1:
+                continue
+            i, j = np.divmod(np.arange((min(n[0], lo + 32) - lo) * (last - first)), last - first)
+            i, j = i + lo, j + first
+            if own:
+                i, j = i[i < j], j[i < j]
+            stays, _ = survivors(sig[0][i], sig[1][j], threshold)
+            i, j = i[stays], j[stays]
+            if not len(i):
+                continue
+            both = _intersections(sets[0][lo : lo + 32], sets[1][first:last], i - lo, j - first)
+            linked = both >= threshold * (size[0][i] + size[1][j] - both) - 1e-9
+            for x, y in zip(i[linked].tolist(), j[linked].tolist()):
+                p, q = a[x], b[y]
+                counts[p["node"]] = counts.get(p["node"], 0) + q["copies"]
+                counts[q["node"]] = counts.get(q["node"], 0) + p["copies"]
+                r, s = root(p["node"]), root(q["node"])
+                if r != s:
+                    parent[r] = s
+                    links.append((p["node"], q["node"]))
     return links, counts
 
 
@@ -310,29 +318,33 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     bounded_batches(docs.sparkSession)
     body = text_or_empty(text)
-    rows = docs.select(F.col(key).alias("id"), body.alias("text"))
-    prints = staged(rows.select("id", F.xxhash64("text").alias("tie"), F.pandas_udf(_prints, PRINT)("text").alias("p")).select("id", "tie", "p.*"), "prints")
-    rank = F.struct(F.col("id").isNotNull(), "id", "tie")
-    own = prints.filter("n > 0").groupBy("key").agg(F.min(rank).alias("least"), F.count_distinct(F.struct("id", "tie")).alias("copies"))
-    own = staged(own.select(F.xxhash64(F.lit(3), "key").alias("node"), "key", F.col("least.id").alias("id"), F.col("least.tie").alias("tie"), "copies"), "own")
-    # equal keys are equal sets, so any row of a key stands for the node
-    nodes = staged(prints.join(own.select("node", "key", F.col("id").alias("i"), F.col("tie").alias("t")), "key").filter(F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t"))).select("node", "id", "tie", "sig", "bands").dropDuplicates(["node"]), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = staged(banded.join(shared, "bucket"), "members")
-    members = staged(members.join(members.groupBy("node").agg(F.sum("n").alias("company")), "node").select("bucket", "node", "company"), "company")
-    hoods = components(neighbourhoods(nodes, members, threshold))
-    needed = staged(nodes.join(hoods.select("node"), "node", "left_semi").select("node", "id", "tie"), "needed")
-    wanted = broadcast_if_small(needed.select("node", F.col("id").alias("i"), F.col("tie").alias("t")), needed.count(), 48)
-    texts = rows.withColumn("tie", F.xxhash64("text")).join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t"))).select("node", "text")
-    sets = texts.select("node", F.pandas_udf(_sets, "binary")("text").alias("hashes")).dropDuplicates(["node"])
-    sets = staged(sets.join(nodes.select("node", "sig"), "node").join(own.select("node", "copies"), "node"), "sets")
-    edges, degree = links(hoods, sets, threshold)
-    roots = components(edges)
-    known = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(degree, "node", "left")
-    known = staged(known.select("key", "root", "id", "tie", "copies", F.coalesce("linked", F.lit(0)).alias("linked")), "known")
-    classes = known.groupBy("root").agg(F.min(rank).alias("least"), F.sum("copies").alias("class_size"))
-    known = staged(known.join(classes, "root").select("key", "least", "class_size", (F.col("copies") - 1 + F.col("linked")).alias("n_links")), "classes")
+    with scratch() as keep:
+        rows = docs.select(F.col(key).alias("id"), body.alias("text"))
+        prints = keep(staged(rows.select("id", F.xxhash64("text").alias("tie"), F.pandas_udf(_prints, PRINT)("text").alias("p")).select("id", "tie", "p.*"), "prints"))
+        rank = F.struct(F.col("id").isNotNull(), "id", "tie")
+        own = prints.filter("n > 0").groupBy("key").agg(F.min(rank).alias("least"), F.count_distinct(F.struct("id", "tie")).alias("copies"))
+        # a node is a 64-bit hash of its 128-bit key; keys that share a hash get further hashes
+        own = own.withColumn("_h", F.xxhash64(F.lit(3), "key")).withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy("key")))
+        node = F.when(F.col("_n") == 1, F.col("_h")).otherwise(F.xxhash64("_n", "key"))
+        own = staged(own.select(node.alias("node"), "key", F.col("least.id").alias("id"), F.col("least.tie").alias("tie"), "copies"), "own")
+        # equal keys are equal sets, so any row of a key stands for the node
+        nodes = staged(prints.join(own.select("node", "key", F.col("id").alias("i"), F.col("tie").alias("t")), "key").filter(F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t"))).select("node", "id", "tie", "sig", "bands").dropDuplicates(["node"]), "nodes")
+        banded = nodes.select("node", F.explode("bands").alias("bucket"))
+        shared = staged(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+        members = staged(banded.join(shared, "bucket"), "members")
+        members = staged(members.join(members.groupBy("node").agg(F.sum("n").alias("company")), "node").select("bucket", "node", "company"), "company")
+        hoods = components(neighbourhoods(nodes, members, threshold))
+        needed = staged(nodes.join(hoods.select("node"), "node", "left_semi").select("node", "id", "tie"), "needed")
+        wanted = broadcast_if_small(needed.select("node", F.col("id").alias("i"), F.col("tie").alias("t")), needed.count(), 48)
+        texts = rows.withColumn("tie", F.xxhash64("text")).join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t"))).select("node", "text")
+        sets = texts.select("node", F.pandas_udf(_sets, "binary")("text").alias("hashes")).dropDuplicates(["node"])
+        sets = staged(sets.join(nodes.select("node", "sig"), "node").join(own.select("node", "copies"), "node"), "sets")
+        edges, degree = links(hoods, sets, threshold)
+        roots = components(edges)
+        known = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(degree, "node", "left")
+        known = staged(known.select("key", "root", "id", "tie", "copies", F.coalesce("linked", F.lit(0)).alias("linked")), "known")
+        classes = known.groupBy("root").agg(F.min(rank).alias("least"), F.sum("copies").alias("class_size"))
+        known = keep(staged(known.join(classes, "root").select("key", "least", "class_size", (F.col("copies") - 1 + F.col("linked")).alias("n_links")), "classes"))
     out = prints.select("id", "tie", "key").join(known, "key", "left")
     alone = F.col("least").isNull()
     return out.select(
