@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bounded_batches, broadcast_if_small, staged, table, unstage
+from .common import BROADCAST_BYTES, bounded_batches, broadcast_if_small, scratch, staged, table, unstage
 from .urls import host_of
 
 #: HTML element classes.
@@ -801,8 +801,9 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     """key, url, text and n_chars for every row of pages."""
     bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    seen = staged(rows.select("key", "url", "host", F.pandas_udf(read_pages, READ)("html").alias("p")).select("key", "url", "host", "p.*"), "read")
-    wrappers = host_wrappers(seen).select("host", "wrapper", "constants")
+    with scratch() as keep:
+        seen = keep(staged(rows.select("key", "url", "host", F.pandas_udf(read_pages, READ)("html").alias("p")).select("key", "url", "host", "p.*"), "read"))
+        wrappers = keep(host_wrappers(seen)).select("host", "wrapper", "constants")
     size = wrappers.agg(F.sum(F.length("host") + F.length("wrapper") + 64 + F.coalesce(F.size("constants"), F.lit(0)) * 8).alias("b")).first()["b"] or 0
     joined = seen.select("key", "url", "host", "tokens", "texts").join(broadcast_if_small(wrappers, size, 1), "host", "left")
 
