@@ -27,7 +27,10 @@ paper article figure table section method methods
 STRONG_HEADER = r"(?i)^#*\s*\*{0,2}\s*(REFERENCES?|BIBLIOGRAPHY|LITERATURE CITED)\s*\*{0,2}\s*$"
 WEAK_HEADER = r"(?i)^#*\s*(ACKNOWLEDGMENTS?|SUPPLEMENTARY|SUPPLEMENTAL MATERIALS?|APPENDIX|DATA AVAILABILITY|CONFLICT OF INTEREST|AUTHOR CONTRIBUTIONS?)\s*$"
 ARCHIVE_BANNER = "As a library, NLM provides access"
+#: What a figure or table reference at the end of a claim looks like, and a token that looks like citation machinery.
 TRAILING_REFERENCE = r"(?i)(\s*\((?:see\s+)?(?:fig(?:ure)?|figs?|table|tbl|panel|suppl[a-z]*|appendix|appx|eq(?:uation)?|ref)\.?\s*[^)]*\)\s*)+$"
+MALFORMED_TOKEN = r"(?i)(?:(?:^|[^\w])(?:e(?:[\W_]*i[\W_*d]*)?|evidence(?:[\W_]*i[\W_*d]*))[\W_]*[0-9])|(?:^|[^\w])E[0-9]{1,2}(?::|\b)"
+KNOWN_BRACKET = r"(?i)^(\[[0-9]+(?:[,;\-\s]+[0-9]+)*\]|\[PMID:\s*[0-9]+\])$"
 WORD = r"[\p{L}\p{N}]+"
 
 _LATIN = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(c))[0].isascii()]
@@ -73,8 +76,8 @@ def claim_normal(text: Column) -> Column:
 
 def claim_tokens(text: Column) -> Column:
     """Words and numbers of a claim, in order, without stopwords and single characters."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.regexp_extract_all(claim_normal(text), F.lit(r"[a-z][a-z\-]*[0-9]*[a-z0-9]|[0-9]+"), F.lit(0)), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    # isin with many literals is a hash set
+    return F.filter(F.regexp_extract_all(claim_normal(text), F.lit(r"[a-z][a-z\-]*[0-9]*[a-z0-9]|[0-9]+"), F.lit(0)), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
 def clean_lines(text: Column) -> Column:
@@ -103,6 +106,14 @@ def strip_trailing_references(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), TRAILING_REFERENCE, ""))
 
 
+def malformed_tokens(text: Column) -> Column:
+    """Bracketed tokens that look like citations but have none of their shapes."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[[^\]\n]{1,40}\]"), F.lit(0))
+    inner = lambda t: F.trim(t.substr(F.lit(2), F.length(t) - 2))
+    known = lambda t: t.rlike(KNOWN_BRACKET) | (t.rlike(r"^\[[^\]]*[0-9]{4}[a-z]?\]$") & t.rlike("[A-Za-z]"))
+    return F.filter(found, lambda x: (inner(strict_normal(x)) != "") & ~known(strict_normal(x)) & inner(strict_normal(x)).rlike(MALFORMED_TOKEN))
+
+
 def search_terms(query: Column) -> Column:
     """Query words without the full-text syntax characters."""
     return F.array_distinct(words(F.regexp_replace(query, r'["^{}()\[\]*:]', " ")))
@@ -118,14 +129,29 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 
 
-def expand_pages(spec: Column, most: int = 50) -> Column:
-    """'1-3,7' as a sorted array of distinct pages, at most ``most``; null for a malformed spec."""
-    ok = spec.rlike(r"^\s*[0-9]+\s*(-\s*[0-9]+\s*)?(,\s*[0-9]+\s*(-\s*[0-9]+\s*)?)*$")
-    part = lambda p: F.sequence(F.regexp_extract(p, "^([0-9]+)", 1).cast("int"), F.regexp_extract(p, "([0-9]+)$", 1).cast("int"))
-    valid = lambda p: F.regexp_extract(p, "^([0-9]+)", 1).cast("int") <= F.regexp_extract(p, "([0-9]+)$", 1).cast("int")
-    parts = F.split(F.regexp_replace(spec, r"\s+", ""), ",")
-    pages = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(parts, valid), part))))
-    return F.when(ok & F.forall(parts, valid) & (F.size(pages) <= most), pages)
+#: Pages that one request may name.
+MOST_PAGES = 50
+
+
+def read_pages(spec: Column, most: int = MOST_PAGES) -> Column:
+    """struct(pages, error) of '1-3,7': a sorted array of distinct pages, or why there is none: invalid, too_many or nonpositive.
+
+    Parts are judged in order and before anything is spelled out, so that a huge range costs nothing.
+    """
+    ok = F.coalesce(spec.rlike(r"^\s*[0-9]+\s*(-\s*[0-9]+\s*)?(,\s*[0-9]+\s*(-\s*[0-9]+\s*)?)*$"), F.lit(False))
+    parts = F.split(F.regexp_replace(F.when(ok, spec).otherwise("0"), r"\s+", ""), ",")
+    lo = lambda p: F.regexp_extract(p, "^([0-9]+)", 1).cast("decimal(38,0)")
+    hi = lambda p: F.regexp_extract(p, "([0-9]+)$", 1).cast("decimal(38,0)")
+    fault = lambda p: F.when(F.coalesce(lo(p) > hi(p), F.lit(True)), "invalid").when(hi(p) - lo(p) + 1 > most, "too_many")
+    small = F.filter(parts, lambda p: fault(p).isNull())
+    pages = F.array_sort(F.array_distinct(F.flatten(F.transform(small, lambda p: F.transform(F.sequence(F.lit(0).cast("long"), (hi(p) - lo(p)).cast("long")), lambda i: (lo(p) + i).cast("decimal(38,0)"))))))
+    error = F.when(~ok, "invalid").otherwise(F.coalesce(F.get(F.filter(F.transform(parts, fault), lambda x: x.isNotNull()), F.lit(0)), F.when(F.size(pages) > most, "too_many"), F.when(F.array_min(pages) < 1, "nonpositive")))
+    return F.struct(F.when(error.isNull(), pages.cast("array<bigint>")).alias("pages"), error.alias("error"))
+
+
+def expand_pages(spec: Column, most: int = MOST_PAGES) -> Column:
+    """The pages of read_pages; null for a spec with an error."""
+    return read_pages(spec, most)["pages"]
 
 
 def format_pages(pages: Column) -> Column:

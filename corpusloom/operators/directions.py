@@ -28,18 +28,18 @@ def diverge(channels: list[tuple[str, DataFrame]], focus: str = "", k: int = 20)
     return top_k(once.withColumn("_n", near).withColumn("_all", F.lit(0)), k, ["_all"], [F.col("_n").desc(), F.col("_o"), F.col("score").desc(), F.col("direction_id")]).drop("_all", "_n", "_o")
 
 
-def verification(hypotheses: DataFrame, evidence: DataFrame) -> DataFrame:
-    """id, n_for, n_against, status of hypotheses (id, n_expected) and evidence (id, similarity, stance).
+def verification(hypotheses: DataFrame, evidence: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """id, n_evidence, n_valid, status of hypotheses (id).
 
-    Evidence counts if its similarity is unknown or at least WEAK_SIMILARITY. Supported needs two for and none against, refuted
-    more against than for, mixed both, open the rest.
+    evidence: id, similarity, valid (a pointer that the ledger holds). It counts if its similarity is unknown or at least WEAK_SIMILARITY. verdicts: id,
+    verdict of a critic. In this order: unsupported without evidence or without a valid pointer, refuted if the critic says contradicted, verified if it
+    says supported, else speculative.
     """
     good = evidence.filter(F.col("similarity").isNull() | (F.col("similarity") >= WEAK_SIMILARITY))
-    n = good.groupBy("id").agg(F.count_if(F.col("stance") == "for").alias("n_for"), F.count_if(F.col("stance") == "against").alias("n_against"))
-    out = hypotheses.join(n, "id", "left").fillna(0, ["n_for", "n_against"])
-    f, a = F.col("n_for"), F.col("n_against")
-    status = F.when((f >= 2) & (a == 0), "supported").when(a > f, "refuted").when((f > 0) & (a > 0), "mixed").otherwise("open")
-    return out.select("id", "n_for", "n_against", status.alias("status"))
+    n = good.groupBy("id").agg(F.count("*").alias("n_evidence"), F.count_if("valid").alias("n_valid"))
+    out = hypotheses.select("id").join(n, "id", "left").fillna(0, ["n_evidence", "n_valid"]).join(verdicts.select("id", F.lower("verdict").alias("_v")), "id", "left")
+    status = F.when(F.col("n_valid") == 0, "unsupported").when(F.col("_v") == "contradicted", "refuted").when(F.col("_v") == "supported", "verified").otherwise("speculative")
+    return out.select("id", "n_evidence", "n_valid", status.alias("status"))
 
 
 def research(rounds: int, propose: Callable[[int], DataFrame], verify: Callable[[DataFrame], DataFrame], seen: DataFrame) -> DataFrame:
@@ -67,7 +67,8 @@ def answer(library, question: str, model: Callable[[str, list[str]], str], k: in
     text = model(question, [h["text"] for h in hits])
     body, lines = split_sources(F.lit(text))
     row = spark.range(1).select(body.alias("body"), lines.alias("lines")).first()
-    named = spark.createDataFrame([(x,) for x in row["lines"]], "line string")
-    known = spark.createDataFrame([(h["source"], h["parent_id"], h["source"], h["source"]) for h in hits], "source string, parent_id string, stem string, title string").distinct()
+    named = spark.createDataFrame([(0, i, x) for i, x in enumerate(row["lines"])], "session int, pos int, line string")
+    known = spark.createDataFrame(sorted({(0, h["parent_id"], h["source"]) for h in hits}), "session int, parent_id string, title string")
     checked = resolve_lines(named, known).collect()
-    return {"answer": row["body"], "sources": sorted({r["source"] for r in checked if r["source"]}), "dropped": sorted(r["line"] for r in checked if not r["source"])}
+    source = {h["parent_id"]: h["source"] for h in hits}
+    return {"answer": row["body"], "sources": sorted({source[r["parent_id"]] for r in checked if r["parent_id"]}), "dropped": sorted(r["line"] for r in checked if not r["parent_id"])}

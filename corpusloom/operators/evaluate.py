@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REFUSALS = ("no literature supporting", "could not find", "no relevant", "insufficient evidence")
+#: What an answer that refuses says.
+REFUSALS = ("no literature supporting", "no supporting evidence", "not answerable", "cannot be answered")
 
 
 def first_gold(hits: DataFrame, gold: Column) -> DataFrame:
@@ -25,12 +26,27 @@ def refuses(body: Column) -> Column:
     return F.lower(body).rlike("|".join(REFUSALS))
 
 
-def faithfulness(answers: DataFrame) -> DataFrame:
-    """id, hallucination, citation_accuracy, refusal_ok of (id, answer, cited, expected, refusal_expected, n_claims, n_unresolved)."""
-    good = F.size(F.array_intersect("cited", "expected"))
-    return answers.select(
+def faithfulness(answers: DataFrame, claims: DataFrame) -> DataFrame:
+    """id, hallucination, exposure, citation_accuracy, n_cited, refusal_ok of answers (id, answer, expected, refusal_expected).
+
+    claims: id, kept, n_verified, n_external, n_unresolved (see guard.validate_claims, not strict). Hallucination is the share of kept claims
+    without verified or external evidence: 0 without claims, 1 if none was kept. Citation accuracy is the share of source lines whose folded form
+    holds a folded expected source: 0 without lines, null where a refusal is expected. A refusal is looked for in the answer without its sources.
+    """
+    from corpusloom.functions.text import source_stem
+    from corpusloom.operators.guard import split_sources
+
+    none = (F.col("n_verified") == 0) & (F.col("n_external") == 0)
+    shares = claims.groupBy("id").agg(F.count_if("kept").alias("_k"), F.count_if(F.col("kept") & none).alias("_h"), F.count_if(F.col("kept") & none & (F.col("n_unresolved") > 0)).alias("_u"))
+    body, lines = split_sources(F.coalesce("answer", F.lit("")))
+    rows = answers.select("id", body.alias("_b"), lines.alias("_l"), F.filter(F.transform(F.coalesce("expected", F.array().cast("array<string>")), source_stem), lambda x: x != "").alias("_e"), "refusal_expected").join(shares, "id", "left")
+    good = F.size(F.filter("_l", lambda x: F.exists("_e", lambda e: source_stem(x).contains(e))))
+    accuracy = F.when(F.col("refusal_expected"), F.lit(None)).when(F.size("_l") == 0, 0.0).otherwise(good / F.size("_l"))
+    return rows.select(
         "id",
-        F.when(F.col("n_claims") > 0, F.col("n_unresolved") / F.col("n_claims")).alias("hallucination"),
-        F.when(~F.col("refusal_expected") & (F.size("cited") > 0), good / F.size("cited")).alias("citation_accuracy"),
-        (refuses(F.col("answer")) == F.col("refusal_expected")).alias("refusal_ok"),
+        F.when(F.col("_k").isNull(), 0.0).when(F.col("_k") == 0, 1.0).otherwise(F.col("_h") / F.col("_k")).alias("hallucination"),
+        F.when(F.coalesce("_k", F.lit(0)) == 0, 0.0).otherwise(F.col("_u") / F.col("_k")).alias("exposure"),
+        accuracy.alias("citation_accuracy"),
+        F.size("_l").cast("long").alias("n_cited"),
+        (refuses(F.col("_b")) == F.col("refusal_expected")).alias("refusal_ok"),
     )

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions import titles as tt
 from corpusloom.functions.identifiers import normalize_doi
@@ -105,15 +106,30 @@ def retracted(papers: DataFrame, notices: DataFrame, doi: str = "doi") -> DataFr
     return papers.join(bad, normalize_doi(F.col(doi)) == F.col("_d"), "left").drop("_d").withColumn("retracted", F.coalesce("retracted", F.lit(False)))
 
 
+SAME_PAPER = 0.6
+
+
 def duplicate_verdicts(papers: DataFrame) -> DataFrame:
-    """doi, n, verdict of DOIs that several papers carry: the same paper if some two of their titles are similar, else a conflict. papers: key, doi, title.
+    """doi, n, verdict of DOIs that several papers carry. papers: key, doi, title.
 
-    Papers of one DOI are compared with the one of the least key, which bounds the work by the number of papers.
+    same-paper if the blended similarity of some two titles reaches SAME_PAPER, no-titles if fewer than two papers have a title, else CONFLICT. Equal token
+    sets are one set that occurs twice. Of two other sets so alike the smaller shares that part of its tokens, so one of its rarest tokens within the DOI,
+    as many as may be missing and one more, is in the larger: only such pairs are compared.
     """
-    keyed = papers.filter("doi is not null").withColumn("_t", tt.title_tokens(F.col("title")))
-    groups = keyed.groupBy("doi").agg(F.count("*").alias("n"), F.min(F.struct("key", "_t")).alias("least")).filter("n > 1")
-    sims = keyed.join(groups, "doi").filter(F.col("key") != F.col("least.key")).withColumn("s", tt.jaccard(F.col("_t"), F.col("least._t")))
-    return sims.groupBy("doi").agg(F.first("n").alias("n"), F.max("s").alias("s")).select("doi", "n", F.when(F.col("s") >= 0.6, "same-paper").otherwise("CONFLICT").alias("verdict"))
+    keyed = papers.filter("doi is not null").withColumn("_t", F.array_sort(tt.title_tokens(F.col("title")))).withColumn("_has", F.coalesce(F.col("title") != "", F.lit(False)))
+    groups = keyed.groupBy("doi").agg(F.count("*").alias("n"), F.count_if("_has").alias("titled")).filter("n > 1")
+    sets = keyed.filter(F.col("_has") & (F.size("_t") > 0)).join(groups.select("doi"), "doi", "left_semi").groupBy("doi", "_t").agg(F.count("*").alias("_m"))
+    sets = sets.withColumn("_id", F.xxhash64("_t"))
+    each = sets.select("doi", "_id", F.size("_t").alias("_s"), F.explode("_t").alias("tok"))
+    rare = each.join(each.groupBy("doi", "tok").agg(F.count("*").alias("df")), ["doi", "tok"])
+    place = F.row_number().over(Window.partitionBy("doi", "_id").orderBy("df", "tok"))
+    first = rare.withColumn("_r", place).filter(F.col("_r") <= F.col("_s") - F.ceil(SAME_PAPER * F.col("_s") - 1e-9) + 1)
+    pairs = first.select("doi", "tok", F.col("_id").alias("a"), F.col("_s").alias("sa")).join(each.select("doi", "tok", F.col("_id").alias("b"), F.col("_s").alias("sb")), ["doi", "tok"])
+    pairs = pairs.filter((F.col("a") != F.col("b")) & (F.col("sa") <= F.col("sb"))).select("doi", "a", "b").distinct()
+    of = lambda c: sets.select("doi", F.col("_id").alias(c), F.col("_t").alias(f"t{c}"))
+    alike = pairs.join(of("a"), ["doi", "a"]).join(of("b"), ["doi", "b"]).filter(tt.blended_similarity(F.col("ta"), F.col("tb")) >= SAME_PAPER).select("doi")
+    same = alike.union(sets.filter("_m > 1").select("doi")).distinct().withColumn("_same", F.lit(True))
+    return groups.join(same, "doi", "left").select("doi", "n", F.when(F.col("titled") < 2, "no-titles").when(F.col("_same"), "same-paper").otherwise("CONFLICT").alias("verdict"))
 
 
 def drift(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:

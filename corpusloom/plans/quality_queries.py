@@ -96,56 +96,6 @@ def lexical_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.lexical_support(pairs, claims, chunks).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH l AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'p' || doc_id WHEN 1 THEN upper('doc ' || doc_id) WHEN 2 THEN 'doc_' || doc_id WHEN 3 THEN 'about ' || doc_id ELSE 'invented ' || doc_id END AS line FROM documents)
-SELECT line, CASE WHEN doc_id % 5 < 4 THEN 'doc ' || doc_id END AS source, CASE doc_id % 5 WHEN 0 THEN 'id' WHEN 1 THEN 'name' WHEN 2 THEN 'stem' WHEN 3 THEN 'title' END AS how FROM l""")
-def source_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source line for every document, resolved by the first way that fits; invented ones stay without a source."""
-    i, m = F.col("doc_id").cast("string"), F.col("doc_id") % 5
-    d = read(spark, sf_dir, "documents").select("doc_id")
-    lines = d.select(F.when(m == 0, F.concat(F.lit("p"), i)).when(m == 1, F.concat(F.lit("DOC "), i)).when(m == 2, F.concat(F.lit("doc_"), i)).when(m == 3, F.concat(F.lit("about "), i)).otherwise(F.concat(F.lit("invented "), i)).alias("line"))
-    known = d.select(F.concat(F.lit("doc "), i).alias("source"), F.concat(F.lit("p"), i).alias("parent_id"), tx.source_stem(F.concat(F.lit("doc "), i)).alias("stem"), F.concat(F.lit("About "), i).alias("title"))
-    return guard.resolve_lines(lines, known)
-
-
-@query("""WITH c AS (SELECT 'C' || (conv_id * 1000 + turn) AS claim_id, text, CASE turn % 3 WHEN 0 THEN 'strong' WHEN 1 THEN 'weak' ELSE 'sure' END AS confidence, role, turn FROM conversations WHERE role = 'assistant'),
-e AS (SELECT claim_id, 'chunk' AS kind, 'src' || (length(text) % 40) AS ref FROM c UNION ALL SELECT claim_id, 'citation', 'none' FROM c WHERE turn % 2 = 1),
-k AS (SELECT DISTINCT source AS ref FROM documents),
-s AS (SELECT claim_id, CASE WHEN k.ref IS NOT NULL THEN 'v' WHEN kind = 'citation' THEN 'e' ELSE 'u' END AS st FROM e LEFT JOIN k USING (ref)),
-n AS (SELECT claim_id, count(*) FILTER (WHERE st = 'v') AS v, count(*) FILTER (WHERE st = 'e') AS e, count(*) FILTER (WHERE st = 'u') AS u FROM s GROUP BY claim_id), t AS (SELECT claim_id, count(*) AS k FROM c GROUP BY claim_id)
-SELECT c.claim_id AS claim_id, v AS n_verified, e AS n_external, u AS n_unresolved, concat_ws(',', CASE WHEN k > 1 THEN 'repeated' END, CASE WHEN trim(text) = '' THEN 'text' END, CASE WHEN confidence = 'sure' THEN 'confidence' END, CASE WHEN v + e = 0 THEN 'unresolved' END) AS errors FROM c JOIN n USING (claim_id) JOIN t USING (claim_id)""")
-def claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as claims with made-up evidence, judged against the sources of the corpus."""
-    i = F.concat(F.lit("C"), (F.col("conv_id") * 1000 + F.col("turn")).cast("string"))
-    c = read(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    claims = c.select(i.alias("claim_id"), "text", F.when(F.col("turn") % 3 == 0, "strong").when(F.col("turn") % 3 == 1, "weak").otherwise("sure").alias("confidence"))
-    chunk = c.select(i.alias("claim_id"), F.lit("chunk").alias("kind"), F.concat(F.lit("src"), (F.length("text") % 40).cast("string")).alias("ref"))
-    cite = c.filter("turn % 2 = 1").select(i.alias("claim_id"), F.lit("citation").alias("kind"), F.lit("none").alias("ref"))
-    out = guard.claim_status(claims, chunk.unionByName(cite), read(spark, sf_dir, "documents").select(F.col("source").alias("key")))
-    return out.withColumn("errors", F.concat_ws(",", "errors"))
-
-
-@query("""WITH a AS (SELECT conv_id, turn, 'grew by ' || (conv_id % 7) || ',000 of ' || turn || ' cells' AS claim, CASE WHEN turn % 2 = 0 THEN 'it grew by ' || (conv_id % 5) || '000' ELSE 'no numbers' END AS evidence FROM conversations),
-b AS (SELECT conv_id, turn, list_transform(regexp_extract_all(claim, '[0-9]+(?:,[0-9]{3})*(?:\\.[0-9]+)?'), lambda n: replace(n, ',', '')) AS x, list_transform(regexp_extract_all(evidence, '[0-9]+(?:,[0-9]{3})*(?:\\.[0-9]+)?'), lambda n: replace(n, ',', '')) AS y FROM a)
-SELECT conv_id, turn, CASE WHEN len(x) > 0 THEN len(list_intersect(x, y)) = 0 END AS mismatch FROM b""")
-def numeric_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of a made-up claim for every turn, looked up in made-up evidence."""
-    c, t = F.col("conv_id"), F.col("turn")
-    claim = F.concat(F.lit("grew by "), (c % 7).cast("string"), F.lit(",000 of "), t.cast("string"), F.lit(" cells"))
-    evidence = F.when(t % 2 == 0, F.concat(F.lit("it grew by "), (c % 5).cast("string"), F.lit("000"))).otherwise("no numbers")
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", guard.numeric_mismatch(claim, evidence).alias("mismatch"))
-
-
-@query("""WITH l AS (SELECT conv_id, role, CASE WHEN role = 'user' THEN text WHEN conv_id % 3 = 0 THEN 'No relevant passages' WHEN conv_id % 3 = 1 THEN 'Parent ID: a' || chr(10) || 'Parent ID: b' ELSE text END AS text FROM conversations),
-c AS (SELECT conv_id, count(*) FILTER (WHERE role = 'user' AND length(text) >= 8) AS queries, count(*) FILTER (WHERE role <> 'user' AND regexp_matches(lower(text), 'no relevant|no results|not found|no matching|nothing found|0 results')) AS empty,
-  CAST(coalesce(sum(CASE WHEN role <> 'user' THEN len(regexp_extract_all(text, '(?m)^Parent ID:')) ELSE 0 END), 0) AS BIGINT) AS blocks FROM l GROUP BY conv_id)
-SELECT conv_id, queries, empty, blocks, queries > 0 AND empty > 0 AND blocks = 0 AS no_evidence FROM c""")
-def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as message logs; replies of some are made empty, of others result blocks."""
-    m = F.col("conv_id") % 3
-    text = F.when(F.col("role") == "user", F.col("text")).when(m == 0, "No relevant passages").when(m == 1, "Parent ID: a\nParent ID: b").otherwise(F.col("text"))
-    return guard.evidence_gate(read(spark, sf_dir, "conversations").withColumn("text", text))
-
-
 @query("""WITH a AS (SELECT c_custkey AS id, 'Bone grows (Smith et al., 2020) and heals (Lee, ' || (2000 + c_custkey % 3) || ') in ' || c_mktsegment || '.' AS text FROM customer)
 SELECT id, CASE WHEN id % 5 = 0 THEN text WHEN id % 3 = 1 THEN replace(text, ' (Smith et al., 2020)', '') ELSE replace(replace(text, ' (Smith et al., 2020)', ''), ' (Lee, ' || (2000 + id % 3) || ')', '') END AS text,
   CAST(CASE WHEN id % 5 = 0 THEN 0 WHEN id % 3 = 1 THEN 1 ELSE 2 END AS BIGINT) AS n_removed FROM a""")
@@ -166,18 +116,6 @@ def tier_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.by_tier(scored).select("tier", "n", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS id, ['' || l_suppkey, 's' || (l_suppkey % 7)] AS cited, ['' || l_suppkey] AS expected, l_linenumber AS n_claims, l_linenumber % 3 AS n_unresolved, l_quantity < 10 AS refusal_expected,
-  CASE WHEN l_quantity < 8 THEN 'There is No literature supporting this' ELSE 'Yes' END AS answer, l_partkey, l_extendedprice FROM lineitem)
-SELECT id, l_partkey, l_extendedprice, round(CASE WHEN n_claims > 0 THEN n_unresolved / n_claims END, 6) AS hallucination, CASE WHEN NOT refusal_expected THEN CAST(0.5 AS DOUBLE) END AS citation_accuracy, regexp_matches(lower(answer), 'no literature supporting') = refusal_expected AS refusal_ok FROM a""")
-def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faithfulness of a made-up answer for every order line."""
-    line = read(spark, sf_dir, "lineitem")
-    s = F.col("l_suppkey").cast("string")
-    rows = line.select(F.struct("l_orderkey", "l_partkey", "l_extendedprice").alias("id"), F.array(s, F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string"))).alias("cited"), F.array(s).alias("expected"), F.col("l_linenumber").alias("n_claims"), (F.col("l_linenumber") % 3).alias("n_unresolved"), (F.col("l_quantity") < 10).alias("refusal_expected"), F.when(F.col("l_quantity") < 8, "There is No literature supporting this").otherwise("Yes").alias("answer"))
-    out = evaluate.faithfulness(rows)
-    return out.select(F.col("id.l_orderkey").alias("id"), "id.l_partkey", "id.l_extendedprice", F.round("hallucination", 6).alias("hallucination"), "citation_accuracy", "refusal_ok")
-
-
 @query("""WITH t AS (SELECT DISTINCT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '-') ELSE p_name END AS topic FROM part),
 v AS (SELECT topic, count(*) AS df FROM t GROUP BY topic), f AS (SELECT *, array_to_string(list_sort(string_split(regexp_replace(lower(topic), '[-\\s]+', ' ', 'g'), ' ')), ' ') AS fold FROM v),
 b AS (SELECT fold, topic AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY contains(topic, '-') DESC, df DESC, topic) AS k FROM f) WHERE k = 1)
@@ -246,16 +184,6 @@ def tree_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.collapse_costs(_ranges(spark, sf_dir).select("doc", "ord", "parent", "start", "end"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS doc, l_linenumber AS pos, l_partkey % 3 AS o FROM lineitem), c AS (SELECT doc, o, count(*) AS n, min(pos) AS first FROM a GROUP BY doc, o)
-SELECT doc, CAST(o AS BIGINT) AS "offset", n FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, first, o) AS k FROM c) WHERE k = 1 AND doc IN (SELECT doc FROM c GROUP BY doc HAVING count(*) = count(DISTINCT n * 100 + first))""")
-def page_offset_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The commonest page offset of every order; orders with full ties of count and place are left out on both sides."""
-    pairs = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"), F.col("l_linenumber").cast("long").alias("printed"), (F.col("l_linenumber") + F.col("l_partkey") % 3).alias("physical"))
-    counts = pairs.groupBy("doc", (F.col("physical") - F.col("printed")).alias("o")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    clear = counts.groupBy("doc").agg(F.count("*").alias("a"), F.count_distinct("n", "first").alias("b")).filter("a = b").select("doc")
-    return trees.offset_mode(pairs).join(clear, "doc", "left_semi")
-
-
 @query("""WITH n AS (SELECT s_suppkey AS c_custkey, s_name AS n_c_name, CASE WHEN s_suppkey % 2 = 0 THEN 'X' END AS n_c_mktsegment FROM supplier)
 SELECT c_custkey, coalesce(n_c_name, c_name) AS c_name, coalesce(n_c_mktsegment, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN n USING (c_custkey)""")
 def metadata_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,16 +192,6 @@ def metadata_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.overlay(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), new, "c_custkey", ["c_name", "c_mktsegment"])[0]
 
 
-@query("""WITH a AS (SELECT p_partkey AS key, p_brand || p_size AS doi, list_distinct(list_filter(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+'), lambda x: length(x) > 2)) AS k FROM part),
-g AS (SELECT doi, count(*) AS n, min(key) AS least FROM a GROUP BY doi HAVING count(*) > 1),
-s AS (SELECT g.doi, n, max(len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k)))) AS s FROM g JOIN a ON a.doi = g.doi AND a.key <> least JOIN a b ON b.key = least GROUP BY g.doi, n)
-SELECT doi, n, CASE WHEN s >= 0.6 THEN 'same-paper' ELSE 'CONFLICT' END AS verdict FROM s""")
-def duplicate_doi_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that share brand and size as papers that share a DOI."""
-    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.concat("p_brand", F.col("p_size").cast("string")).alias("doi"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
-    return quality.duplicate_verdicts(rows)
-
-
 @query("""SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'unknown' WHEN c_acctbal > 0 THEN 'hit' ELSE 'verified_absent' END AS status FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment <> 'MACHINERY'""")
 def doi_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-state lookup of every order's customer in a snapshot."""
