@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions import titles as tt
 from corpusloom.functions.text import words
 from corpusloom.operators.retrieve import top_k
 from corpusloom.sources.staging import staged
@@ -92,23 +93,36 @@ def neighbours(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return first_of(a.unionByName(b).distinct(), ["seed", "node"], F.col("p")).drop("p")
 
 
-def resolve(targets: DataFrame, registry: DataFrame) -> DataFrame:
-    """surname, year, hint, key, score, gap, tier: the record that a cited (surname, year, hint) means.
+def resolve(targets: DataFrame, registry: DataFrame, tolerance: int = 1) -> DataFrame:
+    """surname, secondary, year, hint, key, score, gap, tier, method: the record that a cited (surname, secondary, year, hint) means.
 
-    Records of the surname within a year are scored 0.55 for the surname, 0.35 for the year (0.5 of it one off); a hint's word overlap is
-    three tenths of the score. Strong needs 0.90 and a gap of 0.10 to the runner-up. registry: key, surname, year, title.
+    Records that any author's surname names, within ``tolerance`` years, are scored 0.55 for the surname (0.6 of it if it isn't the first author's), 0.35 for the
+    year (half of it beside it) and 0.10 for the second surname (minus that if the record lacks it); with a hint that is seven tenths, and the blended
+    similarity of the titles three. Ties go to more citations, more citations inside, the lesser key. Strong needs 0.90 and a gap of 0.10 to the
+    runner-up, weak 0.55. registry: key, surname (the first author's), surnames, year, title, citations, in_corpus.
     """
-    near = targets.distinct().withColumn("_y", F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)))
-    pairs = near.join(registry.select("key", "surname", F.col("year").alias("_y"), "title"), ["surname", "_y"])
-    a, b = F.array_distinct(words(F.col("hint"))), F.array_distinct(words(F.col("title")))
-    title = F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))).otherwise(0.0)
-    base = 0.55 + 0.35 * F.when(F.col("_y") == F.col("year"), 1.0).otherwise(0.5)
-    scored = pairs.withColumn("score", F.round(F.when(F.col("hint") != "", 0.7 * base + 0.3 * title).otherwise(base), 9))
-    w = Window.partitionBy("surname", "year", "hint").orderBy(F.col("score").desc(), "key")
-    ranked = scored.withColumn("n", F.row_number().over(w)).withColumn("gap", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))).filter("n = 1")
-    tier = F.when((F.col("score") >= STRONG) & (F.col("gap") >= GAP), "strong").when(F.col("score") >= WEAK, "weak").otherwise("unmatched")
-    found = ranked.select("surname", "year", "hint", "key", "score", F.round("gap", 9).alias("gap"), tier.alias("tier"))
-    return targets.distinct().join(found, ["surname", "year", "hint"], "left").withColumn("tier", F.coalesce("tier", F.lit("unmatched")))
+    asked = ["surname", "secondary", "year", "hint"]
+    once = targets.select(*asked).distinct()
+    # titles and hints are tokenized once each, before they meet
+    near = once.filter("surname <> '' and year > 0").withColumn("_a", tt.title_tokens(F.col("hint"))).withColumn("_y", F.explode(F.sequence(F.col("year") - tolerance, F.col("year") + tolerance)))
+    records = registry.filter("year is not null").select("key", F.col("surname").alias("_first"), "surnames", F.col("year").alias("_y"), tt.title_tokens(F.col("title")).alias("_b"), F.coalesce("citations", F.lit(0)).alias("_c"), F.coalesce("in_corpus", F.lit(0)).alias("_i"), F.explode(F.array_distinct("surnames")).alias("surname"))
+    pairs = near.join(records, ["surname", "_y"])
+    first, second = F.col("surname") == F.col("_first"), F.coalesce(F.col("secondary"), F.lit("")) != ""
+    met = F.array_contains("surnames", F.col("secondary"))
+    base = 0.55 * F.when(first, 1.0).otherwise(0.6) + 0.35 * F.when(F.col("_y") == F.col("year"), 1.0).otherwise(0.5) + 0.10 * F.when(second, F.when(met, 1.0).otherwise(-1.0)).otherwise(0.0)
+    title = F.when((F.size("_a") == 0) | (F.size("_b") == 0), 0.0).otherwise(tt.blended_similarity(F.col("_a"), F.col("_b")))
+    method = F.concat_ws("+", F.when(first, "first_author").otherwise("any_author"), F.when(F.col("_y") == F.col("year"), "year").otherwise(F.concat(F.lit("year_off"), F.abs(F.col("_y") - F.col("year")).cast("string"))), F.when(second, F.when(met, "coauthor_match").otherwise("coauthor_miss")))
+    scored = pairs.withColumn("score", F.round(F.when(F.coalesce("hint", F.lit("")) != "", 0.7 * base + 0.3 * title).otherwise(base), 9)).withColumn("method", method)
+    w = Window.partitionBy(*asked).orderBy(F.col("score").desc(), F.col("_c").desc(), F.col("_i").desc(), "key")
+    ranked = scored.withColumn("n", F.row_number().over(w)).withColumn("gap", F.round(F.col("score") - F.lead("score").over(w), 9)).filter("n = 1")
+    tied = F.coalesce(F.col("gap") < GAP, F.lit(False))
+    tier = F.when((F.col("score") >= STRONG) & ~tied, "strong").when(F.col("score") >= WEAK, "weak").otherwise("unmatched")
+    found = ranked.select(*asked, "key", "score", "gap", tier.alias("tier"), F.concat("method", F.when(tied, "+tiebreak").otherwise("")).alias("method"))
+    found = found.withColumn("key", F.when(F.col("tier") != "unmatched", F.col("key"))).withColumn("method", F.when(F.col("tier") == "unmatched", "low_score").otherwise(F.col("method")))
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in asked]
+    out = once.alias("t").join(found.alias("f"), same[0] & same[1] & same[2] & same[3], "left")
+    bad = F.coalesce((F.col("t.surname") == "") | (F.col("t.year") <= 0), F.lit(True))
+    return out.select(*[F.col(f"t.{c}").alias(c) for c in asked], "f.key", F.coalesce("f.score", F.lit(0.0)).alias("score"), "f.gap", F.coalesce("f.tier", F.lit("unmatched")).alias("tier"), F.coalesce("f.method", F.when(bad, "bad_target").otherwise("no_candidate")).alias("method"))
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -180,10 +194,16 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
 
 
 def by_size(parts: DataFrame) -> DataFrame:
-    """Communities numbered from the largest, the one with the least node first of equals, with their size."""
-    sizes = parts.groupBy("community").agg(F.count("*").alias("community_size"), F.min("node").alias("first"))
-    numbered = sizes.withColumn("community_id", (F.row_number().over(Window.orderBy(F.col("community_size").desc(), "first")) - 1).cast("long"))
-    return parts.join(numbered.drop("first"), "community").select("node", "community_id", "community_size")
+    """Communities numbered from the largest, the one with the least node first of equals, with their size.
+
+    Communities are dealt out by ranges of that order; a number is a community's place in its range and the communities in the ranges before.
+    """
+    sizes = parts.groupBy("community").agg(F.count("*").alias("community_size"), F.min("node").alias("first")).withColumn("_o", -F.col("community_size"))
+    ranged = staged(sizes.repartitionByRange("_o", "first").withColumn("_p", F.spark_partition_id()), "sizes")
+    before = ranged.groupBy("_p").agg(F.count("*").alias("_n"))  # one row for each range
+    before = before.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
+    numbered = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_o", "first")) - 1).join(F.broadcast(before), "_p")
+    return parts.join(numbered.select("community", (F.col("_b") + F.col("_r")).cast("long").alias("community_id"), "community_size"), "community").select("node", "community_id", "community_size")
 
 
 def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
@@ -196,46 +216,98 @@ def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return share.select((F.lit(inside / max(m2, 1)) - F.col("s")).alias("modularity"))
 
 
-def betweenness(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
-    """node, betweenness (directed, normalized): Brandes' sums, the sources dealt out over tasks.
-
-    Every task needs the whole graph, so its size is checked first; a larger graph takes sampled sources on a smaller graph.
+MOST_EDGES = 2_000_000  # of a graph that is sent to every task, as two arrays of whole numbers
+CELLS = 4_000_000  # edges times sources that a task works on at once
+
+
+def _brandes(n: int, src: np.ndarray, dst: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Brandes' dependency sums of some sources, level by level for all of them together. Edges are sorted by dst."""
+    cols = np.arange(len(sources))
+    paths, level = np.zeros((n, len(sources))), np.full((n, len(sources)), -1, np.int32)
+    paths[sources, cols], level[sources, cols] = 1.0, 0
+    into, heads = np.unique(dst, return_index=True)
+    by_src = np.argsort(src, kind="stable")
+    out_of, tails = np.unique(src[by_src], return_index=True)
+    depth = 0
+    while True:
+        got = np.add.reduceat(np.where(level[src] == depth, paths[src], 0.0), heads, axis=0)
+        new = (level[into] < 0) & (got > 0)
+        if not new.any():
+            break
+        depth += 1
+        paths[into] += np.where(new, got, 0.0)
+        level[into] = np.where(new, depth, level[into])
+    share = np.zeros_like(paths)
+    for d in range(depth, 0, -1):
+        part = np.where((level[dst] == d) & (level[src] == d - 1), paths[src] / np.maximum(paths[dst], 1.0) * (1.0 + share[dst]), 0.0)
+        share[out_of] += np.add.reduceat(part[by_src], tails, axis=0)
+    share[sources, cols] = 0.0
+    return share.sum(1)
+
+
+def betweenness(edges: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
+    """node, betweenness (directed, normalized), exact.
+
+    A graph of at most ``most_edges`` edges is sent to the tasks as arrays of numbers, and the sources are dealt out over them. A larger one is never
+    gathered: all sources walk it together by joins, one level at a time, on rows of source and node.
     """
-    edges = edges.distinct()
-    if edges.count() > most_edges:
-        raise ValueError(f"betweenness needs the graph in each task: over {most_edges} edges")
-    targets: dict = {}
-    for a, b in edges.select("src", "dst").toLocalIterator():
-        targets.setdefault(a, []).append(b)
-    n = nodes_of(edges).count()
+    edges = staged(edges.select("src", "dst").distinct(), "edges")
+    nodes = staged(nodes_of(edges), "nodes")
+    n, m = nodes.count(), edges.count()
+    if m <= most_edges:
+        total = _between_by_arrays(edges, nodes, n, m)
+    else:
+        total = _between_by_joins(edges, nodes)
+    return nodes.join(total, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) / max((n - 1) * (n - 2), 1)).alias("betweenness"))
+
+
+def _between_by_arrays(edges: DataFrame, nodes: DataFrame, n: int, m: int) -> DataFrame:
+    spark = edges.sparkSession
+    names = sorted(r["node"] for r in nodes.collect())  # at most twice the edges
+    number = {x: i for i, x in enumerate(names)}
+    found = edges.toPandas()
+    src, dst = found["src"].map(number).to_numpy(np.int32), found["dst"].map(number).to_numpy(np.int32)
+    order = np.argsort(dst, kind="stable")
+    graph = spark.sparkContext.broadcast((src[order], dst[order]))
+    size = max(1, min(64, CELLS // max(m, 1)))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        src, dst = graph.value
+        total = np.zeros(n)
         for rows in batches:
-            total: dict = {}
-            for s in rows["node"]:
-                order, before, paths, dist = [], {}, {s: 1.0}, {s: 0}
-                queue = deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in targets.get(v, ()):
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] = paths.get(w, 0.0) + paths[v]
-                            before.setdefault(w, []).append(v)
-                share: dict = {}
-                for w in reversed(order):
-                    for v in before.get(w, ()):
-                        share[v] = share.get(v, 0.0) + paths[v] / paths[w] * (1 + share.get(w, 0.0))
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + share.get(w, 0.0)
-            yield pd.DataFrame({"node": list(total), "b": list(total.values())}).astype({"b": float})
-
-    kind = edges.schema["src"].dataType.simpleString()
-    found = nodes_of(edges).repartition(8, "node").mapInPandas(sums, f"node {kind}, b double").groupBy("node").agg(F.sum("b").alias("b"))
-    return nodes_of(edges).join(found, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) / max((n - 1) * (n - 2), 1)).alias("betweenness"))
+            ids = rows["i"].to_numpy()
+            for lo in range(0, len(ids), size):
+                total += _brandes(n, src, dst, ids[lo : lo + size])
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"i": some, "b": total[some]})
+
+    tasks = max(1, min(-(-n // size), spark.sparkContext.defaultParallelism * 4))
+    dealt = spark.range(n).select(F.col("id").alias("i")).repartition(tasks, "i")
+    added = dealt.mapInPandas(sums, "i long, b double").groupBy("i").agg(F.sum("b").alias("b"))
+    named = spark.createDataFrame(list(enumerate(names)), f"i long, node {nodes.schema['node'].dataType.simpleString()}")
+    return added.join(named, "i").select("node", "b")
+
+
+def _between_by_joins(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    seen = staged(nodes.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("level"), F.lit(1.0).alias("paths")), "seen")
+    depth = 0
+    while True:
+        step = seen.filter(F.col("level") == depth).join(edges, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+        new = staged(step.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(depth + 1).alias("level"), "paths"), "level")
+        if new.isEmpty():
+            break
+        depth, seen = depth + 1, seen.unionByName(new)
+    share = None
+    for d in range(depth, 0, -1):
+        at = seen.filter(F.col("level") == d)
+        at = at.withColumn("share", F.lit(0.0)) if share is None else at.join(share.filter(F.col("level") == d).select("s", "v", "share"), ["s", "v"], "left").fillna(0.0, ["share"])
+        before = seen.filter(F.col("level") == d - 1).select("s", F.col("v").alias("src"), F.col("paths").alias("p"))
+        part = at.join(edges.withColumnRenamed("dst", "v"), "v").join(before, ["s", "src"]).groupBy("s", F.col("src").alias("v")).agg(F.sum(F.col("p") / F.col("paths") * (1 + F.col("share"))).alias("share"))
+        part = staged(part.withColumn("level", F.lit(d - 1)), "share")
+        share = part if share is None else share.unionByName(part)
+    if share is None:
+        return nodes.select("node", F.lit(0.0).alias("b"))
+    return share.filter("s <> v").groupBy(F.col("v").alias("node")).agg(F.sum("share").alias("b"))
 
 
 def bridges(metrics: DataFrame) -> DataFrame:

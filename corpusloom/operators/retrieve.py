@@ -12,10 +12,13 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions.models import lexical_relevance
 from corpusloom.functions.text import words
+from corpusloom.sources.staging import staged
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF = 60
 BROADCAST_ROWS = 200_000
+#: The weights of the provenance boost, and when a result list is weak.
+BOOST_PAGERANK, BOOST_AUTHORITY, BOOST_RCR, BOOST_IN_CORPUS, BOOST_CITES = 0.040, 0.030, 0.020, 0.010, 0.008
 WEAK_SIMILARITY, WEAK_HITS, WEAK_CHARS, WEAK_NARRATIVE = 0.54, 2, 300, 0.30
 
 
@@ -93,10 +96,12 @@ def terms_of(queries: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
-    """query_id, key, score, rank. queries: query_id, term. every=True: only documents with all of a query's terms.
+    """query_id, key, score, rank. queries: query_id, term. every=True: only documents with all of a query's terms."""
+    return top_k(bm25_scores(docs, queries, key, text, every), k, ["query_id"], [F.col("score").desc(), F.col(key)])
 
-    Query terms filter the documents' words before anything is grouped.
-    """
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
+    """query_id, key, score of all that match. Query terms filter the documents' words before anything is grouped."""
     q = queries.distinct()
     wanted = small(q.select("term").distinct(), q.count())
     toks = docs.select(key, words(F.col(text)).alias("t"))
@@ -104,20 +109,88 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
     tf = toks.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
     tf = tf.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = totals.first()
-    idf = F.greatest(F.log((F.lit(corpus["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(corpus["avgdl"] or 1.0)))
-    scored = tf.join(q.join(df, "term"), "term").groupBy("query_id", key).agg(F.round(F.sum(weight), 9).alias("score"), F.count("*").alias("matched"))
+    return _scored(tf, df, totals, q, key, every)
+
+
+def _scored(tf: DataFrame, df: DataFrame, totals: DataFrame, q: DataFrame, key: str, every: bool) -> DataFrame:
+    """query_id, key, score of term frequencies (key, term, tf, dl), document frequencies (term, df) and one row of totals (n, avgdl)."""
+    rows = tf.join(q.join(df, "term"), "term").join(F.broadcast(totals))  # totals is one row
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.coalesce(F.when(F.col("avgdl") > 0, F.col("avgdl")), F.lit(1.0))))
+    scored = rows.groupBy("query_id", key).agg(F.round(F.sum(weight), 9).alias("score"), F.count("*").alias("matched"))
     if every:
         scored = scored.join(q.groupBy("query_id").agg(F.count("*").alias("terms")), "query_id").filter("matched = terms").drop("terms")
-    return top_k(scored.drop("matched"), k, ["query_id"], [F.col("score").desc(), F.col(key)])
+    return scored.drop("matched")
+
+
+TERM_PARTS = 64  # folders of a stored index
+
+
+class StoredIndex:
+    """An inverted index as tables under one folder: postings by part of the term's hash, document lengths by part of the source's.
+
+    A search reads only the parts of its terms. refresh replaces the rows of given sources: each table is rewritten part by part, and only the parts that the
+    sources' old or new rows touch.
+    """
+
+    def __init__(self, spark, root: str, parts: int = TERM_PARTS):
+        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
+
+    def _part(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.parts)).cast("int").alias("part")
+
+    def _write(self, df: DataFrame, name: str) -> None:
+        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        df.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/{name}")
+
+    def _rows(self, docs: DataFrame, key: str, source: str, text: str) -> tuple[DataFrame, DataFrame]:
+        toks = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("t"))
+        each = toks.select("key", "source", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("key", "source", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+        return each.withColumn("part", self._part("term")), toks.select("key", "source", F.size("t").alias("dl")).withColumn("part", self._part("source"))
+
+    def rebuild(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> None:
+        """The whole index anew."""
+        terms, sizes = self._rows(docs, key, source, text)
+        for name, df in (("postings", terms), ("sizes", sizes)):
+            df.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part").parquet(f"{self.root}/{name}")
+
+    def refresh(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> None:
+        """Rows of the sources in docs are replaced by theirs."""
+        gone = docs.select(F.col(source).alias("source")).distinct()
+        for name, new in zip(("postings", "sizes"), self._rows(docs, key, source, text)):
+            old = self.spark.read.parquet(f"{self.root}/{name}")
+            touched = old.join(gone, "source", "left_semi").select("part").union(new.select("part")).distinct()
+            kept = old.join(touched, "part", "left_semi").join(gone, "source", "left_anti").select(*new.columns)
+            after = staged(kept.unionByName(new), "refresh")
+            self._write(after, name)
+            # a part that lost all its rows has nothing to overwrite it
+            for r in touched.join(after.select("part").distinct(), "part", "left_anti").collect():
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/part={r['part']}")
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def search(self, queries: DataFrame, k: int, key: str = "doc_id", every: bool = False) -> DataFrame:
+        """query_id, key, score, rank of queries (query_id, term), as bm25 gives them."""
+        q = queries.select("query_id", "term").distinct()
+        named = sorted(r["part"] for r in q.select(self._part("term")).distinct().collect())  # at most as many as there are parts
+        tf = self.spark.read.parquet(f"{self.root}/postings").filter(F.col("part").isin(*named) if named else F.lit(False))
+        tf = tf.join(small(q.select("term").distinct(), q.count()), "term", "left_semi").select(F.col("key").alias(key), "term", "tf", "dl")
+        totals = self.spark.read.parquet(f"{self.root}/sizes").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        df = tf.groupBy("term").agg(F.count("*").alias("df"))
+        return top_k(_scored(tf, df, totals, q, key, every), k, ["query_id"], [F.col("score").desc(), F.col(key)])
+
+    def search_terms(self, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+        """Documents with all of a query's terms; queries that have none, by any of them."""
+        strict = staged(self.search(queries, k, key, every=True), "strict")
+        lost = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
+        return strict.unionByName(self.search(lost, k, key))
 
 
 def metadata_hits(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", source: str = "source", text: str = "meta") -> DataFrame:
     """query_id, source, key, rank: one representative of each source whose metadata matches all terms, best first."""
-    ranked = bm25(docs, queries, 1 << 30, key, text, every=True).withColumnRenamed("rank", "at").join(docs.select(key, source), key)
-    best = ranked.groupBy("query_id", source).agg(F.min("at").alias("at"), F.min_by(key, "at").alias(key))
-    return top_k(best, k, ["query_id"], [F.col("at"), F.col(source)]).drop("at")
+    scored = bm25_scores(docs, queries, key, text, every=True).join(docs.select(key, source), key)
+    # the best of a source is aggregated before anything is ranked
+    best = scored.groupBy("query_id", source).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"))).alias("b"))
+    return top_k(best.select("query_id", source, F.col("b.k").alias(key), F.col("b.s").alias("_s")), k, ["query_id"], [F.col("_s"), F.col(key)]).drop("_s")
 
 
 # ---- fusion ------------------------------------------------------------------------------------------------------
@@ -145,6 +218,17 @@ def rerank(hits: DataFrame, query: str = "query", text: str = "text", score=lexi
     return hits.withColumn("rerank", s).withColumn("rank", F.row_number().over(w))
 
 
+def cap_pool(hits: DataFrame, order: list[Column], k: int, source: str = "source", most: int = 2) -> DataFrame:
+    """The hits (query_id, source, ...) that can be among the first k after cap_sources, with their rank among themselves.
+
+    Those are the first ``most`` of each source, of which the first k count, and the first k of all: tasks keep that many before the shuffle, so that a
+    query with very many hits isn't ranked in one task.
+    """
+    best = top_k(hits, most, ["query_id", source], order).drop("rank")
+    kept = top_k(best, k, ["query_id"], order).drop("rank").unionByName(top_k(hits, k, ["query_id"], order).drop("rank")).distinct()
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+
+
 def cap_sources(hits: DataFrame, source: str = "source", most: int = 2, k: int | None = None) -> DataFrame:
     """At most ``most`` hits of a source come first, the others follow in their order; the first k of that."""
     w = Window.partitionBy("query_id", source).orderBy("rank")
@@ -161,7 +245,7 @@ def provenance_factor(pagerank: Column, authority: Column, rcr: Column, in_corpu
     """Product of five small boosts, at most 1.08; 1.0 unless it is over 1.001."""
     share = lambda x, most: F.coalesce(F.when(most > 0, x / most), F.lit(0.0))
     capped = lambda x, most: F.least(F.coalesce(x, F.lit(0.0)) / most, F.lit(1.0))
-    f = (1 + 0.040 * share(pagerank, most_pagerank)) * (1 + 0.030 * share(authority, most_authority)) * (1 + 0.020 * capped(rcr, 5)) * (1 + 0.010 * capped(in_corpus, 20)) * (1 + 0.008 * capped(cites, 2000))
+    f = (1 + BOOST_PAGERANK * share(pagerank, most_pagerank)) * (1 + BOOST_AUTHORITY * share(authority, most_authority)) * (1 + BOOST_RCR * capped(rcr, 5)) * (1 + BOOST_IN_CORPUS * capped(in_corpus, 20)) * (1 + BOOST_CITES * capped(cites, 2000))
     return F.when(f > 1.001, F.least(f, F.lit(1.08))).otherwise(1.0)
 
 
@@ -189,14 +273,19 @@ def boost_citations(hits: DataFrame, edges: DataFrame, source: str = "source", a
 # ---- broadening --------------------------------------------------------------------------------------------------
 
 
-def is_narrative(text: Column) -> Column:
-    """Prose: some sentence of 40 characters or more."""
-    return F.exists(F.split(text, r"\. "), lambda s: F.length(F.trim(s)) >= 40)
+#: Fixed value: a sentence of prose.
+SENTENCE = r"[^.!?\n]{40,}[.!?]"
+
+
+def narrative_chars(text: Column) -> Column:
+    """Characters in sentences of 40 or more characters before their end."""
+    return F.aggregate(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0)), F.lit(0), lambda n, s: n + F.length(s))
 
 
 def weak_signals(hits: DataFrame, text: str = "text", sim: str = "similarity") -> DataFrame:
     """query_id, n, chars, best, narrative, reasons: why a result list should be broadened."""
-    m = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"), F.max(sim).alias("best"), F.avg(is_narrative(F.col(text)).cast("double")).alias("narrative"))
+    m = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"), F.max(sim).alias("best"), (F.sum(narrative_chars(F.col(text))) / F.sum(F.length(text))).alias("narrative"))
+    m = m.fillna(0, ["chars"]).fillna(0.0, ["narrative"])
     reasons = F.array(F.when(F.col("n") < WEAK_HITS, "few"), F.when(F.col("chars") < WEAK_CHARS, "short"), F.when(F.col("best") < WEAK_SIMILARITY, "far"), F.when(F.col("narrative") < WEAK_NARRATIVE, "fragments"))
     return m.withColumn("reasons", F.filter(reasons, lambda r: r.isNotNull()))
 

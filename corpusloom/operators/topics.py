@@ -27,12 +27,16 @@ def canonical(vocab: DataFrame, fold: Column) -> DataFrame:
     return marked.join(best, "_fold").select("topic", "canonical")
 
 
-def resolve_aliases(aliases: DataFrame, rounds: int = 6) -> DataFrame:
-    """topic, final: alias chains followed to their end by pointer jumping; a cycle stays where it is after 2**rounds steps."""
-    current = aliases.select("topic", "canonical")
+def resolve_aliases(aliases: DataFrame, rounds: int = 40) -> DataFrame:
+    """topic, final: alias chains followed to their end by pointer jumping, each round twice as far, until nothing moves. A cycle never ends: it stays
+    where it is after 2**rounds steps."""
+    current = staged(aliases.select("topic", "canonical"), "aliases")
     for _ in range(rounds):
         onward = current.select(F.col("topic").alias("canonical"), F.col("canonical").alias("_next"))
-        current = staged(current.join(onward, "canonical", "left").select("topic", F.coalesce("_next", "canonical").alias("canonical")), "aliases")
+        step = staged(current.join(onward, "canonical", "left").select("topic", F.col("canonical").alias("_old"), F.coalesce("_next", "canonical").alias("canonical")), "aliases")
+        current, still = step.select("topic", "canonical"), step.filter(~F.col("_old").eqNullSafe(F.col("canonical"))).isEmpty()
+        if still:
+            break
     return current.withColumnRenamed("canonical", "final")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-TREES_A_GROUP = 2000
+ROWS_A_GROUP = 50_000  # of documents that one task folds
 ROUTING = 1.0  # cost of reading a node's outline
 
 
@@ -24,14 +26,21 @@ def headings(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame
     return kept.select(key, (F.row_number().over(w) - 1).alias("ord"), level.alias("level"), title.alias("title"), "line")
 
 
-def with_parents(nodes: DataFrame, key: str = "doc") -> DataFrame:
+def _levels(nodes: DataFrame) -> int:
+    """The deepest level."""
+    return nodes.agg(F.max("level").alias("m")).first()["m"] or 1
+
+
+def with_parents(nodes: DataFrame, key: str = "doc", levels: int | None = None) -> DataFrame:
     """Adds node_id (four digits in preorder), parent (ord of the nearest earlier node of a smaller level) and is_leaf.
 
-    The nearest smaller level is found with one running maximum for each of the six levels, without joining nodes to each other.
+    The nearest smaller level is found with one running maximum for each level, without joining nodes to each other. levels is the deepest one; without it
+    the nodes are asked.
     """
+    levels = levels or _levels(nodes)
     w = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = {v: F.max(F.when(F.col("level") == v, F.col("ord"))).over(w) for v in range(1, 7)}
-    parent = F.greatest(F.lit(None).cast("int"), *[F.when(F.col("level") > v, lasts[v]) for v in range(1, 7)])
+    lasts = {v: F.max(F.when(F.col("level") == v, F.col("ord"))).over(w) for v in range(1, levels)}
+    parent = F.greatest(F.lit(None).cast("int"), F.lit(None).cast("int"), *[F.when(F.col("level") > v, lasts[v]) for v in range(1, levels)])
     nxt = F.lead("level").over(Window.partitionBy(key).orderBy("ord"))
     return nodes.withColumn("parent", parent).withColumn("is_leaf", F.coalesce(nxt <= F.col("level"), F.lit(True))).withColumn("node_id", F.lpad(F.col("ord").cast("string"), 4, "0"))
 
@@ -71,68 +80,180 @@ def gaps(nodes: DataFrame, pages: DataFrame, key: str = "doc") -> DataFrame:
     return all_pages.join(nodes.select(key, F.explode(F.sequence("start", "end")).alias("page")).distinct(), [key, "page"], "left_anti")
 
 
+def by_document(rows: DataFrame, fold, schema: str, key: str = "doc") -> DataFrame:
+    """A fold over the rows of whole documents: a group holds all documents of one hash, about ROWS_A_GROUP rows; a document is never split."""
+    groups = max(1, -(-rows.count() // ROWS_A_GROUP))
+    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(groups)).alias("_g")).applyInPandas(fold, schema)
+
+
 def collapse_costs(nodes: DataFrame, key: str = "doc") -> DataFrame:
     """key, ord, cost, kept: bottom-up, a subtree folds into its root where reading its pages costs no more than routing into it.
 
-    The fold goes from the leaves up. nodes: key, ord, parent, start, end.
+    A node's pages reach to the end of its subtree. Routing costs ROUTING and then the worst of the children's costs and of the pages that no child
+    has. nodes: key, ord, parent, start, end.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([key, "ord"])
-        docs, ords, parents = rows[key].tolist(), rows["ord"].tolist(), rows["parent"].tolist()
-        spans = (rows["end"] - rows["start"] + 1).tolist()
-        cost, kept, deepest = [0.0] * len(docs), [False] * len(docs), {}
+        docs, ords, parents, starts, ends = (rows[c].tolist() for c in (key, "ord", "parent", "start", "end"))
+        cost, kept, below = [0.0] * len(docs), [False] * len(docs), {}
         for i in range(len(docs) - 1, -1, -1):  # children come before their parents
-            deep = ROUTING + deepest.pop((docs[i], ords[i]), float("inf"))
-            cost[i], kept[i] = (float(spans[i]), False) if spans[i] <= deep else (deep, True)
+            kids = below.pop((docs[i], ords[i]), [])
+            last = max([ends[i], *(e for _, e, _ in kids)])
+            span = last - starts[i] + 1
+            cost[i] = float(span)
+            if kids:
+                covered, at = 0, starts[i] - 1
+                for a, e, _ in sorted(kids):
+                    a = max(a, at + 1)
+                    if e >= a:
+                        covered, at = covered + e - a + 1, e
+                deep = ROUTING + max([float(span - covered), *(c for _, _, c in kids)])
+                kept[i] = span > deep
+                cost[i] = min(cost[i], deep)
             if parents[i] == parents[i]:  # not NaN
-                at = (docs[i], int(parents[i]))
-                deepest[at] = max(deepest.get(at, 0.0), cost[i])
+                below.setdefault((docs[i], int(parents[i])), []).append((starts[i], last, cost[i]))
         return pd.DataFrame({key: docs, "ord": ords, "cost": cost, "kept": kept})
 
     kind = nodes.schema[key].dataType.simpleString()
-    # trees are small: a group holds all those of one hash, a tree is never split
-    groups = max(1, -(-nodes.filter("parent is null").count() // TREES_A_GROUP))
-    dealt = nodes.groupBy(F.pmod(F.xxhash64(key), F.lit(groups)).alias("_g"))
-    return dealt.applyInPandas(fold, f"{key} {kind}, ord int, cost double, kept boolean")
+    return by_document(nodes.select(key, "ord", "parent", "start", "end"), fold, f"{key} {kind}, ord int, cost double, kept boolean", key)
 
 
-def ancestors(nodes: DataFrame, key: str = "doc", depth: int = 6) -> DataFrame:
-    """key, ord, path: titles from the root to each node; six levels are the most that headings have."""
+def ancestors(nodes: DataFrame, key: str = "doc") -> DataFrame:
+    """key, ord, path: titles from the root to each node."""
     out = nodes.select(key, "ord", F.col("parent").alias("_p"), F.array("title").alias("path"))
     look = nodes.select(key, F.col("ord").alias("_p"), F.col("parent").alias("_n"), F.col("title").alias("_t"))
-    for _ in range(depth - 1):
+    for _ in range(_levels(nodes) - 1):
         out = out.join(look, [key, "_p"], "left").select(key, "ord", F.col("_n").alias("_p"), F.when(F.col("_t").isNotNull(), F.concat(F.array("_t"), "path")).otherwise(F.col("path")).alias("path"))
     return out.drop("_p")
 
 
+def expand_cost(nodes: DataFrame, children: DataFrame, key: str = "doc") -> DataFrame:
+    """key, ord, cost, residual, expand: one step of lookahead, the proposed children (key, ord of the parent, start, end) as collapsed; expand if that
+    costs less than reading the node's pages."""
+    pages = nodes.select(key, "ord", (F.col("end") - F.col("start") + 1).alias("span"), F.explode(F.sequence("start", "end")).alias("page"))
+    has = children.select(key, "ord", F.explode(F.sequence("start", "end")).alias("page")).distinct()
+    left = pages.join(has, [key, "ord", "page"], "left_anti").groupBy(key, "ord").agg(F.count("*").alias("residual"))
+    worst = children.groupBy(key, "ord").agg(F.max(F.col("end") - F.col("start") + 1).alias("scan"))
+    out = nodes.select(key, "ord", (F.col("end") - F.col("start") + 1).alias("span")).join(worst, [key, "ord"]).join(left, [key, "ord"], "left").fillna(0, ["residual"])
+    cost = ROUTING + F.greatest("scan", "residual")
+    return out.select(key, "ord", cost.cast("double").alias("cost"), "residual", (cost < F.col("span")).alias("expand"))
+
+
+LONGEST_TITLE = 200  # of joined titles
+
+
+def merge_same_page(nodes: DataFrame, key: str = "doc") -> DataFrame:
+    """nodes with leaves of one parent that cover the same pages merged into the first: title becomes the joined titles, or the pages if that is empty or
+    longer than LONGEST_TITLE; merged counts the leaves. nodes: key, ord, parent, is_leaf, title, start, end."""
+    same = F.when(F.col("is_leaf"), F.concat_ws("-", F.lit("pages"), "start", "end")).otherwise(F.concat(F.lit("node"), F.col("ord").cast("string")))
+    groups = nodes.withColumn("_s", same).groupBy(key, "parent", "_s")
+    parts = groups.agg(F.sort_array(F.collect_list(F.struct("ord", "title", "is_leaf", "start", "end"))).alias("m"))
+    first = F.element_at("m", 1)
+    joined = F.array_join(F.transform(F.filter("m", lambda x: F.coalesce(x["title"], F.lit("")) != ""), lambda x: x["title"]), "; ")
+    label = F.concat(F.lit("p."), first["start"].cast("string"), F.when(first["end"] != first["start"], F.concat(F.lit("-"), first["end"].cast("string"))).otherwise(""))
+    title = F.when(F.size("m") == 1, first["title"]).when((joined == "") | (F.length(joined) > LONGEST_TITLE), label).otherwise(joined)
+    return parts.select(key, first["ord"].alias("ord"), "parent", first["is_leaf"].alias("is_leaf"), title.alias("title"), first["start"].alias("start"), first["end"].alias("end"), F.size("m").cast("long").alias("merged"))
+
+
+def thin_pages(nodes: DataFrame, key: str = "doc", most_nodes: int = 20, least_pages: int = 3) -> DataFrame:
+    """key, ord, end of the nodes that stay: from the root down, a node whose pages up to its last descendant are one, or fewer than ``least_pages`` in a
+    tree of over ``most_nodes`` nodes, loses its subtree and takes over its end. nodes: key, ord, parent, start, end."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for doc, own in rows.sort_values([key, "ord"]).groupby(key, sort=False):
+            ords, parents, starts, ends = (own[c].tolist() for c in ("ord", "parent", "start", "end"))
+            last_kid = {int(p): o for o, p in zip(ords, parents) if p == p}
+            end, gone = dict(zip(ords, ends)), set()
+            final = {}
+            for o in reversed(ords):  # the end of the last descendant
+                final[o] = final[last_kid[o]] if o in last_kid else end[o]
+            for o, p, a in zip(ords, parents, starts):
+                if p == p and int(p) in gone:
+                    gone.add(o)
+                    continue
+                n = final[o] - a + 1
+                if o in last_kid and (n == 1 or len(ords) > most_nodes and n < least_pages):
+                    gone.add(o)
+                    out.append((doc, o, final[o]))
+                else:
+                    out.append((doc, o, end[o]))
+        return pd.DataFrame(out, columns=[key, "ord", "end"])
+
+    kind = nodes.schema[key].dataType.simpleString()
+    return by_document(nodes.select(key, "ord", "parent", "start", "end"), fold, f"{key} {kind}, ord int, end int", key)
+
+
+def valid_pages(entries: DataFrame, pages: str = "pages", first: str = "first_page") -> DataFrame:
+    """entries with physical (a number, perhaps as text in <physical_index_N>) as a number, null outside of the document's pages."""
+    n = F.regexp_extract(F.col("physical").cast("string"), r"([0-9]+)", 1).try_cast("int")
+    return entries.withColumn("physical", F.when((n >= F.col(first)) & (n <= F.col(first) + F.col(pages) - 1), n))
+
+
+SUMMARY_CHARS = 600
+
+
+def fallback_summary(nodes: DataFrame, text: str = "text", key: str = "doc") -> DataFrame:
+    """key, ord, summary: a parent's child titles, a leaf's own text in one line, cut to SUMMARY_CHARS; the title if that is empty."""
+    kids = nodes.filter("parent is not null").groupBy(key, F.col("parent").alias("ord")).agg(F.sort_array(F.collect_list(F.struct(F.col("ord").alias("o"), "title"))).alias("_k"))
+    out = nodes.join(kids, [key, "ord"], "left")
+    named = F.array_join(F.transform(F.filter("_k", lambda x: F.coalesce(x["title"], F.lit("")) != ""), lambda x: x["title"]), "; ")
+    own = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
+    summary = F.substring(F.when(F.col("_k").isNotNull(), named).otherwise(own), 1, SUMMARY_CHARS)
+    return out.select(key, "ord", F.when(summary != "", summary).otherwise(F.coalesce("title", F.lit(""))).alias("summary"))
+
+
+def node_text(nodes: DataFrame, pages: DataFrame, key: str = "doc") -> DataFrame:
+    """key, ord, text: the texts of each node's own pages (see own_pages) in order. pages: key, page, text."""
+    each = own_pages(nodes, key).filter("last >= first").select(key, "ord", F.explode(F.sequence("first", "last")).alias("page"))
+    found = each.join(pages.select(key, "page", "text"), [key, "page"]).groupBy(key, "ord").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return nodes.select(key, "ord").join(found, [key, "ord"], "left").select(key, "ord", F.coalesce(F.array_join(F.transform("p", lambda x: x["text"]), ""), F.lit("")).alias("text"))
+
+
+def retrieve_nodes(picks: DataFrame, nodes: DataFrame, pages: DataFrame, top: int = 5, key: str = "doc") -> DataFrame:
+    """query_id, key, rank, ord, title, start, end, text of the nodes that a model picked: the first picks of each query over all parts of the outline, each
+    node once, at most ``top``. picks: query_id, key, part, pos, node_id."""
+    once = picks.groupBy("query_id", key, "node_id").agg(F.min(F.struct("part", "pos")).alias("at"))
+    best = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("at", key, "node_id"))).filter(F.col("rank") <= top)
+    found = best.join(nodes.select(key, "node_id", "ord", "title", "start", "end"), [key, "node_id"])
+    text = found.select("query_id", key, "rank", F.explode(F.sequence("start", "end")).alias("page")).join(pages.select(key, "page", "text"), [key, "page"])
+    text = text.groupBy("query_id", key, "rank").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return found.join(text, ["query_id", key, "rank"], "left").select("query_id", key, "rank", "ord", "title", "start", "end", F.coalesce(F.array_join(F.transform("p", lambda x: x["text"]), ""), F.lit("")).alias("text"))
+
+
 # ---- parts of trees that are packed in order -------------------------------------------------------------------------
 
 
-def paginate(rows: DataFrame, text: str, size: int, key: str = "doc", overlap: int = 0) -> DataFrame:
-    """key, page, first, last: rows (key, ord) packed in order into pages of at most ``size`` characters; a page repeats the last ``overlap`` rows of the one before.
+def paginate(rows: DataFrame, text: str, size: int, key: str = "doc", overlap: int = 1) -> DataFrame:
+    """key, page, first, last: rows (key, ord) packed in order into parts; a part begins with the last ``overlap`` rows of the one before.
 
-    The packing of one document is a fold over its rows; only lengths go in.
+    A document of at most ``size`` characters is one part. Else a part ends before the row that would take it over the mean of ``size`` and the characters
+    that as many parts as are needed would hold evenly; the row starts the next part even if it is larger. The packing of one document is a fold over
+    its rows; only lengths go in.
     """
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         out = []
         for doc, own in part.sort_values([key, "ord"]).groupby(key, sort=False):
-            ords, lengths, start, held = own["ord"].tolist(), own["n"].tolist(), 0, 0
-            pages = []
-            for i, n in enumerate(lengths):
-                if i > start and held + n > size:
-                    pages.append((start, i - 1))
-                    start = max(start + 1, i - overlap)
-                    held = sum(lengths[start:i])
-                held += n
-            pages.append((start, len(ords) - 1))
-            out += [(doc, p, ords[a], ords[b]) for p, (a, b) in enumerate(pages)]
-        return pd.DataFrame(out, columns=[key, "page", "first", "last"])
+            ords, lengths = own["ord"].tolist(), own["n"].tolist()
+            total, parts = sum(lengths), []
+            if total <= size:
+                parts = [(0, len(ords) - 1)]
+            else:
+                budget, start, held = math.ceil((total / math.ceil(total / size) + size) / 2), 0, 0
+                for i, n in enumerate(lengths):
+                    if held + n > budget:
+                        parts.append((start, i - 1))
+                        start = max(i - overlap, 0)
+                        held = sum(lengths[start:i])
+                    held += n
+                parts.append((start, len(ords) - 1))
+            out += [(doc, p, ords[a] if b >= a else None, ords[b] if b >= a else None) for p, (a, b) in enumerate(parts)]
+        return pd.DataFrame(out, columns=[key, "page", "first", "last"]).astype({"first": "Int32", "last": "Int32"})
 
     kind = rows.schema[key].dataType.simpleString()
-    dealt = rows.select(key, "ord", F.length(text).alias("n")).withColumn("_g", F.pmod(F.xxhash64(key), F.lit(64)))
-    return dealt.groupBy("_g").applyInPandas(lambda p: fold(p.drop(columns="_g")), f"{key} {kind}, page int, first int, last int")
+    return by_document(rows.select(key, "ord", F.length(text).alias("n")), fold, f"{key} {kind}, page int, first int, last int", key)
 
 
 def from_codes(rows: DataFrame, key: str = "doc") -> DataFrame:
@@ -149,20 +270,33 @@ def with_preface(nodes: DataFrame, key: str = "doc") -> DataFrame:
     return nodes.select(key, "ord", "title", "start", "end").unionByName(first.select(key, F.lit(-1).alias("ord"), F.lit("Preface").alias("title"), F.lit(1).alias("start"), (F.col("s") - 1).alias("end")))
 
 
-def covering_ranges(nodes: DataFrame, key: str = "doc", depth: int = 6) -> DataFrame:
-    """key, ord, start, end widened to all descendants: six levels are the most, so six steps upward are enough."""
+def covering_ranges(nodes: DataFrame, key: str = "doc") -> DataFrame:
+    """key, ord, start, end widened to all descendants: one step upward for each level."""
     spans = nodes.select(key, "ord", "parent", "start", "end")
     up, out = spans, spans.select(key, "ord", "start", "end")
-    for _ in range(depth - 1):
+    for _ in range(_levels(nodes) - 1):
         up = up.filter("parent is not null").select(key, F.col("parent").alias("ord"), "start", "end").join(nodes.select(key, "ord", "parent"), [key, "ord"])
         out = out.unionByName(up.select(key, "ord", "start", "end"))
     return out.groupBy(key, "ord").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
+#: Fixed value: what the title of a node for a parent's opening pages ends in.
+INTRO = " (intro)"
+
+
+def intro_title(title: Column) -> Column:
+    """The title of a parent's node for its opening pages; a split intro keeps its own."""
+    t = F.trim(F.coalesce(title, F.lit("")))
+    return F.when(t == "", "Intro").when(t.endswith(INTRO), t).otherwise(F.concat(t, F.lit(INTRO)))
+
+
 def own_pages(nodes: DataFrame, key: str = "doc") -> DataFrame:
-    """key, ord, first, last: a node's pages up to its first child's start; last < first where a child opens it."""
-    child = nodes.filter("parent is not null").groupBy(key, F.col("parent").alias("ord")).agg(F.min("start").alias("c"))
-    return nodes.join(child, [key, "ord"], "left").select(key, "ord", F.col("start").alias("first"), F.coalesce(F.col("c") - 1, F.col("end")).alias("last"))
+    """key, ord, first, last: a node's own pages, a parent's up to and with its first child's start, as that child's heading may sit mid-page; last is null
+    where the first child is the parent's intro."""
+    child = nodes.filter("parent is not null").groupBy(key, F.col("parent").alias("ord")).agg(F.min(F.struct("ord", "start", "title")).alias("c"))
+    out = nodes.join(child, [key, "ord"], "left")
+    intro = (F.col("c.start") == F.col("start")) & F.col("c.title").eqNullSafe(intro_title(F.col("title")))
+    return out.select(key, "ord", F.col("start").alias("first"), F.when(F.col("c").isNull(), F.col("end")).when(~intro, F.least("end", F.col("c.start"))).alias("last"))
 
 
 def frontier_cost(frontier: DataFrame, key: str = "doc") -> DataFrame:
@@ -173,22 +307,24 @@ def frontier_cost(frontier: DataFrame, key: str = "doc") -> DataFrame:
 
 
 def thin(nodes: DataFrame, least: int, key: str = "doc") -> DataFrame:
-    """key, ord, into: nodes whose subtree holds fewer than ``least`` words go into their nearest ancestor that stays. nodes: key, ord, parent, words."""
+    """key, ord, into: from the last node to the first, a node of fewer than ``least`` words takes in all its descendants that are left, and stays. nodes: key,
+    ord, level, words."""
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([key, "ord"])
-        total: dict = {}
-        rows = list(zip(part[key], part["ord"], part["parent"], part["words"]))
-        for doc, o, p, w in reversed(rows):
-            total[doc, o] = total.get((doc, o), 0) + w
-            if p == p:
-                total[doc, int(p)] = total.get((doc, int(p)), 0) + total[doc, o]
-        into: dict = {}
-        for doc, o, p, _ in rows:
-            root = not p == p
-            into[doc, o] = o if root or (into[doc, int(p)] == int(p) and total[doc, int(p)] >= least and total[doc, o] >= least) else into[doc, int(p)]
-        return pd.DataFrame({key: [r[0] for r in rows], "ord": [r[1] for r in rows], "into": [into[r[0], r[1]] for r in rows]})
+        out = []
+        for doc, own in part.sort_values([key, "ord"]).groupby(key, sort=False):
+            ords, levels, words = own["ord"].tolist(), own["level"].tolist(), own["words"].tolist()
+            into = list(range(len(ords)))
+            for i in range(len(ords) - 1, -1, -1):
+                if words[i] < least:
+                    j = i + 1
+                    while j < len(ords) and levels[j] > levels[i]:
+                        if into[j] == j:
+                            words[i] += words[j]
+                        into[j] = i
+                        j += 1
+            out += [(doc, o, ords[t]) for o, t in zip(ords, into)]
+        return pd.DataFrame(out, columns=[key, "ord", "into"])
 
     kind = nodes.schema[key].dataType.simpleString()
-    dealt = nodes.select(key, "ord", "parent", "words").withColumn("_g", F.pmod(F.xxhash64(key), F.lit(64)))
-    return dealt.groupBy("_g").applyInPandas(lambda p: fold(p.drop(columns="_g")), f"{key} {kind}, ord int, into int")
+    return by_document(nodes.select(key, "ord", "level", "words"), fold, f"{key} {kind}, ord int, into int", key)

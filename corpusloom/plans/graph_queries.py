@@ -30,7 +30,7 @@ def _bought(spark, sf_dir) -> DataFrame:
 
 
 def _seeds(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "supplier").filter("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("seed"))
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seed"))
 
 
 @query("""WITH e AS (SELECT DISTINCT o_custkey AS src, l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT src, count(*) AS n FROM e GROUP BY src),
@@ -60,39 +60,47 @@ def snowball_fwd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT l_suppkey AS paper, p_name || ' ' || p_type AS hint, min(CASE WHEN l_quantity >= 49 THEN l_partkey END) AS verified FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 h AS (SELECT DISTINCT hint, list_distinct(regexp_extract_all(lower(hint), '[\\p{L}\\p{N}]+')) AS k FROM r),
-l AS (SELECT p_partkey AS id, list_distinct(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS k FROM part WHERE p_size <= 10),
+l AS (SELECT p_partkey AS id, list_distinct(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS k FROM part),
 b AS (SELECT hint, id, round(len(list_intersect(h.k, l.k)) / len(list_distinct(list_concat(h.k, l.k))), 9) AS j FROM h, l),
 g AS (SELECT hint, id FROM (SELECT hint, id, row_number() OVER (PARTITION BY hint ORDER BY j DESC, id) AS n FROM b WHERE j >= 0.5) WHERE n = 1)
 SELECT paper, r.hint AS hint, coalesce(verified, id) AS target, CASE WHEN verified IS NOT NULL THEN 'verified' WHEN id IS NOT NULL THEN 'title' ELSE 'unresolved' END AS how FROM r LEFT JOIN g ON r.hint = g.hint""")
 def snowball_bwd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the parts named by each supplier's lines resolve to: a part of a large line, a small part of a similar name, or nothing."""
+    """What the parts named by each supplier's lines resolve to: a part of a large line, which counts as verified, a part of a similar name, or nothing."""
     part = read(spark, sf_dir, "part")
     named = read(spark, sf_dir, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", "p_type").alias("hint")), "l_partkey")
     refs = named.groupBy(F.col("l_suppkey").alias("paper"), "hint").agg(F.min(F.when(F.col("l_quantity") >= 49, F.col("l_partkey"))).alias("verified"))
-    return gr.backward(refs, part.filter("p_size <= 10").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")))
+    return gr.backward(refs, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")))
 
 
 @query(f"""WITH e AS ({EDGES_SQL}) SELECT seed, node, CASE WHEN min(p) = 1 THEN 'cited_by' ELSE 'cites' END AS how FROM (
-SELECT dst AS seed, src AS node, 1 AS p FROM e WHERE dst % 20 = 0 UNION ALL SELECT src, dst, 2 FROM e WHERE src % 20 = 0) GROUP BY seed, node""")
+SELECT dst AS seed, src AS node, 1 AS p FROM e UNION ALL SELECT src, dst, 2 FROM e) GROUP BY seed, node""")
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers beside every supplier whose id is divisible by 20."""
+    """Suppliers beside every supplier."""
     return gr.neighbours(_seeds(spark, sf_dir), supplier_citations(spark, sf_dir))
 
 
-@query("""WITH t AS (SELECT DISTINCT p_brand AS surname, 1990 + p_size + l_linenumber % 3 - 1 AS year, p_name AS hint FROM lineitem JOIN part ON l_partkey = p_partkey),
-c AS (SELECT t.*, p_partkey AS key, 0.55 + 0.35 * CASE WHEN 1990 + p_size = year THEN 1.0 ELSE 0.5 END AS base, list_distinct(regexp_extract_all(lower(hint), '[\\p{L}\\p{N}]+')) AS a, list_distinct(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS b
-  FROM t JOIN part ON p_brand = surname AND abs(1990 + p_size - year) <= 1),
-d AS (SELECT surname, year, hint, key, round(CAST(0.7 * base + 0.3 * len(list_intersect(a, b)) / greatest(len(a), len(b)) AS DOUBLE), 9) AS score FROM c),
-r AS (SELECT *, row_number() OVER w AS n, score - coalesce(lead(score) OVER w, 0) AS gap FROM d WINDOW w AS (PARTITION BY surname, year, hint ORDER BY score DESC, key))
-SELECT t.surname AS surname, CAST(t.year AS INTEGER) AS year, t.hint AS hint, key, round(score, 6) AS score, round(gap, 6) AS gap, CASE WHEN score >= 0.9 AND round(gap, 9) >= 0.1 THEN 'strong' WHEN score >= 0.55 THEN 'weak' ELSE 'unmatched' END AS tier
-FROM t LEFT JOIN (SELECT * FROM r WHERE n = 1) r ON t.surname = r.surname AND t.year = r.year AND t.hint = r.hint""")
+@query("""WITH t AS (SELECT DISTINCT p_brand AS surname, CASE l_linenumber % 4 WHEN 0 THEN split_part(p_type, ' ', 1) WHEN 1 THEN 'Nobody' ELSE '' END AS secondary, CASE WHEN l_linenumber = 7 THEN 0 ELSE 1990 + p_size + l_linenumber % 3 - 1 END AS year, CASE WHEN l_linenumber % 2 = 0 THEN p_name ELSE '' END AS hint FROM lineitem JOIN part ON l_partkey = p_partkey),
+r AS (SELECT p_partkey AS key, p_brand AS first, [p_brand, split_part(p_type, ' ', 1)] AS names, 1990 + p_size AS y, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: length(x) > 2)) AS b, p_size % 5 AS c, p_partkey % 3 AS i FROM part),
+u AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(hint), '[a-z0-9]+'), lambda x: length(x) > 2)) AS a FROM t WHERE year > 0),
+d AS (SELECT u.*, key, c, i, y, first = surname AS f, list_contains(names, secondary) AS met, 0.55 * CASE WHEN first = surname THEN 1.0 ELSE 0.6 END + 0.35 * CASE WHEN y = year THEN 1.0 ELSE 0.5 END + 0.10 * CASE WHEN secondary = '' THEN 0 WHEN list_contains(names, secondary) THEN 1 ELSE -1 END AS base,
+  CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 0.5 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) + 0.5 * len(list_intersect(a, b)) / least(len(a), len(b)) END AS ts FROM u JOIN r ON list_contains(names, surname) AND abs(y - year) <= 1),
+e AS (SELECT *, round(CAST(CASE WHEN hint <> '' THEN 0.7 * base + 0.3 * ts ELSE base END AS DOUBLE), 9) AS score FROM d),
+g AS (SELECT *, row_number() OVER w AS n, round(score - lead(score) OVER w, 9) AS gap FROM e WINDOW w AS (PARTITION BY surname, secondary, year, hint ORDER BY score DESC, c DESC, i DESC, key)),
+h AS (SELECT *, CASE WHEN score >= 0.9 AND NOT coalesce(gap < 0.1, false) THEN 'strong' WHEN score >= 0.55 THEN 'weak' ELSE 'unmatched' END AS tier FROM g WHERE n = 1)
+SELECT t.surname AS surname, t.secondary AS secondary, CAST(t.year AS INTEGER) AS year, t.hint AS hint, CASE WHEN tier <> 'unmatched' THEN key END AS key, round(coalesce(score, 0.0), 6) AS score, round(gap, 6) AS gap, coalesce(tier, 'unmatched') AS tier,
+  CASE WHEN t.year = 0 THEN 'bad_target' WHEN tier IS NULL THEN 'no_candidate' WHEN tier = 'unmatched' THEN 'low_score' ELSE concat_ws('+', CASE WHEN f THEN 'first_author' ELSE 'any_author' END, CASE WHEN y = t.year THEN 'year' ELSE 'year_off' || abs(y - t.year) END, CASE WHEN t.secondary <> '' THEN CASE WHEN met THEN 'coauthor_match' ELSE 'coauthor_miss' END END, CASE WHEN gap < 0.1 THEN 'tiebreak' END) END AS method
+FROM t LEFT JOIN h ON t.surname = h.surname AND t.secondary = h.secondary AND t.year = h.year AND t.hint = h.hint""")
 def resolve_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cited (brand, year, name) of every order line, resolved to parts within a year."""
+    """Cited (brand, second name, year, name) of every order line, resolved to parts within a year; a part's type is its second author."""
     part = read(spark, sf_dir, "part")
-    line = read(spark, sf_dir, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size", "p_name"), "l_partkey")
-    targets = line.select(F.col("p_brand").alias("surname"), (F.lit(1990) + F.col("p_size") + F.col("l_linenumber") % 3 - 1).cast("int").alias("year"), F.col("p_name").alias("hint"))
-    out = gr.resolve(targets, part.select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("surname"), (F.lit(1990) + F.col("p_size")).alias("year"), F.col("p_name").alias("title")))
-    return out.withColumn("score", F.round("score", 6)).withColumn("gap", F.round("gap", 6)).select("surname", "year", "hint", "key", "score", "gap", "tier")
+    second = F.substring_index("p_type", " ", 1)
+    line = read(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_linenumber").alias("n")).distinct().join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size", "p_name", second.alias("s")), "l_partkey")
+    n = F.col("n")
+    year = F.when(n == 7, 0).otherwise(F.lit(1990) + F.col("p_size") + n % 3 - 1).cast("int")
+    targets = line.select(F.col("p_brand").alias("surname"), F.when(n % 4 == 0, F.col("s")).when(n % 4 == 1, "Nobody").otherwise("").alias("secondary"), year.alias("year"), F.when(n % 2 == 0, F.col("p_name")).otherwise("").alias("hint"))
+    registry = part.select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("surname"), F.array("p_brand", second).alias("surnames"), (F.lit(1990) + F.col("p_size")).alias("year"), F.col("p_name").alias("title"), (F.col("p_size") % 5).alias("citations"), (F.col("p_partkey") % 3).alias("in_corpus"))
+    out = gr.resolve(targets, registry)
+    return out.withColumn("score", F.round("score", 6)).withColumn("gap", F.round("gap", 6))
 
 
 _TRADE = "SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
@@ -142,11 +150,11 @@ def degree_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.degree_hits(supplier_citations(spark, sf_dir)).select("node", F.round("authority", 8).alias("authority"), F.round("hub", 8).alias("hub"))
 
 
-@query(f"""WITH e AS ({EDGES_SQL}), b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), s AS (SELECT s_suppkey AS seed FROM supplier WHERE s_suppkey % 20 = 0),
+@query(f"""WITH e AS ({EDGES_SQL}), b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), s AS (SELECT s_suppkey AS seed FROM supplier),
 w AS (SELECT seed, seed AS node, 0 AS hops FROM s UNION ALL SELECT seed, b, 1 FROM s JOIN b ON seed = a UNION ALL SELECT seed, y.b, 2 FROM s JOIN b x ON seed = x.a JOIN b y ON x.b = y.a)
 SELECT seed, node, CAST(min(hops) AS INTEGER) AS hops FROM w GROUP BY seed, node""")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers within two steps of every supplier whose id is divisible by 20."""
+    """Suppliers within two steps of every supplier."""
     return gr.reachable(_seeds(spark, sf_dir), supplier_citations(spark, sf_dir), 2)
 
 
@@ -172,7 +180,16 @@ def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.modularity(supplier_citations(spark, sf_dir), parts).select(F.round("modularity", 8).alias("modularity"))
 
 
-@query()
+#: Shortest paths of up to six steps, more than a path in the fixtures' graph has: s, t, steps d, their number p.
+_PATHS = f"""e AS MATERIALIZED ({EDGES_SQL}), n AS MATERIALIZED (SELECT src AS v FROM e UNION SELECT dst FROM e), p0 AS MATERIALIZED (SELECT v AS s, v AS t, 0 AS d, 1.0::DOUBLE AS p FROM n),
+""" + ", ".join(
+    f"p{i} AS MATERIALIZED (SELECT * FROM p{i - 1} UNION ALL SELECT * FROM (SELECT x.s AS s, e.dst AS t, {i} AS d, sum(p) AS p FROM p{i - 1} x JOIN e ON x.t = e.src WHERE x.d = {i - 1} GROUP BY x.s, e.dst) y WHERE NOT EXISTS (SELECT 1 FROM p{i - 1} z WHERE z.s = y.s AND z.t = y.t))"
+    for i in range(1, 7)
+) + """, b AS MATERIALIZED (SELECT v AS node, coalesce(sum(q), 0) / greatest((count(*) OVER () - 1) * (count(*) OVER () - 2), 1) AS b FROM n LEFT JOIN
+  (SELECT x.t AS k, sum(x.p * y.p / z.p) AS q FROM p6 x JOIN p6 y ON x.t = y.s JOIN p6 z ON z.s = x.s AND z.t = y.t WHERE x.d > 0 AND y.d > 0 AND z.d = x.d + y.d GROUP BY x.t) ON k = v GROUP BY v)"""
+
+
+@query(f"WITH {_PATHS} SELECT node, round(b, 8) AS betweenness FROM b")
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact betweenness of suppliers."""
     return gr.betweenness(supplier_citations(spark, sf_dir)).select("node", F.round("betweenness", 8).alias("betweenness"))
@@ -198,10 +215,11 @@ def _metrics(spark, sf_dir) -> DataFrame:
     return rows.fillna(0, ["i", "o"])
 
 
-@query(f"WITH {_METRICS}, b AS (SELECT node, community, round(i * o / 10000.0, 6) AS b FROM m WHERE i * o > 0) SELECT min(node) AS node, community, CAST(b AS DOUBLE) AS betweenness FROM b WHERE (SELECT count(DISTINCT community) FROM m) >= 2 GROUP BY community, b")
+@query(f"WITH {_PATHS}, m AS (SELECT s_suppkey AS node, s_nationkey AS community, round(round(b, 8), 6) AS b FROM supplier JOIN b ON node = s_suppkey) SELECT min(node) AS node, community, b AS betweenness FROM m WHERE b > 0 AND (SELECT count(DISTINCT community) FROM m) >= 2 GROUP BY community, b")
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers between nations; the product of degrees stands in for betweenness."""
-    return gr.bridges(_metrics(spark, sf_dir).select("node", "community", (F.col("i") * F.col("o") / 10000.0).alias("betweenness")))
+    """Suppliers between nations, by betweenness."""
+    nation = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("community"))
+    return gr.bridges(gr.betweenness(supplier_citations(spark, sf_dir)).withColumn("betweenness", F.round("betweenness", 8)).join(nation, "node"))
 
 
 @query(f"WITH {_METRICS} SELECT node, round((rcr / (SELECT max(rcr) FROM m)) * (1 - i / (SELECT max(i) FROM m)), 6) AS score FROM m")
@@ -211,16 +229,14 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT p_partkey AS node, p_brand AS community, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[\\p{L}\\p{N}]+')) AS k FROM part),
 b AS (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey WHERE x.l_partkey <> y.l_partkey)
-SELECT s.node AS seed, o.node AS other, CAST(len(list_intersect(s.k, o.k)) AS BIGINT) AS shared FROM p s JOIN p o ON s.community = o.community AND s.node <> o.node
-WHERE s.node % 20 = 0 AND len(list_intersect(s.k, o.k)) >= 2 AND NOT EXISTS (SELECT 1 FROM b WHERE b.a = s.node AND b.b = o.node)""")
+SELECT s.node AS seed, o.node AS other, CAST(len(list_intersect(s.k, o.k)) AS BIGINT) AS shared FROM p s JOIN p o ON s.community = o.community AND s.node < o.node
+WHERE len(list_intersect(s.k, o.k)) >= 2 AND NOT EXISTS (SELECT 1 FROM b WHERE b.a = s.node AND b.b = o.node)""")
 def uncited_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a brand with similar names that no order has together, for every part whose id is divisible by 20."""
+    """All pairs of parts of a brand with similar names that no order has together."""
     papers = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("community"), F.array_distinct(words(F.concat_ws(" ", "p_name", "p_type"))).alias("tokens"))
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    seeds = papers.filter("node % 20 = 0").select(F.col("node").alias("seed"))
-    own = line.join(seeds.withColumnRenamed("seed", "l_partkey"), "l_partkey", "left_semi").select("l_orderkey", F.col("l_partkey").alias("src"))
-    edges = own.join(line.withColumnRenamed("l_partkey", "dst"), "l_orderkey").filter("src <> dst").select("src", "dst").distinct()
-    return gr.uncited_pairs(seeds, papers, edges)
+    edges = line.withColumnRenamed("l_partkey", "src").join(line.withColumnRenamed("l_partkey", "dst"), "l_orderkey").filter("src < dst").select("src", "dst").distinct()
+    return gr.uncited_pairs(None, papers, edges)
 
 
 _TOPICS = "t AS (SELECT p_partkey AS node, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[\\p{L}\\p{N}]+')) AS k FROM part)"

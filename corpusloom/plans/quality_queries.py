@@ -137,7 +137,7 @@ def topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alias_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of aliases, ten long, followed to their end."""
     i = F.col("c_custkey")
-    return topics.resolve_aliases(read(spark, sf_dir, "customer").select(i.alias("topic"), F.when(i % 10 == 0, i).otherwise(i - 1).alias("canonical")), 4)
+    return topics.resolve_aliases(read(spark, sf_dir, "customer").select(i.alias("topic"), F.when(i % 10 == 0, i).otherwise(i - 1).alias("canonical")))
 
 
 def _tree(spark, sf_dir) -> DataFrame:
@@ -178,12 +178,111 @@ def tree_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.residual_pages(_ranges(spark, sf_dir))
 
 
-@query()
+_COST = ", ".join(
+    f"""x{v} AS MATERIALIZED (SELECT g.doc AS doc, g.ord AS ord, g.parent AS parent, g.start AS start, greatest(max("end"), coalesce(max(k.last), 0)) AS last, max(k.cost) AS worst, list(struct_pack(a := k.start, e := k.last)) FILTER (WHERE k.ord IS NOT NULL) AS kids FROM h g LEFT JOIN ({below}) k ON k.doc = g.doc AND k.parent = g.ord WHERE g.level = {v} GROUP BY g.doc, g.ord, g.parent, g.start),
+c{v} AS MATERIALIZED (SELECT doc, ord, parent, start, last, CAST(least(last - start + 1, CASE WHEN kids IS NULL THEN last - start + 1 ELSE 1 + greatest(worst, len(list_filter(range(start, last + 1), lambda p: len(list_filter(kids, lambda k: k.a <= p AND k.e >= p)) = 0))) END) AS DOUBLE) AS cost,
+  kids IS NOT NULL AND last - start + 1 > 1 + greatest(worst, len(list_filter(range(start, last + 1), lambda p: len(list_filter(kids, lambda k: k.a <= p AND k.e >= p)) = 0))) AS kept FROM x{v})"""
+    for v, below in ((4, "SELECT NULL::BIGINT AS doc, NULL::BIGINT AS ord, NULL::BIGINT AS parent, 0 AS start, 0 AS last, 0.0::DOUBLE AS cost WHERE false"), (3, "SELECT * FROM c4"), (2, "SELECT * FROM c4 UNION ALL SELECT * FROM c3"), (1, "SELECT * FROM c4 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c2"))
+)
+
+
+@query(f"""WITH {_TREE}, h AS MATERIALIZED (SELECT * FROM g), {_COST}
+SELECT doc, CAST(ord AS INTEGER) AS ord, cost, kept FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4)""")
 def tree_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs of every tree's nodes after folding cheap subtrees."""
     return trees.collapse_costs(_ranges(spark, sf_dir).select("doc", "ord", "parent", "start", "end"))
 
 
+@query("""WITH a AS (SELECT l_orderkey AS doc, l_linenumber AS pos, l_partkey % 3 AS o FROM lineitem), c AS (SELECT doc, o, count(*) AS n, min(pos) AS first FROM a GROUP BY doc, o)
+SELECT doc, CAST(o AS BIGINT) AS "offset", n FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, first, o) AS k FROM c) WHERE k = 1""")
+def page_offset_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest page offset of every order."""
+    pairs = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"), F.col("l_linenumber").cast("long").alias("printed"), (F.col("l_linenumber") + F.col("l_partkey") % 3).alias("physical"))
+    return trees.offset_mode(pairs)
+
+
+@query(f"""WITH {_TREE}, i AS (SELECT *, CASE WHEN ord = 1 AND doc % 3 = 0 THEN 't1 (intro)' ELSE title END AS t2, CASE WHEN ord = 1 AND doc % 3 = 0 THEN 1 ELSE start END AS s2 FROM g),
+k AS (SELECT doc, parent AS ord, arg_min(s2, ord) AS cs, arg_min(t2, ord) AS ct FROM i WHERE parent IS NOT NULL GROUP BY ALL)
+SELECT i.doc AS doc, CAST(i.ord AS INTEGER) AS ord, CAST(s2 AS INTEGER) AS first, CAST(CASE WHEN cs IS NULL THEN "end" WHEN cs = s2 AND ct = CASE WHEN ends_with(t2, ' (intro)') THEN t2 ELSE t2 || ' (intro)' END THEN NULL ELSE least("end", cs) END AS INTEGER) AS last FROM i LEFT JOIN k ON k.doc = i.doc AND k.ord = i.ord""")
+def tree_own_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own pages of the nodes of every tree; the second node of every third tree is its parent's intro, if that is the first."""
+    intro = (F.col("ord") == 1) & (F.col("doc") % 3 == 0)
+    nodes = _ranges(spark, sf_dir).withColumn("title", F.when(intro, "t1 (intro)").otherwise(F.col("title"))).withColumn("start", F.when(intro, 1).otherwise(F.col("start")))
+    return trees.own_pages(nodes).select("doc", "ord", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+
+
+@query(f"""WITH {_TREE}, q AS (SELECT doc, parent, is_leaf, title, ord, start % 4 AS a, start % 4 + ord % 2 AS e FROM g),
+r AS (SELECT doc, parent, CASE WHEN is_leaf THEN a || '-' || e ELSE 'n' || ord END AS s, list(title ORDER BY ord) AS t, min(ord) AS ord, min(a) AS a, min(e) AS e, bool_and(is_leaf) AS is_leaf FROM q GROUP BY ALL)
+SELECT doc, CAST(ord AS INTEGER) AS ord, CAST(parent AS INTEGER) AS parent, is_leaf, array_to_string(t, '; ') AS title, CAST(a AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", CAST(len(t) AS BIGINT) AS merged FROM r""")
+def tree_same_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of one parent that cover the same pages as one; pages are made few."""
+    nodes = _ranges(spark, sf_dir).withColumn("start", F.col("start") % 4).withColumn("end", F.col("start") + F.col("ord") % 2)
+    return trees.merge_same_page(nodes).select("doc", "ord", "parent", "is_leaf", "title", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "merged")
+
+
+@query(f"""WITH {_TREE}, k AS (SELECT doc, ord, start, "end", start AS a, start + ("end" - start) // 3 AS e FROM g UNION ALL SELECT doc, ord, start, "end", "end" - ("end" - start) // 2, "end" FROM g WHERE "end" > start),
+pp AS (SELECT DISTINCT doc, ord, unnest(range(a, e + 1)) AS page FROM k), r AS (SELECT doc, ord, count(*) AS c FROM pp GROUP BY ALL), w AS (SELECT doc, ord, max(e - a + 1) AS scan, any_value("end" - start + 1) AS span FROM k GROUP BY ALL)
+SELECT doc, CAST(ord AS INTEGER) AS ord, CAST(1 + greatest(scan, span - c) AS DOUBLE) AS cost, span - c AS residual, 1 + greatest(scan, span - c) < span AS expand FROM w JOIN r USING (doc, ord)""")
+def tree_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two proposed children, the first third and the last half of a node's pages, pay."""
+    nodes = _ranges(spark, sf_dir)
+    n = F.col("end") - F.col("start")
+    one = nodes.select("doc", "ord", "start", (F.col("start") + F.floor(n / 3)).cast("int").alias("end"))
+    two = nodes.filter("end > start").select("doc", "ord", (F.col("end") - F.floor(n / 2)).cast("int").alias("start"), "end")
+    return trees.expand_cost(nodes, one.unionByName(two)).withColumn("residual", F.col("residual").cast("long"))
+
+
+@query(f"""WITH {_TREE}, k AS (SELECT doc, parent AS ord, string_agg(title, '; ' ORDER BY ord) AS s FROM g WHERE parent IS NOT NULL GROUP BY ALL)
+SELECT g.doc AS doc, CAST(g.ord AS INTEGER) AS ord, coalesce(s, CASE WHEN g.ord % 2 = 0 THEN 'the text of ' || title ELSE title END) AS summary FROM g LEFT JOIN k ON k.doc = g.doc AND k.ord = g.ord""")
+def tree_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries without a model; every second node has a text."""
+    nodes = _ranges(spark, sf_dir).withColumn("text", F.when(F.col("ord") % 2 == 0, F.concat(F.lit(" the  text\n of "), "title")))
+    return trees.fallback_summary(nodes)
+
+
+@query(f"""WITH {_TREE}, b AS (SELECT doc, ord, CASE WHEN ord % 3 = 2 THEN start - 5 ELSE start END AS s, parent FROM g), c AS (SELECT doc, ord, s, lag(s) OVER (PARTITION BY doc, parent ORDER BY ord) AS before FROM b),
+u AS (SELECT DISTINCT doc, unnest(range(start, "end" + 1)) AS page FROM g WHERE ord > 0), d AS (SELECT DISTINCT doc, unnest(range(1, 31)) AS page FROM g)
+SELECT doc, CAST(ord AS BIGINT) AS "at", 'order' AS issue FROM c WHERE s < before UNION ALL SELECT doc, page, 'gap' FROM d ANTI JOIN u USING (doc, page)
+UNION ALL SELECT doc, ord, 'index' FROM g WHERE start * 2 > 30""")
+def tree_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Siblings out of order where every third node is moved, pages that no node but the root has, and doubled page numbers outside of the document."""
+    nodes = _ranges(spark, sf_dir)
+    moved = nodes.withColumn("start", F.when(F.col("ord") % 3 == 2, F.col("start") - 5).otherwise(F.col("start")))
+    order = trees.order_issues(moved).select("doc", F.col("ord").cast("long").alias("at"), F.lit("order").alias("issue"))
+    gaps = trees.gaps(nodes.filter("ord > 0"), nodes.select("doc", "pages").distinct()).select("doc", F.col("page").cast("long").alias("at"), F.lit("gap").alias("issue"))
+    named = nodes.withColumn("physical", F.concat(F.lit("<physical_index_"), (F.col("start") * 2).cast("string"), F.lit(">"))).withColumn("first_page", F.lit(1))
+    index = trees.valid_pages(named).filter("physical is null").select("doc", F.col("ord").cast("long").alias("at"), F.lit("index").alias("issue"))
+    return order.unionByName(gaps).unionByName(index)
+
+
+@query(f"""WITH {_TREE}, f AS (SELECT doc, count(*) AS n, level AS depth, "end" - start + 1 AS pages, is_leaf FROM g GROUP BY ALL), l AS (SELECT doc, level AS depth, "end" - start + 1 AS pages FROM g WHERE is_leaf)
+SELECT doc, CAST(max(depth + pages) AS DOUBLE) AS worst, round(sum(pages * (depth + (pages + 1) / 2.0)) / sum(pages), 6) AS expected FROM l GROUP BY doc""")
+def tree_frontier_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worst and mean cost of finding a page of every tree, by the levels and pages of its leaves."""
+    leaves = _ranges(spark, sf_dir).filter("is_leaf").select("doc", F.col("level").alias("depth"), (F.col("end") - F.col("start") + 1).alias("pages"))
+    out = trees.frontier_cost(leaves)
+    return out.select("doc", F.col("worst").cast("double").alias("worst"), F.round("expected", 6).alias("expected"))
+
+
+@query()
+def tree_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the nodes of every tree go if those of few words take in their descendants."""
+    return trees.thin(_tree(spark, sf_dir).withColumn("words", F.col("start") * 7 % 40), 20)
+
+
+@query()
+def tree_page_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that stay if subtrees of one page, or of few pages in a large tree, go."""
+    return trees.thin_pages(_ranges(spark, sf_dir), most_nodes=4, least_pages=12)
+
+
+@query()
+def outline_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document packed into parts of an even size with one line of overlap."""
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("ord", "line"))
+    return trees.paginate(rows, "line", 4000)
+
+
 @query("""WITH n AS (SELECT s_suppkey AS c_custkey, s_name AS n_c_name, CASE WHEN s_suppkey % 2 = 0 THEN 'X' END AS n_c_mktsegment FROM supplier)
 SELECT c_custkey, coalesce(n_c_name, c_name) AS c_name, coalesce(n_c_mktsegment, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN n USING (c_custkey)""")
 def metadata_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,11 +174,10 @@ b AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY rank) > 2
 SELECT * FROM (SELECT lang AS query_id, doc_id, source, CAST(row_number() OVER (PARTITION BY lang ORDER BY over, rank) AS BIGINT) AS rank FROM b) WHERE rank <= 20""")
 def source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest documents of each language, at most two of a source first."""
-    from pyspark.sql.window import Window
-
-    docs = _docs(spark, sf_dir).select("doc_id", "source", F.col("lang").alias("query_id"), F.length("text").alias("n"))
-    hits = docs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("n").desc(), "doc_id")))
-    return rt.cap_sources(hits, k=20).select("query_id", "doc_id", "source", F.col("rank").cast("long").alias("rank"))
+    hits = _docs(spark, sf_dir).select("doc_id", "source", F.col("lang").alias("query_id"), F.length("text").alias("n"))
+    # two of each source and the twenty best hold all that can come first: a top-k of each source and of each language, kept small before the shuffle
+    pool = rt.cap_pool(hits, [F.col("n").desc(), F.col("doc_id")], 20)
+    return rt.cap_sources(pool, k=20).select("query_id", "doc_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH m AS (SELECT l_suppkey, count(*) AS pagerank, count(DISTINCT o_custkey) AS authority, avg(l_quantity) / 10 AS rcr, count(DISTINCT l_partkey) AS in_corpus, count(DISTINCT l_orderkey) AS cites FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_suppkey),
@@ -197,16 +196,16 @@ def provenance_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.boost_provenance(hits, m, "s_suppkey").select("s_suppkey", F.round("factor", 6).alias("factor"), F.round("score", 6).alias("score"))
 
 
-EDGES_SQL = "SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst, l_quantity FROM lineitem) WHERE l_quantity >= 48 AND dst IS NOT NULL AND src <> dst"
+EDGES_SQL = "SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst"
 
 
 def supplier_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src cites dst: the suppliers of neighbouring lines of an order, after lines of a large quantity."""
+    """src cites dst: the suppliers of neighbouring lines of an order."""
     from pyspark.sql.window import Window
 
     nxt = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), nxt.alias("dst"), "l_quantity")
-    return rows.filter("l_quantity >= 48 and dst is not null and src <> dst").select("src", "dst").distinct()
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), nxt.alias("dst"))
+    return rows.filter("dst is not null and src <> dst").distinct()
 
 
 @query(f"""WITH e AS ({EDGES_SQL}), h AS (SELECT s_nationkey AS query_id, s_suppkey, s_acctbal AS score, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier),
@@ -226,7 +225,7 @@ def cite_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(bm25_sql(_Q, _DOCS, "doc_id", False, 3, """,
 w AS (SELECT query_id, text, round(1 / (1 + exp(-score / 50)), 6) AS similarity FROM r JOIN documents USING (doc_id)),
-m AS (SELECT query_id, count(*) AS n, sum(length(text)) AS chars, max(similarity) AS best, avg(CASE WHEN len(list_filter(string_split(text, '. '), lambda s: length(trim(s, ' ')) >= 40)) > 0 THEN 1.0 ELSE 0.0 END) AS narrative FROM w GROUP BY query_id)
+m AS (SELECT query_id, count(*) AS n, sum(length(text)) AS chars, max(similarity) AS best, coalesce(sum(coalesce(list_sum(list_transform(regexp_extract_all(text, '[^.!?\\n]{40,}[.!?]'), lambda s: length(s))), 0)) / nullif(sum(length(text)), 0), 0) AS narrative FROM w GROUP BY query_id)
 SELECT query_id, n, CAST(chars AS BIGINT) AS chars, best, round(narrative, 6) AS narrative, concat_ws(',', CASE WHEN n < 2 THEN 'few' END, CASE WHEN chars < 300 THEN 'short' END, CASE WHEN best < 0.54 THEN 'far' END, CASE WHEN narrative < 0.3 THEN 'fragments' END) AS reasons FROM m"""))
 def weak_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why the three best documents of each benchmark item would be broadened."""

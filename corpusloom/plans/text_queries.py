@@ -257,3 +257,14 @@ def page_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("p"))
     rows = rows.select("l_orderkey", tx.format_pages(F.col("p")).alias("spec"))
     return rows.select("l_orderkey", "spec", F.size(tx.expand_pages(F.col("spec"))).cast("long").alias("n"))
+
+
+@query(r"""WITH a AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN '3-' || (o_custkey % 40 + 1) || ', 2' WHEN 1 THEN '1-2147483640' WHEN 2 THEN '0' WHEN 3 THEN '5,' || o_custkey || '-' || (o_custkey + 3) WHEN 4 THEN '1-30,40-60' WHEN 5 THEN 'x' WHEN 6 THEN '0-3' WHEN 7 THEN '7' WHEN 8 THEN ' 4 - 9 , 8' END AS spec, o_custkey AS c FROM orders)
+SELECT o_orderkey, spec, CASE o_orderkey % 9 WHEN 0 THEN CASE WHEN c % 40 + 1 >= 3 THEN (SELECT list(v ORDER BY v) FROM (SELECT DISTINCT unnest(list_append(range(3, c % 40 + 2), 2)) AS v)) END WHEN 3 THEN CASE WHEN c > 0 THEN (SELECT list(v ORDER BY v) FROM (SELECT DISTINCT unnest(list_append(range(c, c + 4), 5)) AS v)) END WHEN 7 THEN [7] WHEN 8 THEN range(4, 10) END AS pages,
+  CASE o_orderkey % 9 WHEN 0 THEN CASE WHEN c % 40 + 1 < 3 THEN 'invalid' END WHEN 1 THEN 'too_many' WHEN 2 THEN 'nonpositive' WHEN 3 THEN CASE WHEN c = 0 THEN 'nonpositive' END WHEN 4 THEN 'too_many' WHEN 5 THEN 'invalid' WHEN 6 THEN 'nonpositive' END AS error FROM a""")
+def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up page specs of every order, sound and faulty."""
+    m, c = F.col("o_orderkey") % 9, F.col("o_custkey")
+    text = lambda x: x.cast("string")
+    spec = F.when(m == 0, F.concat(F.lit("3-"), text(c % 40 + 1), F.lit(", 2"))).when(m == 1, "1-2147483640").when(m == 2, "0").when(m == 3, F.concat(F.lit("5,"), text(c), F.lit("-"), text(c + 3))).when(m == 4, "1-30,40-60").when(m == 5, "x").when(m == 6, "0-3").when(m == 7, "7").otherwise(" 4 - 9 , 8")
+    return read(spark, sf_dir, "orders").select("o_orderkey", spec.alias("spec"), tx.read_pages(spec).alias("r")).select("o_orderkey", "spec", "r.pages", "r.error")
