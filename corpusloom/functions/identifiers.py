@@ -59,9 +59,9 @@ def detect_identifier(raw: Column) -> Column:
     return F.struct(kind.alias("kind"), F.coalesce(doi, arxiv, pmcid, pmid).alias("id"))
 
 
-def doi_agree(a: Column, b: Column, least: int = 8) -> Column:
-    """Whether two DOIs are the same or one is the other cut short; null if either is missing."""
-    x, y = normalize_doi(a), normalize_doi(b)
+def doi_agree(a: Column, b: Column, least: int = 8, normalized: bool = False) -> Column:
+    """Whether two DOIs are the same or one is the other cut short; null if either is missing. normalized: they are so already."""
+    x, y = (a, b) if normalized else (normalize_doi(a), normalize_doi(b))
     bare = lambda d: F.regexp_replace(d, r"(?<=[0-9])[._-]?v[0-9]+$", "")
     short = F.when(F.length(bare(x)) <= F.length(bare(y)), bare(x)).otherwise(bare(y))
     long = F.when(F.length(bare(x)) <= F.length(bare(y)), bare(y)).otherwise(bare(x))

@@ -206,6 +206,80 @@ def by_size(parts: DataFrame) -> DataFrame:
     return parts.join(numbered.select("community", (F.col("_b") + F.col("_r")).cast("long").alias("community_id"), "community_size"), "community").select("node", "community_id", "community_size")
 
 
+def louvain(edges: DataFrame, rounds: int = 10, levels: int = 10, least_gain: float = 1e-7) -> DataFrame:
+    """node, community_id, community_size by the Louvain method on the undirected graph, deterministic and in rounds of joins.
+
+    In a round every node weighs the modularity that moving to a neighbour's community would gain, from sums of all communities. Nodes are dealt by hash to two
+    halves that move in turn, so that neighbours don't just swap places, and a single node moves to another single one only where that has the
+    lesser name. When modularity gains less than ``least_gain`` the communities become the nodes of a smaller, weighted graph, until nothing merges.
+    """
+    near = both_ways(edges).filter("a <> b")
+    links = staged(near.select("a", "b", F.lit(1.0).alias("w")), "links")  # each edge in both directions; loops of later levels once, with both ends' weight
+    total = links.agg(F.sum("w").alias("t")).first()["t"] or 0.0
+    whole = nodes_of(edges).select("node", F.col("node").alias("community"))
+    if not total:
+        return by_size(whole)
+    for _ in range(levels):
+        at = staged(links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("community", F.col("node")), "at")
+        best, moved_any = None, False
+        for r in range(rounds):
+            after = _local_moves(_local_moves(at, links, total, 2 * r), links, total, 2 * r + 1)
+            quality = _weighted_modularity(after, links, total)
+            before = _weighted_modularity(at, links, total) if best is None else best
+            if quality - before < least_gain:
+                break
+            at, best, moved_any = after, quality, True
+        if not moved_any:
+            break
+        to = staged(at.select("node", "community"), "to")
+        whole = staged(whole.withColumnRenamed("community", "_c").join(to.toDF("_c", "community"), "_c", "left").select("node", F.coalesce("community", "_c").alias("community")), "whole")
+        links = staged(links.join(to.toDF("a", "ca"), "a").join(to.toDF("b", "cb"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "links")
+    return by_size(whole)
+
+
+def _local_moves(at: DataFrame, links: DataFrame, total: float, turn: int) -> DataFrame:
+    """at (node, k, community) after the nodes of one half have moved to where modularity gains most."""
+    sums = at.groupBy("community").agg(F.sum("k").alias("s"), F.count("*").alias("n"))
+    into = links.filter("a <> b").join(at.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("w"))
+    own = at.select("node", "k", F.col("community").alias("own"))
+    rows = into.join(own, "node").join(sums, "community")
+    # without itself: a node's own community loses the node's weight
+    gain = F.col("w") - F.col("k") * (F.col("s") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / total
+    single = sums.select(F.col("community").alias("own"), F.col("n").alias("n_own"))
+    rows = rows.join(single, "own").filter((F.col("community") <= F.col("own")) | (F.col("n_own") > 1) | (F.col("n") > 1))
+    best = rows.withColumn("g", F.round(gain, 9)).groupBy("node").agg(F.min(F.struct((-F.col("g")).alias("g"), (F.col("community") != F.col("own")).alias("away"), "community")).alias("m"), F.max(F.when(F.col("community") == F.col("own"), F.col("g"))).alias("stay"))
+    # staying alone gains nothing; a node without a neighbour in its own community compares with leaving it
+    base = at.select("node", "k", "community").join(sums, "community").select("node", F.round(-F.col("k") * (F.col("s") - F.col("k")) / total, 9).alias("left"))
+    turnwise = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    moved = at.join(best, "node", "left").join(base, "node")
+    target = F.when(turnwise & (-F.col("m.g") > F.coalesce("stay", "left")), F.col("m.community")).otherwise(F.col("community"))
+    return staged(moved.select("node", "k", target.alias("community")), "moves")
+
+
+def _weighted_modularity(at: DataFrame, links: DataFrame, total: float) -> float:
+    of = lambda c: at.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
+    inside = links.join(of("a"), "a").join(of("b"), "b").filter("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("i")).first()["i"]
+    share = at.groupBy("community").agg((F.sum("k") / total).alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("s")).first()["s"]
+    return inside / total - (share or 0.0)
+
+
+def graph_fingerprint(metrics: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """One row: fingerprint, which changes with the nodes, their communities or the number of edges. metrics: node, community_id.
+
+    A digest of all rows in order would need them in one place; the sum of the rows' hashes needs no order.
+    """
+    each = F.xxhash64(F.col("node").cast("string"), F.coalesce(F.col("community_id").cast("string"), F.lit("None")))
+    out = metrics.agg(F.count("*").alias("n"), F.coalesce(F.sum(each.cast("decimal(38,0)")), F.lit(0)).alias("h"))
+    n_edges = edges.agg(F.count("*").alias("e")) if edges is not None else metrics.sparkSession.range(1).select(F.lit(None).cast("long").alias("e"))
+    return out.join(F.broadcast(n_edges)).select(F.substring(F.sha1(F.concat_ws("|", F.concat(F.lit("n="), F.col("n").cast("string")), F.col("h").cast("string"), F.concat(F.lit("e="), F.col("e").cast("string")))), 1, 12).alias("fingerprint"))
+
+
+def distribution(values: DataFrame, columns: list[str]) -> DataFrame:
+    """name, n, min, median, mean, max, nonzero of each column's values, nulls left out; the median of an even number is the middle of two."""
+    rows = values.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").filter("v is not null")
+    return rows.groupBy("name").agg(F.count("*").alias("n"), F.min("v").alias("min"), F.median("v").alias("median"), F.avg("v").alias("mean"), F.max("v").alias("max"), F.count_if(F.col("v") > 0).alias("nonzero"))
+
+
 def modularity(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """One row: modularity of a partition (node, community_id) of the undirected graph."""
     near = both_ways(edges)
