@@ -1,6 +1,6 @@
 """Line dedup by overlapping three-line windows.
 
-Lines are what newlines separate; a line of over LONG_WORDS words is wrapped at the ends of its sentences, so that a long passage
+Lines are what newlines separate; a line of over LONG_CHARS characters is wrapped at the ends of its sentences, so that a long passage
 on one or two lines is made of several lines too. Every three consecutive lines of a document are one window, known by two 64-bit hashes. A window
 that occurs more than once keeps its first occurrence (least doc_id, then position); the lines that any later occurrence covers are removed, so
 overlapping later windows merge into one removed stretch. Of equal lines the earliest always stays.
@@ -9,7 +9,7 @@ Lines are compared without spaces at their ends (tabs and carriage returns count
 fewer than three lines has no window and stays; windows of blank lines only don't count; rows that share a doc_id
 count as separate documents in the order of their text hash; of equal rows one is the first, the others lose every line that a window
 covers. Long documents are split whole. Counts are pre-aggregated before they are shuffled, and hot windows are joined as pairs of window and document,
-one row each, which the adaptive skew join can split.
+one row each, with a written table of the repeated windows, so that the adaptive skew join can split them.
 """
 
 from __future__ import annotations
@@ -20,36 +20,60 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, scratch, staged, table, text_or_empty
 
 WINDOW_LINES = 3
-LONG_WORDS = 30  # a line of more words is wrapped
-SENTENCE_END = r"(?<=[.!?] )"
+LONG_CHARS = 200  # a line of more characters is wrapped
+ENDS = (". ", "! ", "? ")  # of sentences
+MARK = "\u0001"
 
 
 def lines_of(text: Column) -> Column:
     """The lines of a text with the newline or space that ends them: joined they are the text."""
-    long = lambda x: F.size(F.split(x, " ")) > LONG_WORDS
-    return F.flatten(F.transform(F.split(text, r"(?<=\n)", -1), lambda x: F.when(long(x), F.split(x, SENTENCE_END, -1)).otherwise(F.array(x))))
+    marked = F.replace(text, F.lit("\n"), F.lit("\n" + MARK))
+    plain = F.split(marked, MARK, -1)
+
+    def wrapped(line: Column) -> Column:
+        for end in ENDS:
+            line = F.replace(line, F.lit(end), F.lit(end + MARK))
+        return F.split(line, MARK, -1)
+
+    fast = F.flatten(F.transform(plain, lambda x: F.when(F.length(x) > LONG_CHARS, wrapped(x)).otherwise(F.array(x))))
+    # a text that has the mark itself is cut by look-behind, which is slower
+    slow = F.flatten(F.transform(F.split(text, r"(?<=\n)", -1), lambda x: F.when(F.length(x) > LONG_CHARS, F.split(x, r"(?<=[.!?] )", -1)).otherwise(F.array(x))))
+    return F.when(text.contains(MARK), slow).otherwise(fast)
 
 
 def _bare(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"\n$", ""))
+    return F.trim(F.when(line.endswith("\n"), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line))
+
 
+def hashed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, _tie (the text's hash), _h (hashes of its lines)."""
+    return docs.select("doc_id", F.xxhash64(text_or_empty(text)).alias("_tie"), F.transform(lines_of(text_or_empty(text)), lambda x: F.xxhash64(_bare(x))).alias("_h"))
 
-def windows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, _tie, pos (from 0), h1, h2: every window that isn't blank."""
-    trimmed = F.transform(lines_of(text_or_empty(text)), lambda x: F.xxhash64(_bare(x)))
+
+def windows(hashed: DataFrame) -> DataFrame:
+    """doc_id, _tie, pos (from 0), h1, h2: every window that isn't blank, of hashed lines."""
     blank = F.xxhash64(F.lit(""))
-    hashed = docs.select("doc_id", F.xxhash64(text_or_empty(text)).alias("_tie"), trimmed.alias("_h")).filter(F.size("_h") >= WINDOW_LINES)
-    each = hashed.select("doc_id", "_tie", F.posexplode(F.arrays_zip(F.slice("_h", 1, F.size("_h") - 2).alias("a"), F.slice("_h", 2, F.size("_h") - 2).alias("b"), F.slice("_h", 3, F.size("_h") - 2).alias("c"))).alias("pos", "w"))
+    long = hashed.filter(F.size("_h") >= WINDOW_LINES)
+    each = long.select("doc_id", "_tie", F.posexplode(F.arrays_zip(F.slice("_h", 1, F.size("_h") - 2).alias("a"), F.slice("_h", 2, F.size("_h") - 2).alias("b"), F.slice("_h", 3, F.size("_h") - 2).alias("c"))).alias("pos", "w"))
     lines = [F.col("w.a"), F.col("w.b"), F.col("w.c")]
     return each.filter(~((lines[0] == blank) & (lines[1] == blank) & (lines[2] == blank))).select("doc_id", "_tie", "pos", F.xxhash64(*lines).alias("h1"), F.xxhash64(F.lit(1), *reversed(lines)).alias("h2"))
 
 
-def later_windows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, _tie, pos of every window that an earlier one repeats."""
-    all_windows = windows(docs, text)
-    place = F.struct("doc_id", "_tie", "pos")
-    first = all_windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return all_windows.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "_tie", "pos")
+def later_windows(hashed: DataFrame) -> DataFrame:
+    """doc_id, _tie, pos of every window that an earlier one repeats.
+
+    Windows of documents after the first that has them are later ones at once; only those of the first document are compared by place.
+    """
+    every, key = windows(hashed), ["h1", "h2"]
+    counted = every.groupBy(*key).agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    repeated = staged(counted.filter("n > 1").drop("n"), "repeated")
+    # a null id comes before all others
+    after = F.when(F.col("unnamed"), F.col("doc_id").isNotNull()).otherwise(F.col("doc_id") > F.col("least"))
+    met = staged(every.join(repeated, key).select(*key, "doc_id", "_tie", "pos", after.alias("after")), "met")
+    own = met.filter("not after").select(*key, "doc_id", "_tie", "pos")
+    first = own.groupBy(*key).agg(F.min(F.struct("_tie", "pos")).alias("first"))
+    again = own.join(first, key).filter(F.struct("_tie", "pos") != F.col("first"))
+    return met.filter("after").select("doc_id", "_tie", "pos").unionByName(again.select("doc_id", "_tie", "pos"))
 
 
 def _kept(lines: Column, starts: Column) -> Column:
@@ -59,25 +83,20 @@ def _kept(lines: Column, starts: Column) -> Column:
     return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), flags), lambda i: F.element_at(lines, i + 1))
 
 
-def _later_copies(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, _tie of rows that come more than once."""
-    each = docs.select("doc_id", F.xxhash64(text_or_empty(text)).alias("_tie"))
-    return each.groupBy("doc_id", "_tie").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id", "_tie")
-
-
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the text rewritten, and n_lines and n_removed (long); every row stays."""
     same = lambda a, b: F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("_tie") == F.col(b))
-    removed = later_windows(docs, text).groupBy("doc_id", "_tie").agg(F.collect_set("pos").alias("_starts")).toDF("_id", "_key", "_starts")
+    with scratch() as keep:
+        hashed = keep(staged(hashed_lines(docs, text), "hashed"))
+        removed = keep(staged(later_windows(hashed).groupBy("doc_id", "_tie").agg(F.collect_set("pos").alias("_starts")).toDF("_id", "_key", "_starts"), "removed"))
+        copies = keep(staged(hashed.groupBy("doc_id", "_tie").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_key")), "copies"))
     rows = docs.drop("n_lines", "n_removed").withColumn("_tie", F.xxhash64(text_or_empty(text)))
     joined = rows.join(removed, same("_id", "_key"), "left").drop("_id", "_key")
-    with scratch() as keep:
-        copies = keep(staged(_later_copies(docs, text), "copies")).toDF("_id", "_key")
     n_copies = copies.count()
     if n_copies:
         # one row of each such document is the first; the others repeat all of its windows
         copies = broadcast_if_small(copies, n_copies, 32)
-        every = windows(docs, text).join(copies, same("_id", "_key"), "left_semi").groupBy("doc_id", "_tie").agg(F.collect_set("pos").alias("_all")).toDF("_id", "_key", "_all")
+        every = windows(hashed.join(copies, same("_id", "_key"), "left_semi")).groupBy("doc_id", "_tie").agg(F.collect_set("pos").alias("_all")).toDF("_id", "_key", "_all")
         again = joined.join(copies, same("_id", "_key"), "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_tie").orderBy(F.lit(1))))
         again = again.join(every, same("_id", "_key"), "left").withColumn("_starts", F.when(F.col("_nth") > 1, F.col("_all")).otherwise(F.col("_starts"))).drop("_nth", "_all", "_id", "_key")
         joined = joined.join(copies, same("_id", "_key"), "left_anti").unionByName(again)
@@ -100,7 +119,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # chr(1) marks the ends of lines, as this dialect has no look-behind
 OP2_SQL = r"""
 WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '\n', E'\n\x01', 'g'), chr(1))) AS line, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '\n', E'\n\x01', 'g'), chr(1)), 1) AS i FROM documents),
-q AS (SELECT doc_id, i, string_split(CASE WHEN len(string_split(line, ' ')) > 30 THEN regexp_replace(line, '([.!?] )', E'\\1\x01', 'g') ELSE line END, chr(1)) AS s FROM p),
+q AS (SELECT doc_id, i, string_split(CASE WHEN length(line) > 200 THEN regexp_replace(line, '([.!?] )', E'\\1\x01', 'g') ELSE line END, chr(1)) AS s FROM p),
 u AS (SELECT doc_id, i, unnest(s) AS raw, generate_subscripts(s, 1) AS j FROM q),
 l AS (SELECT doc_id, raw, trim(regexp_replace(raw, '\n$', ''), ' ') AS line, row_number() OVER d - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i, j)),
 w AS (SELECT * FROM (SELECT doc_id, pos, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY pos))

@@ -97,6 +97,42 @@ def test_ownership_separates_examples(spark):
 # 2 ----------------------------------------------------------------------------------------------------------------
 
 
+def units(t):
+    """Lines with their ends, those of over 200 characters cut at the ends of sentences."""
+    return [u for x in re.split(r"(?<=\n)", t) for u in (re.split(r"(?<=[.!?] )", x) if len(x) > 200 else [x])]
+
+
+def brute_lines(rows):
+    """doc_id -> (text, lines, removed) of rows (doc_id, text) with distinct ids: windows in order of document and place; the first stays."""
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        ls = units(t)
+        bare = [x.removesuffix("\n").strip(" ") for x in ls]
+        gone = set()
+        for i in range(len(ls) - 2):
+            k = tuple(bare[i : i + 3])
+            if any(k):
+                gone |= {i, i + 1, i + 2} if k in seen else set()
+                seen.add(k)
+        text = "".join(x for i, x in enumerate(ls) if i not in gone)
+        out[d] = (re.sub(r"[\n ]\Z", "", text) if gone and max(gone) == len(ls) - 1 else text, 0 if ls == [""] else len(ls), len(gone))
+    return out
+
+
+def test_lines_equal_brute_force(spark):
+    rng = random.Random(6)
+    some = [f"line {i}" for i in range(9)] + ["", " ", "a\tb", "a\r", " line 1 ", "One. Two! Three? " * 15, "Of this passage of many words there are copies. It has sentences of its own! Does it repeat? It does. " * 2 + "And so on", "x" * 300]
+    rows = [(i, "\n".join(rng.choices(some, k=rng.randrange(0, 9)))) for i in range(120)] + [(200, "mark \u0001 here\n" + some[15]), (201, some[16]), (202, "before\n" + some[16] + "\nafter"), (203, None)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines([(d, t or "") for d, t in rows])
+
+
+def test_later_equal_rows_lose_their_windows(spark):
+    rows = [(None, "a\nb\nc"), (None, "a\nb\nc"), (7, "x\na\nb\nc"), (7, "x\na\nb\nc"), (8, "x\na"), (8, "x\na")]
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(False, 0, ""), (False, 0, "a\nb\nc"), (True, 7, ""), (True, 7, "x"), (True, 8, "x\na"), (True, 8, "x\na")]
+
+
 def test_line_windows(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\nb\nc\nd\ny"), (3, "q\nq\nq\nq\nq"), (4, "a\nb"), (5, " a \nb\nc")]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -18,20 +18,9 @@ def test_run_equals_its_parts(spark, sf):
     kept = {r.doc_id: r.text for r in docs.collect()}
     scores = dict(zip(kept, quality.score_texts([t or "" for t in kept.values()], net)))
     kept = {d: t for d, t in sorted(kept.items()) if scores[d] >= 0.5}
-    # lines: windows in order of document and place; the first stays
-    seen, out = {}, {}
-    for d, t in kept.items():
-        ls = t.split("\n")
-        keys = [tuple(x.strip(" ") for x in ls[i : i + 3]) for i in range(len(ls) - 2)]
-        gone = set()
-        for i, k in enumerate(keys):
-            if any(k):
-                if k in seen:
-                    gone |= {i, i + 1, i + 2}
-                else:
-                    seen[k] = (d, i)
-        if not gone or len(gone) < len(ls):
-            out[d] = "\n".join(x for i, x in enumerate(ls) if i not in gone)
+    from tests.llm.test_operators import brute_lines
+
+    out = {d: t for d, (t, n, gone) in brute_lines(list(kept.items())).items() if not gone or gone < n}
     from tests.llm.test_operators import brute_classes, words
 
     classes = brute_classes(list(out.items()))
