@@ -133,8 +133,8 @@ class StoredIndex:
     sources' old or new rows touch.
     """
 
-    def __init__(self, spark, root: str, parts: int = TERM_PARTS):
-        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
+    def __init__(self, spark, root: str, parts: int = TERM_PARTS, tokens=words):
+        self.spark, self.root, self.parts, self.tokens = spark, root.rstrip("/"), parts, tokens
 
     def _part(self, column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(self.parts)).cast("int").alias("part")
@@ -144,45 +144,55 @@ class StoredIndex:
         df.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/{name}")
 
     def _rows(self, docs: DataFrame, key: str, source: str, text: str) -> tuple[DataFrame, DataFrame]:
-        toks = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("t"))
+        toks = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), self.tokens(F.col(text)).alias("t"))
         each = toks.select("key", "source", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("key", "source", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
         return each.withColumn("part", self._part("term")), toks.select("key", "source", F.size("t").alias("dl")).withColumn("part", self._part("source"))
 
+    def exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/sizes")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def rebuild(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> None:
         """The whole index anew."""
         terms, sizes = self._rows(docs, key, source, text)
         for name, df in (("postings", terms), ("sizes", sizes)):
             df.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part").parquet(f"{self.root}/{name}")
 
-    def refresh(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> None:
-        """Rows of the sources in docs are replaced by theirs."""
-        gone = docs.select(F.col(source).alias("source")).distinct()
+    def refresh(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", gone: DataFrame | None = None) -> None:
+        """Rows of the sources in docs, and of those in gone, are replaced by those of docs."""
+        named = docs.select(F.col(source).alias("source"))
+        gone = (named if gone is None else named.union(gone.select("source"))).distinct()
         for name, new in zip(("postings", "sizes"), self._rows(docs, key, source, text)):
-            old = self.spark.read.parquet(f"{self.root}/{name}")
+            old, new = self.spark.read.parquet(f"{self.root}/{name}"), staged(new, "refresh")
             touched = old.join(gone, "source", "left_semi").select("part").union(new.select("part")).distinct()
-            kept = old.join(touched, "part", "left_semi").join(gone, "source", "left_anti").select(*new.columns)
+            touched = sorted(r["part"] for r in touched.collect())  # at most as many as there are parts
+            if not touched:
+                continue
+            kept = old.filter(F.col("part").isin(*touched)).join(gone, "source", "left_anti").select(*new.columns)
             after = staged(kept.unionByName(new), "refresh")
+            left = {r["part"] for r in after.select("part").distinct().collect()}
             self._write(after, name)
-            # a part that lost all its rows has nothing to overwrite it
-            for r in touched.join(after.select("part").distinct(), "part", "left_anti").collect():
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/part={r['part']}")
+            for part in set(touched) - left:  # a part that lost all its rows has nothing to overwrite it
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/part={part}")
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def search(self, queries: DataFrame, k: int, key: str = "doc_id", every: bool = False) -> DataFrame:
-        """query_id, key, score, rank of queries (query_id, term), as bm25 gives them."""
+    def search(self, queries: DataFrame, k: int, key: str = "doc_id", every: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+        """query_id, key, score, rank of queries (query_id, term), as bm25 gives them; allowed (key) are the documents that may be hits."""
         q = queries.select("query_id", "term").distinct()
         named = sorted(r["part"] for r in q.select(self._part("term")).distinct().collect())  # at most as many as there are parts
         tf = self.spark.read.parquet(f"{self.root}/postings").filter(F.col("part").isin(*named) if named else F.lit(False))
         tf = tf.join(small(q.select("term").distinct(), q.count()), "term", "left_semi").select(F.col("key").alias(key), "term", "tf", "dl")
         totals = self.spark.read.parquet(f"{self.root}/sizes").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        return top_k(_scored(tf, df, totals, q, key, every), k, ["query_id"], [F.col("score").desc(), F.col(key)])
+        scored = _scored(tf, df, totals, q, key, every)
+        scored = scored if allowed is None else scored.join(allowed.select(key).distinct(), key, "left_semi")
+        return top_k(scored, k, ["query_id"], [F.col("score").desc(), F.col(key)])
 
-    def search_terms(self, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    def search_terms(self, queries: DataFrame, k: int, key: str = "doc_id", allowed: DataFrame | None = None) -> DataFrame:
         """Documents with all of a query's terms; queries that have none, by any of them."""
-        strict = staged(self.search(queries, k, key, every=True), "strict")
+        strict = staged(self.search(queries, k, key, True, allowed), "strict")
         lost = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
-        return strict.unionByName(self.search(lost, k, key))
+        return strict.unionByName(self.search(lost, k, key, False, allowed))
 
 
 def metadata_hits(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", source: str = "source", text: str = "meta") -> DataFrame:
@@ -210,6 +220,37 @@ def rrf(channels: list[tuple[str, DataFrame]], key: str = "doc_id", k: int | Non
     return out.select("query_id", key, F.round("rrf", 5).alias("rrf"), F.concat_ws(",", "channels").alias("channels"), "rank")
 
 
+def fuse_parents(dense: DataFrame, lexical: DataFrame, meta: DataFrame, k: int) -> DataFrame:
+    """query_id, parent_id, text, source, rrf, channels, similarity, rank: three channels fused by parent.
+
+    Each channel has query_id, parent_id, source, text, rank; dense also similarity, the best of which stays. Several children of one parent in the dense channel add up. The
+    text is the metadata hit's, which carries the entity, else that of the first channel's best entry.
+    """
+    names = ("vec", "bm25", "meta")
+    rows = None
+    for i, (name, df) in enumerate(zip(names, (dense, lexical, meta))):
+        sim = F.col("similarity") if "similarity" in df.columns else F.lit(None).cast("double")
+        part = df.select("query_id", "parent_id", "source", "text", "rank", sim.alias("similarity"), F.lit(name).alias("channel"), F.lit(i).alias("ord"), F.lit(0 if name == "meta" else 1).alias("plain"))
+        rows = part if rows is None else rows.unionByName(part)
+    fused = rows.groupBy("query_id", "parent_id").agg(
+        F.round(F.sum(1 / (RRF + F.col("rank"))), 12).alias("rrf"), F.concat_ws("+", F.array_sort(F.collect_set("channel"))).alias("channels"), F.max("similarity").alias("similarity"),
+        F.min(F.struct("ord", "rank")).alias("first"), F.min_by(F.struct("source", "text"), F.struct("plain", "ord", "rank")).alias("e"),
+    )
+    best = top_k(fused, k, ["query_id"], [F.col("rrf").desc(), F.col("first"), F.col("parent_id")])
+    return best.select("query_id", "parent_id", "e.source", "e.text", F.round("rrf", 5).alias("rrf"), "channels", "similarity", "rank")
+
+
+def post_fusion(fused: DataFrame, queries: DataFrame, k: int, edges: DataFrame | None = None, metrics: DataFrame | None = None, score=lexical_relevance, most: int = 2) -> DataFrame:
+    """The first k of fused hits after reranking, both boosts and the cap on a source. queries: query_id, query. Order is by score after each boost."""
+    hits = rerank(fused.join(queries.select("query_id", "query"), "query_id"), score=score).withColumn("score", F.coalesce("rerank", F.lit(0.0)))
+    again = lambda h: h.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "rank")))
+    if edges is not None:
+        hits = again(boost_citations(hits, edges).drop("factor"))
+    if metrics is not None:
+        hits = again(boost_provenance(hits, metrics).drop("factor"))
+    return cap_sources(hits, most=most, k=k)
+
+
 def rerank(hits: DataFrame, query: str = "query", text: str = "text", score=lexical_relevance) -> DataFrame:
     """Hits in the order of a reranker's score; without a score they keep their order. Fewer than three hits pass unchanged."""
     n = F.count("*").over(Window.partitionBy("query_id"))

@@ -1,0 +1,112 @@
+"""Tables that are replaced part by part: rows are dealt to parts by a hash of their key, and a write touches only the parts of its keys.
+
+Each write is a folder v=<number> with one subfolder for each part it replaced, and a list of these parts, which is written last and commits it. A part's
+rows are those of its newest committed folder, so readers of older ones aren't disturbed and a write that broke off doesn't count.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+PARTS = 64
+COMMITTED = "_parts"
+
+
+class PartedTable:
+    def __init__(self, spark: SparkSession, path: str, key: str = "source", parts: int = PARTS):
+        self.spark, self.path, self.key, self.parts = spark, path.rstrip("/"), key, parts
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def commits(self) -> dict[int, list[int]]:
+        """The parts that each committed write replaced, by its number."""
+        fs, out = self._fs(), {}
+        if not fs.exists(self._at("")):
+            return out
+        for s in fs.listStatus(self._at("")):
+            name = s.getPath().getName()
+            if name.startswith("v=") and fs.exists(self._at(f"{name}/{COMMITTED}")):
+                stream = fs.open(self._at(f"{name}/{COMMITTED}"))
+                try:
+                    text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                finally:
+                    stream.close()
+                out[int(name[2:])] = [int(x) for x in text.split(",") if x]
+        return out
+
+    def newest(self) -> dict[int, int]:
+        """part -> number of the write that holds it."""
+        found: dict[int, int] = {}
+        for number, parts in sorted(self.commits().items()):
+            found |= dict.fromkeys(parts, number)
+        return found
+
+    def exists(self) -> bool:
+        return bool(self.commits())
+
+    def read(self, only: set[int] | None = None) -> DataFrame | None:
+        """The table, or some of its parts; None if nothing was ever written."""
+        at = self.newest()
+        if not at:
+            return None
+        fs = self._fs()
+        paths = [f"{self.path}/v={v}/part={p}" for p, v in sorted(at.items()) if (only is None or p in only) and fs.exists(self._at(f"v={v}/part={p}"))]
+        if paths:
+            return self.spark.read.parquet(*paths)
+        # an empty table has the schema of the newest write, which Spark keeps in a file without rows
+        return self.spark.read.parquet(f"{self.path}/v={max(at.values())}/schema").limit(0)
+
+    def part_of(self, key: str | None = None):
+        return F.pmod(F.xxhash64(F.col(key or self.key).cast("string")), F.lit(self.parts)).cast("int")
+
+    def _write(self, rows: DataFrame, touched: set[int], number: int | None) -> None:
+        commits = self.commits()
+        number = max(commits, default=0) + 1 if number is None else number
+        base = f"{self.path}/v={number}"
+        rows.limit(0).write.mode("overwrite").parquet(f"{base}/schema")
+        rows.withColumn("part", self.part_of()).repartition("part").write.mode("append").partitionBy("part").parquet(f"{base}/rows")
+        fs = self._fs()
+        for s in fs.listStatus(self._at(f"v={number}/rows")):
+            name = s.getPath().getName()
+            if name.startswith("part="):
+                fs.delete(self._at(f"v={number}/{name}"), True)  # of a write that broke off
+                fs.rename(s.getPath(), self._at(f"v={number}/{name}"))
+        fs.delete(self._at(f"v={number}/rows"), True)
+        out = fs.create(self._at(f"v={number}/{COMMITTED}"), True)
+        out.writeBytes(",".join(map(str, sorted(touched))))
+        out.close()
+
+    def replace_all(self, rows: DataFrame, number: int | None = None) -> None:
+        self._write(rows, set(range(self.parts)), number)
+
+    def upsert(self, new: DataFrame, gone: DataFrame | None = None, number: int | None = None) -> None:
+        """Rows of the keys in new, and of those in gone, are replaced by new. A number that is committed already is left alone: it ran before."""
+        if number is not None and number in self.commits():
+            return
+        keys = new.select(self.key) if gone is None else new.select(self.key).union(gone.select(self.key))
+        keys = keys.distinct()
+        touched = {r["p"] for r in keys.select(self.part_of().alias("p")).distinct().collect()}  # at most ``parts``
+        if not touched:
+            return
+        old = self.read(touched)
+        rows = new if old is None else old.join(keys, self.key, "left_anti").unionByName(new, allowMissingColumns=True)
+        self._write(rows, touched if self.exists() else set(range(self.parts)), number)
+
+    def delete(self, gone: DataFrame) -> None:
+        """The keys in gone lose their rows."""
+        old = self.read()
+        if old is not None:
+            self.upsert(old.limit(0), gone)
+
+    def vacuum(self) -> None:
+        """Drop folders that no part's newest rows are in. Readers of older versions must be done."""
+        used, fs = set(self.newest().values()), self._fs()
+        for number in self.commits():
+            if number not in used:
+                fs.delete(self._at(f"v={number}"), True)

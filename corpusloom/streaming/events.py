@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.parted import PartedTable
+
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
     """Counts and sums by type and time window; a stream needs ``late``, the watermark."""
@@ -21,29 +23,22 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None
 
 
 def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str = "source"):
-    """Start a stream that upserts new document files into the Parquet table at target, one version folder a batch.
+    """Start a stream that upserts new document files into the parted table at target; each batch replaces only the parts that its keys touch.
 
-    A batch equal to one already taken changes nothing, so a restart is safe. Read the newest version with ``latest``.
+    A batch that was committed before changes nothing, so a restart is safe. Of rows that share a key in one batch the one of the newest file stays, then the
+    one with the greatest hash. Read the table with ``latest``.
     """
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        new = batch.withColumn("hash", F.md5("text")).dropDuplicates([key, "hash"])
-        old = latest(spark, target, epoch)
-        if old is not None:
-            new = old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{target}/version={epoch}")
+        columns = [c for c in batch.columns if c not in (key, "_mtime")]
+        hashed = batch.withColumn("hash", F.md5("text"))
+        new = hashed.groupBy(key).agg(F.max_by(F.struct(*columns, "hash"), F.struct("_mtime", "hash")).alias("r")).select(key, "r.*")
+        PartedTable(spark, target, key).upsert(new, number=epoch + 1)
 
-    stream = spark.readStream.schema(schema).parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source).select("*", F.col("_metadata.file_modification_time").alias("_mtime"))
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of a table that ``ingest`` writes, or None; before: only versions below it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    found = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
-    found = [v for v in found if before is None or v < before]
-    return spark.read.parquet(f"{target}/version={max(found)}") if found else None
+def latest(spark: SparkSession, target: str, key: str = "source") -> DataFrame | None:
+    """The table that ``ingest`` writes, or None."""
+    return PartedTable(spark, target, key).read()

@@ -85,10 +85,50 @@ def test_ledger_appends(spark, tmp_path):
 
 def test_betweenness(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long")
-    got = {r.node: round(r.betweenness * 12) for r in graph.betweenness(path).collect()}
-    assert got == {0: 0, 1: 3, 2: 4, 3: 3, 4: 0}
-    with pytest.raises(ValueError):
-        graph.betweenness(path, most_edges=2)
+    for most in (graph.MOST_EDGES, 2):  # as arrays, and by joins where the graph is too large for that
+        got = {r.node: round(r.betweenness * 12) for r in graph.betweenness(path, most_edges=most).collect()}
+        assert got == {0: 0, 1: 3, 2: 4, 3: 3, 4: 0}
+
+
+@pytest.mark.parametrize("most", [graph.MOST_EDGES, 0])
+def test_betweenness_equals_brute_force(spark, most):
+    rng = np.random.default_rng(5)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 14, (40, 2)) if a != b})
+    nodes = sorted({x for e in edges for x in e})
+    out = {n: [b for a, b in edges if a == n] for n in nodes}
+
+    def paths(s):  # all shortest paths from s
+        found, front = {s: [[s]]}, [s]
+        while front:
+            new = {}
+            for v in front:
+                for w in out[v]:
+                    if w not in found:
+                        new.setdefault(w, []).extend(p + [w] for p in found[v])
+            found |= new
+            front = list(new)
+        return found
+
+    want = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        for t, ps in paths(s).items():
+            for v in nodes:
+                if s != v != t != s:
+                    want[v] += sum(v in p for p in ps) / len(ps)
+    n = len(nodes)
+    got = {r.node: r.betweenness for r in graph.betweenness(spark.createDataFrame(edges, "src long, dst long"), most).collect()}
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v / ((n - 1) * (n - 2)), 9) for k, v in want.items()}
+
+
+def test_louvain_finds_planted_communities(spark):
+    rng = np.random.default_rng(8)
+    edges = [(i, j) for i in range(60) for j in range(i) if rng.random() < (0.6 if i // 12 == j // 12 else 0.02)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = {r.node: (r.community_id, r.community_size) for r in graph.louvain(df).collect()}
+    assert len(got) == 60 and {len({got[i] for i in range(12 * c, 12 * c + 12)}) for c in range(5)} == {1} and len(set(got.values())) == 5
+    parts = spark.createDataFrame([(n, c) for n, (c, _) in got.items()], "node long, community_id long")
+    labels = graph.communities(df, 5)
+    assert graph.modularity(df, parts).first()["modularity"] >= graph.modularity(df, labels).first()["modularity"] - 1e-9 > 0
 
 
 def test_citations_in_text(spark):
@@ -98,9 +138,16 @@ def test_citations_in_text(spark):
 
 
 def test_verification(spark):
-    h = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "id string, n_expected int")
-    e = spark.createDataFrame([("a", 0.9, "for"), ("a", None, "for"), ("b", 0.9, "against"), ("b", 0.1, "for")], "id string, similarity double, stance string")
-    assert {r.id: r.status for r in directions.verification(h, e).collect()} == {"a": "supported", "b": "refuted", "c": "open"}
+    h = spark.createDataFrame([(x,) for x in "abcdef"], "id string")
+    e = spark.createDataFrame([("a", 0.9, True), ("b", None, True), ("c", 0.1, True), ("d", 0.9, False), ("f", 0.6, True)], "id string, similarity double, valid boolean")
+    v = spark.createDataFrame([("a", "supported"), ("b", "Contradicted"), ("c", "supported"), ("d", "supported"), ("f", "inconclusive")], "id string, verdict string")
+    assert {r.id: r.status for r in directions.verification(h, e, v).collect()} == {"a": "verified", "b": "refuted", "c": "unsupported", "d": "unsupported", "e": "unsupported", "f": "speculative"}
+
+
+def test_research_takes_an_id_once(spark):
+    ideas = [[("a",), ("b",)], [("b",), ("c",), ("c",)], [("x",)]]
+    got = directions.research(3, lambda i: spark.createDataFrame(ideas[i], "id string"), lambda new: new.withColumn("status", F.lit("open")), spark.createDataFrame([("x",)], "id string"))
+    assert sorted((r.id, r["round"]) for r in got.collect()) == [("a", 0), ("b", 0), ("c", 1)]
 
 
 def test_diverge_ranks_by_focus(spark):
@@ -112,14 +159,21 @@ def test_diverge_ranks_by_focus(spark):
 
 def test_tree_folds(spark):
     lines = spark.createDataFrame([("d", i, "x" * n) for i, n in enumerate([5, 5, 5, 20, 1])], "doc string, ord int, t string")
-    assert [(r.first, r.last) for r in trees.paginate(lines, "t", 10).orderBy("page").collect()] == [(0, 1), (2, 2), (3, 3), (4, 4)]
-    nodes = spark.createDataFrame([("d", 0, None, 100), ("d", 1, 0, 5), ("d", 2, 1, 2), ("d", 3, 0, 60)], "doc string, ord int, parent int, words int")
-    assert {r.ord: r.into for r in trees.thin(nodes, 50).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    assert [(r["first"], r["last"]) for r in trees.paginate(lines, "t", 10, overlap=0).orderBy("page").collect()] == [(0, 1), (2, 2), (3, 3), (4, 4)]
+    assert [(r["first"], r["last"]) for r in trees.paginate(lines, "t", 18).orderBy("page").collect()] == [(0, 2), (2, 3), (3, 4)]
+    assert [(r["first"], r["last"]) for r in trees.paginate(lines, "t", 36).collect()] == [(0, 4)]
+    nodes = spark.createDataFrame([("d", 0, 1, 100), ("d", 1, 2, 5), ("d", 2, 3, 2), ("d", 3, 3, 70), ("d", 4, 2, 60)], "doc string, ord int, level int, words int")
+    assert {r.ord: r.into for r in trees.thin(nodes, 50).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 4}
     codes = spark.createDataFrame([("d", "1"), ("d", "1.2"), ("d", "3.1")], "doc string, code string")
     assert {r.code: r.parent_code for r in trees.from_codes(codes).collect()} == {"1": None, "1.2": "1", "3.1": None}
-    spans = spark.createDataFrame([("d", 0, None, 2, 3), ("d", 1, 0, 3, 4), ("d", 2, 1, 4, 9)], 'doc string, ord int, parent int, start int, end int').withColumn("title", F.lit("t"))
+    spans = spark.createDataFrame([("d", 0, None, 2, 3, 1), ("d", 1, 0, 3, 4, 2), ("d", 2, 1, 4, 9, 3)], 'doc string, ord int, parent int, start int, end int, level int').withColumn("title", F.lit("t"))
     assert {r.ord: (r.start, r.end) for r in trees.covering_ranges(spans).collect()} == {0: (2, 9), 1: (3, 9), 2: (4, 9)}
-    assert {r.ord: (r.first, r.last) for r in trees.own_pages(spans).collect()} == {0: (2, 2), 1: (3, 3), 2: (4, 9)}
+    assert {r.ord: (r["first"], r["last"]) for r in trees.own_pages(spans).collect()} == {0: (2, 3), 1: (3, 4), 2: (4, 9)}
+    pages = spark.createDataFrame([("d", i, f"<{i}>") for i in range(1, 10)], "doc string, page int, text string")
+    assert {r.ord: r.text for r in trees.node_text(spans, pages).collect()} == {0: "<2><3>", 1: "<3><4>", 2: "<4><5><6><7><8><9>"}
+    picks = spark.createDataFrame([(1, "d", 2, 0, "0001"), (1, "d", 1, 1, "0002"), (1, "d", 1, 3, "0001"), (1, "d", 3, 0, "0009")], "query_id int, doc string, part int, pos int, node_id string")
+    hits = trees.retrieve_nodes(picks, spans.withColumn("node_id", F.lpad(F.col("ord").cast("string"), 4, "0")), pages, top=2).orderBy("rank").collect()
+    assert [(h["rank"], h.ord, h.text) for h in hits] == [(1, 2, "<4><5><6><7><8><9>"), (2, 1, "<3><4>")]
     assert trees.with_preface(spans).filter("ord = -1").first()["end"] == 1
     assert [(r.ord, r.path) for r in trees.ancestors(spans).orderBy("ord").collect()][2] == (2, ["t", "t", "t"])
 
@@ -152,3 +206,78 @@ def test_clusters_equal_complete_linkage_of_the_whole_table(spark, block):
     got = {r.vec_id: r.cluster for r in topics.clusters(rows, 0.9, block=block).collect()}
     assert got == {i: of.get(i, i) for i in range(90)} and len(set(got.values())) < 60
     assert topics.clusters(rows.filter("false"), 0.9, block=block).count() == 0
+
+
+def test_tree_costs_count_residual_pages(spark):
+    """A leaf costs its pages, a parent one step and the worst of its children and of the pages none of them has."""
+    rows = [("d", 0, None, 1, 20), ("d", 1, 0, 3, 6), ("d", 2, 0, 7, 9), ("e", 0, None, 1, 2), ("e", 1, 0, 1, 1), ("e", 2, 0, 2, 2)]
+    got = {(r.doc, r.ord): (r.cost, r.kept) for r in trees.collapse_costs(spark.createDataFrame(rows, "doc string, ord int, parent int, start int, end int")).collect()}
+    assert got == {("d", 0): (14.0, True), ("d", 1): (4.0, False), ("d", 2): (3.0, False), ("e", 0): (2.0, False), ("e", 1): (1.0, False), ("e", 2): (1.0, False)}
+
+
+def test_page_thinning(spark):
+    rows = [("d", 0, None, 1, 9), ("d", 1, 0, 1, 1), ("d", 2, 1, 1, 1), ("d", 3, 0, 2, 3), ("d", 4, 3, 3, 4)]
+    df = spark.createDataFrame(rows, "doc string, ord int, parent int, start int, end int")
+    # the last descendant ends on page 4, one page node loses its child, a short one only in a large tree
+    assert {r.ord: r.end for r in trees.thin_pages(df).collect()} == {0: 9, 1: 1, 3: 3, 4: 4}
+    assert {r.ord: r.end for r in trees.thin_pages(df, most_nodes=4, least_pages=4).collect()} == {0: 9, 1: 1, 3: 4}
+    assert {r.ord: r.end for r in trees.thin_pages(df, most_nodes=4, least_pages=5).collect()} == {0: 4}
+
+
+def test_parted_tables(spark, tmp_path):
+    from corpusloom.sources.parted import PartedTable
+
+    table = PartedTable(spark, str(tmp_path / "t"), parts=8)
+    rows = lambda ids, v: spark.createDataFrame([(f"s{i}", v) for i in ids], "source string, v int")
+    assert table.read() is None and not table.exists()
+    table.upsert(rows(range(20), 1))
+    held = table.read()
+    table.upsert(rows([3], 2).union(rows([3], 3)))
+    assert len(table.commits()[2]) == 1  # only the part of the key was written
+    assert sorted(r.v for r in table.read().collect()) == [1] * 19 + [2, 3]
+    assert held.agg(F.sum("v")).first()[0] == 20  # a reader of the older version isn't disturbed
+    table.upsert(rows([5], 9), number=2)  # was committed before
+    assert table.read().filter("v = 9").count() == 0
+    table.delete(rows(range(20), 0).select("source"))
+    assert table.read().count() == 0 and table.read().columns == ["source", "v"]
+    table.replace_all(rows([1], 4))
+    table.vacuum()
+    assert [tuple(r) for r in table.read().collect()] == [("s1", 4)] and len(table.commits()) == 1
+
+
+def test_stored_index_equals_scan(spark, sf, tmp_path):
+    from corpusloom.operators import retrieve as rt
+    from corpusloom.sources.tables import read
+
+    docs = read(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    terms = rt.terms_of(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    index = rt.StoredIndex(spark, str(tmp_path / "i"), parts=8)
+    index.rebuild(docs.filter("source <> 'src2'").unionByName(docs.filter("source = 'src1'").withColumn("text", F.lit("old words"))))
+    index.refresh(docs.filter("source in ('src1', 'src2')"))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", F.round("score", 6), "rank").collect()))
+    for every in (False, True):
+        assert rows(index.search(terms, 5, every=every)) == rows(rt.bm25(docs, terms, 5, every=every))
+    index.refresh(docs.limit(0), gone=docs.filter("source = 'src3'").select("source").distinct())
+    assert rows(index.search(terms, 5)) == rows(rt.bm25(docs.filter("source <> 'src3'"), terms, 5))
+
+
+def test_files(spark, tmp_path):
+    """Markdown, JSON lines, parent files, CSV, missing files and the sinks that write reports and edges."""
+    from corpusloom.sources import tables
+
+    (tmp_path / "md").mkdir()
+    (tmp_path / "md" / "a.md").write_text("# A\ntext")
+    (tmp_path / "md" / "b.txt").write_text("no")
+    assert [tuple(r) for r in tables.markdown(spark, str(tmp_path / "md")).collect()] == [("a.md", "# A\ntext")]
+    (tmp_path / "g.jsonl").write_text('{"q": "x", "gold": ["a"]}\nbroken\n')
+    assert [(r.q, r.gold) for r in tables.json_lines(spark, str(tmp_path / "g.jsonl"), "q string, gold array<string>").collect()] == [("x", ["a"]), (None, None)]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "s.json").write_text('[{"parent_id": "1", "content": "c"},\n {"parent_id": "2", "content": "d"}]')
+    (tmp_path / "p" / "bad.json").write_text("[{")
+    assert sorted(r.parent_id for r in tables.parent_store(spark, str(tmp_path / "p"), "parent_id string, content string").collect()) == ["1", "2"]
+    for name, v in (("one", "old"), ("two", "new")):
+        (tmp_path / f"{name}.csv").write_text(f'source,title\nk1,"{v}, quoted ""x"""\n' + ("k2,only\n" if name == "one" else ""))
+    got = tables.csv_rows(spark, [str(tmp_path / "one.csv"), str(tmp_path / "two.csv")], "source", "source string, title string").collect()
+    assert sorted(map(tuple, got)) == [("k1", 'new, quoted "x"'), ("k2", "only")]
+    stems = lambda *x: spark.createDataFrame([(i,) for i in x], "stem string")
+    assert [r.stem for r in tables.missing_files(stems("a", "b"), stems("b")).collect()] == ["a"]
