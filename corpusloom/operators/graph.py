@@ -16,6 +16,7 @@ from corpusloom.operators.retrieve import top_k
 from corpusloom.sources.staging import staged
 
 DAMPING = 0.85
+EVERY = 5  # rounds between tables
 STRONG, WEAK, GAP = 0.90, 0.55, 0.10
 #: Citations in a text before its references, and entries after them.
 IN_TEXT = r"\(?([A-Z][A-Za-z'\-]+)(?:\s+et\s+al\.?|\s+and\s+[A-Z][A-Za-z'\-]+)?,?\s*\(?((?:19|20)[0-9]{2})[a-z]?\)"
@@ -136,12 +137,19 @@ def pagerank(edges: DataFrame, rounds: int = 20) -> DataFrame:
     weighted = edges.join(out, "src").repartition("src").cache()
     nodes = staged(nodes_of(edges).join(out.withColumnRenamed("src", "node"), "node", "left").select("node", "out"), "nodes")
     n = nodes.count()
-    rank = nodes.select("node", "out", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for _ in range(rounds):
+    rank, kept = nodes.select("node", "out", F.lit(1.0 / max(n, 1)).alias("rank")), []
+    for i in range(rounds):
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
         sent = weighted.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         rank = nodes.join(sent, "node", "left").join(F.broadcast(lost)).select("node", "out", ((1 - DAMPING) / n + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        rank = staged(rank, "rank")  # a round uses the last one twice
+        # a round uses the last one twice: kept rows serve that, and every EVERY rounds a table cuts the lineage, so that a lost executor costs few rounds
+        if i % EVERY == EVERY - 1 or i == rounds - 1:
+            rank = staged(rank, "rank")
+            while kept:
+                kept.pop().unpersist()
+        else:
+            rank = rank.persist()
+            kept.append(rank)
     weighted.unpersist()
     return rank.select("node", "rank")
 

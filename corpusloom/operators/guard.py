@@ -30,7 +30,7 @@ def weight(token: Column) -> Column:
 
 
 def lexical_support(pairs: DataFrame, claims: DataFrame, chunks: DataFrame) -> DataFrame:
-    """claim_id, chunk_id, score, supported of pairs; claims and chunks: id, tokens.
+    """claim_id, chunk_id, score, supported of pairs; claims and chunks: id, tokens. A caller that has costly tokens stages them once: they are read twice.
 
     A claim's tokens count as often as they occur, long ones threefold; a chunk has a token or not. Short claims and empty
     chunks pass with 1.0.

@@ -61,11 +61,21 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for q, qv, i, iv in zip(rows["q"], rows["qv"], rows["i"], rows["iv"]):
-                a, b, i = np.array([list(v) for v in qv], float), np.array([list(v) for v in iv], float), np.asarray(i)
-                for n, x in zip(q, a):
-                    d = np.round(((b - x) ** 2).sum(1), 9)
-                    top = np.lexsort((i, d))[:k]
-                    yield pd.DataFrame({"query_id": n, key: i[top], "distance": d[top]})
+                a, b, i, q = np.stack(qv).astype(float), np.stack(iv).astype(float), np.asarray(i), np.asarray(q)
+                squares, found = (b * b).sum(1), []
+                for lo in range(0, len(a), 256):
+                    some = a[lo : lo + 256]
+                    # one product finds who may be near; what is as near as the k-th, give or take its rounding, is measured exactly
+                    rough = squares - 2.0 * (some @ b.T)
+                    slack = 1e-6 * (1.0 + squares.max() + (some * some).sum(1).max())
+                    bound = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(b) > k else np.full(len(some), np.inf)
+                    for n, x, r, t in zip(q[lo : lo + 256], some, rough, bound):
+                        near = np.flatnonzero(r <= t + slack)
+                        d = np.round(((b[near] - x) ** 2).sum(1), 9)
+                        top = np.lexsort((i[near], d))[:k]
+                        found.append((np.full(len(top), n), i[near][top], d[top]))
+                if found:
+                    yield pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), key: np.concatenate([f[1] for f in found]), "distance": np.concatenate([f[2] for f in found])})
 
     found = grid.select("q", "qv", "i", "iv").mapInPandas(nearest, f"query_id long, {key} long, distance double")
     return top_k(found, k, ["query_id"], [F.col("distance"), F.col(key)])
@@ -100,8 +110,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
     return top_k(bm25_scores(docs, queries, key, text, every), k, ["query_id"], [F.col("score").desc(), F.col(key)])
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
-    """query_id, key, score of all that match. Query terms filter the documents' words before anything is grouped."""
+def bm25_terms(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """query_id, key, score, rank: documents with all of a query's terms, and for queries that have none those with any. The documents are read once."""
+    return _all_else_any(bm25_scores(docs, queries, key, text, None), k, key)
+
+
+def _all_else_any(scored: DataFrame, k: int, key: str) -> DataFrame:
+    scored = staged(scored, "scored")
+    some = scored.groupBy("query_id").agg(F.max("whole").alias("_some"))
+    kept = scored.join(small(some, some.count()), "query_id").filter("whole or not _some").select("query_id", key, "score")
+    return top_k(kept, k, ["query_id"], [F.col("score").desc(), F.col(key)])
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", every: bool | None = False) -> DataFrame:
+    """query_id, key, score of all that match; with every=None also whole, whether all terms do. Query terms filter the documents' words before anything is
+    grouped."""
     q = queries.distinct()
     wanted = small(q.select("term").distinct(), q.count())
     toks = docs.select(key, words(F.col(text)).alias("t"))
@@ -112,14 +135,15 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     return _scored(tf, df, totals, q, key, every)
 
 
-def _scored(tf: DataFrame, df: DataFrame, totals: DataFrame, q: DataFrame, key: str, every: bool) -> DataFrame:
+def _scored(tf: DataFrame, df: DataFrame, totals: DataFrame, q: DataFrame, key: str, every: bool | None) -> DataFrame:
     """query_id, key, score of term frequencies (key, term, tf, dl), document frequencies (term, df) and one row of totals (n, avgdl)."""
     rows = tf.join(q.join(df, "term"), "term").join(F.broadcast(totals))  # totals is one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.coalesce(F.when(F.col("avgdl") > 0, F.col("avgdl")), F.lit(1.0))))
     scored = rows.groupBy("query_id", key).agg(F.round(F.sum(weight), 9).alias("score"), F.count("*").alias("matched"))
-    if every:
-        scored = scored.join(q.groupBy("query_id").agg(F.count("*").alias("terms")), "query_id").filter("matched = terms").drop("terms")
+    if every is not False:
+        scored = scored.join(q.groupBy("query_id").agg(F.count("*").alias("terms")), "query_id").withColumn("whole", F.col("matched") == F.col("terms")).drop("terms")
+        scored = scored if every is None else scored.filter("whole").drop("whole")
     return scored.drop("matched")
 
 
@@ -178,6 +202,13 @@ class StoredIndex:
 
     def search(self, queries: DataFrame, k: int, key: str = "doc_id", every: bool = False, allowed: DataFrame | None = None) -> DataFrame:
         """query_id, key, score, rank of queries (query_id, term), as bm25 gives them; allowed (key) are the documents that may be hits."""
+        return top_k(self._search(queries, key, every, allowed), k, ["query_id"], [F.col("score").desc(), F.col(key)])
+
+    def search_terms(self, queries: DataFrame, k: int, key: str = "doc_id", allowed: DataFrame | None = None) -> DataFrame:
+        """As bm25_terms gives them."""
+        return _all_else_any(self._search(queries, key, None, allowed), k, key)
+
+    def _search(self, queries: DataFrame, key: str, every: bool | None, allowed: DataFrame | None) -> DataFrame:
         q = queries.select("query_id", "term").distinct()
         named = sorted(r["part"] for r in q.select(self._part("term")).distinct().collect())  # at most as many as there are parts
         tf = self.spark.read.parquet(f"{self.root}/postings").filter(F.col("part").isin(*named) if named else F.lit(False))
@@ -185,14 +216,7 @@ class StoredIndex:
         totals = self.spark.read.parquet(f"{self.root}/sizes").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
         scored = _scored(tf, df, totals, q, key, every)
-        scored = scored if allowed is None else scored.join(allowed.select(key).distinct(), key, "left_semi")
-        return top_k(scored, k, ["query_id"], [F.col("score").desc(), F.col(key)])
-
-    def search_terms(self, queries: DataFrame, k: int, key: str = "doc_id", allowed: DataFrame | None = None) -> DataFrame:
-        """Documents with all of a query's terms; queries that have none, by any of them."""
-        strict = staged(self.search(queries, k, key, True, allowed), "strict")
-        lost = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
-        return strict.unionByName(self.search(lost, k, key, False, allowed))
+        return scored if allowed is None else scored.join(allowed.select(key).distinct(), key, "left_semi")
 
 
 def metadata_hits(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", source: str = "source", text: str = "meta") -> DataFrame:

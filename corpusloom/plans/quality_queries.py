@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.functions import titles as tt
 from corpusloom.operators import evaluate, guard, quality, topics, trees
+from corpusloom.sources.staging import staged
 from corpusloom.sources.tables import read
 from corpusloom.streaming import events as ev
 
@@ -90,7 +91,7 @@ FROM p JOIN n USING (claim_id) LEFT JOIN h USING (claim_id, chunk_id)""")
 def lexical_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as claims against the documents that share a long word with them."""
     claims = guard.tokens_of(read(spark, sf_dir, "benchmark"), "item_id", "claim_id")
-    chunks = guard.tokens_of(_docs(spark, sf_dir), "doc_id", "chunk_id")
+    chunks = staged(guard.tokens_of(_docs(spark, sf_dir), "doc_id", "chunk_id"), "tokens")  # read three times
     rare = lambda df, key: df.select(key, F.explode(F.array_distinct("tokens")).alias("t")).filter(F.length("t") >= guard.RARE_LENGTH)
     pairs = rare(claims, "claim_id").join(rare(chunks, "chunk_id"), "t").select("claim_id", "chunk_id").distinct()
     return guard.lexical_support(pairs, claims, chunks).withColumn("score", F.round("score", 6))

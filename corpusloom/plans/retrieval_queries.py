@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import WORD
+from corpusloom.functions.text import WORD, words
 from corpusloom.operators import retrieve as rt
+from corpusloom.sources.staging import staged
 from corpusloom.sources.tables import read
 
 QUERIES, SQL = {}, {}
@@ -156,17 +157,64 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-_CAP = """, h AS (SELECT g.*, source, row_number() OVER (PARTITION BY source ORDER BY rank) > 2 AS over FROM g JOIN documents USING (doc_id)),
-c AS (SELECT doc_id, source, rrf, row_number() OVER (ORDER BY over, rank) AS rank FROM h)"""
-
-
-@query(bm25_sql(_FIXED, _DOCS, "doc_id", False, 30, _FUSE + _CAP + " SELECT CAST(0 AS BIGINT) AS query_id, doc_id, source, round(rrf, 5) AS rrf, CAST(rank AS BIGINT) AS rank FROM c WHERE rank <= 10"))
+#: The flagship: benchmark items ask with some words of their text and a source's name. A document is a parent and, by number, a vector's; sources cite the seventh after them.
+_ASKED = "asked AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:4], ' ') || ' src' || (item_id % 20) AS query FROM benchmark)"
+_SOURCES_CITE = "ed AS (SELECT 'src' || i AS src, 'src' || ((i + 7) % 20) AS dst FROM range(20) t(i))"
+_SOURCE_METRICS = "me AS (SELECT source, count(*)::DOUBLE AS pagerank, count(DISTINCT lang)::DOUBLE AS authority, avg(n_chars) / 1000 AS rcr, (count(*) % 30)::DOUBLE AS in_corpus, sum(n_chars)::DOUBLE AS cites FROM documents GROUP BY source)"
+_FACTOR = "(1 + 0.040 * pagerank / mp) * (1 + 0.030 * authority / ma) * (1 + 0.020 * least(rcr / 5, 1)) * (1 + 0.010 * least(in_corpus / 20, 1)) * (1 + 0.008 * least(cites / 2000, 1))"
+
+
+def _words_cte(pre: str, docs: str, k: int, every: bool) -> str:
+    """CTEs {pre}r (query_id, doc_id, score, rank): BM25 of the asked words over docs (doc_id, t)."""
+    match = f"WHERE matched = (SELECT count(*) FROM qt WHERE qt.query_id = {pre}s.query_id)" if every else ""
+    return f"""{pre}d AS MATERIALIZED ({docs}), {pre}n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {pre}d),
+{pre}tf AS MATERIALIZED (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM {pre}d) WHERE term IN (SELECT term FROM qt) GROUP BY doc_id, term),
+{pre}df AS (SELECT term, count(*) AS df FROM {pre}tf GROUP BY term),
+{pre}s AS MATERIALIZED (SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score, count(*) AS matched FROM {pre}tf JOIN {pre}df USING (term) JOIN qt USING (term), {pre}n GROUP BY query_id, doc_id),
+{pre}r AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {pre}s {match}) WHERE rank <= {k})"""
+
+
+_FULL = "SELECT doc_id, regexp_extract_all(lower(coalesce(text, '') || ' ' || source || ' ' || lang), '[\\p{L}\\p{N}]+') AS t FROM documents"
+_FIRST_OF_SOURCE = "SELECT min(doc_id) AS doc_id, regexp_extract_all(lower(source), '[\\p{L}\\p{N}]+') AS t FROM documents GROUP BY source"
+
+
+@query(f"""WITH {_ASKED}, qt AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM asked), {_SOURCES_CITE}, {_SOURCE_METRICS},
+ve AS MATERIALIZED (SELECT query_id, doc_id, distance, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, {_D2} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_D2}, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN (SELECT query_id FROM asked)) q WHERE e.vec_id IN (SELECT doc_id FROM documents)) WHERE rank <= 10),
+{_words_cte("w", _FULL, 90, True)}, o AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ws WHERE query_id NOT IN (SELECT query_id FROM wr)) WHERE rank <= 90),
+{_words_cte("m", _FIRST_OF_SOURCE, 30, True)},
+u AS (SELECT query_id, doc_id, rank, 'vec' AS channel, 0 AS ord, 1 / (1 + distance) AS similarity FROM ve UNION ALL SELECT query_id, doc_id, rank, 'bm25', 1, NULL FROM wr UNION ALL SELECT query_id, doc_id, rank, 'bm25', 1, NULL FROM o UNION ALL SELECT query_id, doc_id, rank, 'meta', 2, NULL FROM mr),
+f AS (SELECT query_id, doc_id, round(sum(1 / (60.0 + rank)), 12) AS rrf, array_to_string(list_sort(list_distinct(list(channel))), '+') AS channels, max(similarity) AS similarity, min(ord * 1000000 + rank) AS first FROM u GROUP BY query_id, doc_id),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, doc_id) AS rank FROM f) WHERE rank <= 30),
+h AS (SELECT g.*, source, CASE WHEN contains(channels, 'meta') THEN source || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END AS text, list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS q, count(*) OVER (PARTITION BY g.query_id) AS n FROM g JOIN documents USING (doc_id) JOIN asked USING (query_id)),
+i AS (SELECT *, CASE WHEN n >= 3 THEN len(list_intersect(q, regexp_extract_all(lower(text[:1000]), '[\\p{{L}}\\p{{N}}]+'))) / len(q) ELSE 0.0 END AS s0 FROM h),
+j AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s0 DESC, rank) AS r0 FROM i),
+an AS (SELECT query_id, source FROM (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY min(r0)) AS k FROM j GROUP BY query_id, source) WHERE k <= 2),
+nb AS (SELECT query_id, s, max(x) AS x FROM (SELECT query_id, src AS s, 1.05 AS x FROM an JOIN ed ON dst = source UNION ALL SELECT query_id, dst, 1.03 FROM an JOIN ed ON src = source) y WHERE NOT EXISTS (SELECT 1 FROM an WHERE an.query_id = y.query_id AND an.source = y.s) GROUP BY query_id, s),
+k AS (SELECT j.*, s0 * coalesce(x, 1.0) AS s1 FROM j LEFT JOIN nb ON nb.query_id = j.query_id AND nb.s = j.source), l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s1, 9) DESC, r0) AS r1 FROM k),
+p AS (SELECT l.*, s1 * CASE WHEN s1 > 0 AND {_FACTOR} > 1.001 THEN least({_FACTOR}, 1.08) ELSE 1.0 END AS s2 FROM l JOIN me USING (source), (SELECT max(pagerank) AS mp, max(authority) AS ma FROM me)),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s2, 9) DESC, r1) AS r2 FROM p), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY r2) > 2 AS over FROM t),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over, r2) AS r3 FROM c)
+SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, source, channels, round(similarity, 6) AS similarity, round(s2, 6) AS score, CAST(r3 AS BIGINT) AS rank FROM z WHERE r3 <= 10""")
 def search_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid search: both channels, fusion, at most two hits of a source first, ten rows."""
-    near, words = _channels(spark, sf_dir)
-    fused = rt.rrf([("vec", near), ("bm25", words)]).join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
-    out = rt.cap_sources(fused, k=10)
-    return out.select("query_id", "doc_id", "source", "rrf", F.col("rank").cast("long").alias("rank"))
+    """The whole search for a batch of queries: nearest vectors, words (all of a query's, else any) over text and metadata, metadata by source; fusion by parent,
+    reranking, citation and provenance boosts, at most two hits of a source first, ten rows a query."""
+    docs = _docs(spark, sf_dir)
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.array_join(F.slice(words(F.col("text")), 1, 4), " "), F.lit(" src"), (F.col("item_id") % 20).cast("string")).alias("query"))
+    parents = docs.select(F.col("doc_id").alias("parent_id"), "source", "text")
+    v = _vectors(spark, sf_dir).join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    mine = _vectors(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding").join(asked.select("query_id"), "query_id", "left_semi")
+    near = rt.knn_batch(v, mine, K).select("query_id", F.col("vec_id").alias("parent_id"), rt.similarity(F.col("distance")).alias("similarity"), "rank").join(parents, "parent_id")
+    terms = rt.terms_of(asked, "query")
+    full = docs.select(F.col("doc_id").alias("parent_id"), F.concat_ws(" ", "text", "source", "lang").alias("text"))
+    found = rt.bm25_terms(full, terms, 9 * K, "parent_id").select("query_id", "parent_id", "rank").join(parents, "parent_id")
+    first = docs.groupBy("source").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("source", F.col("d.doc_id").alias("parent_id"), F.col("d.text").alias("text"))
+    meta = rt.metadata_hits(first.select("parent_id", "source", F.col("source").alias("meta")), terms, 3 * K, "parent_id")
+    meta = meta.join(first.select("parent_id", F.concat_ws("\n", "source", "text").alias("text")), "parent_id")
+    fused = staged(rt.fuse_parents(near, found, meta, 3 * K), "fused")
+    edges = spark.range(20).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("src"), F.concat(F.lit("src"), ((F.col("id") + 7) % 20).cast("string")).alias("dst"))
+    d = read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").cast("double").alias("pagerank"), F.count_distinct("lang").cast("double").alias("authority"), (F.avg("n_chars") / 1000).alias("rcr"), (F.count("*") % 30).cast("double").alias("in_corpus"), F.sum("n_chars").cast("double").alias("cites"))
+    out = rt.post_fusion(fused, asked, K, edges, d)
+    return out.select("query_id", F.col("parent_id").alias("doc_id"), "source", "channels", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH a AS (SELECT doc_id, source, lang, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY lang ORDER BY length(coalesce(text, '')) DESC, doc_id) AS rank FROM documents),
