@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, scratch, staged, table, text_or_empty
+from .sketches import bound
 
 WINDOW_LINES = 3
 LONG_CHARS = 200  # a line of more characters is wrapped
@@ -100,15 +101,22 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
         again = joined.join(copies, same("_id", "_key"), "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_tie").orderBy(F.lit(1))))
         again = again.join(every, same("_id", "_key"), "left").withColumn("_starts", F.when(F.col("_nth") > 1, F.col("_all")).otherwise(F.col("_starts"))).drop("_nth", "_all", "_id", "_key")
         joined = joined.join(copies, same("_id", "_key"), "left_anti").unionByName(again)
-    cut = joined.withColumn("_lines", lines_of(text_or_empty(text)))
-    cut = cut.withColumn("_left", F.when(F.col("_starts").isNull(), F.col("_lines")).otherwise(_kept(F.col("_lines"), F.col("_starts"))))
-    n = F.when(F.col("_lines") == F.array(F.lit("")), 0).otherwise(F.size("_lines"))
-    # what ends the last line that stays is its own, but a newline or space before a removed end goes with it
-    ended = F.array_join("_left", "")
-    gone_end = (F.size("_left") > 0) & (F.array_max("_starts") + WINDOW_LINES >= F.size("_lines"))
-    out = cut.withColumn(text, F.when(F.col("_starts").isNull(), text_or_empty(text)).when(gone_end, F.regexp_replace(ended, r"[\n ]\z", "")).otherwise(ended))
-    out = out.withColumn("n_lines", n.cast("long")).withColumn("n_removed", (F.size("_lines") - F.size("_left")).cast("long"))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+
+    def made(lines: Column, left: Column) -> Column:
+        whole = F.col("_starts").isNull()
+        # a newline or space before a removed end goes with it
+        gone_end = (F.size(left) > 0) & (F.array_max("_starts") + WINDOW_LINES >= F.size(lines))
+        rest = F.array_join(left, "")
+        rewritten = F.when(whole, text_or_empty(text)).when(gone_end, F.regexp_replace(rest, r"[\n ]\z", "")).otherwise(rest)
+        n = F.when(lines == F.array(F.lit("")), 0).otherwise(F.size(lines)).cast("long")
+        return F.struct(rewritten.alias("text"), n.alias("n"), (F.size(lines) - F.size(left)).cast("long").alias("removed"))
+
+    kept = lambda lines: F.when(F.col("_starts").isNull(), lines).otherwise(_kept(lines, F.col("_starts")))
+    one = bound(lines_of(text_or_empty(text)), lambda lines: bound(kept(lines), lambda left: made(lines, left)))
+    # exploded, so that a caller's filter on what was removed doesn't cut the text a second time
+    out = joined.withColumn("_made", F.explode(F.array(one)))
+    columns = [F.col("_made.text").alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*columns, F.col("_made.n").alias("n_lines"), F.col("_made.removed").alias("n_removed"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
