@@ -83,10 +83,11 @@ def score_texts(texts: list[str], net: dict | None) -> np.ndarray:
     """One probability for each text."""
     if net is None:
         return np.full(len(texts), 0.5)
-    out = np.empty((len(texts), 3 * FILTERS), np.float32)
+    out = np.empty(len(texts))
     for i, t in enumerate(texts):
-        out[i] = _document(pooled(chunks_of(t.encode()), net)[0])
-    return _head(out, net)[1].astype(np.float64)
+        # one text at a time, so that its score never depends on its company by a rounding
+        out[i] = _head(_document(pooled(chunks_of(t.encode()), net)[0])[None], net)[1][0]
+    return out
 
 
 def _snippet(raw: bytes, rng: np.random.Generator) -> bytes:
