@@ -21,6 +21,7 @@ SECTIONS = {
 }
 CAPTION = r"(?i)^(?:\*{0,2})(?:(?:Figure|Fig\.?|Table|Supplementary\s+(?:Figure|Table|S)\w*|Scheme)\s*([0-9]+[\w\.\-]*)|((?:S|SF|ST)[0-9]+))\s*[:.]\s*(.+)"
 CHILD_SIZE, OVERLAP_WORDS, OVERLAP_CHARS, LEAST_PARENT, LONGEST_CAPTION = 500, 20, 100, 200, 1500
+LONG_PARAGRAPH = 1.5  # times a child's size, from which a paragraph is cut into sentences
 
 
 def lines_of(docs: DataFrame, key: str = "source", text: str = "text") -> DataFrame:
@@ -81,7 +82,7 @@ def pack(text: str, paragraph: str = "\n\n", size: int = CHILD_SIZE) -> list[str
         return tail + (glue if tail or by_sentence else "") + piece
 
     for part in filter(None, (p.strip() for p in text.split(paragraph))):
-        long = len(part) > size * 1.5
+        long = len(part) > size * LONG_PARAGRAPH
         for piece in _SENTENCE.split(part) if long else [part]:
             glue = " " if long else paragraph
             if held and len(held) + len(piece) > size:

@@ -132,6 +132,50 @@ def duplicate_verdicts(papers: DataFrame) -> DataFrame:
     return groups.join(same, "doi", "left").select("doi", "n", F.when(F.col("titled") < 2, "no-titles").when(F.col("_same"), "same-paper").otherwise("CONFLICT").alias("verdict"))
 
 
+def audit(papers: DataFrame, hits: DataFrame) -> DataFrame:
+    """source, status, flags, kind, support, repair, confidence, agreeing: the audit of claimed metadata as one chain.
+
+    papers: source, file_title, file_year, text, title, authors, year, journal, doi. hits: source, family, title, authors, year, doi (registry records; each family's votes once).
+    A junk title gives way to the file's. The record that most families agree on by DOI is compared with the claim; without a record the paper is
+    unverified. A paper whose file name and claim differ is a swap of metadata where its text supports the file name, else of content. status is fail with a swap or
+    a flag, else pass.
+    """
+    claimed = papers.withColumn("_t", F.when(tt.is_junk_title(F.col("title")), F.col("file_title")).otherwise(F.col("title")))
+    named = hits.select("source", "family", normalize_doi(F.col("doi")).alias("value"), F.col("title").alias("_title"), F.col("authors").alias("_authors"), F.col("year").alias("_year"))
+    voted = vote(named.select(F.col("source").alias("key"), "family", "value")).select(F.col("key").alias("source"), "value", "votes", "confidence")
+    record = named.join(voted, ["source", "value"]).groupBy("source", "votes", "confidence").agg(F.min(F.struct("family", "_title", "_authors", "_year")).alias("r")).select("source", "votes", "confidence", "r.*")
+    both = claimed.join(record, "source", "left")
+    flags = F.when(F.col("votes").isNotNull(), identity_flags(F.col("_t"), F.col("_title"), F.col("year").try_cast("int"), F.col("_year").try_cast("int"), tt.author_lastname(F.col("authors")), tt.author_lastname(F.col("_authors")))).otherwise(F.array().cast("array<string>"))
+    alike = tt.jaccard(tt.title_tokens(F.col("file_title")), tt.title_tokens(F.col("title")))
+    conflict = F.coalesce(F.abs(F.col("year").try_cast("int") - F.col("file_year").try_cast("int")) > 1, F.lit(False))
+    support = F.coalesce(content_support(F.col("file_title"), F.col("text")), F.lit(0.0))
+    kind = swap_kind(alike, conflict, support, F.size(tt.title_tokens(F.col("file_title"))))
+    out = both.select("source", flags.alias("flags"), kind.alias("kind"), F.round(support, 6).alias("support"), needs_repair(F.col("title"), F.col("year"), F.col("journal"), F.col("doi")).alias("repair"), F.coalesce("confidence", F.lit("none")).alias("confidence"), F.coalesce("votes", F.lit(0)).alias("agreeing"))
+    status = F.when((F.col("kind") != "ok") | (F.size("flags") > 0), "fail").when(F.col("agreeing") == 0, "unverified").otherwise("pass")
+    return out.select("source", status.alias("status"), "flags", "kind", "support", "repair", "confidence", "agreeing")
+
+
+def check_duplicates(rows: DataFrame, column: str, name: str) -> DataFrame:
+    c = rows.agg(F.count(column).alias("a"), F.count_distinct(column).alias("b"))
+    return c.select(F.lit(name).alias("name"), F.when(F.col("a") == F.col("b"), "OK").otherwise("WARN").alias("status"), F.concat((F.col("a") - F.col("b")).cast("string"), F.lit(" repeated")).alias("message"))
+
+
+def check_share(rows: DataFrame, bad: Column, name: str, warn: float = 0.0, fail: float = 1.0) -> DataFrame:
+    """OK up to a share ``warn`` of bad rows, WARN up to ``fail``, FAIL beyond; an empty table is a WARN."""
+    c = rows.agg(F.count("*").alias("n"), F.count_if(F.coalesce(bad, F.lit(True))).alias("b"))
+    share = F.col("b") / F.col("n")
+    status = F.when(F.col("n") == 0, "WARN").when(share <= warn, "OK").when(share <= fail, "WARN").otherwise("FAIL")
+    return c.select(F.lit(name).alias("name"), status.alias("status"), F.concat_ws(" of ", F.col("b").cast("string"), F.col("n").cast("string")).alias("message"))
+
+
+def check_graph(edges: DataFrame, nodes: DataFrame, name: str = "reference graph") -> DataFrame:
+    """FAIL without edges, WARN if ends of edges are no papers."""
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    lost = ends.join(nodes.select("node").distinct().withColumn("_k", F.lit(True)), "node", "left")
+    c = lost.agg((F.count("*") / 2).cast("long").alias("e"), F.count_if(F.col("_k").isNull()).alias("x"))
+    return c.select(F.lit(name).alias("name"), F.when(F.col("e") == 0, "FAIL").when(F.col("x") > 0, "WARN").otherwise("OK").alias("status"), F.concat(F.col("e").cast("string"), F.lit(" edges, "), F.col("x").cast("string"), F.lit(" unknown ends")).alias("message"))
+
+
 def drift(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
     """key, only_in: keys that one of two indexes lacks."""
     both = left.select(key).distinct().withColumn("_l", F.lit(1)).join(right.select(key).distinct().withColumn("_r", F.lit(1)), key, "full_outer")

@@ -94,12 +94,6 @@ def union_queries(hits: DataFrame, key: str = "vec_id") -> DataFrame:
 # ---- lexical -----------------------------------------------------------------------------------------------------
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, dl: the inverted index as a table."""
-    toks = docs.select(key, words(F.col(text)).alias("t"))
-    return toks.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
 def terms_of(queries: DataFrame, text: str = "text") -> DataFrame:
     """query_id, term: the distinct words of each query."""
     return queries.select("query_id", F.explode(F.array_distinct(words(F.col(text)))).alias("term"))

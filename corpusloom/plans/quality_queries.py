@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.functions import titles as tt
 from corpusloom.operators import evaluate, guard, quality, topics, trees
+from corpusloom.sources import sinks
 from corpusloom.sources.staging import staged
 from corpusloom.sources.tables import read
 from corpusloom.streaming import events as ev
@@ -327,18 +328,97 @@ def upsert_and_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.remove_papers(quality.upsert(rows, new), ["SRC1"])
 
 
-@query("""WITH a AS (SELECT count(*) AS d, count(DISTINCT coalesce(text, '')) AS u FROM documents), b AS (SELECT count(*) AS l FROM labels), c AS (SELECT count(*) AS o FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id))
-SELECT 'duplicates' AS name, CASE WHEN d = u THEN 'OK' ELSE 'WARN' END AS status, CAST(d - u AS VARCHAR) AS message FROM a
+_JUNK = "(d.lang IS NULL OR d.n_chars < 40)"
+
+
+@query(f"""WITH a AS (SELECT count(*) AS d, count(DISTINCT coalesce(text, '')) AS u FROM documents), b AS (SELECT count(*) AS l FROM labels), c AS (SELECT count(*) AS o FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)),
+e AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey), g AS (SELECT count(*) AS e, (SELECT count(*) FROM e WHERE src NOT IN (SELECT c_custkey FROM customer)) + (SELECT count(*) FROM e WHERE dst NOT IN (SELECT c_custkey FROM customer)) AS x FROM e)
+SELECT 'duplicates' AS name, CASE WHEN d = u THEN 'OK' ELSE 'WARN' END AS status, (d - u) || ' repeated' AS message FROM a
 UNION ALL SELECT 'parity', CASE WHEN abs(d - l) <= greatest(50, 0.02 * greatest(d, l)) THEN 'OK' ELSE 'WARN' END, d || ' / ' || l FROM a, b
-UNION ALL SELECT 'orphan labels', CASE WHEN o = 0 THEN 'OK' ELSE 'FAIL' END, CAST(o AS VARCHAR) FROM c""")
+UNION ALL SELECT 'orphan labels', CASE WHEN o = 0 THEN 'OK' ELSE 'FAIL' END, CAST(o AS VARCHAR) FROM c
+UNION ALL SELECT 'metadata', CASE WHEN count(*) = 0 THEN 'WARN' WHEN count(*) FILTER (WHERE {_JUNK}) <= 0.01 * count(*) THEN 'OK' WHEN count(*) FILTER (WHERE {_JUNK}) <= 0.2 * count(*) THEN 'WARN' ELSE 'FAIL' END, count(*) FILTER (WHERE {_JUNK}) || ' of ' || count(*) FROM documents d
+UNION ALL SELECT 'identifiers', CASE WHEN count(*) = count(DISTINCT item_id) THEN 'OK' ELSE 'WARN' END, (count(item_id) - count(DISTINCT item_id)) || ' repeated' FROM benchmark
+UNION ALL SELECT 'retractions', CASE WHEN count(*) FILTER (WHERE toxic = 1) = 0 THEN 'OK' ELSE 'WARN' END, count(*) FILTER (WHERE toxic = 1) || ' of ' || count(*) FROM labels
+UNION ALL SELECT 'reference graph', CASE WHEN e = 0 THEN 'FAIL' WHEN x > 0 THEN 'WARN' ELSE 'OK' END, e || ' edges, ' || x || ' unknown ends' FROM g""")
 def doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health checks: repeated texts, parity of documents and labels, labels without a document."""
+    """Health checks: repeated texts and identifiers, parity of documents and labels, labels without a document, poor metadata, flagged papers, the graph."""
     d, lab = _docs(spark, sf_dir), read(spark, sf_dir, "labels")
-    dup = d.agg(F.count("*").alias("d"), F.count_distinct("text").alias("u")).select(F.lit("duplicates").alias("name"), F.when(F.col("d") == F.col("u"), "OK").otherwise("WARN").alias("status"), (F.col("d") - F.col("u")).cast("string").alias("message"))
     both = d.select(F.lit(1).alias("d"), F.lit(0).alias("l")).unionByName(lab.select(F.lit(0).alias("d"), F.lit(1).alias("l"))).agg(F.sum("d").alias("d"), F.sum("l").alias("l"))
     par = both.select(F.lit("parity").alias("name"), quality.parity(both, "d", "l").alias("status"), F.concat_ws(" / ", F.col("d").cast("string"), F.col("l").cast("string")).alias("message"))
     lost = lab.join(d, "doc_id", "left_anti").agg(F.count("*").alias("o")).select(F.lit("orphan labels").alias("name"), F.when(F.col("o") == 0, "OK").otherwise("FAIL").alias("status"), F.col("o").cast("string").alias("message"))
-    return quality.doctor([dup, par, lost])
+    meta = quality.check_share(read(spark, sf_dir, "documents"), F.col("lang").isNull() | (F.col("n_chars") < 40), "metadata", 0.01, 0.2)
+    flagged = quality.check_share(lab, F.coalesce(F.col("toxic") == 1, F.lit(False)), "retractions")
+    edges = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    graph = quality.check_graph(edges, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node")))
+    return quality.doctor([quality.check_duplicates(d, "text", "duplicates"), par, lost, meta, quality.check_duplicates(read(spark, sf_dir, "benchmark"), "item_id", "identifiers"), flagged, graph])
+
+
+_PAPERS = """p AS (SELECT p_partkey AS source, p_name || ' growth study' AS file_title, 2000 + p_size % 7 AS file_year, CASE p_partkey % 3 WHEN 0 THEN 'about ' || p_name || ' and growths, a study' ELSE 'something else' END AS text,
+  CASE p_partkey % 5 WHEN 0 THEN 'Editorial' WHEN 1 THEN p_type || ' matters' ELSE p_name || ' growth study' END AS title, 'Lee, Ann; Wu, Bo' AS authors, CASE p_partkey % 7 WHEN 0 THEN '1066' ELSE (2000 + p_size % 11)::VARCHAR END AS year, CASE WHEN p_partkey % 4 = 0 THEN 'j' ELSE 'Journal of Bone' END AS journal, CASE WHEN p_partkey % 6 <> 0 THEN '10.1000/p' || p_partkey END AS doi FROM part),
+h AS (SELECT l_partkey AS source, CASE l_linenumber % 4 WHEN 0 THEN 'crossref' WHEN 1 THEN 'pubmed' WHEN 2 THEN 'openalex' ELSE 'library' END AS family, '10.1000/p' || (l_partkey + CASE WHEN l_linenumber % 4 = 3 THEN 1 ELSE 0 END) AS doi, p_name || ' growth study' || CASE WHEN l_linenumber % 4 = 3 THEN ' two' ELSE '' END AS title, CASE WHEN l_partkey % 9 = 0 THEN 'Kim, Al' ELSE 'Lee, Ann' END AS authors, 2000 + p_size % 11 + l_partkey % 4 AS year FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 35)"""
+_TOK = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda x: length(x) > 2))"
+_STEMS = "list_distinct(list_transform(" + _TOK + ", lambda x: regexp_replace(x, 's$', '')))"
+
+
+@query(f"""WITH {_PAPERS}, v AS (SELECT source, doi, count(DISTINCT family) AS votes, min(list_position(['crossref', 'pubmed', 'openalex', 'library'], family)) AS first FROM h GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY votes DESC, first, doi) AS k FROM v) WHERE k = 1),
+r AS (SELECT b.source AS source, votes, min(struct_pack(f := family, t := title, a := authors, y := year)) AS r FROM b JOIN h ON h.source = b.source AND h.doi = b.doi GROUP BY ALL),
+c AS (SELECT p.*, votes, r.r.t AS rt, r.r.a AS ra, r.r.y AS ry, title = 'Editorial' OR len({_TOK.format("title")}) < 3 AS junk FROM p LEFT JOIN r ON r.source = p.source),
+d AS (SELECT *, {_TOK.format("CASE WHEN junk THEN file_title ELSE title END")} AS kt, {_TOK.format("coalesce(rt, '')")} AS kr, {_TOK.format("title")} AS ko, {_TOK.format("file_title")} AS kf, {_STEMS.format("file_title")} AS sf, {_STEMS.format("text")} AS st, CASE WHEN junk THEN file_title ELSE title END AS t FROM c),
+e AS (SELECT *, len(list_intersect(kt, kr)) / len(list_distinct(list_concat(kt, kr))) AS j, CASE WHEN len(kf) + len(ko) = 0 THEN 1.0 ELSE len(list_intersect(kf, ko)) / len(list_distinct(list_concat(kf, ko))) END AS sim, len(list_intersect(sf, st)) / len(sf) AS support FROM d),
+f AS (SELECT *, CASE WHEN votes IS NULL THEN '' ELSE concat_ws(',', CASE WHEN j < 0.3 THEN 'title' END, CASE WHEN abs(year::INT - ry) > 2 THEN 'year' END, CASE WHEN ra LIKE 'Kim%' AND j < 0.5 AND NOT (contains(lower(t), lower(rt)) OR contains(lower(rt), lower(t))) THEN 'surname' END) END AS flags,
+  CASE WHEN sim < 0.3 AND abs(year::INT - file_year) > 1 THEN CASE WHEN (len(kf) >= 4 AND support >= 0.35) OR (len(kf) = 3 AND support >= 0.67) THEN 'meta_swap' ELSE 'content_swap' END ELSE 'ok' END AS kind FROM e)
+SELECT source, CASE WHEN kind <> 'ok' OR flags <> '' THEN 'fail' WHEN votes IS NULL THEN 'unverified' ELSE 'pass' END AS status, flags, kind, round(support, 6) AS support, concat_ws(',', CASE WHEN junk THEN 'title' END, CASE WHEN year = '1066' THEN 'year' END, CASE WHEN journal = 'j' THEN 'journal' END, CASE WHEN doi IS NULL THEN 'doi' END) AS repair,
+  CASE WHEN votes IS NULL THEN 'none' WHEN votes >= 3 THEN 'high' WHEN votes = 2 THEN 'medium' ELSE 'low' END AS confidence, coalesce(votes, 0) AS agreeing FROM f""")
+def metadata_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of made-up metadata for every part; larger order lines are registry records."""
+    out = quality.audit(*_audited(spark, sf_dir))
+    return out.withColumn("flags", F.concat_ws(",", "flags")).withColumn("repair", F.concat_ws(",", "repair"))
+
+
+def _audited(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    k, name, size, text = F.col("p_partkey"), F.col("p_name"), F.col("p_size"), lambda c: c.cast("string")
+    part = read(spark, sf_dir, "part")
+    own = F.concat(name, F.lit(" growth study"))
+    papers = part.select(
+        k.alias("source"), own.alias("file_title"), text(2000 + size % 7).alias("file_year"), F.when(k % 3 == 0, F.concat(F.lit("about "), name, F.lit(" and growths, a study"))).otherwise("something else").alias("text"),
+        F.when(k % 5 == 0, "Editorial").when(k % 5 == 1, F.concat("p_type", F.lit(" matters"))).otherwise(own).alias("title"), F.lit("Lee, Ann; Wu, Bo").alias("authors"), F.when(k % 7 == 0, "1066").otherwise(text(2000 + size % 11)).alias("year"),
+        F.when(k % 4 == 0, "j").otherwise("Journal of Bone").alias("journal"), F.when(k % 6 != 0, F.concat(F.lit("10.1000/p"), text(k))).alias("doi"),
+    )
+    n = F.col("l_linenumber") % 4
+    lines = read(spark, sf_dir, "lineitem").filter("l_quantity > 35").join(part, F.col("l_partkey") == k)
+    hits = lines.select(
+        k.alias("source"), F.when(n == 0, "crossref").when(n == 1, "pubmed").when(n == 2, "openalex").otherwise("library").alias("family"), F.concat(F.lit("10.1000/p"), text(k + F.when(n == 3, 1).otherwise(0))).alias("doi"),
+        F.concat(own, F.when(n == 3, " two").otherwise("")).alias("title"), F.when(k % 9 == 0, "Kim, Al").otherwise("Lee, Ann").alias("authors"), text(2000 + size % 11 + k % 4).alias("year"),
+    )
+    return papers, hits
+
+
+@query(f"""WITH {_PAPERS}, x AS (SELECT source, source % 3 = 0 AS identity, CASE source % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN source % 2 = 0 THEN '' ELSE 'new ' || file_title END AS t, NULL AS y, '10.2/x' AS d FROM p WHERE source % 7 < 5)
+SELECT p.source AS source, CASE WHEN x.source IS NULL THEN title WHEN identity THEN t ELSE coalesce(nullif(t, ''), title) END AS title, CASE WHEN x.source IS NULL THEN year WHEN identity THEN y ELSE coalesce(y, year) END AS year, CASE WHEN x.source IS NULL THEN doi ELSE d END AS doi, CASE WHEN x.source IS NOT NULL THEN 'fixed by crossref' ELSE '' END AS meta_provenance
+FROM p LEFT JOIN (SELECT * FROM x WHERE confidence <> 'low') x ON x.source = p.source""")
+def metadata_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixes of some parts' metadata: those of low confidence don't count, those of identity overwrite blanks too."""
+    papers, _ = _audited(spark, sf_dir)
+    s = F.col("source")
+    fixes = papers.filter("source % 7 < 5").select("source", F.when(s % 2 == 0, "").otherwise(F.concat(F.lit("new "), "file_title")).alias("f_title"), F.lit(None).cast("string").alias("f_year"), F.lit("10.2/x").alias("f_doi"), (s % 3 == 0).alias("identity"), F.when(s % 4 == 0, "low").when(s % 4 == 1, "medium").otherwise("high").alias("confidence"), F.lit("crossref").alias("origin"))
+    return quality.apply_fixes(papers.select("source", "title", "year", "doi"), fixes).fillna("", ["meta_provenance"])
+
+
+@query("""WITH a AS (SELECT doc_id, lang, CASE WHEN n_chars % 3 = 0 THEN 'pass' ELSE 'fail' END AS status, n_chars % 2 = 0 AS f FROM documents)
+SELECT status, count(*) AS n, count(*) FILTER (WHERE f) AS flagged, count(*) / sum(count(*)) OVER () AS share FROM a GROUP BY status""")
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents pass a made-up audit, and how many of them were flagged."""
+    rows = read(spark, sf_dir, "documents").select(F.when(F.col("n_chars") % 3 == 0, "pass").otherwise("fail").alias("status"), F.when(F.col("n_chars") % 2 == 0, F.array(F.lit("year"))).otherwise(F.array().cast("array<string>")).alias("identity_flags"))
+    return sinks.audit_summary(rows)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN abs(year(o_orderdate) - (1992 + o_custkey % 7)) <= 1 WHEN o_orderkey % 4 <> 3 THEN abs(year(o_orderdate) - (1993 + o_custkey % 5)) <= 1 ELSE false END AS ok FROM orders""")
+def year_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the year of every order agrees with that of a file, else of a text."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    file, text = F.when(o % 3 != 2, 1992 + c % 7), F.when(o % 4 != 3, 1993 + c % 5)
+    return read(spark, sf_dir, "orders").select("o_orderkey", quality.year_ok(F.year("o_orderdate"), file, text).alias("ok"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -287,3 +287,22 @@ def facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by a nested metadata filter; simple conditions reach the scans."""
     rows = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(read(spark, sf_dir, "labels"), "doc_id")
     return rows.filter(rt.where({"$and": [{"lang": "en"}, {"quality": 1, "toxic": {"$ne": 1}}], "source": {"$in": ["src1", "src2", "src3"]}, "n_chars": {"$gte": 200}})).select("doc_id")
+
+
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, source AS query_id, coalesce(text, '')[:800] AS t FROM documents),
+b AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a)
+SELECT query_id, doc_id, CAST(length(t) AS BIGINT) AS n FROM b WHERE before < 2200""")
+def budgeted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source as hits, cut and kept while they start within the budget."""
+    from pyspark.sql.window import Window
+
+    hits = _docs(spark, sf_dir).select(F.col("source").alias("query_id"), "doc_id", "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"))
+    return rt.within_budget(hits).select("query_id", "doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query("""WITH a AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark), b AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM a),
+c AS (SELECT item_id, w, min(i) AS i FROM b GROUP BY ALL), d AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, i) AS k FROM c)
+SELECT item_id, string_agg(w, ' ' ORDER BY k) AS words FROM d WHERE k <= 3 GROUP BY item_id""")
+def broader_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three longest words of every benchmark item, for a second attempt."""
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(rt.or_split(F.col("text")), " ").alias("words"))

@@ -268,3 +268,34 @@ def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda x: x.cast("string")
     spec = F.when(m == 0, F.concat(F.lit("3-"), text(c % 40 + 1), F.lit(", 2"))).when(m == 1, "1-2147483640").when(m == 2, "0").when(m == 3, F.concat(F.lit("5,"), text(c), F.lit("-"), text(c + 3))).when(m == 4, "1-30,40-60").when(m == 5, "x").when(m == 6, "0-3").when(m == 7, "7").otherwise(" 4 - 9 , 8")
     return read(spark, sf_dir, "orders").select("o_orderkey", spec.alias("spec"), tx.read_pages(spec).alias("r")).select("o_orderkey", "spec", "r.pages", "r.error")
+
+
+@query("SELECT s_suppkey, 'A glass of gl.ss: ' || replace(s_name, 'Supplier', 'firm $1') AS text FROM supplier")
+def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal terms of a glossary replaced in any case, in order; signs in them mean nothing."""
+    text = F.concat(F.lit("A GLASS of gL.sS: "), "s_name")
+    return read(spark, sf_dir, "supplier").select("s_suppkey", tx.replace_terms(text, [("glass", "glass"), ("gl.ss", "gl.ss"), ("SUPPLIER", "firm $1")]).alias("text"))
+
+
+@query("""SELECT s_suppkey AS src, s_name AS src_title, s_nationkey AS src_year, n_nationkey + 1000000 AS dst, NULL AS dst_title, NULL AS dst_year FROM supplier JOIN nation ON n_nationkey = s_nationkey
+UNION ALL SELECT s_suppkey, s_name, s_nationkey, 1, (SELECT s_name FROM supplier WHERE s_suppkey = 1), (SELECT s_nationkey FROM supplier WHERE s_suppkey = 1) FROM supplier""")
+def edge_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from every supplier to the first and to one that is no paper, with titles and years."""
+    from corpusloom.sources import sinks
+
+    s = read(spark, sf_dir, "supplier")
+    papers = s.select(F.col("s_suppkey").alias("source"), F.col("s_name").alias("title"), F.col("s_nationkey").alias("year"))
+    edges = s.select(F.col("s_suppkey").alias("src"), (F.col("s_nationkey") + 1000000).cast("long").alias("dst")).unionByName(s.select(F.col("s_suppkey").alias("src"), F.lit(1).cast("long").alias("dst")))
+    return sinks.edge_mirror(edges, papers)
+
+
+@query(r"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t, 'Figure 3: shows ' || source AS cap FROM documents),
+p AS (SELECT doc_id, 'methods' AS section, 'section' AS chunk_type, NULL AS label, trim(t, ' ') AS content, doc_id || ':methods:' || trim(t, ' ')[:200] AS id FROM a WHERE doc_id % 5 <> 0 AND length(trim(t, ' ')) >= 200
+  UNION ALL SELECT doc_id, 'figure_caption', 'figure_caption', '3', cap, doc_id || ':figure_caption:3:' || cap[:200] FROM a WHERE doc_id % 5 <> 0
+  UNION ALL SELECT doc_id, 'full_text', 'section', NULL, t, doc_id || ':full' FROM a WHERE doc_id % 5 = 0 AND trim(t, ' ') <> '')
+SELECT doc_id, section, chunk_type, label, doc_id || '#' || CASE WHEN section = 'full_text' THEN 'full' ELSE section END || '#' || md5(id)[:16] AS parent_id, CAST(length(content) AS BIGINT) AS char_count, CAST(len(list_filter(string_split_regex(content, '\s+'), lambda x: x <> '')) AS BIGINT) AS word_count FROM p""")
+def parent_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents of the synthetic papers; every fifth document has no sections and is one parent."""
+    raw = _text(read(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("_raw"))
+    papers = _papers(spark, sf_dir).join(raw, "doc_id").select(F.col("doc_id").cast("string").alias("source"), F.when(F.col("doc_id") % 5 == 0, F.col("_raw")).otherwise(F.col("text")).alias("text"))
+    return chunking.parents(papers).select(F.col("source").cast("long").alias("doc_id"), "section", "chunk_type", "label", "parent_id", "char_count", "word_count")

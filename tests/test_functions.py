@@ -176,3 +176,90 @@ def test_stream_ingest(spark, tmp_path):
     spark.createDataFrame([("a", "three")], docs.schema).write.mode("append").parquet(str(tmp_path / "in"))
     events.ingest(spark, str(tmp_path / "in"), docs.schema, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {(r.source, r.text) for r in events.latest(spark, str(tmp_path / "out")).collect()} == {("a", "three"), ("b", "two")}
+
+
+def brute_children(text, paragraph="\n\n", size=500):
+    """The packing as a list of steps: each piece either joins what is held or closes it and opens with its tail."""
+    import re
+
+    steps = []
+    for p in [p.strip() for p in text.split(paragraph) if p.strip()]:
+        cut = len(p) > 1.5 * size
+        steps += [(s, cut) for s in (re.split(r"(?<=[.!?])\s+", p) if cut else [p])]
+    out, held = [], ""
+    for piece, sentence in steps:
+        if len(held) + len(piece) > size and held:
+            out.append(held.strip())
+            w = held.split()
+            tail = " ".join(w[-20:]) if len(w) > 20 else held[-100:] if sentence else ""
+            held = tail + " " + piece if sentence else tail + (paragraph if tail else "") + piece
+        elif sentence:
+            held += " " + piece if held else piece
+        else:
+            held += (paragraph if held else "") + piece
+    return out + ([held.strip()] if held.strip() else [])
+
+
+def test_children_equal_brute_force(spark, sf):
+    import random
+
+    from corpusloom.operators import chunking
+    from corpusloom.sources.tables import read
+
+    rng = random.Random(3)
+    word = lambda: rng.choice(["a", "of", "bones", "growth", "plates.", "why?", "x" * 40, "x" * 700])
+    texts = ["", "\n\n", "one", "x" * 2000] + ["\n\n".join(" ".join(word() for _ in range(rng.randrange(0, 160))) for _ in range(rng.randrange(0, 6))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in chunking.children(df, "id", "text").orderBy("id", "idx").collect():
+        got.setdefault(r.id, []).append(r.text)
+    assert got == {i: c for i, t in enumerate(texts) if (c := brute_children(t))}
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    lines = {}
+    for r in chunking.children(docs, "doc_id", "text", "\n").orderBy("doc_id", "idx").collect():
+        lines.setdefault(r.doc_id, []).append(r.text)
+    assert lines == {r.doc_id: c for r in docs.collect() if (c := brute_children(r.text or "", "\n"))}
+
+
+def test_outline_parts_equal_brute_force(spark, sf):
+    """The folds over documents without SQL: parts of an even size, thinned nodes."""
+    import math
+
+    from corpusloom.plans import catalogue
+    from corpusloom.sources.tables import read
+
+    want = {}
+    for r in read(spark, sf, "documents").select("doc_id", "text").collect():
+        n = [len(x) for x in (r.text or "").split("\n")]
+        total, parts, at, held = sum(n), [], 0, 0
+        budget = math.inf if total <= 4000 else math.ceil((total / math.ceil(total / 4000) + 4000) / 2)
+        for i, x in enumerate(n):
+            if held + x > budget:
+                parts.append((at, i - 1) if i > at else (None, None))
+                at = max(i - 1, 0)
+                held = sum(n[at:i])
+            held += x
+        want[r.doc_id] = [*parts, (at, len(n) - 1)]
+    got = {}
+    for r in catalogue.QUERIES["outline_parts"](spark, sf).orderBy("doc", "page").collect():
+        got.setdefault(r.doc, []).append((r["first"], r["last"]))
+    assert got == want
+
+
+def test_metadata_functions(spark):
+    from corpusloom.functions import metadata as md
+
+    col = F.lit
+    row = spark.range(1).select(
+        md.extract_meta(col("A study of the growth plate in mice\nNature Medicine 2019\ndoi:10.1/x PMID: 123 PMCID: PMC99"), col("f.pdf")).alias("a"),
+        md.extract_meta(col("Title: x"), col("+ Lee_2020_Growth.md")).alias("b"),
+        md.upsert_front_matter(col("\nTitle: old\nYear: 1999\n\n\nBody\nYear: 5"), {"Title": col("new"), "doi": col("10.1/y")}).alias("c"),
+        md.upsert_front_matter(col("Body"), {"Title": col(" ")}).alias("d"),
+        md.is_fake_doi(col("10.1002/(SICI)1")).alias("e"), md.is_fake_doi(col("10.1/x")).alias("f"),
+        md.queries_of(col("[1, \"a\"]")).alias("g"), md.classes_of(col('{"0": "review: a", "0": "methods: b", "1": {')).alias("h"),
+        md.class_entry(col("Essay: a")).alias("i"), md.sentences_by(col("One. two! Three"), "starts").alias("j"),
+    ).first()
+    assert tuple(row.a) == ("A study of the growth plate in mice", "2019", "A study of the growth plate in mice\nNature Medicine", "10.1/x", "123", "PMC99")  # a journal may run over lines
+    assert row.b.title == "Lee_2020_Growth" and row.b.year == ""
+    assert row.c == "Title: new\ndoi:10.1/y\n\nBody\nYear: 5" and row.d == "Body" and row.e and not row.f
+    assert row.g == ["1", "a"] and row.h == {0: "methods: b"} and row.i is None and row.j == ["One. two!", "Three"]
