@@ -27,7 +27,7 @@ from .common import bounded_batches, table, text_or_empty
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens in each of a worker's two tables, and the characters of the longest that is kept.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 CACHE_LONGEST = 64
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch sent to a Python worker. Bounds a worker's memory when texts are long.
 BATCH_ROWS = "500"
-BATCH_BYTES = str(32 << 20)
+BATCH_BYTES = str(8 << 20)
 
 #: Words in a shingle and the least similarity of near duplicates, where a contract says nothing else.
 SHINGLE_WORDS = 5
