@@ -87,11 +87,26 @@ def backward(refs: DataFrame, library: DataFrame) -> DataFrame:
     return out.select("paper", "hint", F.coalesce("verified", "guess").alias("target"), how.alias("how"))
 
 
-def neighbours(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """seed, node, how: papers beside a seed; cited_by wins where both hold."""
+def reference_graph(docs: DataFrame, verified: DataFrame, key: str = "source", text: str = "text") -> DataFrame:
+    """from, to, to_author, to_year, to_title_hint, resolved: the citations that documents' texts make (see cited) and, resolved, the verified ones (src, dst)
+    between different documents that exist, each once."""
+    raw = cited(docs, key, text).select("from", F.lit(None).cast(docs.schema[key].dataType).alias("to"), "to_author", "to_year", "to_title_hint", F.lit(False).alias("resolved"))
+    known = docs.select(F.col(key).alias("_k")).distinct()
+    sure = verified.select("src", "dst").filter("src <> dst").distinct()
+    sure = sure.join(known, F.col("src") == F.col("_k"), "left_semi").join(known, F.col("dst") == F.col("_k"), "left_semi")
+    none = F.lit(None).cast("string")
+    return raw.unionByName(sure.select(F.col("src").alias("from"), F.col("dst").alias("to"), none.alias("to_author"), none.alias("to_year"), none.alias("to_title_hint"), F.lit(True).alias("resolved")))
+
+
+def neighbours(seeds: DataFrame, edges: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """seed, node, how: papers beside a seed; cited_by wins over cites, both over named, which are papers that a seed's unresolved citations name by author and
+    year (source, paper; see bibliography.cited_by_name)."""
     a = seeds.join(edges, F.col("seed") == F.col("dst")).select("seed", F.col("src").alias("node"), F.lit("cited_by").alias("how"), F.lit(1).alias("p"))
     b = seeds.join(edges, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("node"), F.lit("cites").alias("how"), F.lit(2).alias("p"))
-    return first_of(a.unionByName(b).distinct(), ["seed", "node"], F.col("p")).drop("p")
+    both = a.unionByName(b)
+    if named is not None:
+        both = both.unionByName(named.join(seeds, F.col("seed") == F.col("source")).select("seed", F.col("paper").alias("node"), F.lit("named").alias("how"), F.lit(3).alias("p")))
+    return first_of(both.distinct(), ["seed", "node"], F.col("p")).drop("p")
 
 
 def resolve(targets: DataFrame, registry: DataFrame, tolerance: int = 1) -> DataFrame:

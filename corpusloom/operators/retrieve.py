@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions.models import lexical_relevance
 from corpusloom.functions.text import words
+from corpusloom.sources.parted import PartedTable
 from corpusloom.sources.staging import staged
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -166,22 +167,29 @@ class StoredIndex:
         each = toks.select("key", "source", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("key", "source", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
         return each.withColumn("part", self._part("term")), toks.select("key", "source", F.size("t").alias("dl")).withColumn("part", self._part("source"))
 
+    def _files(self) -> PartedTable:
+        return PartedTable(self.spark, self.root)
+
     def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/sizes")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self._files().has("sizes")
+
+    def _read(self, name: str) -> DataFrame:
+        schema = self._files().schema_of(name)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def rebuild(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> None:
         """The whole index anew."""
         terms, sizes = self._rows(docs, key, source, text)
         for name, df in (("postings", terms), ("sizes", sizes)):
             df.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part").parquet(f"{self.root}/{name}")
+            self._files().keep_schema(name, df)
 
     def refresh(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", gone: DataFrame | None = None) -> None:
         """Rows of the sources in docs, and of those in gone, are replaced by those of docs."""
         named = docs.select(F.col(source).alias("source"))
         gone = (named if gone is None else named.union(gone.select("source"))).distinct()
         for name, new in zip(("postings", "sizes"), self._rows(docs, key, source, text)):
-            old, new = self.spark.read.parquet(f"{self.root}/{name}"), staged(new, "refresh")
+            old, new = self._read(name), staged(new, "refresh")
             touched = old.join(gone, "source", "left_semi").select("part").union(new.select("part")).distinct()
             touched = sorted(r["part"] for r in touched.collect())  # at most as many as there are parts
             if not touched:
@@ -205,9 +213,9 @@ class StoredIndex:
     def _search(self, queries: DataFrame, key: str, every: bool | None, allowed: DataFrame | None) -> DataFrame:
         q = queries.select("query_id", "term").distinct()
         named = sorted(r["part"] for r in q.select(self._part("term")).distinct().collect())  # at most as many as there are parts
-        tf = self.spark.read.parquet(f"{self.root}/postings").filter(F.col("part").isin(*named) if named else F.lit(False))
+        tf = self._read("postings").filter(F.col("part").isin(*named) if named else F.lit(False))
         tf = tf.join(small(q.select("term").distinct(), q.count()), "term", "left_semi").select(F.col("key").alias(key), "term", "tf", "dl")
-        totals = self.spark.read.parquet(f"{self.root}/sizes").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        totals = self._read("sizes").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
         scored = _scored(tf, df, totals, q, key, every)
         return scored if allowed is None else scored.join(allowed.select(key).distinct(), key, "left_semi")

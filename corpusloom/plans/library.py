@@ -52,6 +52,18 @@ class Library:
         """Replace a whole table; one without a source column is dealt by its first."""
         PartedTable(self.spark, f"{self.root}/{name}", "source" if "source" in df.columns else df.columns[0]).replace_all(df)
 
+    def scaffold(self) -> None:
+        """The library's tables, empty, where they don't exist, so that every question has an answer before the first ingest."""
+        schemas = {
+            "documents": "source string, text string, hash string", "children": "parent_id string, idx int, text string, source string, section string, vector array<double>",
+            "parents": "source string, section string, chunk_type string, label string, content string, parent_id string, word_count long, char_count long",
+        }
+        for name, schema in schemas.items():
+            if not self.has(name):
+                self.write(name, self.spark.createDataFrame([], schema))
+        if not self.index.exists():
+            self.rebuild_index()
+
     def _indexed(self, parents: DataFrame) -> DataFrame:
         """parent_id, source, text: what the lexical index searches, the content and the source's metadata."""
         meta = self.table("meta") if self.has("meta") else None

@@ -274,3 +274,37 @@ def graph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled = gr.graph_fingerprint(nodes.orderBy(F.desc("node")), edges).toDF("b")
     other = gr.graph_fingerprint(nodes.withColumn("community_id", F.when(F.col("node") == 1, 99).otherwise(F.col("community_id"))), edges).toDF("c")
     return size.join(own).join(shuffled).join(other).select("nodes", "edges", (F.col("a") == F.col("b")).alias("stable"), (F.col("a") != F.col("c")).alias("moved"))
+
+
+@query("""WITH d AS (SELECT *, source || doc_id AS s FROM documents WHERE length(text) >= 500 AND doc_id % 5 <> 0),
+w AS (SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w, trim(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1]) AS first FROM d)
+SELECT s AS source, CAST(length(concat_ws('. ', CASE WHEN length(first) > 20 AND length(first) < 300 THEN first WHEN length(s) > 10 THEN s ELSE '' END, array_to_string(w[1:200], ' '))) AS BIGINT) AS n, regexp_extract(text, '\\b(19[0-9]{2}|20[0-9]{2})\\b', 1) AS year FROM w""")
+def to_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model would read of every document that isn't classified yet; every fifth one is."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat("source", _s(F.col("doc_id"))).alias("source"), "text")
+    return bib.papers_to_classify(docs, docs.filter("doc_id % 5 = 0")).select("source", F.length("entry").cast("long").alias("n"), "year")
+
+
+@query("""WITH h AS (SELECT source AS query_id, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, '[' || rank || '] ' || CASE WHEN doc_id % 2 = 0 THEN 'On ' || query_id ELSE 'Unknown' END || ' (' || CASE WHEN doc_id % 2 = 0 THEN '2001' ELSE 'N/A' END || '), relevance 0.500' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'doi 10.1/' || doc_id ELSE '' END || chr(10) || '"' || replace(coalesce(text, '')[:400], chr(10), ' ') || '..."' AS line FROM h WHERE rank <= 3""")
+def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three documents of each source as cited evidence; every second one has no record."""
+    from pyspark.sql.window import Window
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    hits = docs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("rank <= 3").select(F.col("source").alias("query_id"), F.col("doc_id").alias("source"), "text", F.lit(0.5).alias("similarity"), "rank")
+    papers = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("source"), F.concat(F.lit("On "), "source").alias("title"), F.lit("2001").alias("year"), F.lit("").alias("key"), F.concat(F.lit("10.1/"), _s(F.col("doc_id"))).alias("doi"))
+    return bib.evidence_lines(hits, papers).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""WITH s AS (SELECT DISTINCT source FROM documents), v AS (SELECT DISTINCT 'src' || (l_suppkey % 25) AS src, 'src' || (l_partkey % 25) AS dst FROM lineitem),
+r AS (SELECT source AS f, NULL AS t, 'Smith' AS a, '2020' AS y, '' AS h, false AS resolved FROM s UNION ALL SELECT source, NULL, 'Lee', '2019', 'Growth of ' || source, false FROM s
+UNION ALL SELECT src, dst, NULL, NULL, NULL, true FROM v WHERE src <> dst AND src IN (SELECT source FROM s) AND dst IN (SELECT source FROM s))
+SELECT f AS "from", t AS "to", a AS to_author, y AS to_year, h AS to_title_hint, resolved FROM r""")
+def reference_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference graph of a made-up paper for every source, with verified citations, some of them of papers that don't exist."""
+    text = F.concat(F.lit("Bone grows (Smith et al., 2020). It does (Smith, 2020).\n# References\n[1] Lee B. (2019) Growth of "), "source")
+    docs = read(spark, sf_dir, "documents").select("source").distinct().select("source", text.alias("text"))
+    line = read(spark, sf_dir, "lineitem")
+    verified = line.select(F.concat(F.lit("src"), _s(F.col("l_suppkey") % 25)).alias("src"), F.concat(F.lit("src"), _s(F.col("l_partkey") % 25)).alias("dst"))
+    return gr.reference_graph(docs, verified)

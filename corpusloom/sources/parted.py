@@ -6,11 +6,14 @@ rows are those of its newest committed folder, so readers of older ones aren't d
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PARTS = 64
-COMMITTED = "_parts"
+COMMITTED, SCHEMA = "_parts", "_columns"
 
 
 class PartedTable:
@@ -32,14 +35,21 @@ class PartedTable:
         for s in fs.listStatus(self._at("")):
             name = s.getPath().getName()
             if name.startswith("v=") and fs.exists(self._at(f"{name}/{COMMITTED}")):
-                stream = fs.open(self._at(f"{name}/{COMMITTED}"))
-                try:
-                    text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-                finally:
-                    stream.close()
-                out[int(name[2:])] = [int(x) for x in text.split(",") if x]
+                out[int(name[2:])] = [int(x) for x in self._text(f"{name}/{COMMITTED}").split(",") if x]
         return out
 
+    def _text(self, name: str) -> str:
+        stream = self._fs().open(self._at(name))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _put(self, name: str, text: str) -> None:
+        out = self._fs().create(self._at(name), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
     def newest(self) -> dict[int, int]:
         """part -> number of the write that holds it."""
         found: dict[int, int] = {}
@@ -59,8 +69,18 @@ class PartedTable:
         paths = [f"{self.path}/v={v}/part={p}" for p, v in sorted(at.items()) if (only is None or p in only) and fs.exists(self._at(f"v={v}/part={p}"))]
         if paths:
             return self.spark.read.parquet(*paths)
-        # an empty table has the schema of the newest write, which Spark keeps in a file without rows
-        return self.spark.read.parquet(f"{self.path}/v={max(at.values())}/schema").limit(0)
+        # an empty table has the schema of the newest write
+        return self.spark.createDataFrame([], self.schema_of(f"v={max(at.values())}"))
+
+    def has(self, folder: str) -> bool:
+        return self._fs().exists(self._at(folder))
+
+    def schema_of(self, folder: str) -> StructType:
+        """The schema that was kept with a folder; a folder without rows has no other."""
+        return StructType.fromJson(json.loads(self._text(f"{folder}/{SCHEMA}")))
+
+    def keep_schema(self, folder: str, rows: DataFrame) -> None:
+        self._put(f"{folder}/{SCHEMA}", rows.schema.json())
 
     def part_of(self, key: str | None = None):
         return F.pmod(F.xxhash64(F.col(key or self.key).cast("string")), F.lit(self.parts)).cast("int")
@@ -69,7 +89,7 @@ class PartedTable:
         commits = self.commits()
         number = max(commits, default=0) + 1 if number is None else number
         base = f"{self.path}/v={number}"
-        rows.limit(0).write.mode("overwrite").parquet(f"{base}/schema")
+        self.keep_schema(f"v={number}", rows)
         rows.withColumn("part", self.part_of()).repartition("part").write.mode("append").partitionBy("part").parquet(f"{base}/rows")
         fs = self._fs()
         for s in fs.listStatus(self._at(f"v={number}/rows")):
@@ -78,9 +98,7 @@ class PartedTable:
                 fs.delete(self._at(f"v={number}/{name}"), True)  # of a write that broke off
                 fs.rename(s.getPath(), self._at(f"v={number}/{name}"))
         fs.delete(self._at(f"v={number}/rows"), True)
-        out = fs.create(self._at(f"v={number}/{COMMITTED}"), True)
-        out.writeBytes(",".join(map(str, sorted(touched))))
-        out.close()
+        self._put(f"v={number}/{COMMITTED}", ",".join(map(str, sorted(touched))))
 
     def replace_all(self, rows: DataFrame, number: int | None = None) -> None:
         self._write(rows, set(range(self.parts)), number)

@@ -52,6 +52,29 @@ def test_remove_is_dry_by_default(library):
     assert library.remove(["P0"], dry_run=False) == 1 and library.table("children").filter("source = 'p0.md'").count() == 0
 
 
+def test_store_reads(spark, library):
+    assert {r.source for r in library.parents_by_source("p3.md").collect()} == {"p3.md"} and library.parents_by_source("gone").count() == 0
+    assert library.stats().first().n_sources == library.sources().count() == library.table("documents").count()
+
+
+def test_scaffold(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "new"))
+    lib.scaffold()
+    lib.scaffold()
+    asked = spark.createDataFrame([(1, "growth plate")], "query_id long, query string")
+    assert lib.search(asked).count() == 0 and lib.search_or_broaden(asked).count() == 0 and lib.table("parents").count() == 0
+    assert lib.ingest(spark.createDataFrame([("a.md", paper(1))], "source string, text string")) == 1 and lib.search(asked).first().source == "a.md"
+
+
+def test_filters_and_metadata_channel(spark, library):
+    library.write("meta", spark.createDataFrame([(f"p{i}.md", f"Title {i}", f"Koolpe{i}, Ann", "J", "2002") for i in range(5)], "source string, title string, authors string, journal string, year string"))
+    library.rebuild_index()
+    asked = spark.createDataFrame([(1, "Koolpe2 2002")], "query_id long, query string")
+    top = library.search(asked, 3).orderBy("rank").first()
+    assert top.source == "p2.md" and "meta" in top.channels and top.text.startswith("Title 2")
+    assert {r.source for r in library.search(asked, 3, filters={"source": {"$in": ["p1.md", "p3.md"]}}).collect()} <= {"p1.md", "p3.md"}
+
+
 def test_settings(spark, monkeypatch):
     assert setting(spark, "root.dir", "a") == "a"
     spark.conf.set("corpusloom.root.dir", "b")
