@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from .common import SHINGLE_WORDS, broadcast_if_small, staged, table, text_or_empty
 
 SKETCH = 128  # hashes kept: a standard error of at most 0.045 for resemblance
-BUCKET_ROWS = 1024  # neighbouring rows that one task sorts together
+BUCKET_ROWS = 256  # neighbouring rows that one task sorts together; many small buckets deal out evenly
 SEGMENTS = 256  # quantiles of the ids that bucket bounds are made from
 
 
