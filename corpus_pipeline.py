@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, decontam, lines, quality, similar
-from corpusloom.llm.common import bounded_batches, staged, table, text_or_empty
+from corpusloom.llm.common import bounded_batches, scratch, staged, table, text_or_empty, unstage
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -63,5 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages on documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as keep:  # what the stage itself wrote goes
+            after = keep(staged(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        unstage(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NEAR, SHINGLE_WORDS, broadcast_if_small, staged, table, text_or_empty
+from .common import NEAR, SHINGLE_WORDS, broadcast_if_small, scratch, staged, table, text_or_empty
 from .sketches import bound
 
 BLOCKS, BLOCK_BITS = 8, 8
@@ -110,6 +110,12 @@ def places_of(hits: DataFrame) -> DataFrame:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", least: float = NEAR) -> DataFrame:
+    """See _leaks; the tables written on the way are deleted."""
+    with scratch() as keep:
+        return keep(staged(_leaks(docs, items, key, item, text, least), "leaks"))
+
+
+def _leaks(docs: DataFrame, items: DataFrame, key: str, item: str, text: str, least: float) -> DataFrame:
     """One row for each document row and item that it holds: key, item, start (word of the best window, from 0), words,
     distance (of the fingerprints), similarity, n_windows (verified), and _row, which tells repeated document rows apart."""
     bench = staged(items.select(F.col(item).alias("item_id"), shingles(text_or_empty(text)).alias("sh")).filter(F.size("sh") > 0).withColumn("n", F.size("sh")), "bench")
