@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.text import claim_tokens
+from corpusloom.functions.text import claim_tokens, strict_normal
 from corpusloom.operators.retrieve import top_k
 
 SUPPORT, LEAST_TOKENS, RARE_HITS, RARE_CLAIM, RARE_LENGTH = 0.15, 6, 3, 12, 8
@@ -18,6 +18,8 @@ LEAST_QUERY = 8
 CLAIM_ID, CLAIM_REF = r"^[A-Za-z0-9_.-]{1,32}$", r"\[\[claim:([A-Za-z0-9_.-]+)\]\]"
 PMID, DOI = r"^[0-9]{6,9}$", r"(?i)^10\.[0-9]{4,9}/\S+$"
 NUMBER, FOLD = r"[0-9]+(?:\.[0-9]+)?", r"(?i)([0-9]+(?:\.[0-9]+)?)\s*-?\s*(?:fold|×|x)\b"
+INLINE_MARK = r"\((?:see\s+)?[A-Z][\w'\-]+(?:\s+et\s+al\.)?(?:\s*(?:,|&|and)\s*[A-Z][\w'\-]+)*,?\s*[0-9]{4}[a-z]?\)"
+STEM = r"^([A-Za-z][\w'\-]*?)[ _\-]+((?:19|20)[0-9]{2})(?=[ _\-]|\b)"
 CONFIDENCES = ("strong", "moderate", "weak")
 RETRIEVAL_TOOLS = ("search_child_chunks", "retrieve_parent_chunks", "retrieve_many_parents")
 NO_PARENTS = ("unknown", "N/A", "none")
@@ -245,15 +247,33 @@ def evidence_gate(keys: DataFrame, messages: DataFrame) -> DataFrame:
     return out.select("session", "queries", "empty", "blocks", none.alias("no_evidence"), note.alias("note"))
 
 
+def citable(known: DataFrame) -> DataFrame:
+    """session, surname, year that a session's parents (session, parent_id, title) allow: from 'Surname_2020_...' at the start of the file's name, else '*' with a year
+    in it; a year in a title is '*' too, which names no one."""
+    stem = F.regexp_replace(F.regexp_replace(F.element_at(F.split("parent_id", "#"), 1), r"^.*/", ""), r"(?<=.)\.[^./]*$", "")
+    rows = known.select("session", stem.alias("stem"), F.coalesce("title", F.lit("")).alias("title"))
+    named, name, year = F.col("stem").rlike(STEM), F.regexp_extract("stem", STEM, 1), F.regexp_extract("stem", STEM, 2)
+    bare = F.regexp_extract("stem", r"\b((?:19|20)[0-9]{2})\b", 1)
+    own = rows.select("session", F.when(named, F.lower(name)).otherwise("*").alias("surname"), F.when(named, year).otherwise(bare).alias("year"))
+    titled = rows.select("session", F.lit("*").alias("surname"), F.regexp_extract("title", r"\b((?:19|20)[0-9]{2})\b", 1).alias("year"))
+    return own.unionByName(titled).filter("year <> ''").distinct()
+
+
 def strip_unknown_citations(answers: DataFrame, allowed: DataFrame) -> DataFrame:
-    """answers (id, text) with the (Author, year) marks not in allowed (id, author, year), lower-case authors; unchanged where nothing is allowed."""
-    sets = allowed.groupBy("id").agg(F.collect_set(F.concat_ws(" ", F.lower("author"), "year")).alias("ok"))
-    rule = r"\((?:see\s+)?([A-Z][\w'\-]+)(?:\s+et\s+al\.)?(?:\s*(?:,|&|and)\s*[A-Z][\w'\-]+)*,?\s*([0-9]{4})[a-z]?\)"
-    rows = answers.join(sets, "id", "left")
-    marks = F.arrays_zip(F.regexp_extract_all("text", F.lit(rule), F.lit(0)).alias("m"), F.regexp_extract_all("text", F.lit(rule), F.lit(1)).alias("a"), F.regexp_extract_all("text", F.lit(rule), F.lit(2)).alias("y"))
-    bad = F.filter(marks, lambda x: ~F.array_contains(F.col("ok"), F.concat_ws(" ", F.lower(x["a"]), x["y"])))
-    cleaned = F.aggregate(bad, F.col("text"), lambda t, x: F.replace(F.replace(t, F.concat(F.lit(" "), x["m"]), F.lit("")), x["m"], F.lit("")))
-    return rows.select("id", F.when(F.col("ok").isNull(), F.col("text")).otherwise(cleaned).alias("text"), F.when(F.col("ok").isNull(), 0).otherwise(F.size(bad)).cast("long").alias("n_removed"))
+    """answers (session, text) without the (Author, year) marks of which no name stands with a year in allowed (session, surname, year), and n_removed.
+
+    Marks without a year stay. The gaps that marks leave close. A session without any allowed pair keeps its answer as it is.
+    """
+    sets = allowed.groupBy("session").agg(F.collect_set(F.concat_ws(" ", "surname", "year")).alias("ok"))
+    rows = answers.join(sets, "session", "left").withColumn("marks", F.regexp_extract_all("text", F.lit(INLINE_MARK), F.lit(0)))
+    years = lambda m: F.regexp_extract_all(m, F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1))
+    plain = lambda m: F.replace(F.replace(m, F.lit("et al"), F.lit(" ")), F.lit("see"), F.lit(" "))
+    names = lambda m: F.filter(F.regexp_extract_all(F.lower(plain(m)), F.lit(r"[a-z][\w'\-]*"), F.lit(0)), lambda w: F.length(w) > 2)
+    wanted = lambda m: F.flatten(F.transform(names(m), lambda w: F.transform(years(m), lambda y: F.concat_ws(" ", w, y))))
+    rows = rows.withColumn("bad", F.filter("marks", lambda m: (F.size(years(strict_normal(m))) > 0) & ~F.coalesce(F.arrays_overlap(wanted(strict_normal(m)), F.col("ok")), F.lit(False))))
+    cleaned = F.aggregate(F.array_distinct("bad"), F.col("text"), lambda t, m: F.replace(F.replace(t, F.concat(m, F.lit(" ")), F.lit(" ")), m, F.lit("")))
+    closed = F.regexp_replace(F.regexp_replace(F.regexp_replace(cleaned, r"[ \t]{2,}", " "), r"\s+([,.;:])", "$1"), r"\s+—\s+", " — ")
+    return rows.select("session", F.when(F.col("ok").isNull(), F.col("text")).otherwise(closed).alias("text"), F.when(F.col("ok").isNull(), 0).otherwise(F.size("bad")).cast("long").alias("n_removed"))
 
 
 def tokens_of(df: DataFrame, key: str, name: str, text: str = "text") -> DataFrame:

@@ -209,3 +209,22 @@ def citation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda m: (i % m).cast("string")
     text = F.concat(F.coalesce("lang", F.lit("")), F.lit(" see [12], [Smith 2020], [PMID: 123], [e id:"), n(9), F.lit("], [note], [E1:P"), n(3), F.lit("] and [[claim:C"), n(4), F.lit("]] or [[claim:A.1]]"))
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.malformed_tokens(text), ",").alias("malformed"), F.array_join(guard.claim_refs(text), ",").alias("refs"))
+
+
+@query(r"""WITH a AS (SELECT c_custkey AS session, 'Bone grows (Smith et al., 2020) and (see Kim, 1066) heals (Lee & Wu, ' || (2000 + c_custkey % 3) || 'a) in ' || c_mktsegment || ' (O''Neil, 2021) .' AS text FROM customer),
+k AS (SELECT c_custkey AS session, CASE c_custkey % 4 WHEN 0 THEN 'Lee_2001_Growth' WHEN 1 THEN 'Wu2_2002-x' WHEN 2 THEN 'notes 2020' ELSE 'Smith - 2020 - Bone' END AS stem FROM customer WHERE c_custkey % 5 <> 0),
+n AS (SELECT session, CASE WHEN regexp_matches(stem, '^([A-Za-z][\w''\-]*?)[ _\-]+((?:19|20)[0-9]{2})([ _\-]|$)') THEN lower(regexp_extract(stem, '^([A-Za-z][\w''\-]*?)[ _\-]+((?:19|20)[0-9]{2})([ _\-]|$)', 1)) || ' ' || regexp_extract(stem, '^([A-Za-z][\w''\-]*?)[ _\-]+((?:19|20)[0-9]{2})([ _\-]|$)', 2) END AS ok FROM k),
+m AS (SELECT a.session AS session, text, ok, unnest(regexp_extract_all(text, '\((?:see\s+)?[A-Z][\w''\-]+(?:\s+et\s+al\.)?(?:\s*(?:,|&|and)\s*[A-Z][\w''\-]+)*,?\s*[0-9]{4}[a-z]?\)')) AS mark FROM a JOIN n USING (session)),
+b AS (SELECT *, regexp_extract_all(mark, '\b(?:19|20)[0-9]{2}\b') AS y, list_filter(regexp_extract_all(lower(replace(replace(mark, 'et al', ' '), 'see', ' ')), '[a-z][\w''\-]*'), lambda w: length(w) > 2) AS w FROM m),
+c AS (SELECT session, text, mark, len(y) > 0 AND NOT coalesce(list_contains(flatten(list_transform(w, lambda x: list_transform(y, lambda z: x || ' ' || z))), ok), false) AS bad FROM b),
+d AS (SELECT session, any_value(text) AS text, list(mark) FILTER (WHERE bad) AS bad FROM c GROUP BY session),
+e AS (SELECT session, list_reduce(list_prepend(text, coalesce(bad, [])), lambda t, x: replace(replace(t, x || ' ', ' '), x, '')) AS text, coalesce(len(bad), 0) AS n FROM d)
+SELECT a.session AS session, CASE WHEN e.session IS NULL THEN a.text ELSE regexp_replace(regexp_replace(e.text, '[ 	]{2,}', ' ', 'g'), '\s+([,.;:])', '\1', 'g') END AS text, CAST(coalesce(n, 0) AS BIGINT) AS n_removed FROM a LEFT JOIN e USING (session)""")
+def answer_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of a made-up answer for every customer that its parents' file names don't allow go; a session without parents keeps its answer."""
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("Bone grows (Smith et al., 2020) and (see Kim, 1066) heals (Lee & Wu, "), (2000 + k % 3).cast("string"), F.lit("a) in "), "c_mktsegment", F.lit(" (O'Neil, 2021) ."))
+    stem = F.when(k % 4 == 0, "Lee_2001_Growth").when(k % 4 == 1, "Wu2_2002-x").when(k % 4 == 2, "notes 2020").otherwise("Smith - 2020 - Bone")
+    rows = read(spark, sf_dir, "customer")
+    known = rows.filter("c_custkey % 5 <> 0").select(k.alias("session"), F.concat(F.lit("store/"), stem, F.lit(".md#a#1")).alias("parent_id"), F.lit("").alias("title"))
+    return guard.strip_unknown_citations(rows.select(k.alias("session"), text.alias("text")), guard.citable(known))

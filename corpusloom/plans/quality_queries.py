@@ -98,18 +98,6 @@ def lexical_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.lexical_support(pairs, claims, chunks).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH a AS (SELECT c_custkey AS id, 'Bone grows (Smith et al., 2020) and heals (Lee, ' || (2000 + c_custkey % 3) || ') in ' || c_mktsegment || '.' AS text FROM customer)
-SELECT id, CASE WHEN id % 5 = 0 THEN text WHEN id % 3 = 1 THEN replace(text, ' (Smith et al., 2020)', '') ELSE replace(replace(text, ' (Smith et al., 2020)', ''), ' (Lee, ' || (2000 + id % 3) || ')', '') END AS text,
-  CAST(CASE WHEN id % 5 = 0 THEN 0 WHEN id % 3 = 1 THEN 1 ELSE 2 END AS BIGINT) AS n_removed FROM a""")
-def answer_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations of a made-up answer for every customer that aren't on its list go; an empty list changes nothing."""
-    i = F.col("c_custkey")
-    text = F.concat(F.lit("Bone grows (Smith et al., 2020) and heals (Lee, "), (2000 + i % 3).cast("string"), F.lit(") in "), "c_mktsegment", F.lit("."))
-    rows = read(spark, sf_dir, "customer").select(i.alias("id"), text.alias("text"))
-    allowed = rows.filter("id % 5 <> 0").select("id", F.lit("lee").alias("author"), F.lit("2001").alias("year"))
-    return guard.strip_unknown_citations(rows, allowed)
-
-
 @query("""SELECT CASE WHEN grouping(lang) = 1 THEN 'ALL' ELSE lang END AS tier, count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 6) AS recall, round(avg(CASE WHEN toxic = 1 THEN 0.5 ELSE 1.0 END), 6) AS mrr FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)""")
 def tier_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by language and over all; labels stand for hits."""
