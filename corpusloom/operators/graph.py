@@ -424,8 +424,14 @@ def orphans(metrics: DataFrame) -> DataFrame:
 def uncited_pairs(seeds: DataFrame | None, papers: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
     """seed, other, shared: papers of a seed's community that share ``least`` words with it and aren't beside it; without seeds
     all such pairs, each once with the lesser node first. papers: node, community, tokens."""
-    toks = papers.select("node", "community", F.explode("tokens").alias("t"))
-    own = toks if seeds is None else toks.join(seeds.select(F.col("seed").alias("node")), "node", "left_semi")
+    toks = papers.select("node", "community", F.explode(F.array_distinct("tokens")).alias("t"))
+    # of the words that two papers share the rarest stands behind ``least`` - 1 others in both papers' order, so each paper's commonest words make no candidates
+    counted = toks.join(toks.groupBy("community", "t").agg(F.count("*").alias("df")), ["community", "t"])
+    order = Window.partitionBy("node").orderBy(F.col("df").desc(), "t")
+    rare = counted.withColumn("r", F.row_number().over(order)).filter(F.col("r") >= least).select("node", "community", "t")
+    own = rare if seeds is None else rare.join(seeds.select(F.col("seed").alias("node")), "node", "left_semi")
     own = own.select(F.col("node").alias("seed"), "community", "t")
-    pairs = own.join(toks, ["community", "t"]).filter("node > seed" if seeds is None else "node <> seed").groupBy("seed", F.col("node").alias("other")).agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
-    return pairs.join(both_ways(edges).toDF("seed", "other"), ["seed", "other"], "left_anti")
+    pairs = own.join(rare, ["community", "t"]).filter("node > seed" if seeds is None else "node <> seed").select("seed", F.col("node").alias("other")).distinct()
+    of = lambda c: papers.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}"))
+    both = pairs.join(of("seed"), "seed").join(of("other"), "other").select("seed", "other", F.size(F.array_intersect("tseed", "tother")).cast("long").alias("shared")).filter(F.col("shared") >= least)
+    return both.join(both_ways(edges).toDF("seed", "other"), ["seed", "other"], "left_anti")
