@@ -222,9 +222,9 @@ def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.bridges(gr.betweenness(supplier_citations(spark, sf_dir)).withColumn("betweenness", F.round("betweenness", 8)).join(nation, "node"))
 
 
-@query(f"WITH {_METRICS} SELECT node, round((rcr / (SELECT max(rcr) FROM m)) * (1 - i / (SELECT max(i) FROM m)), 6) AS score FROM m")
+@query(f"WITH {_METRICS} SELECT node, CASE WHEN s = 0 THEN 0.0::DOUBLE ELSE s END AS score FROM (SELECT node, round((rcr / (SELECT max(rcr) FROM m)) * (1 - i / (SELECT max(i) FROM m)), 6) AS s FROM m)")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.orphans(_metrics(spark, sf_dir).select("node", "rcr", F.col("i").alias("in_corpus"))).select("node", F.round("score", 6).alias("score"))
+    return gr.orphans(_metrics(spark, sf_dir).select("node", "rcr", F.col("i").alias("in_corpus"))).select("node", F.round("score", 6).alias("s")).select("node", F.when(F.col("s") == 0, 0.0).otherwise(F.col("s")).alias("score"))  # no negative zero
 
 
 @query("""WITH p AS (SELECT p_partkey AS node, p_brand AS community, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[\\p{L}\\p{N}]+')) AS k FROM part),
