@@ -6,9 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch sent to a Python worker. Bounds a worker's memory when texts are long.
@@ -48,22 +49,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scratch:
-        _scratch[-1].append((spark, path))
+    if _scratch.get():
+        _scratch.get()[-1].append((spark, path))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
-_scratch: list[list] = []
+#: The open blocks of this thread or task; another one's never see its tables.
+_scratch: ContextVar[tuple[list, ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Delete the tables staged inside the block when it ends, but for those passed to the yielded function, which results still read."""
-    _scratch.append([])
-    kept: set[str] = set()
+    around, tables, kept = _scratch.get(), [], set()
+    token = _scratch.set((*around, tables))
 
     def keep(df: DataFrame) -> DataFrame:
         kept.add(df._staged_path)
@@ -72,14 +74,28 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        tables = _scratch.pop()
-        if _scratch:  # what outlives this block belongs to the one around it
-            _scratch[-1] += [(s, p) for s, p in tables if p in kept]
+        _scratch.reset(token)
+        if around:  # what outlives this block belongs to the one around it
+            around[-1].extend((s, p) for s, p in tables if p in kept)
         for spark, path in tables:
             if path not in kept:
                 _delete(spark, path)
 
 
+def ranged(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """df staged in ranges of its order, with the number of its range as _p: no key, however common, is one task's alone."""
+    return staged(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), name)
+
+
+def numbered(df: DataFrame, column: str, *order: str | Column) -> DataFrame:
+    """df with a row's place in the order, from 0. Each range is numbered apart, after the counts of the ranges before it: one row a range."""
+    parts = ranged(df, "numbered", *order)
+    counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + F.col("_before")
+    return parts.join(F.broadcast(before), "_p").withColumn(column, place.cast("long")).drop("_p", "_before")
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     path = getattr(df, "_staged_path", None)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, lines, pages, pii, quality, secrets, similar, sketches, urls
+from . import bpe, decontam, lines, mixing, pages, pii, quality, secrets, similar, sketches, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_url_filter": urls.op9_url_filter,
     "op10_decontamination": decontam.op10_decontamination,
+    "op13_source_mix": mixing.op13_source_mix,
 }
 SQL = {
     "op2_line_dedup": lines.OP2_SQL,
     "op6_jaccard_join": similar.OP6_SQL,
     "op9_url_filter": urls.OP9_SQL,
+    "op13_source_mix": mixing.OP13_SQL,
 }
