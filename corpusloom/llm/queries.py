@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, lines, mixing, pages, pii, quality, secrets, similar, sketches, urls
+from . import bpe, compaction, decontam, lines, mixing, pages, pii, quality, secrets, similar, sketches, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_url_filter": urls.op9_url_filter,
     "op10_decontamination": decontam.op10_decontamination,
+    "op11_compaction": compaction.op11_compaction,
     "op13_source_mix": mixing.op13_source_mix,
 }
 SQL = {
