@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, compaction, decontam, lines, mixing, pages, pii, quality, secrets, similar, sketches, urls
+from . import bpe, compaction, decontam, lines, mixing, pages, pii, quality, secrets, similar, sketches, trie, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_url_filter": urls.op9_url_filter,
     "op10_decontamination": decontam.op10_decontamination,
     "op11_compaction": compaction.op11_compaction,
+    "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_source_mix": mixing.op13_source_mix,
 }
 SQL = {
     "op2_line_dedup": lines.OP2_SQL,
     "op6_jaccard_join": similar.OP6_SQL,
     "op9_url_filter": urls.OP9_SQL,
+    "op12_prefix_trie": trie.OP12_SQL,
     "op13_source_mix": mixing.OP13_SQL,
 }

@@ -47,7 +47,7 @@ def empty(messy):
 def test_registered():
     import __spark_entry__ as e
 
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))
     assert "pipeline" in e.queries()
 
 

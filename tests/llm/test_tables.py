@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import common, compaction, mixing, queries
+from corpusloom.llm import common, compaction, mixing, queries, trie
 
 # 11 ---------------------------------------------------------------------------------------------------------------
 
@@ -106,6 +106,64 @@ def test_first_fit_in_lockstep():
             assert at[day, rank] == g
 
 
+# 12 ---------------------------------------------------------------------------------------------------------------
+
+
+def brute_trie(rows):
+    """A row for each node of the trie of rows (conv_id, turn, role, text), one conversation at a time."""
+    turns = defaultdict(list)
+    for c, n, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            turns[c].append((n is not None, n or 0, hashlib.md5(f"{role}\x01{text}".encode()).hexdigest(), role, text))
+    own = {c: [x[3:] for x in sorted(t)] for c, t in turns.items()}
+    built = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - int(np.fmod(c, 20))
+        built[c] = tuple(own.get(base, [])[:h] + own[c][h:])
+    members = defaultdict(list)
+    for c in sorted(built):
+        for d in range(len(built[c]) + 1):
+            members[built[c][:d]].append(c)
+    kids = defaultdict(list)
+    for node in members:
+        if node:
+            kids[node[:-1]].append(node)
+    words = lambda t: len([w for w in t.translate({i: 32 for i in range(9, 14)}).split(" ") if w])
+    sums = {}
+    for node in sorted(members, key=len, reverse=True):
+        leaves, saved = int(not kids[node]), (len(members[node]) - 1) * (words(node[-1][1]) if node else 0)
+        sums[node] = (leaves + sum(sums[k][0] for k in kids[node]), saved + sum(sums[k][1] for k in kids[node]))
+    ends = lambda node: hashlib.sha256(",".join(str(c) for c in members[node] if len(built[c]) == len(node)).encode()).hexdigest()
+    return sorted((m[0], len(node), members[node[:-1]][0] if node else None, len(m), len(kids[node]), *sums[node], ends(node)) for node, m in members.items())
+
+
+TRIE = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def test_trie_equals_brute_force(spark, sf, monkeypatch):
+    monkeypatch.setattr(trie, "CHUNK", 2)
+    rows = common.table(spark, sf, "conversations").collect()
+    assert sorted(tuple(r[c] for c in TRIE) for r in queries.QUERIES["op12_prefix_trie"](spark, sf).collect()) == brute_trie([tuple(r) for r in rows])
+
+
+def test_trie_of_messy_rows(spark, monkeypatch):
+    """One long conversation over several ranges, common beginnings, copies, ties, nulls, ids below zero, and bases that are absent or short."""
+    monkeypatch.setattr(trie, "CHUNK", 3)
+    rng = np.random.default_rng(3)
+    rows = [(40, i, "user" if i % 2 else None, f"turn {i % 7} x\x0b\u00a0y") for i in range(700)]
+    for c in range(-30, 90):
+        if c not in (40, 20):
+            rows += [(c, None if i == 0 and c % 4 == 0 else i, ["user", "assistant", None][(i + int(c == 3)) % 3], None if i == 2 else ["a b", "c", "", "a b"][int(rng.integers(0, 1 + (c % 3 + i) % 4))]) for i in range(int(rng.integers(0, 7)))]
+    rows += [(81, 1, "user", "tie b"), (81, 1, "user", "tie a"), (81, 1, "user", "tie a"), (None, 1, "user", "no one's"), (100, None, None, None), (101, None, None, None), (102, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    for c in ("node", "depth", "words", "_p", "pos"):
+        df = df.withColumn(c, F.lit("clash"))
+    assert sorted((tuple(r[c] for c in TRIE) for r in trie.prefix_trie(df).collect()), key=repr) == sorted(brute_trie(rows), key=repr)
+    assert trie.prefix_trie(df.filter("false")).count() == 0
+
+
 # 13 ---------------------------------------------------------------------------------------------------------------
 
 
