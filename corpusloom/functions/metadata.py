@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .identifiers import normalize_doi
+from .text import CJK_RUN
 from .titles import title_tokens
 
 #: The labels of a front-matter block in their order, what starts a line that is no title, where a text tells its year, section heads.
@@ -185,10 +186,9 @@ def clean_sentence(text: Column, least: int = 40) -> Column:
 
 def fts_terms(query: Column) -> tuple[Column, Column]:
     """(terms, runs): a query's words without search syntax, hyphenated ones in quotes, and its runs of CJK ideographs."""
-    rule = "[㐀-䶿一-鿿]+"
-    latin = F.regexp_replace(F.regexp_replace(F.coalesce(query, F.lit("")), rule, " "), r'["^{}()\[\]*:]', " ")
+    latin = F.regexp_replace(F.regexp_replace(F.coalesce(query, F.lit("")), CJK_RUN, " "), r'["^{}()\[\]*:]', " ")
     terms = F.transform(F.filter(F.split(latin, r"\s+"), lambda t: t != ""), lambda t: F.when(t.contains("-"), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t))
-    return terms, F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(rule), F.lit(0))
+    return terms, F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(CJK_RUN), F.lit(0))
 
 
 #: The four ways to cut a text into sentences: at ends, at ends before a capital or digit, at full stops, and prose of forty characters.

@@ -106,10 +106,18 @@ def before_references(text: Column) -> Column:
     return F.array_join(F.slice(lines, F.lit(1), F.coalesce(strong, weak, F.size(lines)).cast("int")), "\n")
 
 
+#: Fixed value: a run of ideographs or kana.
+CJK_RUN = "[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+"
+
+
+def run_bigrams(run: Column) -> Column:
+    """Two-character windows of a run, the character itself for a run of one."""
+    return F.when(F.length(run) == 1, F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: run.substr(i, F.lit(2))))
+
+
 def cjk_bigrams(text: Column) -> Column:
-    """Two-character windows of each run of CJK ideographs, the character itself for runs of one; other text is dropped."""
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[㐀-䶿一-鿿]+"), F.lit(0))
-    return F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: r.substr(i, F.lit(2))))))
+    """The windows of two of each run of ideographs; other text is dropped."""
+    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CJK_RUN), F.lit(0)), run_bigrams))
 
 
 def strip_trailing_references(text: Column) -> Column:

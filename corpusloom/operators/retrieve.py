@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions.models import lexical_relevance
 from corpusloom.functions.text import words
-from corpusloom.sources.parted import PartedTable
 from corpusloom.sources.staging import staged
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -121,11 +120,10 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     """query_id, key, score of all that match; with every=None also whole, whether all terms do. Query terms filter the documents' words before anything is
     grouped."""
     q = queries.distinct()
-    wanted = small(q.select("term").distinct(), q.count())
-    toks = docs.select(key, words(F.col(text)).alias("t"))
-    totals = toks.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    tf = toks.select(key, F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
-    tf = tf.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    from corpusloom.operators.phrases import postings
+
+    tf, totals = postings(docs, q.select("term").distinct(), key, text, words)
+    tf = staged(tf.drop("positions"), "postings")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     return _scored(tf, df, totals, q, key, every)
 
@@ -142,85 +140,6 @@ def _scored(tf: DataFrame, df: DataFrame, totals: DataFrame, q: DataFrame, key:
     return scored.drop("matched")
 
 
-TERM_PARTS = 64  # folders of a stored index
-
-
-class StoredIndex:
-    """An inverted index as tables under one folder: postings by part of the term's hash, document lengths by part of the source's.
-
-    A search reads only the parts of its terms. refresh replaces the rows of given sources: each table is rewritten part by part, and only the parts that the
-    sources' old or new rows touch.
-    """
-
-    def __init__(self, spark, root: str, parts: int = TERM_PARTS, tokens=words):
-        self.spark, self.root, self.parts, self.tokens = spark, root.rstrip("/"), parts, tokens
-
-    def _part(self, column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(self.parts)).cast("int").alias("part")
-
-    def _write(self, df: DataFrame, name: str) -> None:
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        df.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/{name}")
-
-    def _rows(self, docs: DataFrame, key: str, source: str, text: str) -> tuple[DataFrame, DataFrame]:
-        toks = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), self.tokens(F.col(text)).alias("t"))
-        each = toks.select("key", "source", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("key", "source", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
-        return each.withColumn("part", self._part("term")), toks.select("key", "source", F.size("t").alias("dl")).withColumn("part", self._part("source"))
-
-    def _files(self) -> PartedTable:
-        return PartedTable(self.spark, self.root)
-
-    def exists(self) -> bool:
-        return self._files().has("sizes")
-
-    def _read(self, name: str) -> DataFrame:
-        schema = self._files().schema_of(name)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-
-    def rebuild(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> None:
-        """The whole index anew."""
-        terms, sizes = self._rows(docs, key, source, text)
-        for name, df in (("postings", terms), ("sizes", sizes)):
-            df.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("part").parquet(f"{self.root}/{name}")
-            self._files().keep_schema(name, df)
-
-    def refresh(self, docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", gone: DataFrame | None = None) -> None:
-        """Rows of the sources in docs, and of those in gone, are replaced by those of docs."""
-        named = docs.select(F.col(source).alias("source"))
-        gone = (named if gone is None else named.union(gone.select("source"))).distinct()
-        for name, new in zip(("postings", "sizes"), self._rows(docs, key, source, text)):
-            old, new = self._read(name), staged(new, "refresh")
-            touched = old.join(gone, "source", "left_semi").select("part").union(new.select("part")).distinct()
-            touched = sorted(r["part"] for r in touched.collect())  # at most as many as there are parts
-            if not touched:
-                continue
-            kept = old.filter(F.col("part").isin(*touched)).join(gone, "source", "left_anti").select(*new.columns)
-            after = staged(kept.unionByName(new), "refresh")
-            left = {r["part"] for r in after.select("part").distinct().collect()}
-            self._write(after, name)
-            for part in set(touched) - left:  # a part that lost all its rows has nothing to overwrite it
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/part={part}")
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def search(self, queries: DataFrame, k: int, key: str = "doc_id", every: bool = False, allowed: DataFrame | None = None) -> DataFrame:
-        """query_id, key, score, rank of queries (query_id, term), as bm25 gives them; allowed (key) are the documents that may be hits."""
-        return top_k(self._search(queries, key, every, allowed), k, ["query_id"], [F.col("score").desc(), F.col(key)])
-
-    def search_terms(self, queries: DataFrame, k: int, key: str = "doc_id", allowed: DataFrame | None = None) -> DataFrame:
-        """As bm25_terms gives them."""
-        return _all_else_any(self._search(queries, key, None, allowed), k, key)
-
-    def _search(self, queries: DataFrame, key: str, every: bool | None, allowed: DataFrame | None) -> DataFrame:
-        q = queries.select("query_id", "term").distinct()
-        named = sorted(r["part"] for r in q.select(self._part("term")).distinct().collect())  # at most as many as there are parts
-        tf = self._read("postings").filter(F.col("part").isin(*named) if named else F.lit(False))
-        tf = tf.join(small(q.select("term").distinct(), q.count()), "term", "left_semi").select(F.col("key").alias(key), "term", "tf", "dl")
-        totals = self._read("sizes").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        scored = _scored(tf, df, totals, q, key, every)
-        return scored if allowed is None else scored.join(allowed.select(key).distinct(), key, "left_semi")
-
-
 def metadata_hits(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", source: str = "source", text: str = "meta") -> DataFrame:
     """query_id, source, key, rank: one representative of each source whose metadata matches all terms, best first."""
     scored = bm25_scores(docs, queries, key, text, every=True).join(docs.select(key, source), key)

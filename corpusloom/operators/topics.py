@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.retrieve import _blocks, top_k
+from corpusloom.operators.retrieve import top_k
 from corpusloom.sources.staging import staged
 
 TOPIC, VECTOR, CITATION, COUPLED, LEAST = 0.40, 0.35, 0.25, 0.6, 0.05
@@ -45,22 +45,7 @@ def top_topics(rows: DataFrame, most: int = 5) -> DataFrame:
     return rows.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("topic")), 1, most).alias("topics"))
 
 
-def complete_link(pairs: list[tuple[int, int, float]], least: float) -> dict[int, int]:
-    """item -> cluster (least member): pairs from the most similar on; two clusters merge only if all their cross pairs are similar enough."""
-    sim = {(min(a, b), max(a, b)): s for a, b, s in pairs}
-    of: dict[int, int] = {}
-    members: dict[int, set[int]] = {}
-    for (a, b), s in sorted(sim.items(), key=lambda x: (-x[1], x[0])):
-        for x in (a, b):
-            if x not in of:
-                of[x], members[x] = x, {x}
-        p, q = of[a], of[b]
-        if p != q and all(sim.get((min(x, y), max(x, y)), -1.0) >= least for x in members[p] for y in members[q]):
-            keep, drop = min(p, q), max(p, q)
-            for x in members.pop(drop):
-                of[x] = keep
-                members[keep].add(x)
-    return of
+CLUSTER_PART = 2048  # members of a cluster that are dealt out together; larger clusters are split
 
 
 def _unit(vectors) -> np.ndarray:
@@ -68,70 +53,105 @@ def _unit(vectors) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def _similar_rows(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each row of a: its number, the rows of b that are similar enough, and how similar they are."""
-    for start in range(0, len(a), 256):
-        s = np.round(a[start : start + 256] @ b.T, 9)
-        for n, row in enumerate(s, start):
-            near = np.flatnonzero(row >= least)
-            yield n, near, row[near]
-
-
-def similar_links(vectors: DataFrame, least: float, key: str, vector: str, block: int) -> DataFrame:
-    """x, y: links between vectors that are similar enough, at most one for each row of two blocks; they connect what all such pairs connect."""
-    left, n = _blocks(vectors, key, vector, block, "l")
-    right = left.select(F.col("l").alias("r"), F.col("ids").alias("i"), F.col("vs").alias("iv"))
-    grid = left.select("l", "ids", "vs", F.explode(F.sequence(F.col("l").cast("long"), F.lit(n - 1).cast("long"))).alias("r")).join(right, "r")
-
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _best_partners(ids: np.ndarray, own: np.ndarray, a: np.ndarray, i: np.ndarray, other: np.ndarray, b: np.ndarray, whole: set, least: float) -> Iterator[tuple]:
+    """(cluster, partner, pairs, -similarity, x, y) for the clusters of one block against those of another.
+
+    A pair of clusters shows up only where all its members here are similar enough; of clusters that lie whole in their blocks each gives only
+    its best partner. The best link is the most similar, then the one with the least ids x < y.
+    """
+    rows, cols = np.argsort(own, kind="stable"), np.argsort(other, kind="stable")
+    ids, own, a, i, other, b = ids[rows], own[rows], a[rows], i[cols], other[cols], b[cols]
+    lefts, at = np.unique(own, return_index=True)
+    rights, to = np.unique(other, return_index=True)
+    ends, sizes = np.append(at[1:], len(own)), np.diff(np.append(to, len(other)))
+    complete = np.array([c in whole for c in rights.tolist()])
+    for n, p in enumerate(lefts.tolist()):
+        s = np.round(a[at[n] : ends[n]] @ b.T, 9)
+        fits = (np.minimum.reduceat(s.min(0), to) >= least) & (rights != p)
+        if not fits.any():
+            continue
+        tops = np.maximum.reduceat(s.max(0), to)
+        apart = np.flatnonzero(fits & ~complete) if p in whole else np.flatnonzero(fits)
+        groups = [np.array([q]) for q in apart]
+        if p in whole and (fits & complete).any():
+            both = fits & complete
+            groups.append(np.flatnonzero(both & (tops == tops[both].max())))
+        for qs in groups:
+            best = None
+            for q in qs.tolist():
+                x, y = np.nonzero(s[:, to[q] : to[q] + sizes[q]] == tops[q])
+                x, y = ids[at[n] + x], i[to[q] + y]
+                u, v = np.minimum(x, y), np.maximum(x, y)
+                k = np.lexsort((v, u))[0]
+                link = (p, int(rights[q]), int((ends[n] - at[n]) * sizes[q]), -float(tops[q]), int(u[k]), int(v[k]))
+                best = link if best is None or link[3:] < best[3:] else best
+            yield best
+
+
+def _partners(active: DataFrame, every: DataFrame, sizes: DataFrame, least: float, block: int) -> DataFrame:
+    """c, q, link: the best compatible partner of each active cluster. Clusters are dealt to blocks whole, those of over CLUSTER_PART members in parts."""
+
+    def blocks(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-rows.count() // block))
+        part = F.when(F.col("n") <= CLUSTER_PART, F.pmod(F.xxhash64("c"), F.lit(n))).otherwise(F.pmod(F.xxhash64("rep"), F.lit(n)))
+        packed = rows.join(sizes, "c").withColumn("w", F.col("n") <= CLUSTER_PART).groupBy(part.alias(name)).agg(F.collect_list("rep").alias("ids"), F.collect_list("c").alias("cs"), F.collect_list("v").alias("vs"), F.collect_list("w").alias("ws"))
+        return packed, n
+
+    (left, _), (right, n) = blocks(active, "l"), blocks(every, "r")
+    grid = left.select("l", F.col("ids").alias("a"), F.col("cs").alias("ac"), F.col("vs").alias("av"), F.col("ws").alias("aw"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("r")).join(right, "r")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for ids, vs, i, iv in zip(rows["ids"], rows["vs"], rows["i"], rows["iv"]):
-                root, found = np.arange(len(i)), []
-                for n, near, _ in _similar_rows(_unit(vs), _unit(iv), least):
-                    roots, one = np.unique(root[near], return_index=True)
-                    found += [(ids[n], i[k]) for k in near[one] if i[k] != ids[n]]
-                    if len(roots) > 1:
-                        root[np.isin(root, roots)] = roots[0]
-                yield pd.DataFrame(found, columns=["x", "y"], dtype="int64")
-
-    return grid.select("ids", "vs", "i", "iv").mapInPandas(link, "x long, y long")
-
-
-def connected(links: DataFrame) -> DataFrame:
-    """node, root for every node of links (x, y): every node points to its least neighbour, pointers are followed, and trees become nodes."""
-    edges, whole = staged(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct(), "links"), None
-    while whole is None or not edges.isEmpty():
-        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-        points = staged(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("root")), "points")
-        moved = True
-        while moved:
-            jumped = staged(points.join(points.toDF("root", "next"), "root").select("node", F.col("root").alias("old"), F.col("next").alias("root")), "points")
-            points, moved = jumped.select("node", "root"), not jumped.filter("old <> root").isEmpty()
-        left = edges.join(points.toDF("a", "ra"), "a").join(points.toDF("b", "rb"), "b").filter("ra <> rb")
-        edges = staged(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
-        whole = points if whole is None else staged(whole.join(points.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
-    return whole
+            for a, ac, av, aw, ids, cs, vs, ws in zip(*[rows[c] for c in ("a", "ac", "av", "aw", "ids", "cs", "vs", "ws")]):
+                whole = {c for c, w in [*zip(ac, aw), *zip(cs, ws)] if w}
+                found = _best_partners(np.asarray(a), np.asarray(ac), _unit(av), np.asarray(ids), np.asarray(cs), _unit(vs), whole, least)
+                yield pd.DataFrame(list(found), columns=["c", "q", "pairs", "s", "x", "y"]).astype({"c": "int64", "q": "int64", "pairs": "int64", "s": float, "x": "int64", "y": "int64"})
+
+    found = grid.select("a", "ac", "av", "aw", "ids", "cs", "vs", "ws").mapInPandas(run, "c long, q long, pairs long, s double, x long, y long")
+    # parts of large clusters: all cross pairs must have shown up
+    summed = found.groupBy("c", "q").agg(F.sum("pairs").alias("pairs"), F.min(F.struct("s", "x", "y")).alias("link"))
+    full = summed.join(sizes.toDF("c", "_n"), "c").join(sizes.toDF("q", "_m"), "q").filter(F.col("pairs") == F.col("_n") * F.col("_m"))
+    return full.groupBy("c").agg(F.min(F.struct("link", "q")).alias("b")).select("c", "b.q", "b.link")
 
 
 def clusters(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """key, cluster: complete linkage of all vectors. Equal vectors count as one; what no chain of similar pairs connects is merged apart,
-    as it can't meet in a cluster. The merge within one component is sequential by nature."""
+    """key, cluster (its least key): complete linkage of all vectors, as merging link after link from the most similar on would give it.
+
+    Equal vectors count as one. Two clusters can merge if all their members are similar enough, and what can't merge now never can, as clusters only grow. Of
+    the clusters that a cluster can merge with, it waits for the one with the best link, and merging others never brings it a better one. So wherever two
+    clusters wait for each other they merge at once, all such pairs in one round, and the result is that of the sequential order. Only clusters that
+    merged, or that waited for one that did, look for a partner again. Links are found by products of blocks and never become rows but for the best of a cluster;
+    no task holds more than two blocks. Ties go to the least ids; a zero vector is similar to none.
+    """
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    rows = staged(rows.withColumn("own", F.when(~F.exists("v", lambda x: x != 0), F.col("id"))), "vectors")  # a zero vector is similar to none
+    rows = staged(rows.withColumn("own", F.when(~F.exists("v", lambda x: x != 0), F.col("id"))), "vectors")
     groups = staged(rows.groupBy("v", "own").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "groups")
-    parts = connected(similar_links(groups.select("rep", "v"), least, "rep", "v", block))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rep")
-        ids, m = part["rep"].tolist(), _unit(part["v"])
-        pairs = [(ids[a], ids[b], s) for a, near, sims in _similar_rows(m, m, least) for b, s in zip(near.tolist(), sims.tolist()) if a < b]
-        of = complete_link(pairs, least)
-        return pd.DataFrame({"rep": ids, "cluster": [of.get(x, x) for x in ids]})
-
-    merged = groups.select("rep", "v").join(parts.withColumnRenamed("node", "rep"), "rep").groupBy("root").applyInPandas(run, "rep long, cluster long")
+    open_, done = groups.filter("own is null").select("rep", F.col("rep").alias("c"), "v"), groups.filter("own is not null").select("rep", F.col("rep").alias("c"))
+    active, waits = open_, None
+    while True:
+        sizes = staged(open_.groupBy("c").agg(F.count("*").alias("n")), "sizes")
+        fresh = _partners(active, open_, sizes, least, block)
+        waits = staged(fresh if waits is None else waits.unionByName(fresh), "waits")
+        # a cluster without a partner will never have one
+        closed = open_.join(waits.select("c"), "c", "left_anti")
+        done = staged(done.unionByName(closed.select("rep", "c")), "done")
+        if waits.isEmpty():
+            break
+        mutual = waits.alias("a").join(waits.alias("b"), (F.col("a.c") == F.col("b.q")) & (F.col("a.q") == F.col("b.c"))).filter("a.c < a.q").select(F.col("a.c").alias("c"), F.col("a.q").alias("q"))
+        mutual = staged(mutual, "mutual")
+        if mutual.isEmpty():  # only where products in another order round apart: the best link of all is next
+            mutual = staged(waits.orderBy("link", "c").limit(1).select(F.least("c", "q").alias("c"), F.greatest("c", "q").alias("q")), "mutual")
+        renamed = mutual.select(F.col("q").alias("c"), F.col("c").alias("into")).unionByName(mutual.select("c", F.col("c").alias("into")))
+        open_ = open_.join(waits.select("c"), "c", "left_semi").join(renamed, "c", "left")
+        open_ = staged(open_.select("rep", F.coalesce("into", "c").alias("c"), "v", F.col("into").isNotNull().alias("moved")), "open")
+        gone = renamed.select("c")
+        still = waits.join(gone, "c", "left_anti").join(gone.toDF("q"), "q", "left_anti").select("c", "q", "link")
+        again = waits.join(gone, "c", "left_anti").join(gone.toDF("q"), "q", "left_semi").select("c")
+        active = open_.filter("moved").drop("moved").unionByName(open_.drop("moved").join(again, "c", "left_semi").select("rep", "c", "v"))
+        open_, waits = open_.drop("moved"), staged(still, "waits")
     of_copies = groups.filter("copies > 1").select(F.col("v").alias("_v"), "rep")
     named = rows.join(of_copies, F.col("own").isNull() & (F.col("v") == F.col("_v")), "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    return named.join(merged, "rep", "left").select(F.col("id").alias(key), F.coalesce("cluster", "rep").cast("long").alias("cluster"))
+    return named.join(done, "rep").select(F.col("id").alias(key), F.col("c").cast("long").alias("cluster"))
 
 
 def related(seeds: DataFrame, papers: DataFrame, edges: DataFrame, k: int = 10, vectors: DataFrame | None = None) -> DataFrame:

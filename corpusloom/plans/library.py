@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.metadata import metadata_text
 from corpusloom.functions.models import hashed_vector
-from corpusloom.functions.text import cjk_bigrams, words
 from corpusloom.operators import chunking, graph, quality
 from corpusloom.operators import retrieve as rt
-from corpusloom.sources.parted import PartedTable
+from corpusloom.operators.index import StoredIndex
+from corpusloom.operators.phrases import phrase_tokens
+from corpusloom.sources.generations import Generations
 from corpusloom.sources.staging import staged
 
 TABLES = ("documents", "parents", "children", "metrics", "edges", "meta")
@@ -23,34 +24,29 @@ def setting(spark: SparkSession, name: str, default: str | None = None) -> str |
     return os.environ.get("CORPUSLOOM_" + name.upper().replace(".", "_")) or spark.conf.get(f"corpusloom.{name}", None) or default
 
 
-def index_tokens(text: Column) -> Column:
-    """What the lexical index holds of a text: its words, and windows of two of its ideographs."""
-    return F.concat(words(text), cjk_bigrams(text))
-
-
 #: Hits that one agent search may return.
 MOST_HITS = 6
 
 
 class Library:
-    """Documents, parents, children with vectors, a lexical index, graph and metadata as tables that are replaced part by part."""
+    """Documents, parents, children with vectors, a lexical index, graph and metadata as tables that grow by generations."""
 
     def __init__(self, spark: SparkSession, root: str, embed=hashed_vector):
         self.spark, self.root, self.embed = spark, root.rstrip("/"), embed
-        self.index = rt.StoredIndex(spark, f"{self.root}/index", tokens=index_tokens)
+        self.index = StoredIndex(spark, f"{self.root}/index")
 
-    def _parted(self, name: str) -> PartedTable:
-        return PartedTable(self.spark, f"{self.root}/{name}")
+    def _stored(self, name: str) -> Generations:
+        return Generations(self.spark, f"{self.root}/{name}")
 
     def has(self, name: str) -> bool:
-        return self._parted(name).exists()
+        return self._stored(name).exists()
 
     def table(self, name: str) -> DataFrame:
-        return self._parted(name).read()
+        return self._stored(name).read()
 
     def write(self, name: str, df: DataFrame) -> None:
         """Replace a whole table; one without a source column is dealt by its first."""
-        PartedTable(self.spark, f"{self.root}/{name}", "source" if "source" in df.columns else df.columns[0]).replace_all(df)
+        Generations(self.spark, f"{self.root}/{name}", "source" if "source" in df.columns else df.columns[0]).replace_all(df)
 
     def scaffold(self) -> None:
         """The library's tables, empty, where they don't exist, so that every question has an answer before the first ingest."""
@@ -87,9 +83,9 @@ class Library:
         kids = chunking.children(parents.select("parent_id", "content")).join(parents.select("parent_id", "source", "section"), "parent_id").withColumn("vector", self.embed(F.substring("text", 1, 2000)))
         parents = staged(parents, "parents")
         for name, new in (("documents", fresh.select("source", "text", "hash")), ("parents", parents), ("children", kids)):
-            self._parted(name).upsert(new, gone=fresh.select("source"))
+            self._stored(name).append(new, gone=fresh.select("source"))
         if self.index.exists():
-            self.index.refresh(self._indexed(parents), "parent_id")
+            self.index.refresh(self._indexed(parents), "parent_id", gone=fresh.select("source"))
         elif not parents.isEmpty():
             self.rebuild_index()
         return fresh.count()
@@ -102,8 +98,8 @@ class Library:
         if not dry_run and n:
             gone = staged(before.join(after.select("source").distinct(), "source", "left_anti").select("source").distinct(), "gone")
             for name in ("documents", "parents", "children"):
-                self._parted(name).delete(gone)
-            self.index.refresh(gone.select("source", F.lit(None).cast("string").alias("parent_id"), F.lit("").alias("text")).filter("parent_id is not null"), "parent_id", gone=gone)
+                self._stored(name).delete(gone)
+            self.index.remove(gone)
         return n
 
     def parents_of(self, ids: list[str]) -> DataFrame:
@@ -112,10 +108,8 @@ class Library:
         return request.join(self.table("parents"), "parent_id", "left").orderBy("pos")
 
     def parents_by_source(self, source: str) -> DataFrame:
-        """A source's parents; only its part is read."""
-        table = self._parted("parents")
-        part = self.spark.range(1).select(F.lit(source).alias("source")).select(table.part_of().alias("p")).first()["p"]
-        return table.read({part}).filter(F.col("source") == source)
+        """A source's parents; files are ranged by source, so that most are skipped."""
+        return self.table("parents").filter(F.col("source") == source)
 
     def sources(self) -> DataFrame:
         """source, n_parents, n_chars, sections: what the store holds of each source."""
@@ -145,9 +139,9 @@ class Library:
         parents = self.table("parents").select("parent_id", "source", F.col("content").alias("text"))
         if filters:
             parents = parents.join(kids.select("parent_id").distinct(), "parent_id", "left_semi")
-        terms = queries.select("query_id", F.explode(F.array_distinct(index_tokens(F.col("query")))).alias("term"))
+        terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(phrase_tokens(F.col("query")), lambda t: t != ""))).alias("term"))
         allowed = parents.select("parent_id") if filters else None
-        words_ = self.index.search_terms(terms, 9 * k, "parent_id", allowed).select("query_id", "parent_id", "rank").join(parents, "parent_id")
+        words_ = self.index.search(queries.select("query_id", "query"), 9 * k, "parent_id", allowed).select("query_id", "parent_id", "rank").join(parents, "parent_id")
         fused = staged(rt.fuse_parents(near, words_, self._meta_hits(terms, parents, 3 * k), 3 * k), "fused")
         hits = rt.post_fusion(fused, queries, k, self.table("edges") if self.has("edges") else None, self.table("metrics") if self.has("metrics") else None)
         return hits.select("query_id", "parent_id", "source", "text", "channels", "similarity", "score", "rank")

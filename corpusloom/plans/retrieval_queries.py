@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import WORD, words
 from corpusloom.operators import retrieve as rt
+from corpusloom.operators.phrases import bm25_phrases
 from corpusloom.sources.staging import staged
 from corpusloom.sources.tables import read
 
@@ -118,6 +119,23 @@ def bm25_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(rt.bm25(_docs(spark, sf_dir), _bench_terms(spark, sf_dir), 20), "doc_id")
 
 
+@query(f"""WITH i AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM benchmark),
+q AS (SELECT DISTINCT query_id, a, b FROM (SELECT query_id, w[1] AS a, w[2] AS b FROM i UNION ALL SELECT query_id, w[3], w[4] FROM i)),
+d AS ({_DOCS}), n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
+p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM d),
+m AS (SELECT x.doc_id, x.term AS a, y.term AS b, any_value(x.dl) AS dl, count(*) AS tf FROM p x JOIN p y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 JOIN (SELECT DISTINCT a, b FROM q) u ON u.a = x.term AND u.b = y.term GROUP BY x.doc_id, x.term, y.term),
+df AS (SELECT a, b, count(*) AS df FROM m GROUP BY a, b),
+s AS (SELECT query_id, doc_id, round(sum(greatest(ln((n.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score, count(*) AS matched FROM m JOIN df USING (a, b) JOIN q USING (a, b), n GROUP BY query_id, doc_id),
+w AS (SELECT s.*, matched = units AS whole FROM s JOIN (SELECT query_id, count(*) AS units FROM q GROUP BY query_id) USING (query_id)),
+f AS (SELECT * FROM w WHERE whole OR query_id NOT IN (SELECT query_id FROM w WHERE whole)),
+r AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 20) {_BENCH}""")
+def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with both pairs of neighbouring words that a benchmark item begins with, else with either, by BM25 of the pairs."""
+    w = words(F.col("text"))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.array_join(F.slice(w, 1, 2), "-"), F.array_join(F.slice(w, 3, 2), "-")).alias("query"))
+    return _out(bm25_phrases(_docs(spark, sf_dir), asked, 20), "doc_id")
+
+
 _META = "SELECT doc_id, source, regexp_extract_all(lower(coalesce(source, '') || ' ' || coalesce(lang, '')), '[\\p{L}\\p{N}]+') AS t FROM documents"
 _LANGS = [(1, "en"), (2, "fr"), (3, "de"), (4, "es")]
 

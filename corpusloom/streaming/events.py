@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.sources.parted import PartedTable
+from corpusloom.sources.generations import Generations
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
@@ -22,23 +24,25 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None
     return out.select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n", "total")
 
 
-def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str = "source"):
-    """Start a stream that upserts new document files into the parted table at target; each batch replaces only the parts that its keys touch.
+def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str = "source", late: str | None = None):
+    """Start a stream that upserts new document files into the table at target (see Generations); each batch writes its own rows only.
 
-    A batch that was committed before changes nothing, so a restart is safe. Of rows that share a key in one batch the one of the newest file stays, then the
-    one with the greatest hash. Read the table with ``latest``.
+    A batch is named by its stream and number, and one that was written before is left alone, so a restart is safe; so is a table that others have
+    written to, and a new stream into it. Of rows that share a key in one batch the one of the newest file stays, then the one with the greatest hash. With ``late`` a text that was met
+    under any key within that time of the newest file is not written again: the stream keeps hashes of texts as state, until the watermark has passed them.
     """
+    at = spark.readStream.schema(schema).parquet(source).select("*", F.col("_metadata.file_modification_time").alias("_mtime")).withColumn("hash", F.md5("text"))
+    at = at.withWatermark("_mtime", late).dropDuplicatesWithinWatermark(["hash"]) if late else at
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         columns = [c for c in batch.columns if c not in (key, "_mtime")]
-        hashed = batch.withColumn("hash", F.md5("text"))
-        new = hashed.groupBy(key).agg(F.max_by(F.struct(*columns, "hash"), F.struct("_mtime", "hash")).alias("r")).select(key, "r.*")
-        PartedTable(spark, target, key).upsert(new, number=epoch + 1)
+        new = batch.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct("_mtime", "hash")).alias("r")).select(key, "r.*")
+        Generations(spark, target, key).append(new, tag=f"{name}-{epoch}")
 
-    stream = spark.readStream.schema(schema).parquet(source).select("*", F.col("_metadata.file_modification_time").alias("_mtime"))
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return at.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, target: str, key: str = "source") -> DataFrame | None:
     """The table that ``ingest`` writes, or None."""
-    return PartedTable(spark, target, key).read()
+    return Generations(spark, target, key).read()

@@ -156,10 +156,6 @@ def test_weak_claims_pass(spark):
     assert got[1, 8] == (1.0, True) and got[2, 7] == (0.75, True) and got[2, 8] == (0.0, False)
 
 
-def test_complete_linkage_needs_all_pairs():
-    assert topics.complete_link([(1, 2, 0.95), (2, 3, 0.94), (1, 3, 0.5)], 0.9) == {1: 1, 2: 1, 3: 3}
-
-
 def test_tree_parents(spark):
     docs = spark.createDataFrame([("d", "# A\n## B\n```\n# no\n```\n### C\n## D\n**E**")], "doc string, text string")
     got = [(r.title, r.parent, r.is_leaf) for r in trees.with_parents(trees.headings(docs)).orderBy("ord").collect()]
@@ -168,14 +164,61 @@ def test_tree_parents(spark):
 
 def test_stream_ingest(spark, tmp_path):
     from corpusloom.streaming import events
+    from corpusloom.sources.generations import Generations
+
+    schema, target = "source string, text string", str(tmp_path / "out")
+    docs = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1)
+    ingest = lambda checkpoint, **more: events.ingest(spark, str(tmp_path / "in"), docs(("a", "")).schema, target, str(tmp_path / checkpoint), **more).awaitTermination()
+    texts = lambda: {(r.source, r.text) for r in events.latest(spark, target).collect()}
+    Generations(spark, target).replace_all(docs(("a", "zero"), ("old", "kept")).withColumn("hash", F.md5("text")))
+    for n, rows in enumerate(([("a", "one"), ("b", "two")], [("a", "three")])):
+        docs(*rows).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest("cp")
+    assert texts() == {("a", "three"), ("b", "two"), ("old", "kept")}  # a table that was there loses nothing but what the stream replaces
+    before = len(Generations(spark, target).names())
+    ingest("cp")
+    assert texts() == {("a", "three"), ("b", "two"), ("old", "kept")} and len(Generations(spark, target).names()) == before
+    Generations(spark, target).append(docs(("a", "by hand"), ("c", "more")).withColumn("hash", F.md5("text")))
+    ingest("cp2")  # a new stream into the same table reads everything again
+    assert texts() == {("a", "three"), ("b", "two"), ("old", "kept"), ("c", "more")}
+
+
+def test_stream_replays_a_batch_once(spark, tmp_path):
+    """A batch whose rows were written, but which the stream didn't note as done, is left alone when it runs again."""
+    import shutil
+
+    from corpusloom.sources.generations import Generations
+    from corpusloom.streaming import events
 
-    docs = spark.createDataFrame([("a", "one"), ("b", "two")], "source string, text string")
+    docs = spark.createDataFrame([("a", "one")], "source string, text string").coalesce(1)
     docs.write.parquet(str(tmp_path / "in"))
-    for _ in range(2):  # the second run finds nothing new
-        events.ingest(spark, str(tmp_path / "in"), docs.schema, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    spark.createDataFrame([("a", "three")], docs.schema).write.mode("append").parquet(str(tmp_path / "in"))
-    events.ingest(spark, str(tmp_path / "in"), docs.schema, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert {(r.source, r.text) for r in events.latest(spark, str(tmp_path / "out")).collect()} == {("a", "three"), ("b", "two")}
+    run = lambda: events.ingest(spark, str(tmp_path / "in"), docs.schema, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    run()
+    shutil.rmtree(tmp_path / "cp" / "commits")
+    table = Generations(spark, str(tmp_path / "out"))
+    n = len(table.names())
+    run()
+    assert len(table.names()) == n and [tuple(r)[:2] for r in table.read().collect()] == [("a", "one")]
+
+
+def test_stream_drops_texts_it_has_seen(spark, tmp_path):
+    """Equal texts under other keys, in one batch, a later one and after a restart, are written once; a file that is late, but within the time, still counts."""
+    import os
+    import time
+
+    from corpusloom.streaming import events
+
+    schema, at = "source string, text string", str(tmp_path / "in")
+    run = lambda: events.ingest(spark, at, spark.createDataFrame([], schema).schema, str(tmp_path / "out"), str(tmp_path / "cp"), late="1 hour").awaitTermination()
+    for age, rows in ((0, [("a", "one"), ("b", "one"), ("c", "two")]), (0, [("d", "two"), ("e", "three")]), (1800, [("f", "three"), ("g", "four")])):
+        before = set(os.listdir(at)) if os.path.isdir(at) else set()
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at)
+        for name in set(os.listdir(at)) - before:
+            if name.endswith(".parquet"):
+                os.utime(f"{at}/{name}", (time.time() - age,) * 2)
+        run()
+    got = events.latest(spark, str(tmp_path / "out"))
+    assert sorted(r.text for r in got.collect()) == ["four", "one", "three", "two"] and {r.source for r in got.collect()} >= {"c", "e", "g"}
 
 
 def brute_children(text, paragraph="\n\n", size=500):

@@ -215,6 +215,24 @@ def test_uncited_pairs_of_all_papers(spark):
     assert sorted(map(tuple, got.collect())) == sorted((i, j, n) for (i, j), n in shared.items() if n >= 2)
 
 
+def complete_link(pairs: list[tuple[int, int, float]], least: float) -> dict[int, int]:
+    """item -> cluster (least member): pairs from the most similar on; two clusters merge only if all their cross pairs are similar enough."""
+    sim = {(min(a, b), max(a, b)): s for a, b, s in pairs}
+    of: dict[int, int] = {}
+    members: dict[int, set[int]] = {}
+    for (a, b), s in sorted(sim.items(), key=lambda x: (-x[1], x[0])):
+        for x in (a, b):
+            if x not in of:
+                of[x], members[x] = x, {x}
+        p, q = of[a], of[b]
+        if p != q and all(sim.get((min(x, y), max(x, y)), -1.0) >= least for x in members[p] for y in members[q]):
+            keep, drop = min(p, q), max(p, q)
+            for x in members.pop(drop):
+                of[x] = keep
+                members[keep].add(x)
+    return of
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_clusters_equal_complete_linkage_of_the_whole_table(spark, block):
     rng = np.random.default_rng(3)
@@ -224,7 +242,7 @@ def test_clusters_equal_complete_linkage_of_the_whole_table(spark, block):
     m = np.array(vs)
     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     s = np.round(m @ m.T, 9)
-    of = topics.complete_link([(i, j, s[i, j]) for i in range(90) for j in range(i + 1, 90) if s[i, j] >= 0.9], 0.9)
+    of = complete_link([(i, j, s[i, j]) for i in range(90) for j in range(i + 1, 90) if s[i, j] >= 0.9], 0.9)
     rows = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(vs)], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: r.cluster for r in topics.clusters(rows, 0.9, block=block).collect()}
     assert got == {i: of.get(i, i) for i in range(90)} and len(set(got.values())) < 60
@@ -247,41 +265,117 @@ def test_page_thinning(spark):
     assert {r.ord: r.end for r in trees.thin_pages(df, most_nodes=4, least_pages=5).collect()} == {0: 4}
 
 
-def test_parted_tables(spark, tmp_path):
-    from corpusloom.sources.parted import PartedTable
+def test_generations(spark, tmp_path):
+    from corpusloom.sources.generations import Generations
 
-    table = PartedTable(spark, str(tmp_path / "t"), parts=8)
-    rows = lambda ids, v: spark.createDataFrame([(f"s{i}", v) for i in ids], "source string, v int")
+    table = Generations(spark, str(tmp_path / "t"))
+    rows = lambda ids, v: spark.createDataFrame([(f"s{i}" if i is not None else None, v) for i in ids], "source string, v int")
     assert table.read() is None and not table.exists()
-    table.upsert(rows(range(20), 1))
+    table.append(rows([*range(20), None], 1))
     held = table.read()
-    table.upsert(rows([3], 2).union(rows([3], 3)))
-    assert len(table.commits()[2]) == 1  # only the part of the key was written
-    assert sorted(r.v for r in table.read().collect()) == [1] * 19 + [2, 3]
-    assert held.agg(F.sum("v")).first()[0] == 20  # a reader of the older version isn't disturbed
-    table.upsert(rows([5], 9), number=2)  # was committed before
-    assert table.read().filter("v = 9").count() == 0
-    table.delete(rows(range(20), 0).select("source"))
+    table.append(rows([3], 2).union(rows([3], 3)))
+    assert table._read("rows", table.names()[1:]).count() == 2  # only its own rows were written
+    assert sorted(r.v for r in table.read().collect()) == [1] * 20 + [2, 3]
+    assert held.agg(F.sum("v")).first()[0] == 21  # a reader of the older generation isn't disturbed
+    table.append(rows([5], 8), tag="once")
+    table.append(rows([5], 9), tag="once")  # ran before
+    assert [r.v for r in table.read().filter("source = 's5'").collect()] == [8]
+    # two writers that saw the same table: both stay, and of a key that both wrote the later one's
+    a, b = Generations(spark, str(tmp_path / "t")), Generations(spark, str(tmp_path / "t"))
+    seen = table.names()
+    a.names = b.names = lambda: seen
+    a.append(rows([30, 31], 4))
+    b.append(rows([31, 32], 5))
+    assert [r.v for r in table.read().filter("source in ('s30', 's31', 's32')").orderBy("source").collect()] == [4, 5, 5]
+    # one that broke off before its keys were committed is not seen
+    table._fs().delete(table._at(f"keys/gen={table.names()[-1]}/_SUCCESS"), False)
+    assert [r.v for r in table.read().filter("source in ('s30', 's31', 's32')").orderBy("source").collect()] == [4, 4]
+    table.append(rows([None], 7))
+    assert [r.v for r in table.read().filter("source is null").collect()] == [7]
+    before = sorted(map(tuple, table.read().filter("source is not null").collect()))
+    table.compact()
+    assert len(table.names()) == 1 and sorted(map(tuple, table.read().filter("source is not null").collect())) == before
+    table.delete(rows([*range(40), None], 0).select("source"))
     assert table.read().count() == 0 and table.read().columns == ["source", "v"]
     table.replace_all(rows([1], 4))
-    table.vacuum()
-    assert [tuple(r) for r in table.read().collect()] == [("s1", 4)] and len(table.commits()) == 1
+    assert [tuple(r) for r in table.read().collect()] == [("s1", 4)]
 
 
-def test_stored_index_equals_scan(spark, sf, tmp_path):
+def test_stored_index_equals_scan(spark, sf, tmp_path, monkeypatch):
+    from corpusloom.operators import phrases
     from corpusloom.operators import retrieve as rt
+    from corpusloom.operators.index import StoredIndex
     from corpusloom.sources.tables import read
 
     docs = read(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    terms = rt.terms_of(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-    index = rt.StoredIndex(spark, str(tmp_path / "i"), parts=8)
+    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    terms = rt.terms_of(items)
+    asked = items.select("query_id", F.concat_ws(" ", F.array_join(F.slice(F.split("text", " "), 1, 3), "-"), F.split("text", " ")[4]).alias("query"))
+    index = StoredIndex(spark, str(tmp_path / "i"))
     index.rebuild(docs.filter("source <> 'src2'").unionByName(docs.filter("source = 'src1'").withColumn("text", F.lit("old words"))))
     index.refresh(docs.filter("source in ('src1', 'src2')"))
     rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", F.round("score", 6), "rank").collect()))
     for every in (False, True):
-        assert rows(index.search(terms, 5, every=every)) == rows(rt.bm25(docs, terms, 5, every=every))
-    index.refresh(docs.limit(0), gone=docs.filter("source = 'src3'").select("source").distinct())
-    assert rows(index.search(terms, 5)) == rows(rt.bm25(docs.filter("source <> 'src3'"), terms, 5))
+        assert rows(index.search_words(terms, 5, every=every)) == rows(rt.bm25(docs, terms, 5, every=every))
+    assert rows(index.search(asked, 5)) == rows(phrases.bm25_phrases(docs, asked, 5))
+    monkeypatch.setattr(phrases, "MOST_LITERALS", 3)  # terms that are joined, not named
+    assert rows(index.search(asked, 5)) == rows(phrases.bm25_phrases(docs, asked, 5))
+    index.remove(docs.filter("source = 'src3'").select("source").distinct())
+    index.compact()
+    assert rows(index.search_words(terms, 5)) == rows(rt.bm25(docs.filter("source <> 'src3'"), terms, 5))
+
+
+def brute_phrases(docs, queries, k):
+    """BM25 of the same units, one document and one query at a time."""
+    import math
+    import re
+
+    run = "[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+"
+    grams = lambda r: [r[i : i + 2] for i in range(len(r) - 1)] or [r]
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+
+    def streams(t):
+        return [words(t), *map(grams, re.findall(run, t))]
+
+    def count(unit, t):
+        return sum(s[i : i + len(unit)] == unit for s in streams(t) for i in range(len(s)))
+
+    dl = {d: sum(map(len, streams(t))) for d, t in docs}
+    mean = sum(dl.values()) / len(dl)
+    out = []
+    for q, text in queries:
+        latin = re.sub(run, " ", text)
+        groups = [([u := words(x) for x in re.sub(r'["^{}()\[\]*:]', " ", latin).split() if words(x)],) * 2]
+        groups += [([[g] for g in dict.fromkeys(grams(r))], [grams(r)]) for r in re.findall(run, text)]
+        hits = []
+        for scores, required in groups:
+            scores = [list(u) for u in dict.fromkeys(map(tuple, scores))]
+            found = {}
+            for u in scores:
+                tf = {d: n for d, t in docs if (n := count(u, t))}
+                idf = max(math.log((len(docs) - len(tf) + 0.5) / (len(tf) + 0.5)), 1e-6) if tf else 0
+                for d, n in tf.items():
+                    found[d] = found.get(d, 0) + idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * dl[d] / mean))
+            whole = {d for d, t in docs if d in found and all(count(u, t) for u in required)}
+            best = sorted((-round(s, 9), d) for d, s in found.items() if d in whole or not whole)[:k]
+            hits += [(d, -s) for s, d in best if d not in {h[0] for h in hits}]
+        out += [(q, d, round(s, 6), n) for n, (d, s) in enumerate(hits, 1)]
+    return sorted(out)
+
+
+def test_phrases_equal_brute_force(spark):
+    from corpusloom.operators import phrases
+
+    docs = [
+        (1, "Ephrin-B1 guides axons"), (2, "ephrin guides B1 axons"), (3, "B1 ephrin b1, EPHRIN b1 again"), (4, "轴突导向因子 guides"), (5, "轴突 and 导向"), (6, "因子轴突导 向"),
+        (7, ""), (8, "il 6 il-6 il 6"), (9, "骨"), (10, "a a a b a_a"), (11, "カタカナ 轴突导向"), (12, "guides guides axons IL"),
+    ]
+    queries = [(1, "ephrin-B1"), (2, "ephrin-B1 guides"), (3, "IL-6 axons"), (4, "轴突导向"), (5, "guides 轴突导向因子 骨"), (6, "导突向"), (7, "a-a-a"), (8, "a-a b"), (9, ""), (10, "カタ nothing-here"), (11, '"(axons)"'), (12, "向因"), (13, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = phrases.bm25_phrases(df, spark.createDataFrame(queries, "query_id long, query string"), 4)
+    assert sorted((r.query_id, r.doc_id, round(r.score, 6), r["rank"]) for r in got.collect()) == brute_phrases(docs, [q for q in queries if q[1]], 4)
+    # words that stand apart are no hyphenated term
+    assert {r.doc_id for r in got.filter("query_id = 1").collect()} == {1, 3} and {r.doc_id for r in got.filter("query_id = 4").collect()} == {4, 11}
 
 
 def test_files(spark, tmp_path):
