@@ -71,6 +71,8 @@ class MetricIndex:
 
     def _wanted(self, queries: DataFrame, bound: DataFrame | None) -> DataFrame:
         """query_id, q, cell, shell: the shell that could be nearest to each query (query_id, q), or, with a bound (query_id, most), all the others that can be near enough."""
+        if not len(self.pivots):
+            return queries.limit(0).select("query_id", "q", F.lit(0).alias("cell"), F.lit(0).alias("shell"))
         (lo, hi), pivots, at = self._bounds(), self.pivots, self.shells[["cell", "shell"]].to_numpy()
         first = bound is None
         rows = queries.withColumn("most", F.lit(None).cast("double")) if first else queries.join(bound, "query_id")
@@ -90,7 +92,8 @@ class MetricIndex:
                         near = least <= some["most"].to_numpy(float)[:, None] * (1 + SLACK) + SLACK
                         near[np.arange(len(some)), best] = False  # was looked at
                         who, where = np.nonzero(near)
-                    yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[who], "q": [some["q"].iloc[i] for i in who], "cell": at[where, 0], "shell": at[where, 1]})
+                    if len(who):
+                        yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[who], "q": [some["q"].iloc[i] for i in who], "cell": at[where, 0], "shell": at[where, 1]})
 
         kind = queries.schema["query_id"].dataType.simpleString()
         return rows.select("query_id", "q", "most").mapInPandas(choose, f"query_id {kind}, q array<double>, cell int, shell int")
@@ -99,15 +102,15 @@ class MetricIndex:
         """query_id, key, distance: the k nearest of each shell that a query wants, block by block."""
         parts = self.cells.join(F.broadcast(self.cells.groupBy("cell", "shell").agg(F.ceil(F.count("*") / BLOCK).alias("m"))), ["cell", "shell"])  # at most PIVOTS * SHELLS rows
         blocks = parts.groupBy("cell", "shell", F.pmod(F.xxhash64("id"), F.col("m")).alias("part")).agg(F.collect_list("id").alias("i"), F.collect_list("v").alias("iv"))
-        asked = wanted.groupBy("cell", "shell", F.pmod(F.xxhash64("query_id"), F.lit(16)).alias("l")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-        asked = asked.select("cell", "shell", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("qs") - 1) / BLOCK)), lambda n: F.slice("qs", (n * BLOCK + 1).cast("int"), BLOCK))).alias("qs"))
-        pairs = asked.select("cell", "shell", F.col("qs.query_id").alias("q"), F.col("qs.q").alias("qv")).join(blocks, ["cell", "shell"])
+        asked = wanted.groupBy("cell", "shell", F.pmod(F.xxhash64("query_id"), F.lit(self.query_parts)).alias("l")).agg(F.collect_list("query_id").alias("q"), F.collect_list("q").alias("qv"))
+        pairs = asked.join(blocks, ["cell", "shell"])
         kinds = f"query_id {wanted.schema['query_id'].dataType.simpleString()}, {self.key} {self.cells.schema['id'].dataType.simpleString()}, distance double"
         return pairs.select("q", "qv", "i", "iv").mapInPandas(nearest_rows(k, self.key), kinds)
 
     def search(self, queries: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
         """query_id, key, distance (squared), rank of queries (query_id, vector): the rows of retrieve.knn_batch."""
         asked = staged(queries.select("query_id", F.col(vector).cast("array<double>").alias("q")), "asked")
+        self.query_parts = max(1, -(-asked.count() // BLOCK))
         self.first, order = self._wanted(asked, None), [F.col("distance"), F.col(self.key)]
         found = staged(top_k(self._look(self.first, k), k, ["query_id"], order), "nearest")
         # fewer than k found: anything may be near enough

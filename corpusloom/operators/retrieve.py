@@ -51,12 +51,8 @@ def _blocks(vectors: DataFrame, key: str, vector: str, size: int, name: str) ->
     return vectors.groupBy(part).agg(F.collect_list(key).alias("ids"), F.collect_list(vector).alias("vs")), n
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """query_id, key, distance, rank: exact nearest neighbours of every query, in a grid of blocks multiplied in numpy."""
-    left, nl = _blocks(queries, "query_id", vector, block, "l")
-    right, nr = _blocks(vectors, key, vector, block, "r")
-    grid = left.select("l", F.col("ids").alias("q"), F.col("vs").alias("qv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))).alias("r"))
-    grid = grid.join(right.select("r", F.col("ids").alias("i"), F.col("vs").alias("iv")), "r")
+def nearest_rows(k: int, key: str):
+    """Of rows of queries (q, qv) and a block of vectors (i, iv) the k nearest of each query: query_id, key, distance."""
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -77,7 +73,17 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
                 if found:
                     yield pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), key: np.concatenate([f[1] for f in found]), "distance": np.concatenate([f[2] for f in found])})
 
-    found = grid.select("q", "qv", "i", "iv").mapInPandas(nearest, f"query_id long, {key} long, distance double")
+    return nearest
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """query_id, key, distance, rank: exact nearest neighbours of every query, in a grid of blocks multiplied in numpy."""
+    left, nl = _blocks(queries, "query_id", vector, block, "l")
+    right, nr = _blocks(vectors, key, vector, block, "r")
+    grid = left.select("l", F.col("ids").alias("q"), F.col("vs").alias("qv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))).alias("r"))
+    grid = grid.join(right.select("r", F.col("ids").alias("i"), F.col("vs").alias("iv")), "r")
+
+    found = grid.select("q", "qv", "i", "iv").mapInPandas(nearest_rows(k, key), f"query_id long, {key} long, distance double")
     return top_k(found, k, ["query_id"], [F.col("distance"), F.col(key)])
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.metric import MetricIndex
 from corpusloom.operators.retrieve import top_k
 from corpusloom.sources.staging import staged
 
@@ -154,8 +155,20 @@ def clusters(vectors: DataFrame, least: float, key: str = "vec_id", vector: str
     return named.join(done, "rep").select(F.col("id").alias(key), F.col("c").cast("long").alias("cluster"))
 
 
-def related(seeds: DataFrame, papers: DataFrame, edges: DataFrame, k: int = 10, vectors: DataFrame | None = None) -> DataFrame:
-    """seed, other, score, reasons, rank: topic Jaccard, cosine and citation overlap, blended. papers: node, topics. vectors: seed, other, cosine."""
+def cosine(a: Column, b: Column) -> Column:
+    """0 where a vector is missing or zero."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, u: s + u)
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.coalesce(F.when(norms > 0, dot(a, b) / norms), F.lit(0.0))
+
+
+def related(seeds: DataFrame, papers: DataFrame, edges: DataFrame, k: int = 10, vectors: DataFrame | None = None, forward: DataFrame | None = None) -> DataFrame:
+    """seed, other, score, reasons, rank: topic Jaccard, cosine and citation overlap, blended; the k best of each seed.
+
+    papers: node, topics. edges: src cites dst. vectors: node, embedding. forward: seed, other of others that cite a seed, which count as full overlap.
+    Cosines are taken of all pairs that share a topic or a citation, and of each seed's k nearest by the metric index: no other pair can be among the k best, as
+    its score is its cosine alone.
+    """
     toks = papers.select("node", F.size("topics").alias("n"), F.explode("topics").alias("t"))
     own = toks.join(seeds.select(F.col("seed").alias("node")), "node", "left_semi").select(F.col("node").alias("seed"), F.col("n").alias("m"), "t")
     topic = own.join(toks, "t").filter("node <> seed").groupBy("seed", F.col("node").alias("other")).agg((F.count("*") / (F.first("n") + F.first("m") - F.count("*"))).alias("topic"))
@@ -163,10 +176,23 @@ def related(seeds: DataFrame, papers: DataFrame, edges: DataFrame, k: int = 10,
     mine = edges.join(seeds.select(F.col("seed").alias("src")), "src", "left_semi").select(F.col("src").alias("seed"), "dst")
     shared = mine.join(edges, "dst").filter("src <> seed").groupBy("seed", F.col("src").alias("other")).agg(F.count("*").alias("shared"))
     cite = shared.join(size.toDF("seed", "a"), "seed").join(size.toDF("other", "b"), "other").select("seed", "other", (COUPLED * F.col("shared") / (F.col("a") + F.col("b") - F.col("shared"))).alias("cite"))
+    if forward is not None:
+        cited = forward.join(seeds.select("seed"), "seed", "left_semi").filter("seed <> other").select("seed", "other", F.lit(1.0).alias("cite"))
+        cite = cite.unionByName(cited).groupBy("seed", "other").agg(F.max("cite").alias("cite"))
     both = topic.join(cite, ["seed", "other"], "full")
-    both = both.join(vectors, ["seed", "other"], "full") if vectors is not None else both.withColumn("cosine", F.lit(None).cast("double"))
+    if vectors is None:
+        both = both.withColumn("cosine", F.lit(0.0))
+    else:
+        units = vectors.join(papers.select("node"), "node", "left_semi").filter(F.exists("embedding", lambda x: x != 0)).withColumn("_n", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
+        units = staged(units.select("node", F.transform("embedding", lambda x: x / F.col("_n")).alias("u")), "units")
+        asked = units.join(seeds.select(F.col("seed").alias("node")), "node", "left_semi").select(F.col("node").alias("query_id"), "u")
+        near = MetricIndex(units, "node", "u").search(asked, k + 1, "u").select(F.col("query_id").alias("seed"), F.col("node").alias("other")).filter("seed <> other")
+        pairs = both.join(near, ["seed", "other"], "full")
+        known = vectors.select(F.col("node"), F.col("embedding").alias("v"))
+        pairs = pairs.join(known.toDF("seed", "_a"), "seed", "left").join(known.toDF("other", "_b"), "other", "left")
+        both = pairs.withColumn("cosine", cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    score = TOPIC * zero("topic") + VECTOR * zero("cosine") + CITATION * zero("cite")
-    kept = both.filter(score > LEAST).withColumn("score", F.round(score, 9))
+    score = F.round(TOPIC * zero("topic") + VECTOR * zero("cosine") + CITATION * zero("cite"), 9)
     reasons = F.concat_ws(",", F.when(zero("topic") > 0, "topics"), F.when(zero("cosine") > 0, "vectors"), F.when(zero("cite") > 0, "citations"))
-    return top_k(kept.withColumn("reasons", reasons), k, ["seed"], [F.col("score").desc(), F.col("other")])
+    kept = both.select("seed", "other", score.alias("score"), reasons.alias("reasons")).filter(F.col("score") > LEAST)
+    return top_k(kept, k, ["seed"], [F.col("score").desc(), F.col("other")])

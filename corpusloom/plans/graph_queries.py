@@ -242,18 +242,29 @@ def uncited_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOPICS = "t AS (SELECT p_partkey AS node, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[\\p{L}\\p{N}]+')) AS k FROM part)"
 
 
+_FOLLOWS = "SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst FROM lineitem"
+
+
 @query(f"""WITH {_TOPICS}, e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem), n AS (SELECT src, count(*) AS n FROM e GROUP BY src),
+w AS (SELECT DISTINCT dst AS seed, src AS other FROM ({_FOLLOWS}) WHERE dst % 20 = 0 AND src <> dst),
 c AS (SELECT a.src AS seed, b.src AS other, count(*) AS shared FROM e a JOIN e b ON a.dst = b.dst WHERE a.src % 20 = 0 AND a.src <> b.src GROUP BY a.src, b.src),
-p AS (SELECT s.node AS seed, o.node AS other, len(list_intersect(s.k, o.k)) / len(list_distinct(list_concat(s.k, o.k))) AS topic FROM t s, t o WHERE s.node % 20 = 0 AND s.node <> o.node AND len(list_intersect(s.k, o.k)) > 0),
-u AS (SELECT coalesce(c.seed, p.seed) AS seed, coalesce(c.other, p.other) AS other, coalesce(topic, 0) AS topic, coalesce(shared, 0) AS shared FROM c FULL JOIN p ON c.seed = p.seed AND c.other = p.other),
-f AS (SELECT seed, other, topic, coalesce(0.6 * shared / (x.n + y.n - shared), 0) AS cite FROM u LEFT JOIN n x ON x.src = seed LEFT JOIN n y ON y.src = other),
-g AS (SELECT seed, other, round(0.40 * topic + 0.25 * cite, 9) AS score, concat_ws(',', CASE WHEN topic > 0 THEN 'topics' END, CASE WHEN cite > 0 THEN 'citations' END) AS reasons FROM f WHERE 0.40 * topic + 0.25 * cite > 0.05)
-SELECT seed, other, round(score, 6) AS score, reasons, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, other) AS rank FROM g) WHERE rank <= 10""")
+v AS (SELECT vec_id AS node, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings),
+p AS (SELECT s.node AS seed, o.node AS other, len(list_intersect(s.k, o.k)) / len(list_distinct(list_concat(s.k, o.k))) AS topic, coalesce(list_sum(list_transform(range(1, 65), lambda i: x.v[i] * y.v[i])) / nullif(x.n * y.n, 0), 0) AS cosine
+  FROM t s JOIN t o ON s.node <> o.node LEFT JOIN v x ON x.node = s.node LEFT JOIN v y ON y.node = o.node WHERE s.node % 20 = 0),
+f AS (SELECT p.*, greatest(coalesce(0.6 * shared / (x.n + y.n - shared), 0), CASE WHEN w.seed IS NULL THEN 0 ELSE 1 END) AS cite FROM p LEFT JOIN c USING (seed, other) LEFT JOIN w USING (seed, other) LEFT JOIN n x ON x.src = seed LEFT JOIN n y ON y.src = other),
+g AS (SELECT seed, other, round(0.40 * topic + 0.35 * cosine + 0.25 * cite, 9) AS score, concat_ws(',', CASE WHEN topic > 0 THEN 'topics' END, CASE WHEN cosine > 0 THEN 'vectors' END, CASE WHEN cite > 0 THEN 'citations' END) AS reasons FROM f)
+SELECT seed, other, round(score, 6) AS score, reasons, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, other) AS rank FROM g WHERE score > 0.05) WHERE rank <= 10""")
 def related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts related to every part whose id is divisible by 20, by shared name words and shared suppliers (parts have no vectors)."""
+    """Parts related to every part whose id is divisible by 20: by shared words, the vector of their number, shared suppliers, and parts that come just before them in an order."""
+    from pyspark.sql.window import Window
+
     from corpusloom.operators.topics import related
 
     papers = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.array_distinct(words(F.concat_ws(" ", "p_name", "p_type", "p_brand"))).alias("topics"))
-    edges = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    out = related(papers.filter("node % 20 = 0").select(F.col("node").alias("seed")), papers, edges)
+    line = read(spark, sf_dir, "lineitem")
+    edges = line.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    follows = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    forward = line.select(follows.alias("seed"), F.col("l_partkey").alias("other")).filter("seed is not null").distinct()
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), "embedding")
+    out = related(papers.filter("node % 20 = 0").select(F.col("node").alias("seed")), papers, edges, vectors=vectors, forward=forward)
     return out.select("seed", "other", F.round("score", 6).alias("score"), "reasons", F.col("rank").cast("long").alias("rank"))

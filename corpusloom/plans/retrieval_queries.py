@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import WORD, words
 from corpusloom.operators import retrieve as rt
+from corpusloom.operators.metric import MetricIndex
 from corpusloom.operators.phrases import bm25_phrases
 from corpusloom.sources.staging import staged
 from corpusloom.sources.tables import read
@@ -63,6 +64,14 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batch(spark, sf_dir).select("query_id", "vec_id", "distance", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {_BATCH} SELECT query_id, vec_id, distance, CAST(rank AS BIGINT) AS rank FROM nn")
+def knn_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours by the metric index, which looks only at shells that can hold them."""
+    v = _vectors(spark, sf_dir)
+    found = MetricIndex(v).search(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), K)
+    return found.select("query_id", "vec_id", "distance", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {_BATCH} SELECT vec_id, min(distance) AS distance FROM nn GROUP BY vec_id")
 def multi_query_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch's hits as one list with the least distance of each vector."""
