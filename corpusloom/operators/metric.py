@@ -2,8 +2,8 @@
 
 Every vector belongs to the cell of its nearest pivot and, in it, to one of SHELLS shells by its distance to that pivot. A shell knows the least and greatest distance
 of its vectors to every pivot: a query whose distance to a pivot is d is at least as far from all of a shell as d lies outside of that range. The table of shells has at
-most PIVOTS * SHELLS rows, however many vectors there are. A query first looks at the shell that could be nearest, and the k-th distance it finds there is a bound: all
-shells that can't be nearer are never looked at. Shells of many vectors are cut into blocks of BLOCK by the key's hash, so no shell is one task's alone.
+most PIVOTS * SHELLS rows, however many vectors there are. A query first looks at the shells that could be nearest, as many as hold k vectors, and the k-th distance it finds there is a bound:
+all shells that can't be nearer are never looked at. Shells of many vectors are cut into blocks of BLOCK by the key's hash, so no shell is one task's alone.
 
 Pivots are chosen from a bounded sample (SAMPLE rows by the least hashes of their keys), each the farthest from those before it; they decide how much is skipped,
 never what is found. Distances are measured as retrieve.knn_batch measures them, so results are the same, ties included.
@@ -69,11 +69,11 @@ class MetricIndex:
         names = range(len(self.pivots))
         return self.shells[[f"lo{i}" for i in names]].to_numpy(float), self.shells[[f"hi{i}" for i in names]].to_numpy(float)
 
-    def _wanted(self, queries: DataFrame, bound: DataFrame | None) -> DataFrame:
-        """query_id, q, cell, shell: the shell that could be nearest to each query (query_id, q), or, with a bound (query_id, most), all the others that can be near enough."""
+    def _wanted(self, queries: DataFrame, k: int, bound: DataFrame | None) -> DataFrame:
+        """query_id, q, cell, shell: the shells with k vectors that could be nearest to each query (query_id, q), or, with a bound (query_id, most), all the others that can be near enough."""
         if not len(self.pivots):
             return queries.limit(0).select("query_id", "q", F.lit(0).alias("cell"), F.lit(0).alias("shell"))
-        (lo, hi), pivots, at = self._bounds(), self.pivots, self.shells[["cell", "shell"]].to_numpy()
+        (lo, hi), pivots, at, held = self._bounds(), self.pivots, self.shells[["cell", "shell"]].to_numpy(), self.shells["n"].to_numpy()
         first = bound is None
         rows = queries.withColumn("most", F.lit(None).cast("double")) if first else queries.join(bound, "query_id")
 
@@ -85,13 +85,13 @@ class MetricIndex:
                         continue
                     d = _distances(np.stack(some["q"]).astype(float), pivots)
                     least = np.stack([np.maximum(np.maximum(x - hi, lo - x), 0).max(1) for x in d])
-                    best = least.argmin(1)
-                    if first:
-                        who, where = np.arange(len(some)), best
-                    else:
-                        near = least <= some["most"].to_numpy(float)[:, None] * (1 + SLACK) + SLACK
-                        near[np.arange(len(some)), best] = False  # was looked at
-                        who, where = np.nonzero(near)
+                    near = np.zeros_like(least, dtype=bool)
+                    for n, bounds in enumerate(least):
+                        order = np.lexsort((d[n, at[:, 0]], bounds))  # of equal bounds the nearest cell
+                        near[n, order[: np.searchsorted(held[order].cumsum(), k) + 1]] = True
+                    if not first:
+                        near = (least <= some["most"].to_numpy(float)[:, None] * (1 + SLACK) + SLACK) & ~near  # those were looked at
+                    who, where = np.nonzero(near)
                     if len(who):
                         yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[who], "q": [some["q"].iloc[i] for i in who], "cell": at[where, 0], "shell": at[where, 1]})
 
@@ -111,11 +111,11 @@ class MetricIndex:
         """query_id, key, distance (squared), rank of queries (query_id, vector): the rows of retrieve.knn_batch."""
         asked = staged(queries.select("query_id", F.col(vector).cast("array<double>").alias("q")), "asked")
         self.query_parts = max(1, -(-asked.count() // BLOCK))
-        self.first, order = self._wanted(asked, None), [F.col("distance"), F.col(self.key)]
+        self.first, order = self._wanted(asked, k, None), [F.col("distance"), F.col(self.key)]
         found = staged(top_k(self._look(self.first, k), k, ["query_id"], order), "nearest")
         # fewer than k found: anything may be near enough
         most = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.sqrt(F.max("distance"))).otherwise(float("inf")).alias("most"))
-        self.rest = staged(self._wanted(asked, most), "wanted")
+        self.rest = staged(self._wanted(asked, k, most), "wanted")
         rows = found.drop("rank").unionByName(self._look(self.rest, k))
         return top_k(rows, k, ["query_id"], order)
 

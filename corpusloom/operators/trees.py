@@ -46,10 +46,12 @@ def with_parents(nodes: DataFrame, key: str = "doc", levels: int | None = None)
 
 
 def with_ends(nodes: DataFrame, pages: str = "pages", key: str = "doc") -> DataFrame:
-    """Adds end: the page before the next node's start, or that page itself where the next heading doesn't open it (opens: false); the last page at the end."""
+    """Adds end: the page before the next node's start, or that page itself where the next heading doesn't open it (opens: false); the last page at the end. An end
+    that a node has already is kept."""
     w = Window.partitionBy(key).orderBy("ord")
     nxt, opens = F.lead("start").over(w), F.lead("opens").over(w)
-    return nodes.withColumn("end", F.greatest("start", F.coalesce(F.when(opens, nxt - 1).otherwise(nxt), F.col(pages))))
+    found = F.greatest("start", F.coalesce(F.when(opens, nxt - 1).otherwise(nxt), F.col(pages)))
+    return nodes.withColumn("end", F.coalesce("end", found) if "end" in nodes.columns else found)
 
 
 def residual_pages(nodes: DataFrame, key: str = "doc") -> DataFrame:
@@ -119,27 +121,66 @@ def collapse_costs(nodes: DataFrame, key: str = "doc") -> DataFrame:
     return by_document(nodes.select(key, "ord", "parent", "start", "end"), fold, f"{key} {kind}, ord int, cost double, kept boolean", key)
 
 
+def intervals(nodes: DataFrame, key: str = "doc") -> DataFrame:
+    """key, ord, parent, depth (1 at the top), last (ord of the last descendant), path (titles from the top), low and high (first start and last end of the subtree).
+
+    A subtree is what lies between ord and last. One pass over a document with a stack of open nodes, and one back, however deep the tree is. nodes: key, ord, level, and
+    title, start, end where there are; nodes of equal level are siblings, and levels may leave gaps.
+    """
+    has = [c for c in ("title", "start", "end") if c in nodes.columns]
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for doc, own in part.sort_values([key, "ord"]).groupby(key, sort=False):
+            ords, levels = own["ord"].tolist(), own["level"].tolist()
+            titles = own["title"].tolist() if "title" in has else [None] * len(ords)
+            low = own["start"].tolist() if "start" in has else [None] * len(ords)
+            high = own["end"].tolist() if "end" in has else [None] * len(ords)
+            parents, last, open_, paths = [None] * len(ords), ords[:], [], []
+            for i, level in enumerate(levels):
+                while open_ and levels[open_[-1]] >= level:
+                    open_.pop()
+                parents[i] = open_[-1] if open_ else None
+                paths.append([*(paths[open_[-1]] if open_ else []), titles[i]])
+                open_.append(i)
+            for i in range(len(ords) - 1, -1, -1):  # children come before their parents
+                p = parents[i]
+                if p is not None:
+                    last[p] = max(last[p], last[i])
+                    low[p] = low[i] if low[p] != low[p] or low[p] is None else low[p] if low[i] != low[i] or low[i] is None else min(low[p], low[i])
+                    high[p] = high[i] if high[p] != high[p] or high[p] is None else high[p] if high[i] != high[i] or high[i] is None else max(high[p], high[i])
+            out += [(doc, o, None if p is None else ords[p], len(path), e, path, a, b) for o, p, path, e, a, b in zip(ords, parents, paths, last, low, high)]
+        found = pd.DataFrame(out, columns=[key, "ord", "parent", "depth", "last", "path", "low", "high"])
+        return found.astype({c: "Int32" for c in ("ord", "parent", "depth", "last", "low", "high")})
+
+    kind = nodes.schema[key].dataType.simpleString()
+    return by_document(nodes.select(key, "ord", "level", *has), fold, f"{key} {kind}, ord int, parent int, depth int, last int, path array<string>, low int, high int", key)
+
+
 def ancestors(nodes: DataFrame, key: str = "doc") -> DataFrame:
     """key, ord, path: titles from the root to each node."""
-    out = nodes.select(key, "ord", F.col("parent").alias("_p"), F.array("title").alias("path"))
-    look = nodes.select(key, F.col("ord").alias("_p"), F.col("parent").alias("_n"), F.col("title").alias("_t"))
-    for _ in range(_levels(nodes) - 1):
-        out = out.join(look, [key, "_p"], "left").select(key, "ord", F.col("_n").alias("_p"), F.when(F.col("_t").isNotNull(), F.concat(F.array("_t"), "path")).otherwise(F.col("path")).alias("path"))
-    return out.drop("_p")
+    return intervals(nodes, key).select(key, "ord", "path")
+
+
+def subtree(nodes: DataFrame, picks: DataFrame, key: str = "doc") -> DataFrame:
+    """Nodes that lie in the subtree of a pick (key, top), the pick too: key, top and the columns of nodes. One join, as a subtree is a range of ord."""
+    ranges = intervals(nodes, key).select(key, F.col("ord").alias("top"), F.col("last").alias("_last")).join(picks.select(key, "top").distinct(), [key, "top"], "left_semi")
+    return nodes.join(ranges, key).filter(F.col("ord").between(F.col("top"), F.col("_last"))).drop("_last")
 
 
 def expand_cost(nodes: DataFrame, children: DataFrame, key: str = "doc") -> DataFrame:
-    """key, ord, cost, residual, expand: one step of lookahead, the proposed children (key, ord of the parent, start, end) as collapsed; expand if that
-    costs less than reading the node's pages."""
+    """key, ord, cost, residual, expand: one step of lookahead, the proposed children (key, ord of the parent, start, end) as collapsed; expand if the node has more than
+    LEAST_SPAN pages and that costs less than reading them."""
     pages = nodes.select(key, "ord", (F.col("end") - F.col("start") + 1).alias("span"), F.explode(F.sequence("start", "end")).alias("page"))
     has = children.select(key, "ord", F.explode(F.sequence("start", "end")).alias("page")).distinct()
     left = pages.join(has, [key, "ord", "page"], "left_anti").groupBy(key, "ord").agg(F.count("*").alias("residual"))
     worst = children.groupBy(key, "ord").agg(F.max(F.col("end") - F.col("start") + 1).alias("scan"))
     out = nodes.select(key, "ord", (F.col("end") - F.col("start") + 1).alias("span")).join(worst, [key, "ord"]).join(left, [key, "ord"], "left").fillna(0, ["residual"])
     cost = ROUTING + F.greatest("scan", "residual")
-    return out.select(key, "ord", cost.cast("double").alias("cost"), "residual", (cost < F.col("span")).alias("expand"))
+    return out.select(key, "ord", cost.cast("double").alias("cost"), "residual", ((F.col("span") > LEAST_SPAN) & (cost < F.col("span"))).alias("expand"))
 
 
+LEAST_SPAN = 5  # fixed value: only nodes of more pages are expanded
 LONGEST_TITLE = 200  # of joined titles
 
 
@@ -271,13 +312,8 @@ def with_preface(nodes: DataFrame, key: str = "doc") -> DataFrame:
 
 
 def covering_ranges(nodes: DataFrame, key: str = "doc") -> DataFrame:
-    """key, ord, start, end widened to all descendants: one step upward for each level."""
-    spans = nodes.select(key, "ord", "parent", "start", "end")
-    up, out = spans, spans.select(key, "ord", "start", "end")
-    for _ in range(_levels(nodes) - 1):
-        up = up.filter("parent is not null").select(key, F.col("parent").alias("ord"), "start", "end").join(nodes.select(key, "ord", "parent"), [key, "ord"])
-        out = out.unionByName(up.select(key, "ord", "start", "end"))
-    return out.groupBy(key, "ord").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    """key, ord, start, end widened to all descendants."""
+    return intervals(nodes, key).select(key, "ord", F.col("low").alias("start"), F.col("high").alias("end"))
 
 
 #: Fixed value: what the title of a node for a parent's opening pages ends in.
@@ -290,6 +326,39 @@ def intro_title(title: Column) -> Column:
     return F.when(t == "", "Intro").when(t.endswith(INTRO), t).otherwise(F.concat(t, F.lit(INTRO)))
 
 
+def add_intro_nodes(nodes: DataFrame, key: str = "doc") -> DataFrame:
+    """key, ord, level, title, start, end, intro: nodes with a first child for the opening pages of each parent whose first child starts on a later page, all numbered anew.
+
+    It ends where the parent does, and no later than on the first child's page, or on the page before if that child's heading opens its page (opens). nodes: key, ord,
+    level, parent, title, start, end, opens.
+    """
+    first = nodes.filter("parent is not null").groupBy(key, F.col("parent").alias("ord")).agg(F.min(F.struct("ord", "start", F.coalesce("opens", F.lit(False)).alias("opens"), "level")).alias("c"))
+    until = F.when(F.col("c.opens"), F.col("c.start") - 1).otherwise(F.col("c.start"))
+    opening = nodes.join(first, [key, "ord"]).filter(F.col("c.start") > F.col("start"))
+    made = opening.select(key, F.col("ord").alias("_o"), F.lit(1).alias("_i"), F.col("c.level").alias("level"), intro_title(F.col("title")).alias("title"), "start", F.greatest("start", F.least("end", until)).alias("end"))
+    every = nodes.select(key, F.col("ord").alias("_o"), F.lit(0).alias("_i"), "level", "title", "start", "end").unionByName(made)
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_o", "_i")) - 1
+    return every.select(key, place.alias("ord"), "level", "title", "start", "end", (F.col("_i") == 1).alias("intro"))
+
+
+def complexity(nodes: DataFrame, pages: str = "pages", key: str = "doc") -> DataFrame:
+    """key, frontier, worst, average, normalized, max_depth, mean_depth, mass: what finding a page of a document costs by its tree.
+
+    The frontier are leaves, by all their pages, and parents' pages that no child has, one step deeper. The average weighs each by its share of the document's pages, and
+    a page lies in the middle of what is read. mass is over 1 where ranges overlap. nodes: key, ord, level, parent, start, end, pages.
+    """
+    where = intervals(nodes.select(key, "ord", "level"), key).select(key, "ord", "depth")
+    left = residual_pages(nodes, key).join(where, [key, "ord"]).join(nodes.select(key, F.col("parent").alias("ord")).filter("ord is not null").distinct().withColumn("_p", F.lit(True)), [key, "ord"], "left")
+    entries = left.select(key, F.when(F.col("_p"), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), F.when(F.col("_p"), F.col("residual")).otherwise(F.col("span")).alias("n")).filter("n > 0")
+    total = nodes.groupBy(key).agg(F.max(pages).alias("total"))
+    cost = entries.join(total, key).withColumn("p", F.col("n") / F.col("total"))
+    worst = F.max(ROUTING * F.col("depth") + F.col("n"))
+    return cost.groupBy(key).agg(
+        F.count("*").alias("frontier"), worst.alias("worst"), F.round(F.sum(F.col("p") * (ROUTING * F.col("depth") + (F.col("n") + 1) / 2)), 3).alias("average"), F.round(worst / F.max("total"), 4).alias("normalized"),
+        F.max("depth").alias("max_depth"), F.round(F.avg("depth"), 2).alias("mean_depth"), F.round(F.sum("p"), 4).alias("mass"),
+    )
+
+
 def own_pages(nodes: DataFrame, key: str = "doc") -> DataFrame:
     """key, ord, first, last: a node's own pages, a parent's up to and with its first child's start, as that child's heading may sit mid-page; last is null
     where the first child is the parent's intro."""

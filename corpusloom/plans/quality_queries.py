@@ -212,7 +212,7 @@ def tree_same_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_TREE}, k AS (SELECT doc, ord, start, "end", start AS a, start + ("end" - start) // 3 AS e FROM g UNION ALL SELECT doc, ord, start, "end", "end" - ("end" - start) // 2, "end" FROM g WHERE "end" > start),
 pp AS (SELECT DISTINCT doc, ord, unnest(range(a, e + 1)) AS page FROM k), r AS (SELECT doc, ord, count(*) AS c FROM pp GROUP BY ALL), w AS (SELECT doc, ord, max(e - a + 1) AS scan, any_value("end" - start + 1) AS span FROM k GROUP BY ALL)
-SELECT doc, CAST(ord AS INTEGER) AS ord, CAST(1 + greatest(scan, span - c) AS DOUBLE) AS cost, span - c AS residual, 1 + greatest(scan, span - c) < span AS expand FROM w JOIN r USING (doc, ord)""")
+SELECT doc, CAST(ord AS INTEGER) AS ord, CAST(1 + greatest(scan, span - c) AS DOUBLE) AS cost, span - c AS residual, span > 5 AND 1 + greatest(scan, span - c) < span AS expand FROM w JOIN r USING (doc, ord)""")
 def tree_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether two proposed children, the first third and the last half of a node's pages, pay."""
     nodes = _ranges(spark, sf_dir)
@@ -254,6 +254,44 @@ def tree_frontier_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc", F.col("worst").cast("double").alias("worst"), F.round("expected", 6).alias("expected"))
 
 
+_LAST = """_l AS (SELECT g.*, coalesce((SELECT min(u.ord) FROM g u WHERE u.doc = g.doc AND u.ord > g.ord AND u.level <= g.level) - 1, max(ord) OVER (PARTITION BY doc)) AS last FROM g)"""
+
+
+@query(f"""WITH RECURSIVE {_TREE}, {_LAST}, a AS (SELECT doc, ord, title AS path, 1 AS depth FROM g WHERE parent IS NULL UNION ALL SELECT g.doc, g.ord, a.path || '/' || g.title, a.depth + 1 FROM a JOIN g ON g.doc = a.doc AND g.parent = a.ord)
+SELECT a.doc, CAST(a.ord AS INTEGER) AS ord, path, CAST(depth AS INTEGER) AS depth, CAST(parent AS INTEGER) AS parent, CAST(last AS INTEGER) AS last FROM a JOIN _l ON _l.doc = a.doc AND _l.ord = a.ord""")
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path, depth, parent and last descendant of every node of every tree."""
+    return trees.intervals(_tree(spark, sf_dir)).select("doc", "ord", F.array_join("path", "/").alias("path"), "depth", "parent", "last")
+
+
+@query(f"""WITH {_TREE}, {_LAST}, m AS (SELECT doc, ord, last, CASE WHEN ord % 3 = 2 THEN start - 5 ELSE start END AS s, "end" + ord % 2 AS e FROM _l)
+SELECT a.doc, CAST(a.ord AS INTEGER) AS ord, CAST(min(b.s) AS INTEGER) AS start, CAST(max(b.e) AS INTEGER) AS "end" FROM m a JOIN m b ON b.doc = a.doc AND b.ord BETWEEN a.ord AND a.last GROUP BY a.doc, a.ord""")
+def tree_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page ranges widened to all descendants, where every third node starts early and every second ends late."""
+    nodes = _ranges(spark, sf_dir).withColumn("start", F.when(F.col("ord") % 3 == 2, F.col("start") - 5).otherwise(F.col("start"))).withColumn("end", F.col("end") + F.col("ord") % 2)
+    return trees.covering_ranges(nodes)
+
+
+@query(f"""WITH {_TREE}, c AS (SELECT doc, parent AS ord, min(ord) AS k FROM g WHERE parent IS NOT NULL GROUP BY ALL),
+i AS (SELECT g.doc, g.ord, 1 AS i, x.level, g.title || ' (intro)' AS title, g.start, greatest(g.start, least(g."end", CASE WHEN x.opens THEN x.start - 1 ELSE x.start END)) AS "end" FROM g JOIN c ON c.doc = g.doc AND c.ord = g.ord JOIN g x ON x.doc = c.doc AND x.ord = c.k WHERE x.start > g.start),
+u AS (SELECT doc, ord, 0 AS i, level, title, start, "end" FROM g UNION ALL SELECT * FROM i)
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY ord, i) - 1 AS INTEGER) AS ord, CAST(level AS INTEGER) AS level, title, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", i = 1 AS intro FROM u""")
+def tree_intro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tree with nodes for the opening pages of its parents."""
+    out = trees.add_intro_nodes(_ranges(spark, sf_dir))
+    return out.select("doc", "ord", F.col("level").cast("int").alias("level"), "title", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "intro")
+
+
+@query(f"""WITH RECURSIVE {_TREE}, a AS (SELECT doc, ord, 1 AS depth FROM g WHERE parent IS NULL UNION ALL SELECT g.doc, g.ord, a.depth + 1 FROM a JOIN g ON g.doc = a.doc AND g.parent = a.ord),
+o AS (SELECT doc, ord, unnest(range(start, "end" + 1)) AS page FROM g), k AS (SELECT DISTINCT doc, parent AS ord, unnest(range(start, "end" + 1)) AS page FROM g WHERE parent IS NOT NULL),
+r AS (SELECT doc, ord, count(*) AS r FROM o ANTI JOIN k USING (doc, ord, page) GROUP BY doc, ord),
+f AS (SELECT g.doc, CASE WHEN is_leaf THEN depth ELSE depth + 1 END AS depth, CASE WHEN is_leaf THEN "end" - start + 1 ELSE coalesce(r, 0) END AS n FROM g JOIN a ON a.doc = g.doc AND a.ord = g.ord LEFT JOIN r ON r.doc = g.doc AND r.ord = g.ord)
+SELECT doc, count(*) AS frontier, CAST(max(depth + n) AS DOUBLE) AS worst, round(sum(n / 30 * (depth + (n + 1) / 2)), 3) AS average, round(max(depth + n) / 30, 4) AS normalized, CAST(max(depth) AS INTEGER) AS max_depth, round(avg(depth), 2) AS mean_depth, round(sum(n / 30), 4) AS mass FROM f WHERE n > 0 GROUP BY doc""")
+def tree_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What finding a page costs in every tree."""
+    return trees.complexity(_ranges(spark, sf_dir))
+
+
 @query()
 def tree_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the nodes of every tree go if those of few words take in their descendants."""

@@ -279,6 +279,18 @@ def test_tree_costs_count_residual_pages(spark):
     assert got == {("d", 0): (14.0, True), ("d", 1): (4.0, False), ("d", 2): (3.0, False), ("e", 0): (2.0, False), ("e", 1): (1.0, False), ("e", 2): (1.0, False)}
 
 
+def test_deep_trees(spark):
+    """A thousand levels in one pass, levels with gaps, ends that are given, and subtrees as ranges."""
+    deep = [("d", i, i + 1, f"t{i}", i, 2000 - i) for i in range(1000)] + [("e", 0, 3, "a", 5, 5), ("e", 1, 9, "b", 1, 7), ("e", 2, 4, "c", 6, 6), ("e", 3, 1, "z", 8, 8)]
+    nodes = spark.createDataFrame(deep, "doc string, ord int, level int, title string, start int, end int")
+    got = {(r.doc, r.ord): r for r in trees.intervals(nodes).collect()}
+    assert all((got["d", i].parent, got["d", i].depth, got["d", i].last, len(got["d", i].path)) == (i - 1 if i else None, i + 1, 999, i + 1) for i in range(1000))
+    assert [(got["e", i].parent, got["e", i].last, got["e", i].low, got["e", i].high) for i in range(4)] == [(None, 2, 1, 7), (0, 1, 1, 7), (0, 2, 6, 6), (None, 3, 8, 8)]
+    assert sorted((r.top, r.ord) for r in trees.subtree(nodes, spark.createDataFrame([("e", 0), ("d", 998)], "doc string, top int")).collect()) == [(0, 0), (0, 1), (0, 2), (998, 998), (998, 999)]
+    some = spark.createDataFrame([("x", 0, 1, True, 7), ("x", 1, 4, True, None)], "doc string, ord int, start int, opens boolean, end int").withColumn("pages", F.lit(9))
+    assert [r.end for r in trees.with_ends(some).orderBy("ord").collect()] == [7, 9] and [r.end for r in trees.with_ends(some.drop("end")).orderBy("ord").collect()] == [3, 9]
+
+
 def test_page_thinning(spark):
     rows = [("d", 0, None, 1, 9), ("d", 1, 0, 1, 1), ("d", 2, 1, 1, 1), ("d", 3, 0, 2, 3), ("d", 4, 3, 3, 4)]
     df = spark.createDataFrame(rows, "doc string, ord int, parent int, start int, end int")
