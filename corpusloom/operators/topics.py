@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,7 @@ def top_topics(rows: DataFrame, most: int = 5) -> DataFrame:
     return rows.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("topic")), 1, most).alias("topics"))
 
 
+IN_ORDER = 4096  # vectors that one task merges link after link
 CLUSTER_PART = 2048  # members of a cluster that are dealt out together; larger clusters are split
 
 
@@ -89,30 +91,56 @@ def _best_partners(ids: np.ndarray, own: np.ndarray, a: np.ndarray, i: np.ndarra
             yield best
 
 
-def _partners(active: DataFrame, every: DataFrame, sizes: DataFrame, least: float, block: int) -> DataFrame:
-    """c, q, link: the best compatible partner of each active cluster. Clusters are dealt to blocks whole, those of over CLUSTER_PART members in parts."""
+def _partners(active: DataFrame, every: DataFrame, least: float, block: int, n_active: int, n_every: int) -> DataFrame:
+    """c, q, link, n, m: the best compatible partner of each active cluster, and both sizes. Clusters are dealt to blocks whole, those of over CLUSTER_PART members in parts.
+    Rows: rep, c, v, n."""
 
-    def blocks(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
-        n = max(1, -(-rows.count() // block))
-        part = F.when(F.col("n") <= CLUSTER_PART, F.pmod(F.xxhash64("c"), F.lit(n))).otherwise(F.pmod(F.xxhash64("rep"), F.lit(n)))
-        packed = rows.join(sizes, "c").withColumn("w", F.col("n") <= CLUSTER_PART).groupBy(part.alias(name)).agg(F.collect_list("rep").alias("ids"), F.collect_list("c").alias("cs"), F.collect_list("v").alias("vs"), F.collect_list("w").alias("ws"))
-        return packed, n
+    def blocks(rows: DataFrame, name: str, count: int) -> tuple[DataFrame, int]:
+        k = max(1, -(-count // block))
+        part = F.when(F.col("n") <= CLUSTER_PART, F.pmod(F.xxhash64("c"), F.lit(k))).otherwise(F.pmod(F.xxhash64("rep"), F.lit(k)))
+        return rows.groupBy(part.alias(name)).agg(*[F.collect_list(x).alias(f"{name}_{x}") for x in ("rep", "c", "v", "n")]), k
 
-    (left, _), (right, n) = blocks(active, "l"), blocks(every, "r")
-    grid = left.select("l", F.col("ids").alias("a"), F.col("cs").alias("ac"), F.col("vs").alias("av"), F.col("ws").alias("aw"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("r")).join(right, "r")
+    (left, _), (right, k) = blocks(active, "l", n_active), blocks(every, "r", n_every)
+    grid = left.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))).join(right, "r")
+    fields = [f"{s}_{x}" for s in "lr" for x in ("rep", "c", "v", "n")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for a, ac, av, aw, ids, cs, vs, ws in zip(*[rows[c] for c in ("a", "ac", "av", "aw", "ids", "cs", "vs", "ws")]):
-                whole = {c for c, w in [*zip(ac, aw), *zip(cs, ws)] if w}
-                found = _best_partners(np.asarray(a), np.asarray(ac), _unit(av), np.asarray(ids), np.asarray(cs), _unit(vs), whole, least)
-                yield pd.DataFrame(list(found), columns=["c", "q", "pairs", "s", "x", "y"]).astype({"c": "int64", "q": "int64", "pairs": "int64", "s": float, "x": "int64", "y": "int64"})
+            for a, ac, av, an, ids, cs, vs, ns in zip(*[rows[c] for c in fields]):
+                sizes = dict(zip([*ac, *cs], [*an, *ns]))
+                whole = {c for c, n in sizes.items() if n <= CLUSTER_PART}
+                found = [(*x, sizes[x[0]], sizes[x[1]]) for x in _best_partners(np.asarray(a), np.asarray(ac), _unit(av), np.asarray(ids), np.asarray(cs), _unit(vs), whole, least)]
+                yield pd.DataFrame(found, columns=["c", "q", "pairs", "s", "x", "y", "n", "m"]).astype({"s": float} | dict.fromkeys(("c", "q", "pairs", "x", "y", "n", "m"), "int64"))
 
-    found = grid.select("a", "ac", "av", "aw", "ids", "cs", "vs", "ws").mapInPandas(run, "c long, q long, pairs long, s double, x long, y long")
+    found = grid.select(*fields).mapInPandas(run, "c long, q long, pairs long, s double, x long, y long, n long, m long")
     # parts of large clusters: all cross pairs must have shown up
-    summed = found.groupBy("c", "q").agg(F.sum("pairs").alias("pairs"), F.min(F.struct("s", "x", "y")).alias("link"))
-    full = summed.join(sizes.toDF("c", "_n"), "c").join(sizes.toDF("q", "_m"), "q").filter(F.col("pairs") == F.col("_n") * F.col("_m"))
-    return full.groupBy("c").agg(F.min(F.struct("link", "q")).alias("b")).select("c", "b.q", "b.link")
+    summed = found.groupBy("c", "q", "n", "m").agg(F.sum("pairs").alias("pairs"), F.min(F.struct("s", "x", "y")).alias("link")).filter(F.col("pairs") == F.col("n") * F.col("m"))
+    return summed.groupBy("c").agg(F.min(F.struct("link", "q", "n", "m")).alias("b")).select("c", "b.q", "b.link", "b.n", "b.m")
+
+
+def _in_order(ids: np.ndarray, own: np.ndarray, v: np.ndarray, least: float) -> np.ndarray:
+    """The clusters after all merges of a few vectors in clusters: links in order, a merge where all members of both are similar enough."""
+    s = np.round(v @ v.T, 9)
+    names, at = np.unique(own, return_inverse=True)
+    fits = np.ones((len(names), len(names)), dtype=bool)
+    low = s < least
+    for c in range(len(names)):
+        fits[c] = ~np.bincount(at, weights=low[at == c].any(0), minlength=len(names)).astype(bool)
+    np.fill_diagonal(fits, False)
+    x, y = np.nonzero(np.triu(~low, 1) & fits[at][:, at])
+    order = np.lexsort((np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y]), -s[x, y]))
+    for start in range(0, len(order), 65536):
+        part = order[start : start + 65536]
+        part = part[fits[at[x[part]], at[y[part]]]]
+        for i, j in zip(x[part].tolist(), y[part].tolist()):
+            p, q = at[i], at[j]
+            if fits[p, q]:
+                p, q = (p, q) if names[p] < names[q] else (q, p)
+                fits[p] &= fits[q]
+                fits[:, p] = fits[p]
+                fits[q] = fits[:, q] = False
+                at[at == q] = p
+    return names[at]
 
 
 def clusters(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
@@ -122,37 +150,47 @@ def clusters(vectors: DataFrame, least: float, key: str = "vec_id", vector: str
     the clusters that a cluster can merge with, it waits for the one with the best link, and merging others never brings it a better one. So wherever two
     clusters wait for each other they merge at once, all such pairs in one round, and the result is that of the sequential order. Only clusters that
     merged, or that waited for one that did, look for a partner again. Links are found by products of blocks and never become rows but for the best of a cluster;
-    no task holds more than two blocks. Ties go to the least ids; a zero vector is similar to none.
+    no task holds more than two blocks. Once no more than IN_ORDER vectors are in clusters that may still merge, one task merges these link after link. Ties go to the
+    least ids; a zero vector is similar to none.
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    rows = staged(rows.withColumn("own", F.when(~F.exists("v", lambda x: x != 0), F.col("id"))), "vectors")
+    rows = staged(rows.withColumn("own", F.when(~F.exists("v", lambda x: x != 0), F.col("id"))), "vectors")  # a zero vector is similar to none
     groups = staged(rows.groupBy("v", "own").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "groups")
-    open_, done = groups.filter("own is null").select("rep", F.col("rep").alias("c"), "v"), groups.filter("own is not null").select("rep", F.col("rep").alias("c"))
-    active, waits = open_, None
-    while True:
-        sizes = staged(open_.groupBy("c").agg(F.count("*").alias("n")), "sizes")
-        fresh = _partners(active, open_, sizes, least, block)
+    open_, done = groups.filter("own is null").select("rep", F.col("rep").alias("c"), "v", F.lit(1).cast("long").alias("n")), [groups.filter("own is not null").select("rep", F.col("rep").alias("c"))]
+    active, waits, n_open = open_, None, open_.count()
+    while n_open > IN_ORDER:
+        fresh = _partners(active, open_, least, block, active.count(), n_open)
         waits = staged(fresh if waits is None else waits.unionByName(fresh), "waits")
-        # a cluster without a partner will never have one
-        closed = open_.join(waits.select("c"), "c", "left_anti")
-        done = staged(done.unionByName(closed.select("rep", "c")), "done")
-        if waits.isEmpty():
-            break
-        mutual = waits.alias("a").join(waits.alias("b"), (F.col("a.c") == F.col("b.q")) & (F.col("a.q") == F.col("b.c"))).filter("a.c < a.q").select(F.col("a.c").alias("c"), F.col("a.q").alias("q"))
-        mutual = staged(mutual, "mutual")
-        if mutual.isEmpty():  # only where products in another order round apart: the best link of all is next
-            mutual = staged(waits.orderBy("link", "c").limit(1).select(F.least("c", "q").alias("c"), F.greatest("c", "q").alias("q")), "mutual")
-        renamed = mutual.select(F.col("q").alias("c"), F.col("c").alias("into")).unionByName(mutual.select("c", F.col("c").alias("into")))
-        open_ = open_.join(waits.select("c"), "c", "left_semi").join(renamed, "c", "left")
-        open_ = staged(open_.select("rep", F.coalesce("into", "c").alias("c"), "v", F.col("into").isNotNull().alias("moved")), "open")
-        gone = renamed.select("c")
-        still = waits.join(gone, "c", "left_anti").join(gone.toDF("q"), "q", "left_anti").select("c", "q", "link")
-        again = waits.join(gone, "c", "left_anti").join(gone.toDF("q"), "q", "left_semi").select("c")
-        active = open_.filter("moved").drop("moved").unionByName(open_.drop("moved").join(again, "c", "left_semi").select("rep", "c", "v"))
-        open_, waits = open_.drop("moved"), staged(still, "waits")
+        back = waits.select(F.col("c").alias("q"), F.col("q").alias("c"), F.lit(True).alias("both"))
+        told = waits.join(back, ["c", "q"], "left")
+        if told.filter("both").isEmpty():
+            if waits.isEmpty():
+                break
+            # only where products in another order round apart: the best link of all is next
+            first = waits.orderBy("link", "c").first()
+            told = waits.withColumn("both", ((F.col("c") == first["c"]) & (F.col("q") == first["q"])) | ((F.col("c") == first["q"]) & (F.col("q") == first["c"])))
+        # of each cluster what becomes of it: the name and size after this round, and whether it merged
+        told = staged(told.select("c", "q", "link", "n", "m", F.coalesce("both", F.lit(False)).alias("moved")), "told")
+        after = told.select("c", F.when(F.col("moved"), F.least("c", "q")).otherwise(F.col("c")).alias("_to"), F.when(F.col("moved"), F.col("n") + F.col("m")).otherwise(F.col("n")).alias("_n"), "moved")
+        lost = told.join(told.filter("moved").select(F.col("c").alias("q"), F.lit(True).alias("lost")), "q", "left").filter("not moved").select("c", "q", "link", "n", "m", F.coalesce("lost", F.lit(False)).alias("lost"))
+        waits = staged(lost, "lost")
+        named = open_.join(after, "c", "left").join(waits.filter("lost").select("c", "lost"), "c", "left")
+        each = staged(named.select("rep", F.coalesce("_to", "c").alias("c"), "v", F.coalesce("_n", "n").alias("n"), F.col("_to").isNull().alias("closed"), (F.coalesce("moved", F.lit(False)) | F.coalesce("lost", F.lit(False))).alias("again")), "open")
+        done.append(each.filter("closed").select("rep", "c"))  # a cluster without a partner will never have one
+        open_, active = each.filter("not closed").select("rep", "c", "v", "n"), each.filter("not closed and again").select("rep", "c", "v", "n")
+        waits, n_open = waits.filter("not lost").drop("lost"), open_.count()
+
+    def finish(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"rep": part["rep"], "c": _in_order(part["rep"].to_numpy(), part["c"].to_numpy(), _unit(part["v"]), least)})
+
+    if n_open <= IN_ORDER:
+        done.append(open_.groupBy().applyInPandas(finish, "rep long, c long"))
+    else:
+        done.append(open_.select("rep", "c"))
+    whole = reduce(DataFrame.unionByName, done)
     of_copies = groups.filter("copies > 1").select(F.col("v").alias("_v"), "rep")
     named = rows.join(of_copies, F.col("own").isNull() & (F.col("v") == F.col("_v")), "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    return named.join(done, "rep").select(F.col("id").alias(key), F.col("c").cast("long").alias("cluster"))
+    return named.join(whole, "rep").select(F.col("id").alias(key), F.col("c").cast("long").alias("cluster"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -233,9 +233,11 @@ def complete_link(pairs: list[tuple[int, int, float]], least: float) -> dict[int
     return of
 
 
-@pytest.mark.parametrize("block,part,ties", [(7, 2048, False), (4096, 2048, True), (16, 2, False)])
-def test_clusters_equal_complete_linkage_of_the_whole_table(spark, monkeypatch, block, part, ties):
+@pytest.mark.parametrize("block,part,ties,most", [(7, 2048, False, 0), (4096, 2048, True, 20), (16, 2, False, 0), (4096, 2048, True, 4096)])
+def test_clusters_equal_complete_linkage_of_the_whole_table(spark, monkeypatch, block, part, ties, most):
+    """In rounds, in rounds until few vectors are left, with clusters in parts, and link after link."""
     monkeypatch.setattr(topics, "CLUSTER_PART", part)
+    monkeypatch.setattr(topics, "IN_ORDER", most)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 4))
     vs = [(centres[i % 12] + rng.normal(scale=0.4, size=4)).tolist() for i in range(90)]
