@@ -14,7 +14,7 @@ a an the and or but if then than that this these those of in on at to for from
 by with without within into onto under over between among during before after
 is are was were be been being it its it's as we our us they their them he she
 his her not no nor so such can could may might must shall should will would
-do does did done has have had having also more most much many few both each
+do does did done have has had having also more most much many few both each
 other another some any all one two three first second third however therefore
 thus moreover furthermore additionally respectively ie eg etc vs versus
 using used use uses based data study studies results result show shows shown

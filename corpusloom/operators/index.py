@@ -57,7 +57,7 @@ class StoredIndex:
     def search(self, queries: DataFrame, k: int, key: str = "doc_id", allowed: DataFrame | None = None) -> DataFrame:
         """As phrases.bm25_phrases gives them for queries (query_id, query); allowed (key) are the documents that may be hits."""
         units = phrases.staged(phrases.phrase_units(queries), "asked")
-        found, totals = self._found(phrases.terms_of_units(units), key)
+        found, totals = self._found(units.select(F.explode("unit").alias("term")).distinct(), key)
         scored = phrases.score_units(phrases.staged(found, "postings"), totals, units, key)
         return phrases.ranked(scored if allowed is None else scored.join(allowed.select(key).distinct(), key, "left_semi"), k, key)
 

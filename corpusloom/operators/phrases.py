@@ -38,42 +38,52 @@ def phrase_units(queries: DataFrame, text: str = "query") -> DataFrame:
     return each.groupBy("query_id", "grp", "unit").agg(F.max("scores").alias("scores"), F.max("required").alias("required"))
 
 
-def terms_of_units(units: DataFrame) -> DataFrame:
-    return units.select(F.explode("unit").alias("term")).distinct()
+def grams_of(unit: Column) -> Column:
+    """A unit as what a scan looks for: its word, or its pairs of neighbours, which are far rarer than its words."""
+    pairs = F.transform(F.slice(unit, F.lit(2), F.size(unit)), lambda w, i: F.concat_ws(" ", F.get(unit, i), w))
+    return F.when(F.size(unit) == 1, unit).otherwise(pairs)
 
 
-def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", tokens=phrase_tokens) -> tuple[DataFrame, DataFrame]:
-    """key, term, tf, dl, positions of wanted terms, and one row of n, avgdl. Texts are cut once; words that no query has go before anything is grouped."""
+def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", tokens=phrase_tokens, positions: bool = True) -> tuple[DataFrame, DataFrame]:
+    """key, term, tf, dl, and positions, of wanted terms (words, or pairs of neighbours with a space between), and one row of n, avgdl. Texts are cut once, and what no
+    query has goes before anything is grouped."""
     n = terms.count()
     named = [r["term"] for r in terms.collect()] if n <= MOST_LITERALS else None
     placed = F.transform("t", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    hits = F.filter(placed, lambda h: h["term"].isin(*named)) if named is not None else F.filter(placed, lambda h: h["term"] != "")
+    beside = F.transform(F.slice("t", F.lit(2), F.size("t")), lambda t, i: F.struct(F.concat_ws(" ", F.get("t", i), t).alias("term"), i.alias("pos")))
+    if named is not None:
+        one, two = [t for t in named if " " not in t], [t for t in named if " " in t]
+        among = lambda some: lambda h: h["term"].isin(*some)
+        found = [F.filter(x, among(some)) for x, some in ((placed, one), (beside, two)) if some]
+        hits = F.concat(*found) if found else F.filter(placed, lambda _: F.lit(False))
+    else:
+        hits = F.filter(F.concat(placed, beside), lambda h: h["term"] != "")
     cut = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size(F.filter("t", lambda t: t != "")).alias("dl"), hits.alias("hits"))
-    cut = staged(cut, "cut")
+    cut = staged(cut, "cut") if named is not None else cut
     totals = cut.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     each = cut.select(key, "dl", F.explode("hits").alias("h")).select(key, "dl", "h.*")
     each = each if named is not None else each.join(small(terms, n), "term", "left_semi")
-    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.collect_list("pos").alias("positions")), totals
+    where = [F.collect_list("pos").alias("positions")] if positions else []
+    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), *where), totals
 
 
-def unit_frequencies(found: DataFrame, units: DataFrame, key: str) -> DataFrame:
-    """unit, key, tf, dl of units (unit) in postings: of a unit of several words the places where they stand side by side."""
-    wanted = units.select("unit").distinct()
-    one = wanted.filter(F.size("unit") == 1).select("unit", F.col("unit")[0].alias("term"))
+def unit_frequencies(found: DataFrame, units: DataFrame, key: str, parts_of=lambda unit: unit) -> DataFrame:
+    """unit, key, tf, dl of units (unit) in postings of their parts: of a unit of several parts the places where they follow each other."""
+    wanted = units.select("unit", parts_of(F.col("unit")).alias("parts")).distinct()
+    one = wanted.filter(F.size("parts") == 1).select("unit", F.col("parts")[0].alias("term"))
     single = found.join(small(one, one.count()), "term").select("unit", key, "tf", "dl")
-    parts = wanted.filter(F.size("unit") > 1).select("unit", F.posexplode("unit").alias("at", "term"))
-    # a unit has a row for each of its words here: what meets is bounded by the query and by one document
-    met = found.join(small(parts, parts.count()), "term").groupBy("unit", key).agg(F.first("dl").alias("dl"), F.collect_list(F.struct("at", "positions")).alias("ps"))
+    parts = wanted.filter(F.size("parts") > 1).select("unit", F.size("parts").alias("n"), F.posexplode("parts").alias("at", "term"))
+    # a unit has a row for each of its parts here: what meets is bounded by the query and by one document
+    met = found.join(small(parts, parts.count()), "term").groupBy("unit", "n", key).agg(F.first("dl").alias("dl"), F.collect_list(F.struct("at", "positions")).alias("ps"))
     starts = lambda p: F.transform(p["positions"], lambda x: x - p["at"])
-    first = starts(F.col("ps")[0])
-    both = F.aggregate(F.slice("ps", 2, F.size("unit")), first, lambda a, p: F.array_intersect(a, starts(p)))
-    many = met.filter(F.size("ps") == F.size("unit")).select("unit", key, F.size(both).cast("long").alias("tf"), "dl").filter("tf > 0")
+    both = F.aggregate(F.slice("ps", 2, F.size("ps")), starts(F.col("ps")[0]), lambda a, p: F.array_intersect(a, starts(p)))
+    many = met.filter(F.size("ps") == F.col("n")).select("unit", key, F.size(both).cast("long").alias("tf"), "dl").filter("tf > 0")
     return single.unionByName(many)
 
 
-def score_units(found: DataFrame, totals: DataFrame, units: DataFrame, key: str) -> DataFrame:
+def score_units(found: DataFrame, totals: DataFrame, units: DataFrame, key: str, parts_of=lambda unit: unit) -> DataFrame:
     """query_id, grp, key, score, whole: whether a document has all that its group requires."""
-    tf = staged(unit_frequencies(found, units, key).withColumnRenamed("unit", "term"), "units")
+    tf = staged(unit_frequencies(found, units, key, parts_of).withColumnRenamed("unit", "term"), "units")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     group = F.struct("query_id", "grp").alias("query_id")
     asked = units.select(group, F.col("unit").alias("term"), "scores", "required")
@@ -97,5 +107,6 @@ def ranked(scored: DataFrame, k: int, key: str) -> DataFrame:
 def bm25_phrases(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, key, score, rank of queries (query_id, query) over docs, which are read once."""
     units = staged(phrase_units(queries), "asked")
-    found, totals = postings(docs, terms_of_units(units), key, text)
-    return ranked(score_units(staged(found, "postings"), totals, units, key), k, key)
+    terms = units.select(F.explode(grams_of(F.col("unit"))).alias("term")).distinct()
+    found, totals = postings(docs, terms, key, text)
+    return ranked(score_units(staged(found, "postings"), totals, units, key, grams_of), k, key)

@@ -128,8 +128,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     q = queries.distinct()
     from corpusloom.operators.phrases import postings
 
-    tf, totals = postings(docs, q.select("term").distinct(), key, text, words)
-    tf = staged(tf.drop("positions"), "postings")
+    tf, totals = postings(docs, q.select("term").distinct(), key, text, words, positions=False)
+    tf = staged(tf, "postings")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     return _scored(tf, df, totals, q, key, every)
 
