@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import answers as an
+from corpusloom.functions import authors as au
 from corpusloom.functions import metadata as md
 from corpusloom.operators import bibliography as bib
 from corpusloom.operators import graph as gr
@@ -308,3 +310,79 @@ def reference_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = read(spark, sf_dir, "lineitem")
     verified = line.select(F.concat(F.lit("src"), _s(F.col("l_suppkey") % 25)).alias("src"), F.concat(F.lit("src"), _s(F.col("l_partkey") % 25)).alias("dst"))
     return gr.reference_graph(docs, verified)
+
+
+_PARTICLES_SQL = "['" + "', '".join(x.replace("'", "''") for x in au.PARTICLES) + "']"
+#: Names from parts' names: and types' first four words, in the forms that registries and citations have.
+_NAMED = """n AS (SELECT p_partkey AS k, string_split(lower(p_name || ' ' || p_type || ' x y'), ' ') AS w FROM part),
+c AS (SELECT k, upper(w[1][1]) || w[1][2:] AS a, upper(w[2][1]) || w[2][2:] AS b, upper(w[3][1]) || w[3][2:] AS c, w[4] AS d FROM n)"""
+
+
+def _names(spark, sf_dir) -> DataFrame:
+    w = F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", F.lit("x y"))), " ")
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), *[F.initcap(w[i]).alias(x) for i, x in enumerate("abc")], w[3].alias("d"))
+
+
+@query(rf"""WITH {_NAMED}, r AS (SELECT k, CASE k % 7 WHEN 0 THEN a || ',' || b || '; ' || c || ', X' WHEN 1 THEN a || ' WA; van der ' || b || ' F;  ' WHEN 2 THEN a || ', ' || d || ', De ' || b || ', T. J.' WHEN 3 THEN a || ' Q.' WHEN 4 THEN 'von  de' WHEN 5 THEN ' ; ,' ELSE 'le ' || a || ' ' || b END AS t FROM c),
+s AS (SELECT k, CASE WHEN contains(t, ';') THEN list_filter(list_transform(string_split(t, ';'), lambda x: trim(x)), lambda x: x <> '') WHEN contains(t, ',') THEN list_filter(list_transform(string_split(t, ','), lambda x: trim(x)), lambda x: x <> '') ELSE [trim(t)] END AS segs FROM r),
+e AS (SELECT k, seg, i FROM (SELECT s.k, unnest(segs) AS seg, generate_subscripts(segs, 1) AS i, contains(t, ';') OR NOT contains(t, ',') AS every FROM s JOIN r ON r.k = s.k) WHERE every OR i % 2 = 1),
+w AS (SELECT k, i, list_filter(string_split(trim(string_split(seg, ',')[1]), ' '), lambda x: x <> '') AS w FROM e),
+h AS (SELECT k, i, w, coalesce(list_min(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains({_PARTICLES_SQL}, lower(trim(w[j], '.'))))), 0) AS n FROM w WHERE len(w) > 0),
+f AS (SELECT k, i, CASE WHEN n = 0 THEN [w[1]] WHEN n = 1 OR regexp_matches(w[n], '^[A-Z]{{1,3}}\.?$') THEN [array_to_string(w[1:n], '')] ELSE [array_to_string(w[1:n], ''), w[n]] END AS x FROM h),
+g AS (SELECT k, i, list_filter(list_transform(x, lambda y: regexp_replace(lower(y), '[^a-z0-9]', '', 'g')), lambda y: length(y) > 1) AS x FROM f),
+z AS (SELECT k, flatten(list(x ORDER BY i)) AS x FROM g GROUP BY k)
+SELECT r.k, coalesce(x[1], '') AS first, coalesce((SELECT string_agg(y, ' ' ORDER BY y) FROM (SELECT DISTINCT unnest(x) AS y)), '') AS surnames, coalesce(len(x) > 0, false) AS ok FROM r LEFT JOIN z ON r.k = z.k""")
+def registry_surnames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surnames in registry records made of every part's name, in seven forms."""
+    a, b, c, d, k = (F.col(x) for x in "abcdk")
+    text = F.when(k % 7 == 0, F.concat(a, F.lit(","), b, F.lit("; "), c, F.lit(", X"))).when(k % 7 == 1, F.concat(a, F.lit(" WA; van der "), b, F.lit(" F;  "))).when(k % 7 == 2, F.concat(a, F.lit(", "), d, F.lit(", De "), b, F.lit(", T. J.")))
+    text = text.when(k % 7 == 3, F.concat(a, F.lit(" Q."))).when(k % 7 == 4, "von  de").when(k % 7 == 5, " ; ,").otherwise(F.concat(F.lit("le "), a, F.lit(" "), b))
+    out = _names(spark, sf_dir).select("k", au.registry_authors(text).alias("r"))
+    return out.select("k", "r.first", F.array_join(F.array_sort("r.surnames"), " ").alias("surnames"), "r.ok")
+
+
+@query(rf"""WITH {_NAMED}, r AS (SELECT k, CASE k % 6 WHEN 0 THEN a || ' and ' || b WHEN 1 THEN 'van der ' || a || ' et al.' WHEN 2 THEN a || ' & De ' || b || ', ' || d WHEN 3 THEN a || '  et . al., 2004' WHEN 4 THEN 'X and ' || b ELSE a END AS t FROM c),
+s AS (SELECT k, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '\bet\s+\.?\s*al\.?', '', 'g'), '\s+and\s+|\s*&\s+', ' § ', 'g'), ',.*$', ''), ' § '), lambda x: trim(x)), lambda x: x <> '')[1:2] AS parts FROM r),
+e AS (SELECT k, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM s), w AS (SELECT k, i, list_filter(string_split(part, ' '), lambda x: x <> '') AS w FROM e),
+h AS (SELECT k, i, w, coalesce(list_min(list_filter(range(1, len(w)), lambda j: NOT list_contains({_PARTICLES_SQL}, lower(trim(w[j], '.'))))), len(w)) AS n FROM w),
+f AS (SELECT k, i, regexp_replace(lower(array_to_string(w[1:n], '')), '[^a-z0-9]', '', 'g') AS x FROM h), z AS (SELECT k, list(x ORDER BY i) AS x FROM f WHERE length(x) > 1 GROUP BY k)
+SELECT r.k, coalesce(x[1], '') AS "primary", coalesce(x[2], '') AS secondary FROM r LEFT JOIN z ON r.k = z.k""")
+def target_surnames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surnames in citations made of every part's name, in six forms."""
+    a, b, d, k = (F.col(x) for x in "abdk")
+    text = F.when(k % 6 == 0, F.concat(a, F.lit(" and "), b)).when(k % 6 == 1, F.concat(F.lit("van der "), a, F.lit(" et al."))).when(k % 6 == 2, F.concat(a, F.lit(" & De "), b, F.lit(", "), d)).when(k % 6 == 3, F.concat(a, F.lit("  et . al., 2004"))).when(k % 6 == 4, F.concat(F.lit("X and "), b)).otherwise(a)
+    return _names(spark, sf_dir).select("k", au.target_authors(text).alias("t")).select("k", "t.primary", "t.secondary")
+
+
+_ANSWERS = r"""a AS (SELECT doc_id AS k, CASE doc_id % 6 WHEN 0 THEN '```json' || chr(10) || '{"claim": " ' || source || ' grows ", "rationale": "r", "expected_evidence": ["x' || doc_id || '", " ", "y"], "falsifier": "' || lang || '", "scores": {"interesting": 6.5, "feasible": "12", "testable": "no"}}' || chr(10) || '```'
+  WHEN 1 THEN 'Here: {"claim": "' || lang || ' {nested} ", "expected_evidence": "alone", "scores": 4, "verdict": "Supported", "reason": " so "} done' WHEN 2 THEN '{"claim": "cut off ' || source || '", "rationale": "beca' WHEN 3 THEN '{"claim": "", "verdict": "contradicted"}'
+  WHEN 4 THEN '{"verdict": "maybe", "claim": "' || n_chars || '", "scores": {"interesting": -3, "feasible": 2.5, "testable": 1e3}}' ELSE '' END AS t FROM documents),
+b AS (SELECT k, trim(regexp_replace(regexp_replace(t, '^```[a-zA-Z]*\s*', ''), '\s*```$', '')) AS t FROM a),
+o AS (SELECT k, CASE WHEN starts_with(t, '{') AND json_valid(t) THEN t WHEN json_valid(regexp_extract(t, '(?s)\{.*\}')) THEN regexp_extract(t, '(?s)\{.*\}') END AS j FROM b)"""
+
+
+_SCORED = ", ".join(f"CASE WHEN TRY_CAST(json_extract_string(j, '$.scores.{x}') AS DOUBLE) IS NOT NULL THEN CAST(least(greatest(round_even(TRY_CAST(json_extract_string(j, '$.scores.{x}') AS DOUBLE), 0), 1), 10) AS INTEGER) END AS {x}" for x in an.SCORES)
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    k, s = F.col("doc_id"), lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    text = F.when(k % 6 == 0, s('```json\n{"claim": " ', F.col("source"), ' grows ", "rationale": "r", "expected_evidence": ["x', k, '", " ", "y"], "falsifier": "', F.col("lang"), '", "scores": {"interesting": 6.5, "feasible": "12", "testable": "no"}}\n```'))
+    text = text.when(k % 6 == 1, s('Here: {"claim": "', F.col("lang"), ' {nested} ", "expected_evidence": "alone", "scores": 4, "verdict": "Supported", "reason": " so "} done')).when(k % 6 == 2, s('{"claim": "cut off ', F.col("source"), '", "rationale": "beca'))
+    text = text.when(k % 6 == 3, '{"claim": "", "verdict": "contradicted"}').when(k % 6 == 4, s('{"verdict": "maybe", "claim": "', F.col("n_chars"), '", "scores": {"interesting": -3, "feasible": 2.5, "testable": 1e3}}')).otherwise("")
+    return read(spark, sf_dir, "documents").select(k.alias("k"), text.alias("t"))
+
+
+@query(f"""WITH {_ANSWERS}, x AS (SELECT k, trim(coalesce(json_extract_string(j, '$.claim'), '')) AS claim, json_extract(j, '$.expected_evidence') AS ev, j FROM o)
+SELECT k, claim, trim(coalesce(json_extract_string(j, '$.falsifier'), '')) AS falsifier, array_to_string(list_filter(list_transform(CASE WHEN json_type(ev) = 'ARRAY' THEN CAST(ev AS VARCHAR[]) WHEN ev IS NULL THEN [] ELSE [json_extract_string(j, '$.expected_evidence')] END, lambda e: trim(e)), lambda e: e <> ''), '|') AS evidence,
+{_SCORED} FROM x WHERE claim <> ''""")
+def model_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hypotheses in made-up answers, one for every document: fenced, amid prose, cut off, without a claim, with scores out of range, empty."""
+    out = _answers(spark, sf_dir).select("k", an.hypothesis(F.col("t")).alias("h")).filter("h is not null")
+    return out.select("k", "h.claim", "h.falsifier", F.coalesce(F.array_join("h.expected_evidence", "|"), F.lit("")).alias("evidence"), "h.interesting", "h.feasible", "h.testable")
+
+
+@query(f"""WITH {_ANSWERS}, v AS (SELECT k, lower(trim(coalesce(json_extract_string(j, '$.verdict'), ''))) AS verdict, trim(coalesce(json_extract_string(j, '$.reason'), '')) AS reason FROM o)
+SELECT * FROM v WHERE verdict IN ('supported', 'contradicted', 'inconclusive')""")
+def model_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts in the same answers."""
+    return _answers(spark, sf_dir).select("k", an.verdict(F.col("t")).alias("v")).filter("v is not null").select("k", "v.verdict", "v.reason")

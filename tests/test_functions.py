@@ -306,3 +306,60 @@ def test_metadata_functions(spark):
     assert row.b.title == "Lee_2020_Growth" and row.b.year == ""
     assert row.c == "Title: new\ndoi:10.1/y\n\nBody\nYear: 5" and row.d == "Body" and row.e and not row.f
     assert row.g == ["1", "a"] and row.h == {0: "methods: b"} and row.i is None and row.j == ["One. two!", "Three"]
+
+
+def brute_surnames(text):
+    """Registry authors, one name at a time."""
+    import re
+    import unicodedata
+
+    from corpusloom.functions.authors import PARTICLES
+
+    fold = lambda t: re.sub("[^a-z0-9]", "", "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())
+    a = " ".join((text or "").split())
+    segs = [s.strip() for s in a.split(";")] if ";" in a else [p.strip() for p in a.split(",") if p.strip()][0::2] if "," in a else [a]
+    found = []
+    for seg in segs:
+        toks = seg.split(",")[0].split()
+        lead = []
+        while toks and toks[0].lower().strip(".") in PARTICLES:
+            lead.append(toks.pop(0))
+        if toks:
+            full = fold("".join(lead) + toks[0])
+            found += [full] if not lead or re.fullmatch(r"[A-Z]{1,3}[.]?", toks[0]) else [full, fold(toks[0])]
+        elif lead:
+            found.append(fold(lead[0]))
+    found = [f for f in found if len(f) > 1]
+    return found[0] if found else "", set(found), bool(found)
+
+
+def test_registry_authors(spark):
+    from corpusloom.functions import authors
+
+    texts = [
+        None, "", " ,; ", "Smith,John; Van Dyke,Anna", "Woodward WA; De Rooij F; von der Leyen U.", "Smith, Barry M., Jones, Sarah, O'Neil, T. J.", "Müller", "van den", "De. Graaf X", "WA", "de WA", "Åström-Núñez, É.; Łuk",
+        "'t Hooft G", "A; B; Li", "Smith  John\tPaul", "le, la", "Ñandú e\u0301clair", "van", "La Rue", ";;Smith;", "Smith,",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", authors.registry_authors(F.col("t")).alias("r")).collect()
+    assert [(r.t, r.r.first, set(r.r.surnames), r.r.ok) for r in rows] == [(t, *brute_surnames(t)) for t in texts]
+    cited = {"Daniel and Reynolds": ("daniel", "reynolds"), "Gebbink et al.": ("gebbink", ""), "van der Meer & de la Cruz, 2004": ("vandermeer", "delacruz"), "Smith": ("smith", ""), None: ("", ""), "X and Li and Wu": ("li", ""), "van der": ("vander", ""), "Émile et. al": ("emile", ""), "andover": ("andover", "")}
+    got = spark.createDataFrame([(c,) for c in cited], "t string").select("t", authors.target_authors(F.col("t")).alias("r")).collect()
+    assert {r.t: tuple(r.r) for r in got} == cited
+    names = {"Abdul-Wajid et al. - 2015 - Title.md": "abdulwajid", "Autorino_2026_Tissue.md": "autorino", "2020_x.md": "", "X - y.md": ""}
+    assert {r.t: r.s for r in spark.createDataFrame([(n,) for n in names], "t string").select("t", authors.filename_surname(F.col("t")).alias("s")).collect()} == names
+
+
+def test_broken_answers(spark):
+    from corpusloom.functions import answers
+
+    rows = ['{"1": {"article_type": "review", "topics": ["a", \'b c\']}, "2": {"article_type": "methods" "topics": [x, ]}, "3": {"article_type": "review", "topics": ["cut', "```json\n{\"7\": {\"article_type\": \"review\",\n \"topics\": []}, \"7\": {\"article_type\": \"new\", \"topics\": [\"z\"]}}\n```", "none", None]
+    got = [{k: (v.article_type, v.topics) for k, v in r.m.items()} for r in spark.createDataFrame(list(enumerate(rows)), "i int, t string").select(answers.detailed_rows(F.col("t")).alias("m")).collect()]
+    assert got == [{1: ("review", ["a", "b c"]), 2: ("methods", ["x"])}, {7: ("new", ["z"])}, {}, {}]
+    texts = {
+        '{"claim": "c", "expected_evidence": ["a", "", 3], "scores": {"interesting": 2.5, "feasible": 99, "testable": null}}': ("c", ["a", "3"], 2, 10, None), 'so {"claim": "in {braces}"} it is': ("in {braces}", None, None, None, None), '{"claim": "cut': None, "[1]": None, "": None,
+        '```\n{"claim": " x ", "expected_evidence": "one", "scores": {"interesting": "7"}}\n```': ("x", ["one"], 7, None, None), '{"claim": "  "}': None, '{"a": 1} and {"claim": "two"}': None,
+    }
+    got = {r.t: r.h and (r.h.claim, r.h.expected_evidence or None, r.h.interesting, r.h.feasible, r.h.testable) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", answers.hypothesis(F.col("t")).alias("h")).collect()}
+    assert got == texts
+    said = {'{"verdict": " SUPPORTED ", "reason": "r "}': ("supported", "r"), '{"verdict": "no"}': None, "x": None, '```json {"verdict": "inconclusive"}```': ("inconclusive", "")}
+    assert {r.t: r.v and tuple(r.v) for r in spark.createDataFrame([(t,) for t in said], "t string").select("t", answers.verdict(F.col("t")).alias("v")).collect()} == said
