@@ -74,15 +74,16 @@ def resolve_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
     several parents the least id counts.
     """
     source = F.element_at(F.split("parent_id", "#"), 1)
-    parents = known.select("session", "parent_id", "title", source.alias("src"), F.lower(F.regexp_replace(source, r"(?<=.)\.[^./]*$", "")).alias("stem"))
+    # words are cut before lines and parents meet, once each
+    parents = known.select("session", "parent_id", source.alias("src"), F.lower(F.regexp_replace(source, r"(?<=.)\.[^./]*$", "")).alias("stem"), F.array_distinct(claim_tokens(F.coalesce("title", F.lit("")))).alias("_b"))
     marked = known.groupBy("session").agg(F.max(F.col("parent_id").contains("#")).alias("full"))
-    both = lines.join(parents, "session").join(marked, "session")
+    both = lines.select("session", "pos", "line", F.array_distinct(claim_tokens(F.col("line"))).alias("_a")).join(parents, "session").join(marked, "session")
     files = F.regexp_extract_all("line", F.lit(r"(?i)[\w\-.]+\.(?:md|pdf|txt|docx|doc)\b"), F.lit(0))
     stems = F.transform(files, lambda f: F.lower(F.regexp_replace(f, r"(?<=.)\.[^./]*$", "")))
     literal = F.col("line").contains(F.col("parent_id")) & F.when(F.col("full"), F.col("parent_id").contains("#")).otherwise(F.length("parent_id") >= 8)
     by_file, by_stem = F.array_position(files, F.col("src")), F.array_position(stems, F.col("stem"))
     hint = F.regexp_replace(F.trim(F.regexp_extract("line", r"(?m)Parent ID:\s*(\S.+?)\s*$", 1)), r"^[*_]+|[*_]+$", "")
-    a, b = F.array_distinct(claim_tokens(F.col("line"))), F.array_distinct(claim_tokens(F.coalesce("title", F.lit(""))))
+    a, b = F.col("_a"), F.col("_b")
     alike = F.when(F.size(b) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
     # an exact file name comes before the stem of the same or a later one
     named = F.least(F.when(by_file > 0, 2 * by_file), F.when(by_stem > 0, 2 * by_stem + 1))
