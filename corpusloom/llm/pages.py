@@ -36,10 +36,14 @@ from .urls import host_of
 
 #: HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select button object canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select button object canvas annotation annotation-xml".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms msqrt mspace mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LABELS = HEADINGS | {"th", "dt", "figcaption", "legend", "caption"}  # a constant there names the texts after it
 CELLS = frozenset("td th li dd".split())
 LEAVES = frozenset("p dt ul ol dl figure blockquote pre figcaption".split()) | HEADINGS | CELLS
 #: Elements that are something else than the article by their meaning, and a form, which hints at it as the words of class, id and role do.
@@ -149,7 +153,7 @@ def read_page(html: str) -> tuple[list[str], list[str]]:
 class Node:
     """An element, a repeated group ('()'), a text slot ('#') or a constant ('=' and its digest), with what alignment knows of it."""
 
-    __slots__ = ("beside", "chars", "content", "digest", "fixed", "kids", "linked", "n", "opt", "rep", "shape", "sig", "texts", "to")
+    __slots__ = ("beside", "chars", "content", "digest", "fixed", "kids", "linked", "n", "opt", "rep", "shape", "sig", "template", "texts", "to")
 
     def __init__(self, sig: str) -> None:
         self.sig, self.kids, self.rep, self.opt = sig, [], False, False
@@ -159,6 +163,7 @@ class Node:
         self.texts: list[int] = []  # of a page: the numbers of its texts here
         self.to: Node | None = None  # of a page: the wrapper's node
         self.content = self.fixed = False
+        self.template: frozenset | None = None  # of a judged wrapper's root, see template_of
 
     def reshape(self) -> None:
         self.shape = (self.sig, frozenset(k.sig for k in self.kids)) if self.kids else self.sig
@@ -561,12 +566,13 @@ def judge(root: Node) -> list[Node]:
     The article is the region of elements named article (else main) with the fewest hints of something else at them and around them. Where there is no such
     element it is found by what alignment knows: constants and slots whose text never changes on three pages or more
     are template, and the region is the innermost element that holds most of the text that changes. Inside the region elements with hints, and
-    outside of an article lists of links, are left out unless they hold most of the region's text that changes; ASIDE_TAGS always are. Constant headings
-    between changing texts stay.
+    outside of an article lists of links, are left out unless they hold most of the region's text that changes; ASIDE_TAGS always are. Constants in the region
+    are template too, as notices and adverts that every page repeats; only headings and labels between changing texts stay, and all where nothing changes, or less of an article than stays.
     """
     for x in every(root):
         if not x.kids:
-            x.fixed = x.n >= CONSTANT_PAGES and x.digest is not None
+            # a constant of the host is one wherever it stands
+            x.fixed = x.sig.startswith("=") or x.n >= CONSTANT_PAGES and x.digest is not None
         x.content = False
     slots = [x for x in every(root) if not x.kids]
     steady = all(x.fixed for x in slots)
@@ -605,6 +611,7 @@ def judge(root: Node) -> list[Node]:
         whole = mass[id(region)]
         walk = [(k, False) for k in reversed(region.kids)]
         out: list[Node] = []
+        template: set[int] = set()  # constants that are no labels
         while walk:
             x, heading = walk.pop()
             element = x.sig != "()" and x.sig[0] not in "#="
@@ -615,10 +622,15 @@ def judge(root: Node) -> list[Node]:
                 continue
             if x.kids:
                 x.content = True
-                walk += [(k, name_of(x.sig) in HEADINGS) for k in reversed(x.kids)]
-            elif articles or not x.fixed or heading or whole == 0 or steady:
+                walk += [(k, name_of(x.sig) in LABELS if element else heading) for k in reversed(x.kids)]
+            else:
                 out.append(x)
-        if not articles and not steady and whole:
+                if x.fixed and not heading:
+                    template.add(id(x))
+        # an article of which more stays than changes is one that pages copy from each other, not their template
+        copied = bool(articles) and sum(x.chars for x in out if x.fixed) > sum(x.chars for x in out if not x.fixed)
+        if not steady and whole and not copied:
+            out = [x for x in out if id(x) not in template]
             # a constant heading before the first or after the last text that changes is template
             moving = [i for i, x in enumerate(out) if not x.fixed]
             out = out[moving[0] : moving[-1] + 1] if moving else []
@@ -667,11 +679,20 @@ def own_text(page: Node) -> list[Node]:
     return [x for x in judge(page) if x.chars]
 
 
+def template_of(wrapper: Node) -> frozenset:
+    """The constants that are no content anywhere in a judged wrapper: a page may have them at a place where alignment took them for one of many paragraphs."""
+    if wrapper.template is None:
+        constants = [x for x in every(wrapper) if not x.kids and x.sig.startswith("=")]
+        wrapper.template = frozenset(x.sig for x in constants) - {x.sig for x in constants if x.content}
+    return wrapper.template
+
+
 def extract(wrapper: Node | None, constants: set, tokens: list[str], texts: list[str]) -> str:
     """The text of one page."""
     page = tree(tokens, texts, constants)
     if wrapper is not None:
         match(wrapper, page)
+    template = template_of(wrapper) if wrapper is not None else frozenset()
     chosen = []
     todo: list[tuple[Node, bool]] = [(page, False)]
     while todo:
@@ -680,7 +701,7 @@ def extract(wrapper: Node | None, constants: set, tokens: list[str], texts: list
             inside = x.to.content  # what has no node of its own goes with what is around it
         if x.kids:
             todo += [(k, inside) for k in x.kids]
-        elif inside:
+        elif inside and x.sig not in template:
             chosen += x.texts
     if not chosen:
         chosen = [i for x in own_text(page) for i in x.texts]

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -395,6 +396,38 @@ def test_without_alignment_template_comes_along(spark):
     assert all("cookies" in x for x in no_partners)
 
 
+def test_template_inside_articles_goes(spark):
+    """The fixtures with a notice and an advert, without telling words, at changing places of every article: with the wrapper they go, without it they stay."""
+    planted = ("Follow us on our channels for more.", "Buy now and save 20 percent.")
+
+    def plant(i: int, html: str) -> str:
+        p, q = (f"<p>{x}</p>" for x in planted)
+        first = html.find("</p>", html.find("<article>")) + 4 if i % 2 else html.find("</article>")
+        html = html[:first] + p + html[first:]
+        return html.replace("</article>", q + "</article>", 1)
+
+    df = common.table(spark, "/root/testdata/sf0.01", "pages")
+    whole = [(r.page_id, r.url, r.html) for r in df.collect() if "<article>" in r.html and "</p>" in r.html.partition("<article>")[2].partition("</article>")[0]]
+    host = lambda url: url.partition("://")[2].partition("/")[0].lower()
+    many = pd.Series([host(u) for _, u, _ in whole]).value_counts()
+    whole = [x for x in whole if many[host(x[1])] >= 3]  # fewer pages don't tell template from text
+    changed = spark.createDataFrame([(i, u, plant(i, h)) for i, u, h in whole], df.select("page_id", "url", "html").schema)
+    got = {r.page_id: r.text for r in pages.extract_text(changed).collect()}
+    assert len(whole) > 150 and got == {i: brute_text(h) for i, _, h in whole}
+    alone = {i: pages.extract(None, set(), *pages.read_page(plant(i, h))) for i, _, h in whole}
+    assert all(x in text for text in alone.values() for x in planted)
+
+
+def test_labels_formulas_and_copied_articles_stay(spark):
+    labelled = "<article><h1>Title {0}</h1><h2>Summary</h2><p>what number {0} has to say at some length</p><p>Share this with your friends.</p><dl><dt>Price</dt><dd>{0}0</dd></dl><h2>Links</h2></article>"
+    assert texts_of(spark, [("a.org", labelled.format(i)) for i in range(4)]) == [f"Title {i}\n\nSummary\n\nwhat number {i} has to say at some length\n\nPrice\n\n{i}0" for i in range(4)]
+    # pages that are near copies of each other: what they share is the article
+    copied = "<article><h1>News</h1><p>The long report that all of these pages have in common.</p><p>Number {0}</p></article><p>Imprint</p>"
+    assert texts_of(spark, [("b.org", copied.format(i)) for i in range(4)]) == [f"News\n\nThe long report that all of these pages have in common.\n\nNumber {i}" for i in range(4)]
+    formula = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='tex'>x=1</annotation></math> hold</p></article>"
+    assert texts_of(spark, [("c.org", formula)]) == ["Let x=1 hold"]
+
+
 def test_hints_never_empty_a_page(spark):
     rows = [
         '<body class="has-sidebar"><article><p>one two</p></article></body>', '<body class="single post comments-open"><main><p>one</p></main></body>',
