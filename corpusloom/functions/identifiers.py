@@ -22,6 +22,11 @@ def normalize_doi(raw: Column) -> Column:
     return _found(_unversioned(F.regexp_replace(body, r"[)\]>,.;:!?'\"\s]+$", "")))
 
 
+def leading_doi(raw: Column) -> Column:
+    """The DOI that a field starts with, up to a space or closing bracket, so that the rest of a link behind it goes."""
+    return _found(F.regexp_extract(F.lower(F.trim(raw)), r"^(10\.[0-9]{4,9}/[^\s)\]]+)", 1))
+
+
 def lenient_doi(raw: Column) -> Column:
     """DOI of a field that should hold one: prefix and final punctuation cut, nothing searched."""
     s = F.regexp_replace(F.lower(F.trim(raw)), r"^https?://(dx\.)?doi\.org/", "")

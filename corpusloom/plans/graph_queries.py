@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import words
+from corpusloom.operators import converge as cv
 from corpusloom.operators import graph as gr
 from corpusloom.operators.retrieve import top_k
 from corpusloom.plans.retrieval_queries import _BATCH, EDGES_SQL, _batch, supplier_citations
@@ -110,9 +111,9 @@ def _trade(spark, sf_dir) -> DataFrame:
     return _bought(spark, sf_dir).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
 
 
-def _unrolled_pagerank(rounds: int) -> str:
+def _unrolled_pagerank(rounds: int, edges: str = _TRADE) -> str:
     parts = [
-        f"e AS MATERIALIZED ({_TRADE})", "o AS MATERIALIZED (SELECT src, count(*) AS out FROM e GROUP BY src)",
+        f"e AS MATERIALIZED ({edges})", "o AS MATERIALIZED (SELECT src, count(*) AS out FROM e GROUP BY src)",
         "n AS MATERIALIZED (SELECT node, out FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) LEFT JOIN o ON node = src)",
         "c AS MATERIALIZED (SELECT count(*) AS n FROM n)", "r0 AS MATERIALIZED (SELECT node, out, 1.0 / c.n::DOUBLE AS rank FROM n, c)",
     ]
@@ -128,6 +129,13 @@ def pagerank_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.pagerank(_trade(spark, sf_dir), 20).select("node", F.round("rank", 8).alias("rank"))
 
 
+@query(_unrolled_pagerank(60, EDGES_SQL).replace("round(rank, 8) AS rank", "round(rank, 7) AS rank, true AS converged"))
+def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PageRank of suppliers to an error of 1e-9."""
+    out = cv.pagerank_until(supplier_citations(spark, sf_dir), 1e-9)
+    return out.select("node", F.round("rank", 7).alias("rank"), (F.col("residual") <= 1e-9).alias("converged"))
+
+
 def _unrolled_hits(rounds: int) -> str:
     parts = [f"e AS MATERIALIZED ({EDGES_SQL})", "n AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e)", "h0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE AS hub FROM n)"]
     for i in range(rounds):
@@ -145,6 +153,13 @@ def hits_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.hits(supplier_citations(spark, sf_dir), 10).select("node", F.round("authority", 7).alias("authority"), F.round("hub", 7).alias("hub"))
 
 
+@query(_unrolled_hits(40).replace(" FROM h40 h", ", 'power' AS how FROM h40 h"))
+def hits_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authorities and hubs of suppliers when they stop changing."""
+    out = cv.hits_until(supplier_citations(spark, sf_dir), 1e-10)
+    return out.select("node", F.round("authority", 7).alias("authority"), F.round("hub", 7).alias("hub"), "how")
+
+
 @query(f"WITH e AS ({EDGES_SQL}) SELECT node, round(sum(i) / (SELECT count(*) FROM e), 8) AS authority, round(sum(o) / (SELECT count(*) FROM e), 8) AS hub FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY node")
 def degree_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.degree_hits(supplier_citations(spark, sf_dir)).select("node", F.round("authority", 8).alias("authority"), F.round("hub", 8).alias("hub"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.metadata import metadata_text
 from corpusloom.functions.models import hashed_vector
-from corpusloom.operators import chunking, graph, quality
+from corpusloom.operators import chunking, converge, graph, quality
 from corpusloom.operators import retrieve as rt
 from corpusloom.operators.index import StoredIndex
 from corpusloom.operators.phrases import phrase_tokens
@@ -174,8 +174,8 @@ class Library:
     def measure(self) -> None:
         """Compute the citation graph's metrics from the edges table."""
         edges = self.table("edges")
-        ranks, parts = graph.pagerank(edges), graph.louvain(edges)
-        hits = graph.hits(edges)
+        ranks, parts = converge.pagerank_until(edges), graph.louvain(edges)
+        hits = converge.hits_until(edges)
         degree = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").cast("double").alias("in_corpus"))
         rows = ranks.join(parts, "node", "left").join(hits, "node", "left").join(degree, "node", "left")
         self.write("metrics", rows.select(F.col("node").alias("source"), F.col("rank").alias("pagerank"), "authority", "hub", F.lit(None).cast("double").alias("rcr"), F.coalesce("in_corpus", F.lit(0.0)).alias("in_corpus"), F.lit(None).cast("double").alias("cites"), "community_id", "community_size"))

@@ -386,3 +386,50 @@ SELECT * FROM v WHERE verdict IN ('supported', 'contradicted', 'inconclusive')""
 def model_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts in the same answers."""
     return _answers(spark, sf_dir).select("k", an.verdict(F.col("t")).alias("v")).filter("v is not null").select("k", "v.verdict", "v.reason")
+
+
+# a DOI of every supplier, with the rest of a link behind some; of the registry's answers some failed, some know nothing, and half of the DOIs are in capitals
+_DOIS = f"""p AS (SELECT 's' || s_suppkey AS source, '10.1000/s' || s_suppkey AS doi, s_name, s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 9 <> 0), c AS ({EDGES_SQL}),
+r AS (SELECT '10.1000/s' || src AS doi, src, '10.1000/s' || dst AS ref FROM c WHERE src % 7 NOT IN (0, 1) AND src % 5 <> 0),
+s AS (SELECT DISTINCT '10.1000/s' || src AS doi, src % 7 = 0 AS failed FROM c WHERE src % 5 <> 0),
+d AS (SELECT DISTINCT x.source AS src, y.source AS dst FROM r JOIN p x ON x.doi = r.doi JOIN p y ON y.doi = r.ref WHERE x.source <> y.source)"""
+
+
+def _doi_papers(spark, sf_dir) -> DataFrame:
+    key = F.col("s_suppkey")
+    doi = F.concat(F.lit("10.1000/S"), _s(key), F.when(key % 4 == 0, F.concat(F.lit("](https://doi.org/10.1000/s"), _s(key), F.lit(")"))).otherwise(""))
+    rows = read(spark, sf_dir, "supplier")
+    return rows.select("s_suppkey", F.concat(F.lit("s"), _s(key)).alias("source"), F.when(key % 9 != 0, doi).otherwise("none").alias("doi"), F.concat("s_name", F.lit(" "), F.repeat("s_name", 6)).alias("title"), (1990 + F.col("s_nationkey")).alias("year"), F.lit(None).cast("string").alias("journal"))
+
+
+def _doi_snapshot(spark, sf_dir) -> DataFrame:
+    """What a first run got, and a second one's answers for what had failed."""
+    name = lambda c, p="10.1000/s": F.concat(F.lit(p), _s(F.col(c)))
+    edges = supplier_citations(spark, sf_dir).filter("src % 5 <> 0")
+    refs = edges.groupBy("src").agg(F.collect_set(name("dst", "10.1000/S")).alias("refs"))
+    status = F.when(F.col("src") % 7 == 0, "timeout").when(F.col("src") % 7 == 1, "404").otherwise("ok")
+    late = F.col("src") % 7 == 2
+    empty = spark.createDataFrame([], "doi string, refs array<string>")
+    first = bib.with_answers(empty, refs.select(name("src").alias("doi"), F.when(late, "timeout").otherwise(status).alias("status"), "refs"))
+    return bib.with_answers(first, refs.filter(late | (F.col("src") % 7 == 0)).select(name("src", "10.1000/S").alias("doi"), status.alias("status"), "refs"))
+
+
+@query(f"WITH {_DOIS} SELECT src, dst FROM d")
+def doi_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations between suppliers by registered references."""
+    return bib.doi_edges(_doi_papers(spark, sf_dir), _doi_snapshot(spark, sf_dir))
+
+
+@query(f"WITH {_DOIS} SELECT p.doi AS doi, CASE WHEN s.doi IS NULL THEN 'new' ELSE 'again' END AS why FROM p LEFT JOIN s ON s.doi = p.doi WHERE s.doi IS NULL OR failed")
+def dois_to_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOIs of suppliers that a registry must still be asked for."""
+    return bib.dois_to_ask(_doi_papers(spark, sf_dir), _doi_snapshot(spark, sf_dir))
+
+
+@query(f"""WITH {_DOIS}, m AS ({SQL["registry_edges"]}), e AS (SELECT src, dst FROM d UNION SELECT src, dst FROM m)
+SELECT n.source AS source, coalesce(p.doi, '') AS doi, n.title AS title, n.year AS year, '' AS journal, (SELECT count(*) FROM e WHERE dst = n.source) AS in_corpus_cited_by, (SELECT count(*) FROM e WHERE src = n.source) AS in_corpus_cites
+FROM (SELECT 's' || s_suppkey AS source, left(s_name || ' ' || repeat(s_name, 6), 90) AS title, CAST(1990 + s_nationkey AS VARCHAR) AS year FROM supplier) n LEFT JOIN p ON p.source = n.source""")
+def citation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with their degrees in the union of both registries' citations."""
+    papers = _doi_papers(spark, sf_dir)
+    return bib.citation_graph(papers.drop("s_suppkey"), bib.doi_edges(papers, _doi_snapshot(spark, sf_dir)), registry_edges(spark, sf_dir))[0]

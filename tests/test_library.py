@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import sql
-from corpusloom.operators import directions, graph, topics, trees
+from corpusloom.operators import bibliography, converge, directions, graph, topics, trees
 from corpusloom.plans.library import Library, setting
 from corpusloom.sources import sinks
 
@@ -435,3 +435,65 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("k1", 'new, quoted "x"'), ("k2", "only")]
     stems = lambda *x: spark.createDataFrame([(i,) for i in x], "stem string")
     assert [r.stem for r in tables.missing_files(stems("a", "b"), stems("b")).collect()] == ["a"]
+
+
+def _matrix(edges):
+    names = sorted({x for e in edges for x in e})
+    at = {x: i for i, x in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for a, b in set(edges):
+        m[at[a], at[b]] = 1
+    return names, m
+
+
+def test_pagerank_to_convergence(spark):
+    """Rings, a chain that ends nowhere, a hub and a repeated edge, against 500 rounds with a dense matrix."""
+    edges = [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [(f"c{i}", f"c{i + 1}") for i in range(6)] + [(f"x{i}", "hub") for i in range(20)] + [("hub", "r0"), ("hub", "r0"), ("r2", "c0")]
+    names, m = _matrix(edges)
+    out, n = m.sum(1), len(names)
+    want = np.full(n, 1 / n)
+    for _ in range(500):
+        want = 0.15 / n + 0.85 * ((want / np.maximum(out, 1) * (out > 0)) @ m + want[out == 0].sum() / n)
+    df = spark.createDataFrame(edges, "src string, dst string")
+    rows = converge.pagerank_until(df, 1e-4).collect()
+    assert sorted(r.node for r in rows) == names and abs(sum(r["rank"] for r in rows) - 1) < 1e-9
+    assert rows[0].residual <= 1e-4 and 5 < rows[0].rounds < 80
+    assert sum(abs(r["rank"] - want[names.index(r.node)]) for r in rows) < 2e-4
+    # stopped early it says so
+    few = converge.pagerank_until(df, 1e-9, most=3).first()
+    assert few.rounds == 3 and few.residual > 1e-9
+    assert converge.pagerank_until(df.limit(0)).count() == 0
+
+
+def test_hits_to_convergence_or_degrees(spark):
+    edges = [("a", "x"), ("a", "y"), ("b", "x"), ("c", "x"), ("c", "y"), ("c", "z"), ("c", "z")]
+    names, m = _matrix(edges)
+    u, _, v = np.linalg.svd(m)
+    hub, authority = abs(u[:, 0]) / abs(u[:, 0]).sum(), abs(v[0]) / abs(v[0]).sum()
+    df = spark.createDataFrame(edges, "src string, dst string")
+    for r in converge.hits_until(df, 1e-9).collect():
+        i = names.index(r.node)
+        assert (r.how, round(r.hub, 6), round(r.authority, 6)) == ("power", round(hub[i], 6), round(authority[i], 6))
+    short = {r.node: r for r in converge.hits_until(df, 1e-12, most=2).collect()}
+    assert short["x"].how == "degree" and short["x"].authority == 3 / 6 and short["c"].hub == 3 / 6 and short["c"].rounds == 2
+    assert converge.hits_until(df.limit(0)).count() == 0
+
+
+def test_answers_of_a_registry_resume(spark):
+    papers = spark.createDataFrame([("a", "10.1000/A](https://doi.org/10.1000/a)"), ("b", "10.1000/b"), ("b2", "10.1000/b"), ("c", "10.1000/c"), ("d", None), ("e", "n/a")], "source string, doi string")
+    none = spark.createDataFrame([], "doi string, refs array<string>")
+    ask = lambda s: {(r.doi[-1], r.why) for r in bibliography.dois_to_ask(papers, s).collect()}
+    answers = lambda *rows: spark.createDataFrame(rows, "doi string, status string, refs array<string>")
+    assert ask(none) == {("a", "new"), ("b", "new"), ("c", "new")}
+    first = bibliography.with_answers(none, answers(("10.1000/a", "ok", ["10.1000/B", "10.1000/a", "10.9/x", "", None]), ("10.1000/B", "timeout", None), ("10.1000/b", "timeout", None)))
+    assert ask(first) == {("b", "again"), ("c", "new")}
+    second = bibliography.with_answers(first, answers(("10.1000/b", "404", None), ("10.1000/c", "ok", ["10.1000/A"]), ("10.1000/a", "timeout", None)))
+    assert ask(second) == set() and {r.doi[-1]: r.refs for r in second.collect()} == {"a": ["10.1000/a", "10.1000/b", "10.9/x"], "b": [], "c": ["10.1000/a"]}
+    edges = bibliography.doi_edges(papers, second)
+    assert {tuple(r) for r in edges.collect()} == {("a", "b2"), ("c", "a")}
+    more = spark.createDataFrame([("a", "b2"), ("d", "a")], "src string, dst string")
+    nodes, every = bibliography.citation_graph(papers.selectExpr("*", "repeat('t', 200) as title", "2001 as year", "cast(null as string) as journal"), edges, more)
+    assert every.count() == 3
+    assert {r.source: (r.in_corpus_cited_by, r.in_corpus_cites, r.doi[-1:], len(r.title), r.year, r.journal) for r in nodes.collect()} == {
+        "a": (2, 1, "a", 90, "2001", ""), "b": (0, 0, "b", 90, "2001", ""), "b2": (1, 0, "b", 90, "2001", ""), "c": (0, 1, "c", 90, "2001", ""), "d": (0, 1, "", 90, "2001", ""), "e": (0, 0, "", 90, "2001", ""),
+    }
