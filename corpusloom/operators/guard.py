@@ -25,6 +25,11 @@ RETRIEVAL_TOOLS = ("search_child_chunks", "retrieve_parent_chunks", "retrieve_ma
 NO_PARENTS = ("unknown", "N/A", "none")
 NO_EVIDENCE = "**Evidence coverage:** No retrieval in this session returned usable results — there is no literature supporting the question in this knowledge base; the answer below reflects only weak/partial signals; treat it as ungrounded."
 NOT_VISIBLE = "**Evidence coverage:** Retrieval ran but no results are visible in the current context (compressed); grounding could not be re-verified."
+#: The heading of an answer's sources and what stands before the claims that nothing verifies; a year in a title.
+SOURCES_MARK = "**Sources:**"
+UNVERIFIED = "⚠ Unverified claims"
+EVIDENCE_YEAR = r"\b(1[5-9][0-9]{2}|20[0-9]{2})\b"
+CLAIM_SHOWN = 120
 
 
 def weight(token: Column) -> Column:
@@ -175,6 +180,48 @@ def numeric_mismatch(claim: Column, evidence: Column, years: Column | None = Non
     return F.when(F.size(mine) > 0, ~F.exists(mine, stands))
 
 
+def standing_numbers(text: Column) -> Column:
+    """The numbers that stand in a text, as numeric_mismatch looks for them: none that begins behind a digit or point, with and without what follows a point."""
+    t = F.replace(F.coalesce(text, F.lit("")), F.lit(","), F.lit(""))
+    return F.array_union(F.regexp_extract_all(t, F.lit(r"(?<![0-9.])[0-9]+"), F.lit(0)), F.regexp_extract_all(t, F.lit(r"(?<![0-9.])[0-9]+\.[0-9]+"), F.lit(0)))
+
+
+def recheck_numbers(claims: DataFrame, evidence: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims with mismatch and their confidence weak, and evidence unresolved, where none of a claim's numbers stands in its evidence.
+
+    claims: session, pos, text, confidence. evidence: session, pos, n, parent_id, note, title, verified, status. parents: parent_id, content. Numbers may stand in a parent, a
+    note, or be the first year of a title. Claims also get n_verified, n_external and n_unresolved, counted afterwards; evidence gets reason. Texts never travel to
+    claims: the numbers of each parent that some evidence names meet the claims' numbers by key.
+    """
+    at = ["session", "pos"]
+    asked = claims.select(*at, F.explode(claim_numbers(F.col("text"))).alias("number"))
+    named = evidence.filter(F.coalesce("parent_id", F.lit("")) != "").select(*at, "parent_id").distinct()
+    told = parents.join(named.select("parent_id").distinct(), "parent_id", "left_semi").select("parent_id", F.explode(standing_numbers(F.col("content"))).alias("number")).distinct()
+    year = F.regexp_extract(F.coalesce("title", F.lit("")), EVIDENCE_YEAR, 1)
+    beside = evidence.select(*at, F.explode(F.array_union(standing_numbers(F.col("note")), F.filter(F.array(year), lambda y: y != ""))).alias("number")).distinct()
+    met = asked.join(named, at).join(told, ["parent_id", "number"]).select(*at).unionByName(asked.join(beside, [*at, "number"]).select(*at)).distinct()
+    wrong = asked.select(*at).distinct().join(met, at, "left_anti").withColumn("_wrong", F.lit(True))
+    bad = F.coalesce("_wrong", F.lit(False))
+    after = evidence.join(wrong, at, "left").withColumn("verified", F.col("verified") & ~bad).withColumn("status", F.when(bad, "unresolved").otherwise(F.col("status"))).withColumn("reason", F.when(bad, "numeric-mismatch")).drop("_wrong")
+    n = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
+    counts = after.groupBy(*at).agg(n("verified"), n("external"), n("unresolved"))
+    rows = claims.drop("n_verified", "n_external", "n_unresolved").join(wrong, at, "left").join(counts, at, "left").fillna(0, ["n_verified", "n_external", "n_unresolved"])
+    return rows.withColumn("mismatch", bad).withColumn("confidence", F.when(bad, "weak").otherwise(F.col("confidence"))).drop("_wrong"), after
+
+
+def surface_unverified(answers: DataFrame, claims: DataFrame) -> DataFrame:
+    """session, text, n_unverified: answers (session, text) that list, before their sources, the claims (session, pos, text, n_verified, n_unresolved) with unresolved and no
+    verified evidence, in order and cut to CLAIM_SHOWN characters. An answer without a sources header stays as it is."""
+    weak = claims.filter("n_verified = 0 and n_unresolved > 0").groupBy("session").agg(F.sort_array(F.collect_list(F.struct("pos", F.substring("text", 1, CLAIM_SHOWN).alias("t")))).alias("_w"))
+    rows = answers.join(weak, "session", "left")
+    n = F.coalesce(F.size("_w"), F.lit(0))
+    listed = F.array_join(F.transform("_w", lambda w: F.concat(F.lit("- "), F.coalesce(w["t"], F.lit("")))), "\n")
+    block = F.concat(F.lit(f"\n\n{UNVERIFIED} ("), n.cast("string"), F.lit("):\n"), listed, F.lit("\n\n"))
+    place = F.instr("text", SOURCES_MARK)
+    put = F.concat(F.substring("text", F.lit(1), place - 1), block, F.substring(F.col("text"), place, F.length("text")))
+    return rows.select("session", F.when((n > 0) & (place > 0), put).otherwise(F.col("text")).alias("text"), n.cast("long").alias("n_unverified"))
+
+
 def evidence_status(kind: Column, verified: Column) -> Column:
     """verified, external or unresolved."""
     return F.when(verified, "verified").when(kind == "citation", "external").otherwise("unresolved")

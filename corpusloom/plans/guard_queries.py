@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import directions, evaluate, guard, quality
@@ -228,3 +229,37 @@ def answer_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "customer")
     known = rows.filter("c_custkey % 5 <> 0").select(k.alias("session"), F.concat(F.lit("store/"), stem, F.lit(".md#a#1")).alias("parent_id"), F.lit("").alias("title"))
     return guard.strip_unknown_citations(rows.select(k.alias("session"), text.alias("text")), guard.citable(known))
+
+
+# what order lines say of their part, with the part, a note and the year of shipping as evidence
+_RECHECK = r"""c AS (SELECT l_orderkey AS session, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INTEGER) AS pos, CAST(l_quantity AS INTEGER) AS q, p_size AS size, p_retailprice AS price, l_linenumber AS line, l_returnflag AS flag FROM lineitem JOIN part ON p_partkey = l_partkey),
+h AS (SELECT *, NOT (q = size OR q = floor(price) OR q = line) AS mismatch FROM c),
+r AS (SELECT session, pos, 'sold ' || q || ' of part ' || repeat('x', 130) AS text, mismatch, CASE WHEN mismatch OR flag = 'N' THEN 'unresolved' WHEN flag = 'A' THEN 'verified' ELSE 'external' END AS status FROM h)"""
+
+
+def _rechecked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = read(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(order)).withColumn("session", F.col("l_orderkey"))
+    q, text = F.col("l_quantity").cast("int").cast("string"), lambda c: F.col(c).cast("string")
+    claims = lines.select("session", "pos", F.concat(F.lit("sold "), q, F.lit(" of part "), F.repeat(F.lit("x"), 130)).alias("text"), F.lit("moderate").alias("confidence"))
+    status = F.when(F.col("l_returnflag") == "A", "verified").when(F.col("l_returnflag") == "R", "external").otherwise("unresolved")
+    title = F.concat(F.lit("Trade of "), F.year("l_shipdate").cast("string"))
+    evidence = lines.select("session", "pos", F.lit(1).alias("n"), text("l_partkey").alias("parent_id"), F.concat(F.lit("line "), text("l_linenumber")).alias("note"), title.alias("title"), (status == "verified").alias("verified"), status.alias("status"))
+    parents = read(spark, sf_dir, "part").select(text("p_partkey").alias("parent_id"), F.concat(F.lit("size "), text("p_size"), F.lit(", price "), F.format_number("p_retailprice", 2)).alias("content"))
+    return guard.recheck_numbers(claims, evidence, parents)[0]
+
+
+@query(f"WITH {_RECHECK} SELECT session, pos, mismatch, CASE WHEN mismatch THEN 'weak' ELSE 'moderate' END AS confidence, (status = 'verified')::BIGINT AS n_verified, (status = 'external')::BIGINT AS n_external, (status = 'unresolved')::BIGINT AS n_unresolved FROM r")
+def recheck_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of order lines, weaker where their number stands in none of their evidence."""
+    return _rechecked(spark, sf_dir).drop("text")
+
+
+@query(f"""WITH {_RECHECK}, w AS (SELECT session, count(*) AS n, string_agg('- ' || left(text, 120), chr(10) ORDER BY pos) AS t FROM r WHERE status = 'unresolved' GROUP BY session)
+SELECT o_orderkey AS session, coalesce(n, 0) AS n_unverified, 'Answer.' || chr(10) || CASE WHEN o_orderkey % 3 = 0 THEN 'no list' ELSE CASE WHEN n > 0 THEN chr(10) || chr(10) || '{guard.UNVERIFIED} (' || n || '):' || chr(10) || t || chr(10) || chr(10) ELSE '' END || '{guard.SOURCES_MARK}' || chr(10) || '- a {guard.SOURCES_MARK}' END AS text
+FROM orders LEFT JOIN w ON session = o_orderkey""")
+def unverified_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers, one an order, that name the claims of its lines that nothing verifies."""
+    key = F.col("o_orderkey")
+    text = F.concat(F.lit("Answer.\n"), F.when(key % 3 == 0, "no list").otherwise(f"{guard.SOURCES_MARK}\n- a {guard.SOURCES_MARK}"))
+    return guard.surface_unverified(read(spark, sf_dir, "orders").select(key.alias("session"), text.alias("text")), _rechecked(spark, sf_dir))

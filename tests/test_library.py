@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import sql
-from corpusloom.operators import bibliography, converge, directions, graph, topics, trees
+from corpusloom.operators import bibliography, converge, directions, graph, guard, topics, trees
 from corpusloom.plans.library import Library, setting
 from corpusloom.sources import sinks
 
@@ -497,3 +497,33 @@ def test_answers_of_a_registry_resume(spark):
     assert {r.source: (r.in_corpus_cited_by, r.in_corpus_cites, r.doi[-1:], len(r.title), r.year, r.journal) for r in nodes.collect()} == {
         "a": (2, 1, "a", 90, "2001", ""), "b": (0, 0, "b", 90, "2001", ""), "b2": (1, 0, "b", 90, "2001", ""), "c": (0, 1, "c", 90, "2001", ""), "d": (0, 1, "", 90, "2001", ""), "e": (0, 0, "", 90, "2001", ""),
     }
+
+
+def test_numbers_weaken_claims_and_are_surfaced(spark):
+    """Every combination of numbers and evidence, against the column function that looks each number up in whole texts."""
+    said = ["4", "5", "4.5", "grew 4.5-fold", "in 2001", "1,200 cells", "none", "5.6", "45", "4 or 99"]
+    texts = ["it was 4.5.6", "4,5", ".5 and 4.", "12 or 1200", "", None, "x45 y", "1.200", "2001", "14.5", "4..5"]
+    claims, evidence, parents = [], [], [(f"p{j}", t) for j, t in enumerate(texts)]
+    for i, c in enumerate(said):
+        for j, t in enumerate(texts):
+            for k, (note, title) in enumerate([(None, None), ("see 5.6", "Of 1499 and 2001 and 45")]):
+                claims.append((f"s{i}.{j}", k, c, "strong"))
+                evidence.append((f"s{i}.{j}", k, 1, f"p{j}", note, title, True, "verified"))
+    c = spark.createDataFrame(claims, "session string, pos int, text string, confidence string")
+    e = spark.createDataFrame(evidence, "session string, pos int, n int, parent_id string, note string, title string, verified boolean, status string")
+    p = spark.createDataFrame(parents, "parent_id string, content string")
+    got, after = guard.recheck_numbers(c, e, p)
+    got = {(r.session, r.pos): r for r in got.collect()}
+    want = c.join(e.drop("n"), ["session", "pos"]).join(p, "parent_id").select("session", "pos", guard.numeric_mismatch(F.col("text"), F.array("content", "note"), F.when(F.col("title").isNotNull(), F.array(F.lit(2001)))).alias("m")).collect()
+    assert len(got) == len(claims) == len(want) and {k: r.mismatch for k, r in got.items()} == {(r.session, r.pos): bool(r.m) for r in want}
+    assert 40 < sum(r.mismatch for r in got.values()) < len(claims) - 40
+    assert all((r.confidence, r.n_verified, r.n_unresolved) == (("weak", 0, 1) if r.mismatch else ("strong", 1, 0)) for r in got.values())
+    assert all((r.status == "unresolved", r.verified, r.reason) == ((True, False, "numeric-mismatch") if got[r.session, r.pos].mismatch else (False, True, None)) for r in after.collect())
+    # without evidence a number stands nowhere; without numbers nothing is wrong
+    alone = spark.createDataFrame([("a", 1, "has 7", "strong"), ("a", 2, "has none", "strong")], c.schema)
+    assert [(r.pos, r.mismatch, r.n_unresolved) for r in guard.recheck_numbers(alone, e, p)[0].orderBy("pos").collect()] == [(1, True, 0), (2, False, 0)]
+    shown = spark.createDataFrame([("a", 2, "second " + "y" * 200, 0, 1), ("a", 1, "first", 0, 2), ("a", 3, "fine", 1, 1), ("b", 1, "outside", 0, 0), ("c", 1, "c", 0, 1)], "session string, pos int, text string, n_verified int, n_unresolved int")
+    answers = spark.createDataFrame([("a", "Body\n**Sources:**\n- **Sources:**"), ("b", "B **Sources:**"), ("c", "no list"), ("d", None)], "session string, text string")
+    assert {r.session: (r.text, r.n_unverified) for r in guard.surface_unverified(answers, shown).collect()} == {
+        "a": ("Body\n\n\n⚠ Unverified claims (2):\n- first\n- second " + "y" * 113 + "\n\n**Sources:**\n- **Sources:**", 2), "b": ("B **Sources:**", 0), "c": ("no list", 1), "d": (None, 0),
+    }
