@@ -263,3 +263,23 @@ def unverified_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     text = F.concat(F.lit("Answer.\n"), F.when(key % 3 == 0, "no list").otherwise(f"{guard.SOURCES_MARK}\n- a {guard.SOURCES_MARK}"))
     return guard.surface_unverified(read(spark, sf_dir, "orders").select(key.alias("session"), text.alias("text")), _rechecked(spark, sf_dir))
+
+
+@query(f"""WITH t AS (SELECT conv_id AS session, turn AS pos, min(text) AS text FROM conversations WHERE role = 'user' AND turn IS NOT NULL AND text IS NOT NULL GROUP BY ALL),
+b AS (SELECT conv_id AS session, regexp_replace(max(text), '[.!?\\n]', ' ', 'g') || ' as all of these sources tell us in detail' AS body FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id),
+x AS (SELECT session, pos, pos % 3 <> 1 AS good, pos % 5 <> 0 AND text <> '' AS stored, {_claim_sql("body")} AS a, {_claim_sql("text")} AS k FROM t JOIN b USING (session)),
+s AS (SELECT session, pos, good, CASE WHEN NOT good OR NOT stored THEN NULL WHEN len(a) < {guard.LEAST_TOKENS} OR len(k) = 0 THEN 1.0::DOUBLE
+  ELSE coalesce(list_sum(list_transform(list_filter(a, lambda t: list_contains(k, t)), lambda t: CASE WHEN length(t) >= {guard.RARE_LENGTH} THEN 3 ELSE 1 END)), 0) / list_sum(list_transform(a, lambda t: CASE WHEN length(t) >= {guard.RARE_LENGTH} THEN 3 ELSE 1 END))::DOUBLE END AS score FROM x)
+SELECT session, count(*) AS n_source_lines, count(*) FILTER (WHERE good) AS n_whitelisted, round(count(*) FILTER (WHERE good) / count(*), 3) AS whitelist_rate, count(*) FILTER (WHERE NOT good) AS n_dropped,
+  count(*) FILTER (WHERE score < 0.05) AS n_annotated, coalesce(list(round(score, 3) ORDER BY pos) FILTER (WHERE score IS NOT NULL), []::DOUBLE[]) AS lexical_scores FROM s GROUP BY session""")
+def citation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an assistant says in a conversation, with the user's turns as sources: every third line names none, every fifth turn isn't in the store."""
+    talk = read(spark, sf_dir, "conversations").filter("text is not null")
+    turns = talk.filter("role = 'user' and turn is not null").groupBy(F.col("conv_id").alias("session"), F.col("turn").alias("pos")).agg(F.min("text").alias("text"))
+    says = talk.filter("role = 'assistant'").groupBy(F.col("conv_id").alias("session")).agg(F.concat(F.regexp_replace(F.max("text"), r"[.!?\n]", " "), F.lit(" as all of these sources tell us in detail")).alias("body"))
+    s, pos = (F.col(c).cast("string") for c in ("session", "pos"))
+    named = turns.withColumn("parent_id", F.concat(F.lit("conv_"), s, F.lit("_"), pos, F.lit(".md#s#"), pos))
+    line = F.when(F.col("pos") % 3 == 1, F.concat(F.lit("nothing "), pos)).otherwise(F.col("parent_id"))
+    listed = named.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("l"))
+    answers = says.join(listed, "session").select("session", F.concat("body", F.lit("\n\n## Sources:\n"), F.array_join(F.transform("l", lambda x: F.concat(F.lit("- "), x["line"])), "\n")).alias("text"))
+    return guard.citation_scores(answers, named.select("session", "parent_id", F.lit("").alias("title")), named.filter("pos % 5 <> 0").select("parent_id", F.col("text").alias("content")))

@@ -527,3 +527,25 @@ def test_numbers_weaken_claims_and_are_surfaced(spark):
     assert {r.session: (r.text, r.n_unverified) for r in guard.surface_unverified(answers, shown).collect()} == {
         "a": ("Body\n\n\n⚠ Unverified claims (2):\n- first\n- second " + "y" * 113 + "\n\n**Sources:**\n- **Sources:**", 2), "b": ("B **Sources:**", 0), "c": ("no list", 1), "d": (None, 0),
     }
+
+
+def test_citation_scores(spark):
+    """The first supported sentence counts, else the best one; lost and empty parents have no score; an answer without a list has no rate."""
+    first = "Osteoblasts mineralize trabecular scaffolds during prolonged mechanical loading experiments."
+    second = "Osteoclasts resorb trabecular scaffolds during prolonged mechanical loading experiments."
+    listed = "\n\n**Sources:**\n- Parent ID: a.md#s#1\n- b.md#s#2 and more\n- something invented\n- c.md#s#3\n- d.md#s#4"
+    answers = spark.createDataFrame([("x", f"{second} Short one. {first}{listed}"), ("y", "No list here, only a sentence that is quite long."), ("z", None), ("w", f"Too short.{listed}")], "session string, text string")
+    known = spark.createDataFrame([(s, f"{p}.md#s#{i}", None) for s in "xw" for i, p in enumerate("abcd", 1)], "session string, parent_id string, title string")
+    parents = spark.createDataFrame([("a.md#s#1", first), ("b.md#s#2", "Quite another matter altogether, namely ships and harbours"), ("c.md#s#3", "")], "parent_id string, content string")
+    got = {r.session: r for r in guard.citation_scores(answers, known, parents).collect()}
+    tokens = lambda t: [w for w in t.lower().rstrip(".").split()]
+    weigh = lambda ws: sum(3 if len(w) >= guard.RARE_LENGTH else 1 for w in ws)
+    mine = [w for w in tokens(second) if w != "during"]
+    x = got["x"]
+    assert (x.n_source_lines, x.n_whitelisted, x.whitelist_rate, x.n_dropped, x.n_annotated) == (5, 4, 0.8, 1, 1)
+    assert len(x.lexical_scores) == 2 and x.lexical_scores[1] == 0.0
+    # the second sentence of the answer would score 1.0, but the first is supported already
+    assert 0.5 < x.lexical_scores[0] < 1.0 and abs(x.lexical_scores[0] - weigh([w for w in mine if w in tokens(first)]) / weigh(mine)) < 0.06
+    assert (got["w"].n_whitelisted, got["w"].n_annotated, got["w"].lexical_scores) == (4, 0, [])
+    for s in "yz":
+        assert (got[s].n_source_lines, got[s].whitelist_rate, got[s].lexical_scores) == (0, None, [])
