@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .normal import bare, nfkc
+
 #: Words that carry no claim.
 STOPWORDS = tuple(
     """
@@ -33,10 +33,6 @@ MALFORMED_TOKEN = r"(?i)(?:(?:^|[^\w])(?:e(?:[\W_]*i[\W_*d]*)?|evidence(?:[\W_]*
 KNOWN_BRACKET = r"(?i)^(\[[0-9]+(?:[,;\-\s]+[0-9]+)*\]|\[PMID:\s*[0-9]+\])$"
 WORD = r"[\p{L}\p{N}]+"
 
-_LATIN = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(c))[0].isascii()]
-#: Characters that compatibility composition maps to one other, by rule; and the ligatures and signs that it spells out.
-_ONE = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xA0, 0x10000) if not 0xAC00 <= c < 0xE000 and len(unicodedata.normalize("NFKC", chr(c))) == 1 and unicodedata.normalize("NFKC", chr(c)) != chr(c)]
-_SPELLED = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (*range(0xFB00, 0xFB07), 0x2025, 0x2026, 0x2033, 0x2034, 0x2122, 0x2116)}
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c) for c in range(0x21, 0x7F))
 
@@ -51,17 +47,9 @@ def fold_width(text: Column) -> Column:
     return F.translate(text, _WIDE, _NARROW)
 
 
-def compose(text: Column) -> Column:
-    """Compatibility composition (NFKC) of single characters, ligatures and common signs; letters with separate accents stay as they are."""
-    out = F.translate(text, "".join(a for a, _ in _ONE), "".join(b for _, b in _ONE))
-    for sign, spelled in _SPELLED.items():
-        out = F.replace(out, F.lit(sign), F.lit(spelled))
-    return F.when(text.rlike("[\u00a0-\uffff]"), out).otherwise(text)
-
-
 def fold_accents(text: Column) -> Column:
-    """Latin letters without accents."""
-    return F.regexp_replace(F.translate(text, "".join(a for a, _ in _LATIN), "".join(b for _, b in _LATIN)), r"\p{M}", "")
+    """Letters without accents, compatibility characters spelled out."""
+    return bare(text)
 
 
 def squash(text: Column) -> Column:
@@ -71,7 +59,7 @@ def squash(text: Column) -> Column:
 
 def strict_normal(text: Column) -> Column:
     """Widths, dashes, spaces and quotes folded, white space collapsed."""
-    t = compose(F.coalesce(text, F.lit("")))
+    t = nfkc(F.coalesce(text, F.lit("")))
     t = F.regexp_replace(t, "[‐-―−﹘﹣－]", "-")
     t = F.regexp_replace(t, "[  -​  　]", " ")
     t = F.regexp_replace(t, "[‘’‚‛′]", "'")

@@ -56,6 +56,24 @@ def truncate_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.md5("cut").alias("digest"), F.size(F.split("cut", "\n", -1)).cast("long").alias("kept"))
 
 
+_APART = [("a", "a\u0301\u0323"), ("o", "o\u0308"), ("é", "e\u0301"), ("fi", "\ufb01"), (" ", "\u3000"), ("1", "\u2460"), ("ko", "\u1112\u1161\u11ab")]
+_DECORATED = "coalesce(text, '')"
+for _plain, _other in _APART:
+    _DECORATED = f"replace({_DECORATED}, '{_plain}', '{_other if _other not in '\ufb01\u3000\u2460' else _plain}')"
+
+
+@query(f"""
+SELECT doc_id, md5(nfc_normalize({_DECORATED})) AS composed, CAST(length(nfc_normalize({_DECORATED})) AS BIGINT) AS n_chars, md5(regexp_replace(lower(strip_accents({_DECORATED})), '[^a-z0-9]+', '', 'g')) AS folded
+FROM documents""")
+def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose letters got separate accents in the wrong order, ligatures, wide spaces, numbers in circles and parts of syllables: composed and folded."""
+    text = F.col("text")
+    for plain, other in _APART:
+        text = F.replace(text, F.lit(plain), F.lit(other))
+    composed = _text(read(spark, sf_dir, "documents")).select("doc_id", tx.nfkc(text).alias("c"), F.md5(tx.squash(text)).alias("folded"))
+    return composed.select("doc_id", F.md5("c").alias("composed"), F.length("c").cast("long").alias("n_chars"), "folded")
+
+
 _RAW = [
     "concat('see https://doi.org/10.', cast(1000 + doc_id % 9000 as string), '/J.ABC.', cast(doc_id as string), 'v2).')",
     "concat('arXiv:', cast(1000 + doc_id % 9000 as string), '.', cast(10000 + doc_id % 80000 as string), 'v3')",

@@ -363,3 +363,30 @@ def test_broken_answers(spark):
     assert got == texts
     said = {'{"verdict": " SUPPORTED ", "reason": "r "}': ("supported", "r"), '{"verdict": "no"}': None, "x": None, '```json {"verdict": "inconclusive"}```': ("inconclusive", "")}
     assert {r.t: r.v and tuple(r.v) for r in spark.createDataFrame([(t,) for t in said], "t string").select("t", answers.verdict(F.col("t")).alias("v")).collect()} == said
+
+
+def test_normal_forms_equal_the_standard_library(spark):
+    import random
+    import unicodedata
+
+    from corpusloom.functions import normal
+
+    rng = random.Random(3)
+    marks, composed, canonical = list(normal._MARKS), list(normal._COMPOSED), list(normal._CANONICAL)
+    hangul = [chr(c) for c in (*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A8, 0x11C3), *range(0xAC00, 0xAC60))]
+    pools = ["abeioAEO \n", marks, "\u0301\u0323\u0308\u0304\u0327\u0345", composed, canonical, [d[-1] for d in normal._CANONICAL.values()], hangul]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    texts += [unicodedata.normalize(form, c) for c in (*composed, *canonical) for form in ("NFC", "NFD", "NFKD")] + composed
+    texts += ["", "plain", None, "\u0323\u0301 leads", "\u1112\u1161\u11ab\u11ab", "e\u0301" * 5000 + "e\u0323\u0301"]
+
+    def bare(t):  # syllables stay whole
+        return "".join(c for x in t for c in (x if 0xAC00 <= ord(x) < 0xD7A4 else unicodedata.normalize("NFKD", x)) if not unicodedata.combining(c))
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", normal.nfkc(F.col("t")).alias("a"), normal.bare(F.col("t")).alias("b"))
+    for r in df.collect():
+        assert (r.a, r.b) == ((None, None) if r.t is None else (unicodedata.normalize("NFKC", r.t), bare(r.t)))
+
+
+def test_strict_normal_composes(spark):
+    assert one(spark, tx.strict_normal, "cafe\u0301 \ufb01g\u3000\u2013 x") == "caf\u00e9 fig - x"
+    assert one(spark, tx.squash, "\u0132ssel, Mu\u0308ller \u2460") == "ijsselmuller1"
