@@ -210,6 +210,17 @@ def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.betweenness(supplier_citations(spark, sf_dir)).select("node", F.round("betweenness", 8).alias("betweenness"))
 
 
+@query(f"""WITH {_PATHS.split(", b AS MATERIALIZED")[0]}, z AS (SELECT count(*) AS n, least(count(*), ceil((count(*) / (count(*) - 1)) ** 2 * ln(2 * count(*) / 0.05) / (2 * 0.25 ** 2))) AS need FROM n),
+c AS MATERIALIZED (SELECT v FROM n, z WHERE z.need >= z.n OR ('0x' || substr(md5(CAST(v AS VARCHAR)), 1, 8))::BIGINT < floor((z.need + 3 * sqrt(z.need)) / z.n * 4294967296)),
+q AS (SELECT x.t AS k, sum(x.p * y.p / w.p) AS q FROM p6 x JOIN p6 y ON x.t = y.s JOIN p6 w ON w.s = x.s AND w.t = y.t WHERE x.d > 0 AND y.d > 0 AND w.d = x.d + y.d AND x.s IN (SELECT v FROM c) GROUP BY x.t), s AS (SELECT count(*) AS k FROM c)
+SELECT v AS node, round(coalesce(q.q, 0) * z.n / s.k / greatest((z.n - 1) * (z.n - 2), 1), 8) AS betweenness, s.k AS sources, CASE WHEN s.k = z.n THEN 0.0::DOUBLE ELSE round(z.n / (z.n - 1) * sqrt(ln(2 * z.n / 0.05) / (2 * s.k)), 8) END AS error
+FROM n LEFT JOIN q ON q.k = v CROSS JOIN z CROSS JOIN s""")
+def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Betweenness of suppliers from as many sources as an error of 0.25 needs, all of them in small graphs."""
+    out = gr.betweenness_sampled(supplier_citations(spark, sf_dir), error=0.25)
+    return out.select("node", F.round("betweenness", 8).alias("betweenness"), "sources", F.round("error", 8).alias("error"))
+
+
 @query(f"""WITH {_BATCH}, c AS (SELECT query_id, label, count(*) AS n FROM nn JOIN embeddings e ON nn.vec_id = e.vec_id GROUP BY query_id, label), s AS (SELECT query_id, label, n, sum(n) OVER (PARTITION BY query_id) AS t, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) AS k FROM c)
 SELECT query_id, label, round(n / t, 6) AS share, n / t > 0.7 AS concentrated FROM s WHERE k = 1""")
 def community_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:

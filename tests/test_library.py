@@ -143,6 +143,31 @@ def test_betweenness_equals_brute_force(spark, most):
     assert {k: round(v, 9) for k, v in got.items()} == {k: round(v / ((n - 1) * (n - 2)), 9) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("most", [graph.MOST_EDGES, 0])
+def test_sampled_betweenness_keeps_its_bound(spark, most):
+    rng = np.random.default_rng(11)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 120, (260, 2)) if a != b} | {(i, 0) for i in range(1, 60)} | {(0, i) for i in range(60, 120)})
+    df = spark.createDataFrame(edges, "src long, dst long").cache()
+    exact = {r.node: r.betweenness for r in graph.betweenness(df).collect()}
+    seen = set()
+    for salt in ("", "a"):
+        rows = graph.betweenness_sampled(df, error=0.3, most_edges=most, salt=salt).collect()
+        assert {r.node for r in rows} == set(exact)
+        assert all(graph.sources_needed(120, 0.3, 0.05) <= r.sources < 120 and 0 < r.error <= 0.3 for r in rows)
+        assert max(abs(r.betweenness - exact[r.node]) for r in rows) <= rows[0].error
+        seen.add(tuple(round(r.betweenness, 9) for r in sorted(rows)))
+    assert len(seen) == 2 and max(exact.values()) > 0.2  # other sources give other estimates, and there is something to estimate
+
+
+def test_sampled_betweenness_of_small_and_empty_graphs(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long")
+    got = graph.betweenness_sampled(path, error=0.01).collect()
+    assert {r.node: round(r.betweenness * 12) for r in got} == {0: 0, 1: 3, 2: 4, 3: 3, 4: 0} and {(r.sources, r.error) for r in got} == {(5, 0.0)}
+    for most in (graph.MOST_EDGES, -1):
+        assert graph.betweenness_sampled(path.limit(0), most_edges=most).count() == 0
+    assert graph.sources_needed(10**9, 0.01, 0.05) < 130_000
+
+
 def test_louvain_finds_planted_communities(spark):
     rng = np.random.default_rng(8)
     edges = [(i, j) for i in range(60) for j in range(i) if rng.random() < (0.6 if i // 12 == j // 12 else 0.02)]
