@@ -49,6 +49,36 @@ def coupling(edges: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
     return top_k(scored, k, ["seed"], [F.col("jaccard").desc(), F.col("other")]).select("seed", "other", "shared", "jaccard", "rank")
 
 
+def cited_keys(references: DataFrame) -> DataFrame:
+    """src, dst for coupling from rows of reference_graph: what a document cites is the document itself where that is known, else the author and year it names.
+
+    Both kinds of keys are kept apart; of what names neither, all is one key, as in a comparison of missing values.
+    """
+    named = F.struct(F.lit(None).cast(references.schema["to"].dataType).alias("to"), F.col("to_author").alias("author"), F.col("to_year").alias("year"))
+    sure = F.struct(F.col("to").alias("to"), F.lit(None).cast(references.schema["to_author"].dataType).alias("author"), F.lit(None).cast(references.schema["to_year"].dataType).alias("year"))
+    return references.select(F.col("from").alias("src"), F.when(F.col("resolved"), sure).otherwise(named).alias("dst")).filter("src is not null").distinct()
+
+
+def mentioned(seeds: DataFrame, mentions: DataFrame) -> DataFrame:
+    """seed, paper: papers that name an author and a year which fit a seed: the author starts with the first four letters of one of its surnames, and the years are
+    equal or the seed has none.
+
+    seeds: seed, surnames (array), year. mentions: paper, author, year. Distinct names and years meet by equal prefixes, never by comparing all with all;
+    seeds without surnames and mentions without author or year meet nothing.
+    """
+    some = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    wanted = seeds.select("seed", F.explode("surnames").alias("s"), some("year").alias("y")).select("seed", F.substring(F.lower(F.trim("s")), 1, 4).alias("prefix"), "y").filter("prefix <> ''").distinct()
+    given = mentions.select("paper", F.lower(F.trim("author")).alias("author"), some("year").alias("year")).filter("author <> '' and year is not null").distinct()
+    names = given.select("author", "year").distinct()
+    keys = names.select("author", "year", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("author"), F.lit(4))), lambda i: F.substring(F.col("author"), F.lit(1), i))).alias("prefix"))
+    groups = wanted.select(F.col("prefix").alias("p"), F.coalesce("y", F.lit("")).alias("g")).distinct()
+    dated = groups.filter("g <> ''").join(keys, (F.col("p") == F.col("prefix")) & (F.col("g") == F.col("year")))
+    undated = groups.filter("g = ''").join(keys, F.col("p") == F.col("prefix"))
+    fits = dated.unionByName(undated).select("p", "g", "author", "year")
+    near = wanted.join(fits, (F.col("prefix") == F.col("p")) & (F.coalesce("y", F.lit("")) == F.col("g"))).select("seed", "author", "year").distinct()
+    return near.join(given, ["author", "year"]).select("seed", "paper").distinct()
+
+
 def first_of(rows: DataFrame, by: list[str], *order: Column) -> DataFrame:
     """One row of each group: the first strategy that found it."""
     return top_k(rows, 1, by, list(order)).drop("rank")
@@ -61,17 +91,23 @@ def hint_matches(left: DataFrame, right: DataFrame, least: Column) -> DataFrame:
     return a.join(b, "t").groupBy("l", "r").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m")).filter(F.col("shared") >= least)
 
 
-def forward(seeds: DataFrame, verified: DataFrame, hints: DataFrame) -> DataFrame:
-    """seed, paper, how: papers citing a seed by a verified edge, else by a title hint that shares max(2, a third) of its words.
+def forward(seeds: DataFrame, verified: DataFrame, hints: DataFrame, mentions: DataFrame | None = None, one_table: bool = False) -> DataFrame:
+    """seed, paper, how: papers citing a seed by a verified edge, else by a title hint that shares max(2, a third) of its words, else by naming author and year.
 
-    seeds: seed, title. verified: paper, seed. hints: paper, hint.
+    seeds: seed, title, and with mentions surnames and year (see mentioned). verified: paper, seed. hints: paper, hint. mentions: paper, author, year.
+    one_table: seeds and papers are documents of one table, and none cites itself.
     """
     titles = seeds.select(F.col("seed").alias("l"), F.array_distinct(words(F.col("title"))).alias("tokens"))
     named = hints.select(F.col("hint").alias("r")).distinct().withColumn("tokens", F.array_distinct(words(F.col("r"))))
     near = hint_matches(titles, named, F.greatest(F.lit(2.0), F.col("n") / 3)).select(F.col("l").alias("seed"), F.col("r").alias("hint"))
     guessed = near.join(hints, "hint").select("seed", "paper", F.lit("hint").alias("how"), F.lit(2).alias("p"))
     sure = verified.join(seeds.select("seed"), "seed", "left_semi").select("seed", "paper", F.lit("verified").alias("how"), F.lit(1).alias("p"))
-    return first_of(sure.unionByName(guessed).distinct(), ["seed", "paper"], F.col("p")).drop("p")
+    found = sure.unionByName(guessed)
+    if mentions is not None:
+        found = found.unionByName(mentioned(seeds, mentions).select("seed", "paper", F.lit("author_year").alias("how"), F.lit(3).alias("p")))
+    if one_table:
+        found = found.filter("seed <> paper")
+    return first_of(found.distinct(), ["seed", "paper"], F.col("p")).drop("p")
 
 
 def backward(refs: DataFrame, library: DataFrame) -> DataFrame:

@@ -70,6 +70,25 @@ def offset_mode(pairs: DataFrame) -> DataFrame:
     return c.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("doc", "offset", "n")
 
 
+def title_pairs(contents: DataFrame, found: DataFrame, start: int = 1, key: str = "doc") -> DataFrame:
+    """key, pos, printed, physical for offset_mode: entries of a printed table of contents and titles found in the text, of one document and equal to the letter, found
+    on page ``start`` or later. pos follows the order of found, then of contents.
+
+    contents: key, ord, title, page (printed, perhaps null). found: key, ord, title, physical (perhaps null). A title without a printed page gives no difference;
+    a missing title equals another missing one. Titles repeated on both sides pair with each other.
+    """
+    there = found.filter(F.col("physical") >= start).select(key, F.col("ord").alias("_f"), F.col("title").alias("_t"), "physical")
+    listed = contents.filter("page is not null").select(F.col(key).alias("_key"), F.col("ord").alias("_c"), "title", F.col("page").alias("printed"))
+    both = there.join(listed, (F.col(key) == F.col("_key")) & F.col("_t").eqNullSafe(F.col("title")))
+    return both.select(key, F.struct(F.col("_f").alias("found"), F.col("_c").alias("listed")).alias("pos"), "printed", "physical")
+
+
+def shift_pages(contents: DataFrame, offsets: DataFrame, key: str = "doc") -> DataFrame:
+    """contents with physical: the printed page moved by its document's offset (see offset_mode); null where either is missing."""
+    moved = contents.join(offsets.select(F.col(key).alias("_key"), "offset"), F.col(key) == F.col("_key"), "left")
+    return moved.withColumn("physical", F.col("page") + F.col("offset")).drop("_key", "offset")
+
+
 def order_issues(nodes: DataFrame, key: str = "doc") -> DataFrame:
     """Siblings that start before the one ahead of them."""
     w = Window.partitionBy(key, "parent").orderBy("ord")
@@ -252,15 +271,33 @@ def node_text(nodes: DataFrame, pages: DataFrame, key: str = "doc") -> DataFrame
     return nodes.select(key, "ord").join(found, [key, "ord"], "left").select(key, "ord", F.coalesce(F.array_join(F.transform("p", lambda x: x["text"]), ""), F.lit("")).alias("text"))
 
 
-def retrieve_nodes(picks: DataFrame, nodes: DataFrame, pages: DataFrame, top: int = 5, key: str = "doc") -> DataFrame:
+#: What a picked node shows of its pages, and what is shown of a document that has no pages.
+SLICE_CHARS, WHOLE_CHARS = 8000, 4000
+
+
+def retrieve_nodes(picks: DataFrame, nodes: DataFrame, pages: DataFrame, top: int = 5, key: str = "doc", whole: DataFrame | None = None, separator: str = "", most: int | None = None) -> DataFrame:
     """query_id, key, rank, ord, title, start, end, text of the nodes that a model picked: the first picks of each query over all parts of the outline, each
-    node once, at most ``top``. picks: query_id, key, part, pos, node_id."""
+    node once, at most ``top``. picks: query_id, key, part, pos, node_id.
+
+    The text is that of the node's pages, ``separator`` between them, cut to ``most`` characters if given; a node without an end shows its first page, one without a
+    start nothing. whole (key, text) are documents without pages: their nodes show the first WHOLE_CHARS. A summary of nodes comes along.
+    """
     once = picks.groupBy("query_id", key, "node_id").agg(F.min(F.struct("part", "pos")).alias("at"))
     best = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("at", key, "node_id"))).filter(F.col("rank") <= top)
-    found = best.join(nodes.select(key, "node_id", "ord", "title", "start", "end"), [key, "node_id"])
-    text = found.select("query_id", key, "rank", F.explode(F.sequence("start", "end")).alias("page")).join(pages.select(key, "page", "text"), [key, "page"])
+    also = ["summary"] if "summary" in nodes.columns else []
+    found = best.join(nodes.select(key, "node_id", "ord", "title", "start", "end", *also), [key, "node_id"])
+    first = F.greatest(F.col("start"), F.lit(1))
+    last = F.when(F.coalesce(F.col("end"), F.lit(0)) == 0, first).otherwise(F.col("end"))
+    spans = found.select("query_id", key, "rank", first.alias("a"), last.alias("b"), "start").filter("start is not null and b >= a")
+    text = spans.select("query_id", key, "rank", F.explode(F.sequence("a", "b")).alias("page")).join(pages.select(key, "page", "text"), [key, "page"])
     text = text.groupBy("query_id", key, "rank").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
-    return found.join(text, ["query_id", key, "rank"], "left").select("query_id", key, "rank", "ord", "title", "start", "end", F.coalesce(F.array_join(F.transform("p", lambda x: x["text"]), ""), F.lit("")).alias("text"))
+    out = found.join(text, ["query_id", key, "rank"], "left")
+    shown = F.coalesce(F.array_join(F.transform("p", lambda x: x["text"]), separator), F.lit(""))
+    shown = shown if most is None else F.substring(shown, 1, most)
+    if whole is not None:
+        out = out.join(whole.select(key, F.substring("text", 1, WHOLE_CHARS).alias("_whole")), key, "left")
+        shown = F.coalesce(F.col("_whole"), shown)
+    return out.select("query_id", key, "rank", "ord", "title", "start", "end", *also, shown.alias("text"))
 
 
 # ---- parts of trees that are packed in order -------------------------------------------------------------------------

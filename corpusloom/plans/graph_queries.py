@@ -59,6 +59,37 @@ def snowball_fwd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.forward(seeds, verified, hints)
 
 
+@query("""WITH c AS (SELECT DISTINCT o_custkey AS src, CASE WHEN l_quantity >= 40 THEN 'p' || p_partkey ELSE 'b' || p_brand || '/' || p_size END AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey), n AS (SELECT src, count(*) AS n FROM c GROUP BY src),
+s AS (SELECT a.src AS seed, b.src AS other, count(*) AS shared FROM c a JOIN c b ON a.dst = b.dst WHERE a.src % 20 = 0 AND a.src <> b.src GROUP BY a.src, b.src),
+j AS (SELECT seed, other, shared, round(shared / (x.n + y.n - shared), 9) AS jaccard FROM s JOIN n x ON x.src = seed JOIN n y ON y.src = other)
+SELECT seed, other, shared, round(jaccard, 6) AS jaccard, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY jaccard DESC, other) AS rank FROM j) WHERE rank <= 8""")
+def coupling_by_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coupling of customers where large lines name a part and others only its brand and size, as author and year."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    line, sure = _bought(spark, sf_dir).join(part, "l_partkey"), F.col("l_quantity") >= 40
+    named = line.select(F.col("o_custkey").alias("from"), F.when(sure, F.col("l_partkey")).alias("to"), F.col("p_brand").alias("to_author"), F.col("p_size").cast("string").alias("to_year"), sure.alias("resolved"))
+    keys = gr.cited_keys(named)
+    out = gr.coupling(keys, keys.filter("src % 20 = 0").select("src").distinct(), k=8)
+    return out.select("seed", "other", "shared", F.round("jaccard", 6).alias("jaccard"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS seed, lower(p_type) AS a, lower(split_part(p_name, ' ', 1)) AS b, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(1990 + p_size AS VARCHAR) END AS y FROM part WHERE p_partkey % 20 = 0),
+m AS (SELECT DISTINCT l_suppkey AS paper, lower(CASE WHEN l_linenumber % 2 = 0 THEN p_type || 'son' ELSE split_part(p_name, ' ', 1) END) AS author, CAST(1990 + p_size AS VARCHAR) AS year FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 4),
+v AS (SELECT DISTINCT l_partkey AS seed, l_suppkey AS paper FROM lineitem WHERE l_quantity >= 48 AND l_partkey % 20 = 0),
+g AS (SELECT seed, paper FROM s JOIN m ON (a <> '' AND starts_with(author, a[1:4]) OR b <> '' AND starts_with(author, b[1:4])) AND (y = year OR y = ''))
+SELECT seed, paper, CASE WHEN min(p) = 1 THEN 'verified' ELSE 'author_year' END AS how FROM (SELECT seed, paper, 1 AS p FROM v UNION ALL SELECT seed, paper, 3 FROM g) WHERE seed <> paper GROUP BY seed, paper""")
+def snowball_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers that cite a part by a large line, or name its type or the first word of its name as author and its size as year; every third part has no year."""
+    part, line = read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem")
+    first = F.substring_index("p_name", " ", 1)
+    year = (F.lit(1990) + F.col("p_size")).cast("string")
+    seeds = part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("seed"), F.lit("").alias("title"), F.array("p_type", first).alias("surnames"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(year).alias("year"))
+    verified = line.filter("l_quantity >= 48").select(F.col("l_suppkey").alias("paper"), F.col("l_partkey").alias("seed")).distinct()
+    named = line.filter("l_linenumber <= 4").join(part.withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
+    mentions = named.select(F.col("l_suppkey").alias("paper"), F.when(F.col("l_linenumber") % 2 == 0, F.concat("p_type", F.lit("son"))).otherwise(first).alias("author"), year.alias("year"))
+    return gr.forward(seeds, verified, mentions.select("paper", F.lit("").alias("hint")).limit(0), mentions, one_table=True)
+
+
 @query("""WITH r AS (SELECT l_suppkey AS paper, p_name || ' ' || p_type AS hint, min(CASE WHEN l_quantity >= 49 THEN l_partkey END) AS verified FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 h AS (SELECT DISTINCT hint, list_distinct(regexp_extract_all(lower(hint), '[\\p{L}\\p{N}]+')) AS k FROM r),
 l AS (SELECT p_partkey AS id, list_distinct(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS k FROM part),

@@ -191,6 +191,20 @@ def page_offset_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.offset_mode(pairs)
 
 
+@query("""WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS ord, 't' || l_partkey % 5 AS title, CASE WHEN l_suppkey % 7 > 0 THEN 2 * l_linenumber END AS page, CASE WHEN l_linenumber % 3 > 0 THEN 2 * l_linenumber + 3 + l_partkey % 2 END AS physical FROM lineitem),
+c AS (SELECT a.doc AS doc, a.physical - b.page AS o, count(*) AS n, min((a.ord, b.ord)) AS first FROM l a JOIN l b ON a.doc = b.doc AND a.title = b.title WHERE a.physical >= 6 AND b.page IS NOT NULL GROUP BY a.doc, o),
+m AS (SELECT doc, o FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, first, o) AS k FROM c) WHERE k = 1)
+SELECT l.doc AS doc, ord, title, page + o AS physical FROM l LEFT JOIN m ON l.doc = m.doc""")
+def page_offset_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed pages of every order's lines moved by the commonest distance to where equal titles were found."""
+    n, part = F.col("l_linenumber"), F.col("l_partkey")
+    line = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc"), n.alias("ord"), F.concat(F.lit("t"), (part % 5).cast("string")).alias("title"), F.when(F.col("l_suppkey") % 7 > 0, 2 * n).alias("page"), F.when(n % 3 > 0, 2 * n + 3 + part % 2).alias("physical"))
+    contents = line.drop("physical")
+    pairs = trees.title_pairs(contents, line.select("doc", "ord", "title", "physical"), start=6)
+    return trees.shift_pages(contents, trees.offset_mode(pairs)).select("doc", "ord", "title", "physical")
+
+
 @query(f"""WITH {_TREE}, i AS (SELECT *, CASE WHEN ord = 1 AND doc % 3 = 0 THEN 't1 (intro)' ELSE title END AS t2, CASE WHEN ord = 1 AND doc % 3 = 0 THEN 1 ELSE start END AS s2 FROM g),
 k AS (SELECT doc, parent AS ord, arg_min(s2, ord) AS cs, arg_min(t2, ord) AS ct FROM i WHERE parent IS NOT NULL GROUP BY ALL)
 SELECT i.doc AS doc, CAST(i.ord AS INTEGER) AS ord, CAST(s2 AS INTEGER) AS first, CAST(CASE WHEN cs IS NULL THEN "end" WHEN cs = s2 AND ct = CASE WHEN ends_with(t2, ' (intro)') THEN t2 ELSE t2 || ' (intro)' END THEN NULL ELSE least("end", cs) END AS INTEGER) AS last FROM i LEFT JOIN k ON k.doc = i.doc AND k.ord = i.ord""")

@@ -168,6 +168,25 @@ def test_sampled_betweenness_of_small_and_empty_graphs(spark):
     assert graph.sources_needed(10**9, 0.01, 0.05) < 130_000
 
 
+def test_forward_by_author_and_year(spark):
+    seeds = spark.createDataFrame([("a", "growth of bone plates", ["Lecuit", "Yap"], "2007"), ("b", "", ["Li"], None), ("c", "", [], "2007"), ("d", "", None, "2007")], "seed string, title string, surnames array<string>, year string")
+    verified = spark.createDataFrame([("p1", "a"), ("a", "a")], "paper string, seed string")
+    hints = spark.createDataFrame([("p2", "bone growth")], "paper string, hint string")
+    mentions = spark.createDataFrame(
+        [("p1", "Lecuit", "2007"), ("p2", "lecuit", "2007"), ("p3", "LECUYER", "2007"), ("p4", "Lecuit", "2008"), ("p5", "Yapp", "2007"), ("p6", "Linden", "1999"), ("p7", "L", "2007"), ("p8", "Linden", ""), ("p9", None, "2007"), ("b", "Li", "2001")],
+        "paper string, author string, year string",
+    )
+    got = {(r.seed, r.paper): r.how for r in graph.forward(seeds, verified, hints, mentions, one_table=True).collect()}
+    assert got == {("a", "p1"): "verified", ("a", "p2"): "hint", ("a", "p3"): "author_year", ("a", "p5"): "author_year", ("b", "p6"): "author_year"}
+
+
+def test_coupling_keeps_kinds_of_keys_apart(spark):
+    rows = [("x", "t", None, None, True), ("x", None, "Lee", "2000", False), ("y", None, "Lee", "2000", False), ("y", "u", None, None, True), ("z", None, "t", None, False), ("z", "t", "Lee", "2000", True), ("z", "t", "Lee", "2000", True)]
+    keys = graph.cited_keys(spark.createDataFrame(rows, "`from` string, `to` string, to_author string, to_year string, resolved boolean"))
+    got = {(r.seed, r.other): (r.shared, round(r.jaccard, 3)) for r in graph.coupling(keys, keys.select("src").distinct()).collect()}
+    assert got == {("x", "y"): (1, 0.333), ("y", "x"): (1, 0.333), ("x", "z"): (1, 0.333), ("z", "x"): (1, 0.333)}
+
+
 def test_louvain_finds_planted_communities(spark):
     rng = np.random.default_rng(8)
     edges = [(i, j) for i in range(60) for j in range(i) if rng.random() < (0.6 if i // 12 == j // 12 else 0.02)]
@@ -232,6 +251,24 @@ def test_offset_mode_breaks_full_ties(spark):
     assert {r.doc: (r.offset, r.n) for r in got.collect()} == {d: (0, 1) for d in range(40)}
 
 
+def test_offsets_by_titles(spark):
+    contents = spark.createDataFrame([("d", 0, "Intro", 1), ("d", 1, "Methods", 5), ("d", 2, "Results", 9), ("d", 3, None, None), ("e", 0, "Intro", 1), ("f", 0, "Lost", 2)], "doc string, ord int, title string, page int")
+    found = spark.createDataFrame([("d", 0, "Intro", 2), ("d", 1, "Methods", 17), ("d", 2, "Results", 21), ("d", 3, "methods", 5), ("d", 4, None, 9), ("e", 0, "Intro", None)], "doc string, ord int, title string, physical int")
+    pairs = trees.title_pairs(contents, found, start=3)  # the first title was found ahead of the text
+    assert sorted((r.doc, r.printed, r.physical) for r in pairs.collect()) == [("d", 5, 17), ("d", 9, 21)]
+    got = {(r.doc, r.ord): r.physical for r in trees.shift_pages(contents, trees.offset_mode(pairs)).collect()}
+    assert got == {("d", 0): 13, ("d", 1): 17, ("d", 2): 21, ("d", 3): None, ("e", 0): None, ("f", 0): None}
+
+
+def test_slices_of_picked_nodes(spark):
+    nodes = spark.createDataFrame([("d", "a", 0, "A", 2, 3, "s"), ("d", "b", 1, "B", 2, None, None), ("d", "c", 2, "C", None, 4, None), ("d", "e", 3, "E", 3, 2, None), ("d", "z", 4, "Z", 0, 1, None), ("w", "a", 0, "W", 1, 1, None)], "doc string, node_id string, ord int, title string, start int, end int, summary string")
+    pages = spark.createDataFrame([("d", i, f"<{i}>") for i in range(1, 4)], "doc string, page int, text string")
+    picks = spark.createDataFrame([(1, "d", 1, i, n) for i, n in enumerate("abcez")] + [(2, "w", 1, 0, "a")], "query_id int, doc string, part int, pos int, node_id string")
+    whole = spark.createDataFrame([("w", "x" * 5000)], "doc string, text string")
+    got = {(r.query_id, r.title): r.text for r in trees.retrieve_nodes(picks, nodes, pages, top=5, whole=whole, separator="\n\n", most=6).collect()}
+    assert got == {(1, "A"): "<2>\n\n<", (1, "B"): "<2>", (1, "C"): "", (1, "E"): "", (1, "Z"): "<1>", (2, "W"): "x" * trees.WHOLE_CHARS}
+
+
 def test_uncited_pairs_of_all_papers(spark):
     papers = [(i, i % 2, [w for w, d in (("a", 1), ("b", 2), ("c", 3), ("d", 5)) if i % d == 0]) for i in range(1, 25)]
     cites = {(1, 3), (6, 2), (12, 24), (5, 15)}
