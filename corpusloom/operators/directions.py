@@ -16,16 +16,43 @@ def stable_id(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 10)
 
 
-def diverge(channels: list[tuple[str, DataFrame]], focus: str = "", k: int = 20) -> DataFrame:
-    """direction_id, channel, text, score, rank: ideas of all channels (text, score) once each, those near the focus first."""
-    rows = None
+def anchor_scores(candidates: DataFrame, seeds: DataFrame, metrics: DataFrame, key: str = "direction_id") -> DataFrame:
+    """key, anchor: how near a candidate is to the papers that a question lands on. 1 if one of its anchors is a seed, else 0.5 and half the largest share of seeds
+    that a community of its anchors holds, else 0.
+
+    candidates: key, anchors (array, perhaps null or empty). seeds: source. metrics: node, community_id. Shares count the seeds whose community is known;
+    repeated seeds count once. One row for each key.
+    """
+    placed = metrics.filter("community_id is not null").select("node", "community_id").dropDuplicates(["node"])
+    own = seeds.select(F.col("source").alias("node")).filter("node is not null").distinct().withColumn("seed", F.lit(1.0))
+    held = own.join(placed, "node").groupBy("community_id").agg(F.count("*").alias("n"))
+    weights = held.join(F.broadcast(held.agg(F.sum("n").alias("total")))).select("community_id", (0.5 + 0.5 * F.col("n") / F.col("total")).alias("near"))
+    each = candidates.select(key, F.explode_outer("anchors").alias("node")).distinct()
+    met = each.join(own, "node", "left").join(placed, "node", "left").join(weights, "community_id", "left")
+    return met.groupBy(key).agg(F.max(F.coalesce("seed", "near", F.lit(0.0))).alias("anchor"))
+
+
+def diverge(channels: list[tuple[str, DataFrame]], focus: str = "", k: int = 20, seeds: DataFrame | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    """direction_id, channel, text, score, rank: ideas of all channels (text, score) once each, those near the focus first.
+
+    With seeds and metrics (see anchor_scores) the channels' anchors count before the focus, and anchor is returned; channels without anchors score 0.
+    """
+    rows, anchored = None, seeds is not None
     for i, (name, df) in enumerate(channels):
-        part = df.select(F.lit(name).alias("channel"), F.lit(i).alias("_o"), "text", "score")
-        rows = part if rows is None else rows.unionByName(part)
+        part = df.select(F.lit(name).alias("channel"), F.lit(i).alias("_o"), "text", "score", *(["anchors"] if anchored and "anchors" in df.columns else []))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     want = F.array_distinct(words(F.lit(focus)))
     near = F.when(F.size(want) > 0, F.size(F.array_intersect(want, words(F.col("text")))) / F.size(want)).otherwise(0.0)
-    once = rows.withColumn("direction_id", stable_id(F.col("text"))).groupBy("direction_id").agg(F.min(F.struct("_o", "channel", "text", "score")).alias("r")).select("direction_id", "r.*")
-    return top_k(once.withColumn("_n", near).withColumn("_all", F.lit(0)), k, ["_all"], [F.col("_n").desc(), F.col("_o"), F.col("score").desc(), F.col("direction_id")]).drop("_all", "_n", "_o")
+    anchored = anchored and "anchors" in rows.columns
+    fields = ["_o", "channel", "text", "score", *(["anchors"] if anchored else [])]
+    once = rows.withColumn("direction_id", stable_id(F.col("text"))).groupBy("direction_id").agg(F.min(F.struct(*fields)).alias("r")).select("direction_id", "r.*")
+    order = [F.col("_n").desc(), F.col("_o"), F.col("score").desc(), F.col("direction_id")]
+    if anchored:
+        once = once.join(anchor_scores(once, seeds, metrics), "direction_id").drop("anchors")
+        order = [F.round("anchor", 9).desc(), *order]
+    elif seeds is not None:
+        once = once.withColumn("anchor", F.lit(0.0))
+    return top_k(once.withColumn("_n", near).withColumn("_all", F.lit(0)), k, ["_all"], order).drop("_all", "_n", "_o")
 
 
 def verification(hypotheses: DataFrame, evidence: DataFrame, verdicts: DataFrame) -> DataFrame:

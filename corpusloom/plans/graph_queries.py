@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import words
 from corpusloom.operators import converge as cv
+from corpusloom.operators import directions as dr
 from corpusloom.operators import graph as gr
 from corpusloom.operators.retrieve import top_k
 from corpusloom.plans.retrieval_queries import _BATCH, EDGES_SQL, _batch, supplier_citations
@@ -90,6 +91,19 @@ def snowball_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.forward(seeds, verified, mentions.select("paper", F.lit("").alias("hint")).limit(0), mentions, one_table=True)
 
 
+@query("""WITH m AS (SELECT s_suppkey AS v, CASE WHEN s_suppkey % 11 > 0 THEN s_nationkey END AS c FROM supplier), s AS (SELECT s_suppkey AS v FROM supplier WHERE s_acctbal > 8000),
+w AS (SELECT c, 0.5 + 0.5 * count(*) / sum(count(*)) OVER () AS near FROM s JOIN m ON s.v = m.v WHERE c IS NOT NULL GROUP BY c)
+SELECT o_orderkey AS direction_id, round(max(CASE WHEN s.v IS NOT NULL THEN 1.0 ELSE coalesce(near, 0.0) END), 6) AS anchor FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN m ON m.v = l_suppkey LEFT JOIN s ON s.v = l_suppkey LEFT JOIN w ON w.c = m.c GROUP BY o_orderkey""")
+def anchored_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How near the suppliers of every order are to the richest suppliers: one of them, of a nation that has some of them, or neither."""
+    supplier = read(spark, sf_dir, "supplier")
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("direction_id")).agg(F.collect_set("l_suppkey").alias("anchors"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("direction_id")).join(lines, "direction_id", "left")
+    metrics = supplier.select(F.col("s_suppkey").alias("node"), F.when(F.col("s_suppkey") % 11 > 0, F.col("s_nationkey")).alias("community_id"))
+    out = dr.anchor_scores(orders, supplier.filter("s_acctbal > 8000").select(F.col("s_suppkey").alias("source")), metrics)
+    return out.select("direction_id", F.round("anchor", 6).alias("anchor"))
+
+
 @query("""WITH r AS (SELECT l_suppkey AS paper, p_name || ' ' || p_type AS hint, min(CASE WHEN l_quantity >= 49 THEN l_partkey END) AS verified FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 h AS (SELECT DISTINCT hint, list_distinct(regexp_extract_all(lower(hint), '[\\p{L}\\p{N}]+')) AS k FROM r),
 l AS (SELECT p_partkey AS id, list_distinct(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS k FROM part),

@@ -245,6 +245,18 @@ def test_tree_folds(spark):
     assert [(r.ord, r.path) for r in trees.ancestors(spans).orderBy("ord").collect()][2] == (2, ["t", "t", "t"])
 
 
+def test_diverge_ranks_by_anchors(spark):
+    metrics = spark.createDataFrame([("p1", 1), ("p2", 1), ("p3", 2), ("p4", 1), ("p5", 2), ("p6", 3), ("p7", None)], "node string, community_id int")
+    seeds = spark.createDataFrame([("p1",), ("p2",), ("p2",), ("p3",), ("p7",), (None,)], "source string")
+    a = spark.createDataFrame([("other", 5.0, ["p6"]), ("two", 1.0, ["p5", "p6"]), ("bone", 9.0, []), ("none", 1.0, None)], "text string, score double, anchors array<string>")
+    b = spark.createDataFrame([("one", 1.0, ["p4"]), ("seed", 0.0, ["p6", "p7"])], "text string, score double, anchors array<string>")
+    plain = spark.createDataFrame([("bones", 2.0)], "text string, score double")
+    got = directions.diverge([("a", a), ("b", b), ("c", plain)], "bone", seeds=seeds, metrics=metrics).orderBy("rank").collect()
+    assert [(r.text, round(r.anchor, 4)) for r in got] == [("seed", 1.0), ("one", 0.8333), ("two", 0.6667), ("bone", 0.0), ("other", 0.0), ("none", 0.0), ("bones", 0.0)]
+    none = directions.diverge([("a", a)], "bone", seeds=seeds.limit(0), metrics=metrics).orderBy("rank").collect()
+    assert none[0].text == "bone" and {r.anchor for r in none} == {0.0}
+
+
 def test_offset_mode_breaks_full_ties(spark):
     rows = [(d, 1, 10, 10 + o) for d in range(40) for o in ((2, 0, 1) if d % 2 else (0, 2, 1))]
     got = trees.offset_mode(spark.createDataFrame(rows, "doc int, pos int, printed long, physical long").repartition(4))
