@@ -2,7 +2,7 @@
 
 import time
 
-from corpusloom.operators import graph
+from corpusloom.operators import bibliography, graph
 
 
 def shuffled(spark, run):
@@ -24,3 +24,12 @@ def test_forward_shuffles_classes_not_pairs(spark):
         sure = -(-n // 7)
         assert {r["how"]: r["count"] for r in got} == {"verified": sure, "hint": n * n - sure}
         assert size < 2_000_000
+
+
+def test_names_and_years_shuffle_classes_not_pairs(spark):
+    n = 1500
+    asked = spark.range(n).crossJoin(spark.range(4).withColumnRenamed("id", "i")).selectExpr("id + 5000 AS source", "array('Smith et al.', 'Smit & Wu', 'Smi, ', 'Nobody')[i] AS author", "'1990' AS year", "concat('line ', 4 - i) AS via")
+    papers = spark.range(n).selectExpr("id AS paper", "'1990' AS year", "array('smithers', 'wu') AS surnames")
+    size, got = shuffled(spark, lambda: bibliography.cited_by_name(asked, papers).groupBy("via").count().collect())
+    assert {r["via"]: r["count"] for r in got} == {"line 2": n * n}
+    assert size < 1_000_000
