@@ -33,3 +33,12 @@ def test_names_and_years_shuffle_classes_not_pairs(spark):
     size, got = shuffled(spark, lambda: bibliography.cited_by_name(asked, papers).groupBy("via").count().collect())
     assert {r["via"]: r["count"] for r in got} == {"line 2": n * n}
     assert size < 1_000_000
+
+
+def test_uncited_pairs_shuffle_classes_not_pairs(spark):
+    n = 1500
+    papers = spark.range(n).selectExpr("id AS node", "1 AS community", "array('red', 'bolt', 'part') AS tokens")
+    edges = spark.range(n - 1).selectExpr("id AS src", "id + 1 AS dst")
+    size, got = shuffled(spark, lambda: graph.uncited_pairs(None, papers, edges).groupBy("shared").count().collect())
+    assert {r["shared"]: r["count"] for r in got} == {3: n * (n - 1) // 2 - (n - 1)}
+    assert size < 1_000_000
