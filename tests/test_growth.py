@@ -42,3 +42,17 @@ def test_uncited_pairs_shuffle_classes_not_pairs(spark):
     size, got = shuffled(spark, lambda: graph.uncited_pairs(None, papers, edges).groupBy("shared").count().collect())
     assert {r["shared"]: r["count"] for r in got} == {3: n * (n - 1) // 2 - (n - 1)}
     assert size < 1_000_000
+
+
+def test_coupling_shuffles_the_best_not_pairs(spark, monkeypatch):
+    n = 1500
+    edges = spark.range(n).crossJoin(spark.range(3).withColumnRenamed("id", "dst")).selectExpr("concat('s', lpad(id, 4, '0')) AS src", "dst").filter("src <> 's0700' OR dst > 0")
+    seeds = edges.select("src").distinct()
+    for most in (2_000_000, 1_000):  # one block, then several
+        monkeypatch.setattr(graph, "BLOCK_EDGES", most)
+        monkeypatch.setattr(graph, "PART_EDGES", most)
+        size, got = shuffled(spark, lambda: graph.coupling(edges, seeds, 2).collect())
+        best = {s: [r["other"] for r in sorted(got, key=lambda r: r["rank"]) if r["seed"] == s] for s in ("s0000", "s0001", "s0700")}
+        assert len(got) == 2 * n and best == {"s0000": ["s0001", "s0002"], "s0001": ["s0000", "s0002"], "s0700": ["s0000", "s0001"]}
+        assert {(r["shared"], r["jaccard"]) for r in got if r["seed"] == "s0700"} == {(2, 0.666666667)}
+        assert size < 2_000_000
