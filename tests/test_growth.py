@@ -2,6 +2,8 @@
 
 import time
 
+import numpy as np
+
 from corpusloom.operators import bibliography, graph
 
 
@@ -56,3 +58,28 @@ def test_coupling_shuffles_the_best_not_pairs(spark, monkeypatch):
         assert len(got) == 2 * n and best == {"s0000": ["s0001", "s0002"], "s0001": ["s0000", "s0002"], "s0700": ["s0000", "s0001"]}
         assert {(r["shared"], r["jaccard"]) for r in got if r["seed"] == "s0700"} == {(2, 0.666666667)}
         assert size < 2_000_000
+
+
+def test_dense_sums_equal_those_of_lists():
+    rng = np.random.default_rng(3)
+    src, dst = np.nonzero((rng.random((40, 40)) < 0.2) & ~np.eye(40, dtype=bool))
+    order = np.argsort(dst, kind="stable")
+    src, dst = src[order].astype(np.int32), dst[order].astype(np.int32)
+    assert np.allclose(graph._brandes_dense(40, src, dst, np.arange(30)), graph._brandes(40, src, dst, np.arange(30)))
+
+
+def test_components_are_walked_in_tasks(spark, monkeypatch):
+    """Two components that together have too many edges go to tasks, not to joins."""
+    dense = [(f"a{i}", f"a{j}") for i in range(6) for j in range(6) if (i * j + i) % 3 and i != j]
+    edges = spark.createDataFrame(dense + [("b1", "b2"), ("b2", "b3")], "src string, dst string").coalesce(1).cache()
+    seeds = spark.createDataFrame([("b1",), ("z",)], "seed string").coalesce(1)
+    value = lambda df: {r["node"]: round(r["betweenness"], 9) for r in df.collect()}
+    want = value(graph.betweenness(edges))
+
+    def no(*_):
+        raise AssertionError("walked by joins")
+
+    monkeypatch.setattr(graph, "_between_by_joins", no)
+    monkeypatch.setattr(graph, "_reached_by_joins", no)
+    assert value(graph.betweenness(edges, most_edges=len(dense))) == want and want["b2"] > 0
+    assert sorted(map(tuple, graph.reachable(seeds, edges, 2).collect())) == [("b1", "b1", 0), ("b1", "b2", 1), ("b1", "b3", 2), ("z", "z", 0)]
