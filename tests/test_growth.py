@@ -83,3 +83,15 @@ def test_components_are_walked_in_tasks(spark, monkeypatch):
     monkeypatch.setattr(graph, "_reached_by_joins", no)
     assert value(graph.betweenness(edges, most_edges=len(dense))) == want and want["b2"] > 0
     assert sorted(map(tuple, graph.reachable(seeds, edges, 2).collect())) == [("b1", "b1", 0), ("b1", "b2", 1), ("b1", "b3", 2), ("z", "z", 0)]
+
+
+def test_resolve_shuffles_classes_not_pairs(spark):
+    """Many targets and records of one name and year; the gap is that to the second of the alike."""
+    n = 1500
+    targets = spark.range(n).selectExpr("'Smith' AS surname", "if(id % 2 = 0, 'Wu', '') AS secondary", "1990 AS year", "concat('red bolt ', id) AS hint")
+    registry = spark.range(n).selectExpr("id AS key", "'Smith' AS surname", "array('Smith', if(id < 3, 'Wu', 'Lee')) AS surnames", "1990 AS year", "if(id = 7, 'red bolt', 'nut') AS title", "id % 5 AS citations", "0 AS in_corpus")
+    size, got = shuffled(spark, lambda: graph.resolve(targets, registry).collect())
+    # short numbers are no title words; to a Wu record 7 lacks the second name, and records 2, 1 and 0 the title
+    plain = {(r["secondary"], r["key"], r["score"], r["gap"]) for r in got if len(r["hint"].split()[-1]) < 3}
+    assert plain == {("Wu", 7, 0.86, 0.16), ("", 7, 0.93, 0.3)}
+    assert len(got) == n and size < 2_000_000
