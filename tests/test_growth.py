@@ -112,3 +112,14 @@ def test_related_shuffles_the_best_not_pairs(spark, monkeypatch):
         best = {s: [r["other"] for r in sorted(got, key=lambda r: r["rank"]) if r["seed"] == s] for s in range(10)}
         assert best == {0: [1498, 4, 6], 1: [3, 5, 9], 2: [4, 6, 8], 3: [1, 5, 9], 4: [1498, 0, 2], 5: [1, 3, 9], 6: [0, 2, 4], 7: [1401, 1, 3], 8: [1402, 0, 2], 9: [1, 3, 5]}
         assert size < 2_000_000
+
+
+def test_title_prefixes_meet_by_classes(spark):
+    """Many papers and entries of one name, year and title: all entries count, the least is named."""
+    n = 1500
+    papers = spark.range(n).selectExpr("id AS key", "'Smith' AS surname", "if(id = 3, '', '1990') AS year", "if(id = 5, 'nut', 'red bolt') AS title", "'of bolts' AS abstract")
+    entries = spark.range(n).selectExpr("id AS entry", "'SMITH' AS surname", "'1990' AS year", "'red-bolt part' AS title", "if(id >= 7, 'of bolts', null) AS abstract", "'10.1/x' AS doi")
+    out = bibliography.by_title_prefix(papers, entries)
+    assert {tuple(r) for r in out.groupBy("entry", "status").count().collect()} == {(7, "multi_match", n - 2), (None, "no_year", 1), (None, "no_match", 1)}
+    size, _ = shuffled(spark, lambda: out.groupBy("entry", "status").count().collect())
+    assert size < 1_000_000
