@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ROWS_A_GROUP = 50_000  # of documents that one task folds
 ROUTING = 1.0  # cost of reading a node's outline
 
 
@@ -56,11 +57,36 @@ def with_ends(nodes: DataFrame, pages: str = "pages", key: str = "doc") -> DataF
 
 def residual_pages(nodes: DataFrame, key: str = "doc") -> DataFrame:
     """key, ord, span, covered, residual: pages of a node's own range that no child has. nodes: key, ord, parent, start, end."""
-    own = nodes.select(key, "ord", F.explode(F.sequence("start", "end")).alias("page"))
-    kids = nodes.filter("parent is not null").select(key, F.col("parent").alias("ord"), F.explode(F.sequence("start", "end")).alias("page")).distinct()
-    left = own.join(kids, [key, "ord", "page"], "left_anti").groupBy(key, "ord").agg(F.count("*").alias("residual"))
-    span = nodes.select(key, "ord", (F.col("end") - F.col("start") + 1).cast("long").alias("span"))
-    return span.join(left, [key, "ord"], "left").select(key, "ord", "span", F.coalesce("residual", F.lit(0)).alias("residual"))
+    return _left(_own_and_kids(nodes, key), key).select(key, "ord", F.col("span").cast("long").alias("span"), "residual")
+
+
+def _own_and_kids(nodes: DataFrame, key: str, *more: str) -> DataFrame:
+    """Every node as its own range (child: false) and as one of its parent's children (child: true), as _left takes them."""
+    own = F.struct("ord", F.lit(False).alias("child"), "start", "end", *more)
+    kid = F.when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("ord"), F.lit(True).alias("child"), "start", "end", *more))
+    return nodes.select(key, F.explode(F.array_compact(F.array(own, kid))).alias("r")).select(key, "r.*")
+
+
+def _left(ranges: DataFrame, key: str, *more: str) -> DataFrame:
+    """key, ord, span, residual (pages of a node's own range that no child has), scan (the longest child's pages), children (how many), and more columns of the
+    node's own row. Children are met in order of their first page and count from where those before them ended, so that no page becomes a row.
+
+    ranges: key, ord, child, start, end, more. Pages lie between start and end, whichever is less; without both there are none.
+    """
+    both = F.col("start").isNotNull() & F.col("end").isNotNull()
+    rows = ranges.withColumn("_a", F.when(both, F.least("start", "end"))).withColumn("_b", F.when(both, F.greatest("start", "end")))
+    w = Window.partitionBy(key, "ord").orderBy("child", "_a")
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    own = lambda c: F.max(F.when(~F.col("child"), F.col(c)))
+    first, last = own("_a").over(so_far), own("_b").over(so_far)
+    done = F.coalesce(F.max(F.when(F.col("child"), F.col("_b"))).over(before), first - 1)
+    new = F.least("_b", last) - F.greatest(F.col("_a") - 1, first - 1, done)
+    met = rows.withColumn("_n", F.when(F.col("child") & both & first.isNotNull(), F.greatest(new, F.lit(0))))
+    out = met.groupBy(key, "ord").agg(
+        F.count_if(~F.col("child")).alias("_own"), own("start").alias("_s"), own("end").alias("_e"), F.coalesce(own("_b") - own("_a") + 1 - F.coalesce(F.sum("_n"), F.lit(0)), F.lit(0)).cast("long").alias("residual"),
+        F.max(F.when(F.col("child"), F.col("end") - F.col("start") + 1)).alias("scan"), F.count_if("child").alias("children"), *[own(c).alias(c) for c in more],
+    )
+    return out.filter("_own > 0").select(key, "ord", (F.col("_e") - F.col("_s") + 1).alias("span"), "residual", "scan", "children", *more)
 
 
 def offset_mode(pairs: DataFrame) -> DataFrame:
@@ -102,9 +128,33 @@ def gaps(nodes: DataFrame, pages: DataFrame, key: str = "doc") -> DataFrame:
 
 
 def by_document(rows: DataFrame, fold, schema: str, key: str = "doc") -> DataFrame:
-    """A fold over the rows of whole documents: a group holds all documents of one hash, about ROWS_A_GROUP rows; a document is never split."""
-    groups = max(1, -(-rows.count() // ROWS_A_GROUP))
-    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(groups)).alias("_g")).applyInPandas(fold, schema)
+    """A fold over the rows of whole documents (key, ord, ...) in order, a few at a time, with the place of each in its document, from 1 (_at). Documents pass through
+    their task as a stream, where the last one of a batch waits for the rest of its rows; rows that are dealt by document already aren't dealt again. A document is never split."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []  # rows of one document
+        for part in batches:
+            at = np.flatnonzero(part["_at"] == 1)
+            if not len(at):
+                held.append(part)
+                continue
+            if at[-1]:
+                held.append(part.iloc[: at[-1]])
+            if held:
+                yield fold(pd.concat(held, ignore_index=True))
+            held = [part.iloc[at[-1] :]]
+        if held:
+            yield fold(pd.concat(held, ignore_index=True))
+
+    return rows.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy("ord"))).mapInPandas(run, schema)
+
+
+def _documents(part: pd.DataFrame, key: str) -> Iterator[tuple]:
+    """(document, from, to) of ordered rows with their places; rows without a document are left out."""
+    at = np.flatnonzero(part["_at"] == 1).tolist()
+    for a, b, doc in zip(at, [*at[1:], len(part)], part[key].iloc[at].tolist()):
+        if not pd.isna(doc):
+            yield doc, a, b
 
 
 def collapse_costs(nodes: DataFrame, key: str = "doc") -> DataFrame:
@@ -115,7 +165,6 @@ def collapse_costs(nodes: DataFrame, key: str = "doc") -> DataFrame:
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([key, "ord"])
         docs, ords, parents, starts, ends = (rows[c].tolist() for c in (key, "ord", "parent", "start", "end"))
         cost, kept, below = [0.0] * len(docs), [False] * len(docs), {}
         for i in range(len(docs) - 1, -1, -1):  # children come before their parents
@@ -149,33 +198,44 @@ def intervals(nodes: DataFrame, key: str = "doc") -> DataFrame:
     has = [c for c in ("title", "start", "end") if c in nodes.columns]
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for doc, own in part.sort_values([key, "ord"]).groupby(key, sort=False):
-            ords, levels = own["ord"].tolist(), own["level"].tolist()
-            titles = own["title"].tolist() if "title" in has else [None] * len(ords)
-            low = own["start"].tolist() if "start" in has else [None] * len(ords)
-            high = own["end"].tolist() if "end" in has else [None] * len(ords)
-            parents, last, open_, paths = [None] * len(ords), ords[:], [], []
-            for i, level in enumerate(levels):
-                while open_ and levels[open_[-1]] >= level:
-                    open_.pop()
-                parents[i] = open_[-1] if open_ else None
-                paths.append([*(paths[open_[-1]] if open_ else []), titles[i]])
-                open_.append(i)
-            for i in range(len(ords) - 1, -1, -1):  # children come before their parents
-                p = parents[i]
-                if p is not None:
-                    last[p] = max(last[p], last[i])
-                    low[p] = low[i] if low[p] != low[p] or low[p] is None else low[p] if low[i] != low[i] or low[i] is None else min(low[p], low[i])
-                    high[p] = high[i] if high[p] != high[p] or high[p] is None else high[p] if high[i] != high[i] or high[i] is None else max(high[p], high[i])
-            out += [(doc, o, None if p is None else ords[p], len(path), e, path, a, b) for o, p, path, e, a, b in zip(ords, parents, paths, last, low, high)]
-        found = pd.DataFrame(out, columns=[key, "ord", "parent", "depth", "last", "path", "low", "high"])
-        return found.astype({c: "Int32" for c in ("ord", "parent", "depth", "last", "low", "high")})
+        ords, levels = part["ord"].tolist(), part["level"].tolist()
+        titles, low, high = (part[c].tolist() if c in has else [None] * len(ords) for c in ("title", "start", "end"))
+        keep, parents, last, paths = [], [None] * len(ords), ords[:], [None] * len(ords)
+        for _, a, b in _documents(part, key):
+            keep.extend(range(a, b))
+            for i, p in zip(range(a, b), _parents(levels[a:b])):
+                parents[i] = None if p is None else a + p
+                paths[i] = [titles[i]] if p is None else [*paths[a + p], titles[i]]
+            _widen(range(a, b), parents, last, low, high)
+        found = pd.DataFrame({key: part[key], "ord": ords, "parent": [None if p is None else ords[p] for p in parents], "depth": [len(p) if p else 0 for p in paths], "last": last, "path": paths, "low": low, "high": high})
+        return found.iloc[keep].astype({c: "Int32" for c in ("ord", "parent", "depth", "last", "low", "high")})
 
     kind = nodes.schema[key].dataType.simpleString()
     return by_document(nodes.select(key, "ord", "level", *has), fold, f"{key} {kind}, ord int, parent int, depth int, last int, path array<string>, low int, high int", key)
 
 
+def _parents(levels: list) -> list:
+    """Of a document's levels in order the place of each node's parent, None at the top, by a stack of open nodes."""
+    out, open_ = [None] * len(levels), []
+    for i, level in enumerate(levels):
+        while open_ and levels[open_[-1]] >= level:
+            open_.pop()
+        if open_:
+            out[i] = open_[-1]
+        open_.append(i)
+    return out
+
+
+def _widen(places: range, parents: list, last: list, low: list, high: list) -> None:
+    """Sets last, low and high of each node to those of its subtree."""
+    for i in reversed(places):  # children come before their parents
+        p = parents[i]
+        if p is not None:
+            last[p] = max(last[p], last[i])
+            low[p] = low[i] if low[p] != low[p] or low[p] is None else low[p] if low[i] != low[i] or low[i] is None else min(low[p], low[i])
+            high[p] = high[i] if high[p] != high[p] or high[p] is None else high[p] if high[i] != high[i] or high[i] is None else max(high[p], high[i])
+
+
 def ancestors(nodes: DataFrame, key: str = "doc") -> DataFrame:
     """key, ord, path: titles from the root to each node."""
     return intervals(nodes, key).select(key, "ord", "path")
@@ -187,14 +247,17 @@ def subtree(nodes: DataFrame, picks: DataFrame, key: str = "doc") -> DataFrame:
     return nodes.join(ranges, key).filter(F.col("ord").between(F.col("top"), F.col("_last"))).drop("_last")
 
 
-def expand_cost(nodes: DataFrame, children: DataFrame, key: str = "doc") -> DataFrame:
-    """key, ord, cost, residual, expand: one step of lookahead, the proposed children (key, ord of the parent, start, end) as collapsed; expand if the node has more than
-    LEAST_SPAN pages and that costs less than reading them."""
-    pages = nodes.select(key, "ord", (F.col("end") - F.col("start") + 1).alias("span"), F.explode(F.sequence("start", "end")).alias("page"))
-    has = children.select(key, "ord", F.explode(F.sequence("start", "end")).alias("page")).distinct()
-    left = pages.join(has, [key, "ord", "page"], "left_anti").groupBy(key, "ord").agg(F.count("*").alias("residual"))
-    worst = children.groupBy(key, "ord").agg(F.max(F.col("end") - F.col("start") + 1).alias("scan"))
-    out = nodes.select(key, "ord", (F.col("end") - F.col("start") + 1).alias("span")).join(worst, [key, "ord"]).join(left, [key, "ord"], "left").fillna(0, ["residual"])
+def expand_cost(nodes: DataFrame, children: DataFrame | str, key: str = "doc") -> DataFrame:
+    """key, ord, cost, residual, expand: one step of lookahead, the proposed children as collapsed; expand if the node has more than LEAST_SPAN pages and that costs less than
+    reading them. children: key, ord of the parent, start, end; or the name of a column of nodes, arrays of (start, end), where these are few."""
+    ranges = lambda rows, child: rows.select(key, "ord", F.lit(child).alias("child"), "start", "end")
+    if isinstance(children, str):
+        row = lambda child, a, b: F.struct(F.lit(child).alias("child"), a.alias("start"), b.alias("end"))
+        each = F.concat(F.array(row(False, F.col("start"), F.col("end"))), F.transform(children, lambda c: row(True, c["start"], c["end"])))
+        every = nodes.select(key, "ord", F.explode(each).alias("r")).select(key, "ord", "r.*")
+    else:
+        every = ranges(nodes, False).unionByName(ranges(children, True))
+    out = _left(every, key).filter("children > 0")
     cost = ROUTING + F.greatest("scan", "residual")
     return out.select(key, "ord", cost.cast("double").alias("cost"), "residual", ((F.col("span") > LEAST_SPAN) & (cost < F.col("span"))).alias("expand"))
 
@@ -222,8 +285,9 @@ def thin_pages(nodes: DataFrame, key: str = "doc", most_nodes: int = 20, least_p
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for doc, own in rows.sort_values([key, "ord"]).groupby(key, sort=False):
-            ords, parents, starts, ends = (own[c].tolist() for c in ("ord", "parent", "start", "end"))
+        every = [rows[c].tolist() for c in ("ord", "parent", "start", "end")]
+        for doc, at, to in _documents(rows, key):
+            ords, parents, starts, ends = (c[at:to] for c in every)
             last_kid = {int(p): o for o, p in zip(ords, parents) if p == p}
             end, gone = dict(zip(ords, ends)), set()
             final = {}
@@ -313,8 +377,9 @@ def paginate(rows: DataFrame, text: str, size: int, key: str = "doc", overlap: i
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for doc, own in part.sort_values([key, "ord"]).groupby(key, sort=False):
-            ords, lengths = own["ord"].tolist(), own["n"].tolist()
+        every = [part[c].tolist() for c in ("ord", "n")]
+        for doc, at, to in _documents(part, key):
+            ords, lengths = (c[at:to] for c in every)
             total, parts = sum(lengths), []
             if total <= size:
                 parts = [(0, len(ords) - 1)]
@@ -350,7 +415,17 @@ def with_preface(nodes: DataFrame, key: str = "doc") -> DataFrame:
 
 def covering_ranges(nodes: DataFrame, key: str = "doc") -> DataFrame:
     """key, ord, start, end widened to all descendants."""
-    return intervals(nodes, key).select(key, "ord", F.col("low").alias("start"), F.col("high").alias("end"))
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        ords, levels, low, high = (part[c].tolist() for c in ("ord", "level", "start", "end"))
+        keep, parents, last = [], [None] * len(ords), ords[:]
+        for _, a, b in _documents(part, key):
+            keep.extend(range(a, b))
+            parents[a:b] = [None if p is None else a + p for p in _parents(levels[a:b])]
+            _widen(range(a, b), parents, last, low, high)
+        return pd.DataFrame({key: part[key], "ord": ords, "start": low, "end": high}).iloc[keep].astype({"ord": "Int32", "start": "Int32", "end": "Int32"})
+
+    kind = nodes.schema[key].dataType.simpleString()
+    return by_document(nodes.select(key, "ord", "level", "start", "end"), fold, f"{key} {kind}, ord int, start int, end int", key)
 
 
 #: Fixed value: what the title of a node for a parent's opening pages ends in.
@@ -384,11 +459,22 @@ def complexity(nodes: DataFrame, pages: str = "pages", key: str = "doc") -> Data
     The frontier are leaves, by all their pages, and parents' pages that no child has, one step deeper. The average weighs each by its share of the document's pages, and
     a page lies in the middle of what is read. mass is over 1 where ranges overlap. nodes: key, ord, level, parent, start, end, pages.
     """
-    where = intervals(nodes.select(key, "ord", "level"), key).select(key, "ord", "depth")
-    left = residual_pages(nodes, key).join(where, [key, "ord"]).join(nodes.select(key, F.col("parent").alias("ord")).filter("ord is not null").distinct().withColumn("_p", F.lit(True)), [key, "ord"], "left")
-    entries = left.select(key, F.when(F.col("_p"), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), F.when(F.col("_p"), F.col("residual")).otherwise(F.col("span")).alias("n")).filter("n > 0")
-    total = nodes.groupBy(key).agg(F.max(pages).alias("total"))
-    cost = entries.join(total, key).withColumn("p", F.col("n") / F.col("total"))
+    ranges = _own_and_kids(nodes.withColumn("total", F.max(pages).over(Window.partitionBy(key))), key, "level", "total")
+    columns = [key, "ord", "span", "residual", "children", "level", "total"]
+    rows = _left(ranges, key, "level", "total").select(*columns)
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        levels, depth, keep = part["level"].tolist(), [0] * len(part), []
+        for _, a, b in _documents(part, key):
+            keep.extend(range(a, b))
+            for i, p in enumerate(_parents(levels[a:b])):
+                depth[a + i] = 1 if p is None else depth[a + p] + 1
+        return part[columns].assign(depth=depth).iloc[keep]
+
+    deep = by_document(rows, fold, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns) + ", depth int", key)
+    parent = F.col("children") > 0
+    entries = deep.select(key, "total", F.when(parent, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), F.when(parent, F.col("residual")).otherwise(F.col("span")).alias("n")).filter("n > 0")
+    cost = entries.withColumn("p", F.col("n") / F.col("total"))
     worst = F.max(ROUTING * F.col("depth") + F.col("n"))
     return cost.groupBy(key).agg(
         F.count("*").alias("frontier"), worst.alias("worst"), F.round(F.sum(F.col("p") * (ROUTING * F.col("depth") + (F.col("n") + 1) / 2)), 3).alias("average"), F.round(worst / F.max("total"), 4).alias("normalized"),
@@ -418,8 +504,9 @@ def thin(nodes: DataFrame, least: int, key: str = "doc") -> DataFrame:
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for doc, own in part.sort_values([key, "ord"]).groupby(key, sort=False):
-            ords, levels, words = own["ord"].tolist(), own["level"].tolist(), own["words"].tolist()
+        every = [part[c].tolist() for c in ("ord", "level", "words")]
+        for doc, at, to in _documents(part, key):
+            ords, levels, words = (c[at:to] for c in every)
             into = list(range(len(ords)))
             for i in range(len(ords) - 1, -1, -1):
                 if words[i] < least:

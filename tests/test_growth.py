@@ -5,7 +5,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusloom.operators import bibliography, graph, topics
+from corpusloom.operators import bibliography, graph, topics, trees
 
 
 def shuffled(spark, run):
@@ -135,3 +135,34 @@ def test_title_prefixes_meet_by_classes(spark):
     out = bibliography.by_title_prefix(papers, entries)
     assert {tuple(r) for r in out.groupBy("entry", "status").count().collect()} == {(7, "multi_match", n - 2), (None, "no_year", 1), (None, "no_match", 1)}
     assert 0 < most_joined(spark) <= 2 * n
+
+
+def test_pages_of_trees_never_become_rows(spark):
+    """Two documents of a hundred thousand pages: children that overlap, reach out of their parent, run backwards or have no pages."""
+    nodes = spark.createDataFrame(
+        [(d, *r) for d in (1, 2) for r in [(0, None, 1, 100_000), (1, 0, 11, 50_000), (2, 0, 40_000, 60_000), (3, 0, 99_991, 200_000), (4, 3, None, 7), (5, 3, 99_999, 99_995)]], "doc long, ord int, parent int, start int, end int"
+    )
+    size, got = shuffled(spark, lambda: trees.residual_pages(nodes).collect())
+    assert {(r["ord"], r["span"], r["residual"]) for r in got} == {(0, 100_000, 10 + 39_990), (1, 49_990, 49_990), (2, 20_001, 20_001), (3, 100_010, 100_005), (4, None, 0), (5, -3, 5)} and len(got) == 12
+    assert size < 20_000
+    kids = nodes.filter("parent is not null").selectExpr("doc", "parent AS ord", "start", "end")
+    packed = nodes.join(kids.groupBy("doc", "ord").agg(F.collect_list(F.struct("start", "end")).alias("kids")), ["doc", "ord"], "left").withColumn("kids", F.coalesce("kids", F.array().cast("array<struct<start:int,end:int>>")))
+    for given in (kids, "kids"):
+        size, got = shuffled(spark, lambda: trees.expand_cost(nodes if given is kids else packed, given).collect())
+        assert {(r["ord"], r["cost"], r["residual"], r["expand"]) for r in got} == {(0, 100_011.0, 40_000, False), (3, 100_006.0, 100_005, True)} and len(got) == 4
+        assert size < 20_000
+
+
+def test_documents_are_folded_as_a_stream(spark):
+    """Rows dealt by document are shuffled once, and documents of several batches are whole."""
+    n = 25_000
+    nodes = spark.range(2 * n).selectExpr("id % 2 AS doc", "cast(id div 2 as int) AS ord", "if(id < 2, 1, 2) AS level", "cast(id as int) AS start", "cast(id as int) AS end", "cast(30 as int) AS words", "cast(id as int) AS pages")
+    dealt = nodes.repartition(3, "doc")
+    runs = {"thin": lambda: trees.thin(dealt, 20), "covering": lambda: trees.covering_ranges(dealt), "intervals": lambda: trees.intervals(dealt)}
+    found = {name: run() for name, run in runs.items()}
+    for name, df in found.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1, name
+    assert found["thin"].filter("ord = into").count() == 2 * n
+    assert {tuple(r) for r in found["covering"].filter("ord = 0").collect()} == {(0, 0, 0, 2 * n - 2), (1, 0, 1, 2 * n - 1)} and found["covering"].count() == 2 * n
+    assert {(r["doc"], r["last"]) for r in found["intervals"].filter("parent is null").collect()} == {(0, n - 1), (1, n - 1)}
