@@ -178,10 +178,13 @@ def focus_overlap(question: Column, text: Column) -> Column:
 
 def clean_sentence(text: Column, least: int = 40) -> Column:
     """The first sentence of prose: without list marks, of ``least`` characters or more, ending as a sentence, mostly letters, not all capitals; empty if none."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(F.trim(s), r"^\s*(?:[#>\-*•]+\s*|[0-9]+[.)\]]\s*)+", ""))
+    bare = lambda s: F.regexp_replace(F.trim(s), r"^\s*(?:[#>\-*•]+\s*|[0-9]+[.)\]]\s*)+", "")
     letters = lambda s: F.length(F.regexp_replace(s, r"[^\p{L}]", "")) / F.length(s)
-    good = F.filter(parts, lambda s: (F.length(s) >= least) & s.rlike(r"[.!?][\"')\]]?$") & (letters(s) >= 0.55) & (F.upper(s) != s))
-    return F.coalesce(F.get(good, F.lit(0)), F.lit(""))
+    good = lambda s: (F.length(s) >= least) & s.rlike(r"[.!?][\"')\]]?$") & (letters(s) >= 0.55) & (F.upper(s) != s)
+    # what is too short before its marks go is too short after; behind the first good one nothing is looked at
+    clean = lambda s: F.element_at(F.transform(F.array(bare(s)), lambda b: F.when(good(b), b).otherwise("")), 1)
+    parts = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+")
+    return F.aggregate(parts, F.lit(""), lambda found, s: F.when((found != "") | (F.length(s) < least), found).otherwise(clean(s)))
 
 
 def fts_terms(query: Column) -> tuple[Column, Column]:
@@ -191,6 +194,7 @@ def fts_terms(query: Column) -> tuple[Column, Column]:
     return terms, F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(CJK_RUN), F.lit(0))
 
 
+PROSE = r"(?<![^.!?\n])[^.!?\n]{40,}+[.!?]"  # from the start of a run only, so that a run without an end is read once
 #: The four ways to cut a text into sentences: at ends, at ends before a capital or digit, at full stops, and prose of forty characters.
 SENTENCE_CUTS = {"ends": r"(?<=[.!?])\s+", "starts": r"(?<=[.!?])\s+(?=[A-Z0-9])", "stops": r"\. "}
 
@@ -198,7 +202,7 @@ SENTENCE_CUTS = {"ends": r"(?<=[.!?])\s+", "starts": r"(?<=[.!?])\s+(?=[A-Z0-9])
 def sentences_by(text: Column, way: str) -> Column:
     """Sentences of a text by one of SENTENCE_CUTS, or 'prose'."""
     if way == "prose":
-        return F.regexp_extract_all(text, F.lit(r"[^.!?\n]{40,}[.!?]"), F.lit(0))
+        return F.regexp_extract_all(text, F.lit(PROSE), F.lit(0))
     return F.split(text, SENTENCE_CUTS[way])
 
 

@@ -125,7 +125,8 @@ def sentence_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first clean sentence of every document, and its sentences by the four ways to cut."""
     t = F.coalesce("text", F.lit(""))
     n = lambda way: F.size(md.sentences_by(t, way)).cast("long").alias(way)
-    return read(spark, sf_dir, "documents").select("doc_id", md.clean_sentence(t).alias("fact"), n("ends"), n("starts"), n("stops"), n("prose"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # a large file can be one row group
+    return docs.select("doc_id", md.clean_sentence(t).alias("fact"), n("ends"), n("starts"), n("stops"), n("prose"))
 
 
 @query("""WITH t AS (SELECT source, CASE WHEN count(*) % 2 = 0 THEN 'review' ELSE 'methods' END AS a, list_sort(list_distinct(list(lang)))[:2] AS t FROM documents WHERE source <> 'src3' GROUP BY source)
