@@ -70,7 +70,8 @@ def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     for plain, other in _APART:
         text = F.replace(text, F.lit(plain), F.lit(other))
-    composed = _text(read(spark, sf_dir, "documents")).select("doc_id", tx.nfkc(text).alias("c"), F.md5(tx.squash(text)).alias("folded"))
+    docs = _text(read(spark, sf_dir, "documents")).select("doc_id", "text").repartition("doc_id")  # a large file can be one row group
+    composed = docs.select("doc_id", tx.nfkc(text).alias("c"), F.md5(tx.squash(text)).alias("folded"))
     return composed.select("doc_id", F.md5("c").alias("composed"), F.length("c").cast("long").alias("n_chars"), "folded")
 
 
