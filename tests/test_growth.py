@@ -166,3 +166,37 @@ def test_documents_are_folded_as_a_stream(spark):
     assert found["thin"].filter("ord = into").count() == 2 * n
     assert {tuple(r) for r in found["covering"].filter("ord = 0").collect()} == {(0, 0, 0, 2 * n - 2), (1, 0, 1, 2 * n - 1)} and found["covering"].count() == 2 * n
     assert {(r["doc"], r["last"]) for r in found["intervals"].filter("parent is null").collect()} == {(0, n - 1), (1, n - 1)}
+
+
+def test_prose_without_an_end_is_read_once(spark):
+    from corpusloom.functions import metadata as md
+
+    start = time.time()
+    text = F.concat(F.repeat(F.lit("a "), 300_000), F.lit("\nA sentence of more than forty characters stands here. Short. Another one that is longer than forty characters too!"))
+    row = spark.range(1).select(md.sentences_by(text, "prose").alias("prose"), md.clean_sentence(text).alias("first")).first()
+    assert [len(s) for s in row["prose"]] == [53, 54] and row["first"].startswith("Another one")
+    assert time.time() - start < 30
+
+
+def test_texts_of_one_file_are_dealt_to_tasks(spark, sf):
+    from corpusloom.plans import catalogue
+
+    for name in ("sentence_facts", "normal_forms"):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(doc_id" in plan, name
+
+
+def test_frequent_words_meet_queries_where_their_documents_are(spark):
+    from corpusloom.operators import retrieve as rt
+
+    n = 2000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('red bolt ', if(id = 7, 'blue', 'part')) AS text").coalesce(1)
+    asked = spark.range(100).selectExpr("id AS query_id", "explode(array('red', 'bolt', if(id = 3, 'blue', 'part'))) AS term")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        size, got = shuffled(spark, lambda: rt.bm25(docs, asked, 2).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert len(got) == 200 and {r["doc_id"] for r in got if r["query_id"] == 3} == {0, 7}
+    assert size < 400_000
