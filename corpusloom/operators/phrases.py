@@ -51,17 +51,21 @@ def postings(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str =
     named = [r["term"] for r in terms.collect()] if n <= MOST_LITERALS else None
     placed = F.transform("t", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
     beside = F.transform(F.slice("t", F.lit(2), F.size("t")), lambda t, i: F.struct(F.concat_ws(" ", F.get("t", i), t).alias("term"), i.alias("pos")))
-    if named is not None:
+    if named is not None and not positions:
+        hits = F.filter("t", lambda t: t.isin(*named))
+    elif named is not None:
         one, two = [t for t in named if " " not in t], [t for t in named if " " in t]
         among = lambda some: lambda h: h["term"].isin(*some)
         found = [F.filter(x, among(some)) for x, some in ((placed, one), (beside, two)) if some]
         hits = F.concat(*found) if found else F.filter(placed, lambda _: F.lit(False))
     else:
         hits = F.filter(F.concat(placed, beside), lambda h: h["term"] != "")
-    cut = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size(F.filter("t", lambda t: t != "")).alias("dl"), hits.alias("hits"))
+    # a large file of texts can be one row group: texts are dealt anew, so that no task cuts many
+    cut = docs.select(key, text).repartition(key).select(key, tokens(F.col(text)).alias("t")).select(key, F.size(F.filter("t", lambda t: t != "")).alias("dl"), hits.alias("hits"))
     cut = staged(cut, "cut") if named is not None else cut
     totals = cut.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    each = cut.select(key, "dl", F.explode("hits").alias("h")).select(key, "dl", "h.*")
+    each = cut.select(key, "dl", F.explode("hits").alias("h"))
+    each = each.withColumnRenamed("h", "term") if named is not None and not positions else each.select(key, "dl", "h.*")
     each = each if named is not None else each.join(small(terms, n), "term", "left_semi")
     where = [F.collect_list("pos").alias("positions")] if positions else []
     return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), *where), totals
