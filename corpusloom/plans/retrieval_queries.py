@@ -9,7 +9,7 @@ from corpusloom.functions.text import WORD, words
 from corpusloom.operators import retrieve as rt
 from corpusloom.operators.metric import MetricIndex
 from corpusloom.operators.phrases import bm25_phrases
-from corpusloom.sources.staging import staged
+from corpusloom.sources.staging import dealt, staged
 from corpusloom.sources.tables import read
 
 QUERIES, SQL = {}, {}
@@ -279,7 +279,8 @@ def supplier_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     nxt = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), nxt.alias("dst"))
+    # dealt by rows, as lines sorted by order take far more memory than they take when compressed
+    rows = dealt(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"), "l_orderkey").select(F.col("l_suppkey").alias("src"), nxt.alias("dst"))
     return rows.filter("dst is not null and src <> dst").distinct()
 
 

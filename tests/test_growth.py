@@ -200,3 +200,25 @@ def test_frequent_words_meet_queries_where_their_documents_are(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert len(got) == 200 and {r["doc_id"] for r in got if r["query_id"] == 3} == {0, 7}
     assert size < 400_000
+
+
+def test_rounds_over_edges_shuffle_nodes_not_edges(spark):
+    """A dense graph: what ten more rounds shuffle is far less than its edges."""
+    n = 400
+    edges = spark.range(n).crossJoin(spark.range(n).withColumnRenamed("id", "dst")).selectExpr("id AS src", "dst").filter("src <> dst and (src * 7 + dst * 3) % 5 < 4").localCheckpoint()
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for run in (lambda k: graph.hits(edges, k).count(), lambda k: graph.communities(edges, k).count()):
+            few, many = (shuffled(spark, lambda k=k: run(k))[0] for k in (1, 5))
+            assert many - few < 400_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_backward_meets_titles_by_classes(spark):
+    n = 1500
+    refs = spark.range(n).selectExpr("id AS paper", "concat(if(id % 2 = 0, 'red bolt ', 'Bolt red '), repeat('!', int(id))) AS hint", "if(id = 3, 9, cast(null as long)) AS verified")
+    library = spark.range(n).selectExpr("id + 10 AS id", "array('nut', 'bolt, red', 'red')[id % 3] AS title")
+    size, got = shuffled(spark, lambda: graph.backward(refs, library).groupBy("target", "how").count().collect())
+    assert {tuple(r) for r in got} == {(9, "verified", 1), (11, "title", n - 1)} and most_joined(spark) <= 2 * n
