@@ -244,3 +244,19 @@ def test_only_likely_links_are_measured(monkeypatch):
     monkeypatch.setattr(np, "round", lambda x, k: measured.append(np.size(x)) or plain(x, k))
     list(topics._best_partners(ids[:n], own[:n], v[:n], ids[n:], own[n:], v[n:], whole, 0.6))
     assert links <= sum(measured) <= links + 10 and few <= n * n
+
+
+def test_metric_index_shuffles_queries_once_a_block(spark):
+    """Vectors that are all much alike: queries want nearly all shells, but neither go to each of them nor take k rows from each."""
+    from corpusloom.operators import metric
+    from corpusloom.operators import retrieve as rt
+
+    v = np.random.default_rng(4).normal(size=(2000, 32)).astype(np.float32)
+    v[100] = v[0] + 1e-5  # as near as equal once rounded, and further by its id
+    rows = spark.createDataFrame([(2000 - i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3).localCheckpoint()
+    asked = rows.filter("vec_id % 5 = 0").selectExpr("vec_id AS query_id", "embedding")
+    index = metric.MetricIndex(rows)
+    size, got = shuffled(spark, lambda: sorted(map(tuple, index.search(asked, 5).select("query_id", "vec_id", "distance", "rank").collect())))
+    assert index.skipped(400) < 0.5
+    assert got == sorted(map(tuple, rt.knn_batch(rows, asked, 5).select("query_id", "vec_id", "distance", "rank").collect()))
+    assert size < 8_000_000
