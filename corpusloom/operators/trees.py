@@ -151,10 +151,10 @@ def by_document(rows: DataFrame, fold, schema: str, key: str = "doc") -> DataFra
 
 def _documents(part: pd.DataFrame, key: str) -> Iterator[tuple]:
     """(document, from, to) of ordered rows with their places; rows without a document are left out."""
-    at = np.flatnonzero(part["_at"] == 1).tolist()
-    for a, b, doc in zip(at, [*at[1:], len(part)], part[key].iloc[at].tolist()):
-        if not pd.isna(doc):
-            yield doc, a, b
+    at = np.flatnonzero(part["_at"] == 1)
+    to, docs = np.append(at[1:], len(part)), part[key].iloc[at]
+    known = docs.notna().to_numpy()
+    return zip(docs[known].tolist(), at[known].tolist(), to[known].tolist())
 
 
 def collapse_costs(nodes: DataFrame, key: str = "doc") -> DataFrame:
@@ -416,13 +416,22 @@ def with_preface(nodes: DataFrame, key: str = "doc") -> DataFrame:
 def covering_ranges(nodes: DataFrame, key: str = "doc") -> DataFrame:
     """key, ord, start, end widened to all descendants."""
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        ords, levels, low, high = (part[c].tolist() for c in ("ord", "level", "start", "end"))
-        keep, parents, last = [], [None] * len(ords), ords[:]
+        levels = part["level"].tolist()
+        low, high = ((part[c].astype(float) if part[c].isna().any() else part[c]).tolist() for c in ("start", "end"))  # missing: NaN
         for _, a, b in _documents(part, key):
-            keep.extend(range(a, b))
-            parents[a:b] = [None if p is None else a + p for p in _parents(levels[a:b])]
-            _widen(range(a, b), parents, last, low, high)
-        return pd.DataFrame({key: part[key], "ord": ords, "start": low, "end": high}).iloc[keep].astype({"ord": "Int32", "start": "Int32", "end": "Int32"})
+            open_ = []
+            for i in range(a, b + 1):
+                while open_ and (i == b or levels[open_[-1]] >= levels[i]):  # a node that ends widens its parent
+                    done = open_.pop()
+                    if open_:
+                        p = open_[-1]
+                        if low[done] < low[p] or low[p] != low[p]:
+                            low[p] = low[done]
+                        if high[done] > high[p] or high[p] != high[p]:
+                            high[p] = high[done]
+                open_.append(i)
+        found = pd.DataFrame({key: part[key], "ord": part["ord"], "start": low, "end": high})[part[key].notna()]
+        return found.astype({"ord": "Int32", "start": "Int32", "end": "Int32"})
 
     kind = nodes.schema[key].dataType.simpleString()
     return by_document(nodes.select(key, "ord", "level", "start", "end"), fold, f"{key} {kind}, ord int, start int, end int", key)
@@ -464,12 +473,15 @@ def complexity(nodes: DataFrame, pages: str = "pages", key: str = "doc") -> Data
     rows = _left(ranges, key, "level", "total").select(*columns)
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        levels, depth, keep = part["level"].tolist(), [0] * len(part), []
+        levels, depth = part["level"].tolist(), [0] * len(part)
         for _, a, b in _documents(part, key):
-            keep.extend(range(a, b))
-            for i, p in enumerate(_parents(levels[a:b])):
-                depth[a + i] = 1 if p is None else depth[a + p] + 1
-        return part[columns].assign(depth=depth).iloc[keep]
+            open_ = []  # levels of the node and those above it
+            for i in range(a, b):
+                while open_ and open_[-1] >= levels[i]:
+                    open_.pop()
+                open_.append(levels[i])
+                depth[i] = len(open_)
+        return part[columns].assign(depth=depth)[part[key].notna()]
 
     deep = by_document(rows, fold, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns) + ", depth int", key)
     parent = F.col("children") > 0
@@ -503,21 +515,18 @@ def thin(nodes: DataFrame, least: int, key: str = "doc") -> DataFrame:
     ord, level, words."""
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        every = [part[c].tolist() for c in ("ord", "level", "words")]
-        for doc, at, to in _documents(part, key):
-            ords, levels, words = (c[at:to] for c in every)
-            into = list(range(len(ords)))
-            for i in range(len(ords) - 1, -1, -1):
+        ords, levels, words = (part[c].tolist() for c in ("ord", "level", "words"))
+        into = list(range(len(ords)))
+        for _, at, to in _documents(part, key):
+            for i in range(to - 1, at - 1, -1):
                 if words[i] < least:
-                    j = i + 1
-                    while j < len(ords) and levels[j] > levels[i]:
+                    level, j = levels[i], i + 1
+                    while j < to and levels[j] > level:
                         if into[j] == j:
                             words[i] += words[j]
                         into[j] = i
                         j += 1
-            out += [(doc, o, ords[t]) for o, t in zip(ords, into)]
-        return pd.DataFrame(out, columns=[key, "ord", "into"])
+        return pd.DataFrame({key: part[key], "ord": part["ord"], "into": part["ord"].to_numpy()[into]})[part[key].notna()]
 
     kind = nodes.schema[key].dataType.simpleString()
     return by_document(nodes.select(key, "ord", "level", "words"), fold, f"{key} {kind}, ord int, into int", key)

@@ -260,3 +260,34 @@ def test_metric_index_shuffles_queries_once_a_block(spark):
     assert index.skipped(400) < 0.5
     assert got == sorted(map(tuple, rt.knn_batch(rows, asked, 5).select("query_id", "vec_id", "distance", "rank").collect()))
     assert size < 8_000_000
+
+
+def test_folds_of_trees_take_few_steps_a_row(spark):
+    """Steps of Python that a node costs, on trees with missing pages and a missing document, and what becomes of them."""
+    import sys
+    from types import SimpleNamespace as N
+
+    import pandas as pd
+
+    n = 2000
+    part = pd.DataFrame({"doc": np.repeat(np.append(np.arange(n - 1), np.nan), 3), "ord": np.tile([0, 1, 2], n), "level": np.tile([1, 2, 3], n), "start": np.tile([5.0, np.nan, 2.0], n), "end": np.tile([6.0, 9.0, np.nan], n), "words": np.tile([9, 30, 1], n), "_at": np.tile([1, 2, 3], n)})
+    folds, held = [], trees.by_document
+    trees.by_document = lambda rows, fold, *_: folds.append(fold)
+    try:
+        rows = N(select=lambda *_: None, schema={"doc": N(dataType=N(simpleString=lambda: "long"))})
+        trees.thin(rows, 20)
+        trees.covering_ranges(rows)
+    finally:
+        trees.by_document = held
+    calls = [0]
+    out = []
+    for fold in folds:
+        sys.setprofile(lambda frame, event, _: calls.__setitem__(0, calls[0] + (event == "call")))
+        try:
+            out.append(fold(part.copy()))
+        finally:
+            sys.setprofile(None)
+    assert calls[0] < 6 * n  # Python functions called, few for each document
+    thin, covering = out
+    assert thin["into"].tolist() == [0, 0, 0] * (n - 1) and covering["start"].tolist() == [2, 2, 2] * (n - 1)
+    assert covering["end"].iloc[:2].tolist() == [9, 9] and covering["end"].iloc[2::3].isna().all()
