@@ -99,6 +99,39 @@ def test_components_are_walked_in_tasks(spark, monkeypatch):
     assert sorted(map(tuple, graph.reachable(seeds, edges, 2).collect())) == [("b1", "b1", 0), ("b1", "b2", 1), ("b1", "b3", 2), ("z", "z", 0)]
 
 
+def one_piece(spark, monkeypatch, n=60, m=240):
+    """A connected graph with cycles, a tail, and a way in only; walks by joins are refused."""
+    rng = np.random.default_rng(8)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2)) if a != b} | {(i, i + 1) for i in range(n, n + 4)} | {(3, n), (n + 9, 5)})
+
+    def no(*_):
+        raise AssertionError("walked by joins")
+
+    monkeypatch.setattr(graph, "_between_by_joins", no)
+    monkeypatch.setattr(graph, "_reached_by_joins", no)
+    return edges, spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in edges], "src string, dst string").coalesce(1).cache()
+
+
+def test_a_large_component_is_reached_in_tasks(spark, monkeypatch):
+    edges, df = one_piece(spark, monkeypatch)
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    asked, want = [0, 7, 63, 69, 1000], []
+    for s in asked:
+        seen, front = {s}, {s}
+        want.append((f"n{s}", f"n{s}", 0))
+        for h in (1, 2, 3):
+            front = {w for v in front for w in near.get(v, ())} - seen
+            seen |= front
+            want += [(f"n{s}", f"n{v}", h) for v in front]
+    seeds = spark.createDataFrame([(f"n{s}",) for s in asked], "seed string")
+    for found in (graph.FOUND, 10):  # rows given back at once
+        monkeypatch.setattr(graph, "FOUND", found, raising=False)
+        assert sorted(map(tuple, graph.reachable(seeds, df, 3, most_edges=len(edges)).collect())) == sorted(want)
+
+
 def test_resolve_shuffles_classes_not_pairs(spark):
     """Many targets and records of one name and year; the gap is that to the second of the alike."""
     n = 1500
