@@ -132,6 +132,24 @@ def test_a_large_component_is_reached_in_tasks(spark, monkeypatch):
         assert sorted(map(tuple, graph.reachable(seeds, df, 3, most_edges=len(edges)).collect())) == sorted(want)
 
 
+def test_a_large_component_is_walked_in_tasks(spark, monkeypatch):
+    """More edges than a group has, or than go to the tasks at all, aren't walked by joins; sources walked one by one give what batches give."""
+    edges, df = one_piece(spark, monkeypatch)
+    value = lambda df: {r["node"]: round(r["betweenness"], 9) for r in df.collect()}
+    want = value(graph.betweenness(df))
+    monkeypatch.setattr(graph, "_dense", lambda n, m: False, raising=False)
+    assert value(graph.betweenness(df)) == want and want["n60"] > 0
+    monkeypatch.setattr(graph, "FEW_EDGES", 0, raising=False)
+    assert value(graph.betweenness(df)) == want
+    # two pieces with more edges together than may be sent at once, of which one or both are large; then blocks
+    both = df.union(df.selectExpr("concat('x', src)", "concat('x', dst)")).cache()
+    twice = value(graph.betweenness(both))
+    monkeypatch.setattr(graph, "GROUP_EDGES", 5, raising=False)
+    monkeypatch.setattr(graph, "WALK_CELLS", 1000, raising=False)
+    for most in (len(edges), len(edges) - 1):
+        assert value(graph.betweenness(both, most_edges=most)) == twice
+
+
 def test_resolve_shuffles_classes_not_pairs(spark):
     """Many targets and records of one name and year; the gap is that to the second of the alike."""
     n = 1500
