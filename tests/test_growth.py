@@ -150,6 +150,14 @@ def test_a_large_component_is_walked_in_tasks(spark, monkeypatch):
         assert value(graph.betweenness(both, most_edges=most)) == twice
 
 
+def test_bridges_of_a_large_component(spark, monkeypatch):
+    """The exact betweenness that bridges needs, of a graph with more edges than a task gets."""
+    edges, df = one_piece(spark, monkeypatch)
+    of = lambda most: graph.bridges(graph.betweenness(df, most).withColumn("community", F.length("node")))
+    rows = lambda df: sorted((r["node"], r["community"], round(r["betweenness"], 6)) for r in df.collect())
+    assert rows(of(len(edges) - 1)) == rows(of(len(edges))) != []
+
+
 def test_resolve_shuffles_classes_not_pairs(spark):
     """Many targets and records of one name and year; the gap is that to the second of the alike."""
     n = 1500
