@@ -51,6 +51,29 @@ def test_names_and_years_shuffle_classes_not_pairs(spark):
     assert size < 1_000_000
 
 
+def generated_from(df):
+    """Plans that open arrays or joins under them: what a row passes before it is opened, and what shuffles it after."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("Generate explode", 1)
+
+
+def test_names_and_years_are_opened_where_a_source_is(spark):
+    """Classes and their papers go to the sources, nothing is filtered or sent after the opening, and no paper names itself."""
+    n = 1200
+    asked = spark.range(n).selectExpr("id AS source", "array('Smith et al.', 'Wu & Lee', 'Wuu')[id % 3] AS author", "'1990' AS year", "concat('line ', id % 2) AS via").union(spark.createDataFrame([(None, "Smith", "1990", "x")], "source long, author string, year string, via string"))
+    papers = spark.range(n).selectExpr("id AS paper", "'1990' AS year", "array('smithers', 'wuu')  AS surnames")
+    found = bibliography.cited_by_name(asked, papers)
+    above, below = generated_from(found)
+    assert "Filter" not in above and "Exchange" not in above and "Exchange hashpartitioning(paper" not in below and "SortMergeJoin" not in below
+    got = found.collect()
+    naming = [s for s in range(n) if s % 3 != 1]
+    assert len(got) == len(naming) * (n - 1) and {(r["source"], r["paper"]) for r in got} == {(s, p) for s in naming for p in range(n) if p != s}
+    assert all(r["via"] == f"line {r['source'] % 2}" for r in got)
+    # keys of other types are compared too
+    got = bibliography.cited_by_name(asked.withColumn("source", F.col("source").cast("string")), papers).collect()
+    assert len(got) == len(naming) * (n - 1)
+
+
 def test_uncited_pairs_shuffle_classes_not_pairs(spark):
     n = 1500
     papers = spark.range(n).selectExpr("id AS node", "1 AS community", "array('red', 'bolt', 'part') AS tokens")
