@@ -181,6 +181,21 @@ def test_bridges_of_a_large_component(spark, monkeypatch):
     assert rows(of(len(edges) - 1)) == rows(of(len(edges))) != []
 
 
+def test_few_sources_need_no_components(spark, monkeypatch):
+    """Some sources of a graph too large to be sent walk its blocks, and its components aren't looked for."""
+    edges, df = one_piece(spark, monkeypatch, 150, 500)
+    rows = lambda df: {(r["node"], round(r["betweenness"], 9), r["sources"], round(r["error"], 9)) for r in df.collect()}
+    want = rows(graph.betweenness_sampled(df, error=0.3))
+
+    def no(*_):
+        raise AssertionError("components")
+
+    monkeypatch.setattr(graph, "components", no)
+    monkeypatch.setattr(graph, "WALK_CELLS", 2000, raising=False)
+    got = rows(graph.betweenness_sampled(df, error=0.3, most_edges=len(edges) - 1))
+    assert got == want and all(0 < s < 155 for _, _, s, _ in got)
+
+
 def test_resolve_shuffles_classes_not_pairs(spark):
     """Many targets and records of one name and year; the gap is that to the second of the alike."""
     n = 1500
