@@ -83,6 +83,20 @@ def test_uncited_pairs_shuffle_classes_not_pairs(spark):
     assert size < 1_000_000
 
 
+def test_uncited_pairs_drop_edges_between_communities_first(spark, monkeypatch):
+    """Edges that take no pair away aren't shuffled; ranges of a class give each pair once, and seeds get all."""
+    n = 300
+    papers = spark.range(n).selectExpr("id AS node", "id % 2 AS community", "array('red', 'bolt', array('a', 'b', 'c')[id % 3]) AS tokens")
+    many = spark.range(300_000).selectExpr("id % 150 * 2 AS src", "id * 2 + 1 AS dst").unionByName(spark.range(n - 2).selectExpr("id AS src", "id + 2 AS dst"))
+    monkeypatch.setattr(graph, "RANGE", 4, raising=False)
+    beside = {frozenset((i, i + 2)) for i in range(n - 2)}
+    want = {(i, j, 3 if i % 3 == j % 3 else 2) for i in range(n) for j in range(n) if i != j and i % 2 == j % 2 and frozenset((i, j)) not in beside}
+    size, got = shuffled(spark, lambda: graph.uncited_pairs(None, papers, many).collect())
+    assert sorted(map(tuple, got)) == sorted(x for x in want if x[0] < x[1]) and size < 1_000_000
+    seeds = spark.createDataFrame([(7,), (298,), (5000,)], "seed long")
+    assert sorted(map(tuple, graph.uncited_pairs(seeds, papers, many).collect())) == sorted(x for x in want if x[0] in (7, 298))
+
+
 def test_coupling_shuffles_the_best_not_pairs(spark, monkeypatch):
     n = 1500
     edges = spark.range(n).crossJoin(spark.range(3).withColumnRenamed("id", "dst")).selectExpr("concat('s', lpad(id, 4, '0')) AS src", "dst").filter("src <> 's0700' OR dst > 0")
