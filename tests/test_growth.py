@@ -97,6 +97,22 @@ def test_uncited_pairs_drop_edges_between_communities_first(spark, monkeypatch):
     assert sorted(map(tuple, graph.uncited_pairs(seeds, papers, many).collect())) == sorted(x for x in want if x[0] in (7, 298))
 
 
+def test_pieces_of_seeds_come_to_papers(spark):
+    """Rows of paper and piece are neither joined by shuffle nor filtered after they are opened; verified pairs and a paper's own aren't found twice."""
+    n = 1200
+    seeds = spark.range(n).selectExpr("id AS seed", "'red bolt part' AS title", "array('Smith') AS surnames", "'1990' AS year")
+    verified = spark.range(0, 40).selectExpr("id + 1000 AS paper", "id * 30 AS seed")
+    hints = spark.range(n - 5, n + 5).selectExpr("id AS paper", "'red bolt' AS hint")
+    mentions = spark.range(n - 10, n - 3).selectExpr("id AS paper", "'Smithers' AS author", "'1990' AS year")
+    found = graph.forward(seeds, verified, hints, mentions, one_table=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join [" in x and "piece#" in x]
+    sure = {(30 * i, 1000 + i): "verified" for i in range(40)}
+    want = {(s, p): "author_year" for p in range(n - 10, n - 3) for s in range(n)} | {(s, p): "hint" for p in range(n - 5, n + 5) for s in range(n)} | sure
+    got = [tuple(r) for r in found.select("seed", "paper", "how").collect()]
+    assert sorted(got) == sorted((s, p, how) for (s, p), how in want.items() if s != p)
+
+
 def test_coupling_shuffles_the_best_not_pairs(spark, monkeypatch):
     n = 1500
     edges = spark.range(n).crossJoin(spark.range(3).withColumnRenamed("id", "dst")).selectExpr("concat('s', lpad(id, 4, '0')) AS src", "dst").filter("src <> 's0700' OR dst > 0")
