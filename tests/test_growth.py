@@ -113,6 +113,24 @@ def test_pieces_of_seeds_come_to_papers(spark):
     assert sorted(got) == sorted((s, p, how) for (s, p), how in want.items() if s != p)
 
 
+def test_coupling_sends_a_source_as_one_row(spark, monkeypatch):
+    """What goes to several tasks is one row a source; the best are those of all pairs, also where many are nearly as good."""
+    n, k = 1200, 3
+    rng = np.random.default_rng(4)
+    cites = {s: set(rng.integers(0, 60, rng.integers(1, 25)).tolist()) for s in range(n)}
+    edges = spark.createDataFrame([(s, t) for s in cites for t in sorted(cites[s])], "src long, dst long").cache()
+    edges.count()
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 1_500)
+    monkeypatch.setattr(graph, "PART_EDGES", 1_500)
+    seeds = edges.select("src").distinct().filter("src % 4 = 0")
+    size, got = shuffled(spark, lambda: graph.coupling(edges, seeds, k).collect())
+    found = {s: [(r["other"], r["shared"]) for r in sorted(got, key=lambda r: r["rank"]) if r["seed"] == s] for s in range(0, n, 40)}
+    for s in found:
+        all_ = sorted((-round(len(cites[s] & cites[o]) / len(cites[s] | cites[o]), 9), o, len(cites[s] & cites[o])) for o in cites if o != s and cites[s] & cites[o])
+        assert found[s] == [(o, shared) for _, o, shared in all_[:k]]
+    assert size < 550_000
+
+
 def test_coupling_shuffles_the_best_not_pairs(spark, monkeypatch):
     n = 1500
     edges = spark.range(n).crossJoin(spark.range(3).withColumnRenamed("id", "dst")).selectExpr("concat('s', lpad(id, 4, '0')) AS src", "dst").filter("src <> 's0700' OR dst > 0")
