@@ -221,6 +221,16 @@ def test_a_large_component_is_walked_in_tasks(spark, monkeypatch):
         assert value(graph.betweenness(both, most_edges=most)) == twice
 
 
+def test_blocks_of_many_links(spark, monkeypatch):
+    """Nodes with many links each, whose values are added up node by node."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in np.argwhere(rng.random((70, 70)) < 0.4) if a != b], "src long, dst long").cache()
+    value = lambda df: {r["node"]: round(r["betweenness"], 9) for r in df.collect()}
+    want = value(graph.betweenness(df))
+    monkeypatch.setattr(graph, "GROUP_EDGES", 5, raising=False)
+    assert value(graph.betweenness(df, most_edges=100)) == want
+
+
 def test_bridges_of_a_large_component(spark, monkeypatch):
     """The exact betweenness that bridges needs, of a graph with more edges than a task gets."""
     edges, df = one_piece(spark, monkeypatch)
